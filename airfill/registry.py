@@ -11,8 +11,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from pyspark.sql import functions as F
+
 from airfill.operators import readings as R
-from airfill.plans import ingest, training
+from airfill.plans import field, ingest, satellite, training
+from airfill.sources import readers
 from airfill.sources.fixtures import Fixtures
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -38,4 +41,18 @@ QUERIES: dict[str, Query] = {
     "calibration": _on_fixtures(training.calibration),
     "error_map": _on_fixtures(training.error_map),
     "station_state": _on_fixtures(ingest.station_state),
+    "station_boxes": _on_fixtures(satellite.station_boxes),
+    "granule_search": _on_fixtures(lambda fx: satellite.search_granules(fx.granules, satellite.station_boxes(fx))),
+    "nearest_pixel": _on_fixtures(lambda fx: satellite.nearest_pixels(fx).select(
+        "station_eoi", "granule", "product", "obs_date", "pixel_id", F.round("value", 12).alias("value"),
+        F.round("dist_km", 6).alias("dist_km"))),
+    "q3_satellite_daily": _on_fixtures(satellite.satellite_daily),
+    "grid_distance": _on_fixtures(field.grid_distance),
+    "q6_field": _on_fixtures(field.field),
+    "hotspots": _on_fixtures(field.hotspots),
+    "point_report": _on_fixtures(field.point_report),
+    "mosaic": _on_fixtures(field.mosaic),
+    "hourly_json": _on_fixtures(lambda fx: readers.explode_hourly(
+        fx.hourly_payloads, "payload", {"pm2_5": "cams_pm25", "nitrogen_dioxide": "cams_no2"},
+        keep=["station_no", "lat", "lon"])),
 }

@@ -150,3 +150,173 @@ FROM meta m
 LEFT JOIN last p ON p.station_eoi = m.station_eoi AND p.pollutant = 'pm25'
 LEFT JOIN last n ON n.station_eoi = m.station_eoi AND n.pollutant = 'no2'
 WHERE substr(m.station_eoi, 1, 2) IN ('AL', 'BA', 'BE', 'LU', 'MT')"""
+
+# ---- satellite -------------------------------------------------------------------
+BOXES = """boxes AS (
+  SELECT CAST(floor(lon / 5) AS BIGINT) AS tile_x, CAST(floor(lat / 5) AS BIGINT) AS tile_y,
+         min(lon) - 0.5 AS box_lon0, min(lat) - 0.5 AS box_lat0,
+         max(lon) + 0.5 AS box_lon1, max(lat) + 0.5 AS box_lat1
+  FROM meta GROUP BY 1, 2)"""
+
+GSEARCH = """gsearch AS (
+  SELECT DISTINCT g.granule, g.product, g.sensed_at, g.name
+  FROM granules g
+  WHERE TRY_CAST(right(regexp_extract(g.name, '(\\d{8}T\\d{2})', 1), 2) AS INTEGER) BETWEEN 8 AND 14
+    AND EXISTS (SELECT 1 FROM boxes b
+                WHERE g.lon0 <= b.box_lon1 AND b.box_lon0 <= g.lon1
+                  AND g.lat0 <= b.box_lat1 AND b.box_lat0 <= g.lat1))"""
+
+CHORD = """sqrt(pow(cos(radians(m.lat)) * cos(radians(m.lon)) - cos(radians(p.lat)) * cos(radians(p.lon)), 2)
+           + pow(cos(radians(m.lat)) * sin(radians(m.lon)) - cos(radians(p.lat)) * sin(radians(p.lon)), 2)
+           + pow(sin(radians(m.lat)) - sin(radians(p.lat)), 2))"""
+
+HITS = f"""px AS (
+  SELECT p.* FROM pixels p JOIN gsearch g ON g.granule = p.granule
+  WHERE p.value IS NOT NULL AND isfinite(p.value)
+    AND p.qa >= CASE p.product WHEN 'L2__NO2___' THEN 0.75 WHEN 'L2__AER_AI' THEN 0.5 END),
+hits AS (
+  SELECT m.station_eoi, p.granule, p.product, CAST(date_trunc('day', p.sensed_at) AS TIMESTAMP) AS obs_date,
+         p.pixel_id, p.value, {CHORD} AS c
+  FROM meta m JOIN px p ON {CHORD} <= 2 * sin(8.0 / 6371.0 / 2)
+  QUALIFY row_number() OVER (PARTITION BY m.station_eoi, p.granule ORDER BY c, p.pixel_id) = 1)"""
+
+_SAT = ("station_points", "pixels", "granules")
+
+SQL["station_boxes"] = _with(("station_points",), META, BOXES) + "SELECT * FROM boxes"
+
+SQL["granule_search"] = _with(_SAT, META, BOXES, GSEARCH) + "SELECT * FROM gsearch"
+
+SQL["nearest_pixel"] = _with(_SAT, META, BOXES, GSEARCH, HITS) + """
+SELECT station_eoi, granule, product, obs_date, pixel_id, round(value, 12) AS value,
+       round(2 * 6371.0 * asin(c / 2), 6) AS dist_km
+FROM hits"""
+
+SQL["q3_satellite_daily"] = _with(_SAT, META, BOXES, GSEARCH, HITS) + """
+, means AS (SELECT station_eoi, obs_date, product, avg(value) AS v FROM hits GROUP BY ALL)
+SELECT m.station_eoi, d.obs_date, m.lat, m.lon,
+       round(max(CASE WHEN d.product = 'L2__NO2___' THEN d.v END), 12) AS no2_column,
+       round(max(CASE WHEN d.product = 'L2__AER_AI' THEN d.v END), 12) AS aerosol_index
+FROM means d JOIN meta m ON m.station_eoi = d.station_eoi
+GROUP BY m.station_eoi, d.obs_date, m.lat, m.lon"""
+
+# ---- field -------------------------------------------------------------------------
+GRID = """grid AS (
+  SELECT i // 115 AS row, i % 115 AS col,
+         round(35e0 + (i // 115) * 0.35e0, 4) AS lat, round(-10e0 + (i % 115) * 0.35e0, 4) AS lon
+  FROM range(8280) t(i)),
+fst AS (SELECT * FROM meta WHERE substr(station_eoi, 1, 2) IN ('AL', 'BA', 'BE', 'LU', 'MT'))"""
+
+GDIST = """gdist AS (
+  SELECT g.row, g.col, g.lat, g.lon,
+         round(min(sqrt(pow((g.lon - s.lon) * 111.0 * cos(radians(g.lat)), 2) + pow((g.lat - s.lat) * 111.0, 2))), 1) AS dist_km
+  FROM grid g CROSS JOIN fst s GROUP BY g.row, g.col, g.lat, g.lon)"""
+
+FIELD = """cw AS (
+  SELECT * FROM cell_weather
+  WHERE valid_time BETWEEN (SELECT max(valid_time) FROM cell_weather) - INTERVAL 12 HOUR
+                       AND (SELECT max(valid_time) FROM cell_weather) + INTERVAL 12 HOUR),
+cells AS (SELECT DISTINCT clat, clon, CAST(floor(clat / 0.25) AS BIGINT) * 100000 + CAST(floor(clon / 0.25) AS BIGINT) AS cell_id FROM cw),
+gcell AS (
+  SELECT g.row, g.col, c.clat, c.clon
+  FROM grid g CROSS JOIN cells c
+  WHERE 2 * 6371.0 * asin(sqrt(pow(sin(radians(c.clat - g.lat) / 2), 2)
+        + cos(radians(g.lat)) * cos(radians(c.clat)) * pow(sin(radians(c.clon - g.lon) / 2), 2))) <= 50
+  QUALIFY row_number() OVER (PARTITION BY g.row, g.col ORDER BY
+        2 * 6371.0 * asin(sqrt(pow(sin(radians(c.clat - g.lat) / 2), 2)
+        + cos(radians(g.lat)) * cos(radians(c.clat)) * pow(sin(radians(c.clon - g.lon) / 2), 2))), c.cell_id) = 1),
+cond AS (
+  SELECT g.row, g.col, g.lat, g.lon, c.valid_time, c.cams_pm25, c.cams_no2
+  FROM grid g JOIN gcell x ON x.row = g.row AND x.col = g.col
+  JOIN cw c ON c.clat = x.clat AND c.clon = x.clon),
+field AS (
+  SELECT c.row, c.col, c.lat, c.lon, c.valid_time, v.pollutant,
+         CASE WHEN c.cams_pm25 IS NOT NULL AND c.cams_no2 IS NOT NULL
+              THEN round(greatest(CASE v.pollutant WHEN 'pm25' THEN c.cams_pm25 ELSE c.cams_no2 END, 0), 1) END AS value,
+         d.dist_km,
+         CASE WHEN d.dist_km <= 25 THEN 'sensor-verified' WHEN d.dist_km > 25 THEN 'unmonitored' END AS trust,
+         'cams-prior' AS status
+  FROM cond c CROSS JOIN (VALUES ('pm25'), ('no2')) v(pollutant)
+  LEFT JOIN gdist d ON d.row = c.row AND d.col = c.col),
+nowf AS (SELECT * FROM field WHERE valid_time = (SELECT max(valid_time) FROM field))"""
+
+_FLD = ("station_points", "cell_weather")
+
+SQL["grid_distance"] = _with(_FLD, META, GRID, GDIST) + "SELECT * FROM gdist"
+
+SQL["q6_field"] = _with(_FLD, META, GRID, GDIST, FIELD) + "SELECT * FROM field"
+
+SQL["hotspots"] = _with(_FLD, META, GRID, GDIST, FIELD) + """
+SELECT pollutant, row_number() OVER (PARTITION BY pollutant ORDER BY value DESC, lat, lon) AS rank,
+       lat, lon, value, dist_km,
+       printf('%d ug/m3 at %.2fN %.2fE, %d km from the nearest sensor',
+              CAST(round_even(value, 0) AS BIGINT), lat, lon, CAST(round_even(dist_km, 0) AS BIGINT)) AS text
+FROM nowf WHERE value IS NOT NULL AND dist_km > 25
+QUALIFY rank <= 6"""
+
+SQL["point_report"] = _with(_FLD, META, GRID, GDIST, FIELD) + """
+, pts AS (
+  SELECT row, col, lat, lon, max(CASE WHEN pollutant = 'pm25' THEN value END) AS pm25,
+         max(CASE WHEN pollutant = 'no2' THEN value END) AS no2
+  FROM nowf WHERE lat BETWEEN 34 AND 55 AND lon BETWEEN -2 AND 24
+  GROUP BY row, col, lat, lon HAVING max(CASE WHEN pollutant = 'pm25' THEN value END) IS NOT NULL),
+nn AS (
+  SELECT p.row, p.col, s.station_eoi AS site,
+         round(sqrt(pow((s.lon - p.lon) * 111.0 * cos(radians((p.lat + s.lat) / 2)), 2) + pow((s.lat - p.lat) * 111.0, 2)), 1) AS d,
+         row_number() OVER (PARTITION BY p.row, p.col
+                            ORDER BY sqrt(pow((s.lon - p.lon) * 111.0 * cos(radians((p.lat + s.lat) / 2)), 2) + pow((s.lat - p.lat) * 111.0, 2)), s.station_eoi) AS rank
+  FROM pts p CROSS JOIN fst s
+  QUALIFY rank <= 3),
+agg AS (
+  SELECT row, col, string_agg(site || ':' || printf('%.1f', d), ',' ORDER BY rank) AS nearest,
+         max(CASE WHEN rank = 1 THEN site END) AS s1, max(CASE WHEN rank = 1 THEN d END) AS d1
+  FROM nn GROUP BY row, col)
+SELECT p.lat, p.lon, p.pm25 AS pm25_value, p.pm25 AS pm25_prior, p.no2 AS no2_value, p.no2 AS no2_prior,
+       coalesce(a.nearest, '') AS nearest,
+       concat_ws('; ', 'raw CAMS prior (model not registered yet)',
+                 CASE WHEN a.s1 IS NOT NULL THEN printf('nearest sensor %s is %d km away', a.s1, CAST(round_even(a.d1, 0) AS BIGINT)) END,
+                 CASE WHEN a.d1 > 25 THEN 'this point is effectively unmonitored' END) AS reasons
+FROM pts p LEFT JOIN agg a ON a.row = p.row AND a.col = p.col"""
+
+
+def _ramp_sql(t: str, stops, j: int) -> str:
+    parts = []
+    for (a0, a), (b0, b) in zip(stops[:-1], stops[1:]):
+        k = f"(({t}) - {a0}e0) / {b0 - a0!r}e0"
+        parts.append(f"WHEN ({t}) <= {b0}e0 THEN CAST(floor({float(a[j])!r} + {float(b[j] - a[j])!r} * {k} + 0.5) AS INTEGER)")
+    return "CASE " + " ".join(parts) + f" ELSE {stops[-1][1][j]} END"
+
+
+def _mosaic_sql() -> str:
+    from airfill.functions.display import MEAS_STOPS, PRED_STOPS
+    t = "least(greatest(least(1e0, f.value / 30e0), 0e0), 1e0)"
+    chans = []
+    for j, n in enumerate("rgb"):
+        chans.append(f"CASE WHEN f.dist_km <= 25 THEN {_ramp_sql(t, MEAS_STOPS, j)} "
+                     f"ELSE {_ramp_sql(t, PRED_STOPS, j)} END AS {n}")
+    tt = "least(1e0, f.value / 30e0)"
+    fade = ("CASE WHEN coalesce(f.dist_km, 9e9) <= 50 THEN 1e0 "
+            "ELSE greatest(0.3e0, 1e0 - (coalesce(f.dist_km, 9e9) - 50) / 260e0) END")
+    return _with(("station_points", "cell_weather", "pixels"), META, GRID, GDIST, FIELD) + f"""
+, disp AS (
+  SELECT pixel_id, CAST(floor((lat - 35e0) / 0.35e0 + 0.5e0) AS BIGINT) AS row,
+         CAST(floor((lon - (-10e0)) / 0.35e0 + 0.5e0) AS BIGINT) AS col
+  FROM pixels)
+SELECT d.pixel_id, d.row, d.col, f.value, f.dist_km, {", ".join(chans)},
+       round((0.62e0 + 0.36e0 * sqrt({tt})) * {fade}, 4) AS alpha
+FROM disp d JOIN nowf f ON f.row = d.row AND f.col = d.col
+WHERE d.row BETWEEN 0 AND 71 AND d.col BETWEEN 0 AND 114 AND f.pollutant = 'pm25' AND f.value IS NOT NULL"""
+
+
+SQL["mosaic"] = _mosaic_sql()
+
+# ---- JSON payloads ----------------------------------------------------------------------
+SQL["hourly_json"] = duckdb_with("hourly_payloads") + """
+, p AS (
+  SELECT station_no, lat, lon, CAST(json_extract(payload, '$.elevation') AS DOUBLE) AS altitude,
+         CAST(json_extract(payload, '$.hourly.time') AS VARCHAR[]) AS t,
+         CAST(json_extract(payload, '$.hourly.pm2_5') AS DOUBLE[]) AS pm,
+         CAST(json_extract(payload, '$.hourly.nitrogen_dioxide') AS DOUBLE[]) AS no2
+  FROM hourly_payloads)
+SELECT station_no, lat, lon, altitude, strptime(t[i], '%Y-%m-%dT%H:%M') AS valid_time,
+       pm[i] AS cams_pm25, no2[i] AS cams_no2
+FROM p, LATERAL (SELECT unnest(range(1, len(t) + 1)) AS i) r"""
