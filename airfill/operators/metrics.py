@@ -122,6 +122,10 @@ def psi(ref: DataFrame, cur: DataFrame, col: str, edges: Sequence[float], group:
         eps: float = 1e-6, digits: int = 6) -> DataFrame:
     """AG15: population stability index of ``col`` between a reference and a current
     window over fixed bucket edges (bucket counts are aggregates; no rows move)."""
+    group = list(group)
+    if not group:
+        ref, cur, group = ref.withColumn("_all", F.lit(0)), cur.withColumn("_all", F.lit(0)), ["_all"]
+
     def bucketed(d):
         b = None
         for i, e in enumerate(edges):
@@ -130,7 +134,7 @@ def psi(ref: DataFrame, cur: DataFrame, col: str, edges: Sequence[float], group:
         b = b.otherwise(F.lit(len(edges)))
         counts = d.filter(F.col(col).isNotNull()).groupBy(*group, b.alias("bucket")).count()
         tot = d.filter(F.col(col).isNotNull()).groupBy(*group).agg(F.count(F.lit(1)).alias("tot"))
-        return (counts.join(tot, list(group), "inner") if group else counts.crossJoin(F.broadcast(tot)))
+        return counts.join(tot, group, "inner")
 
     r = bucketed(ref).select(*group, "bucket", (F.col("count") / F.col("tot")).alias("p_ref"))
     c = bucketed(cur).select(*group, "bucket", (F.col("count") / F.col("tot")).alias("p_cur"))
@@ -138,4 +142,4 @@ def psi(ref: DataFrame, cur: DataFrame, col: str, edges: Sequence[float], group:
     pr = F.greatest(F.col("p_ref"), F.lit(eps))
     pc = F.greatest(F.col("p_cur"), F.lit(eps))
     return (j.groupBy(*group)
-             .agg(F.round(F.sum((pc - pr) * F.ln(pc / pr)), digits).alias("psi")))
+             .agg(F.round(F.sum((pc - pr) * F.ln(pc / pr)), digits).alias("psi"))).drop("_all")

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from airfill.operators import readings as R
-from airfill.plans import field, ingest, satellite, training
+from airfill.plans import evaluation, field, ingest, satellite, training
 from airfill.sources import readers
 from airfill.sources.fixtures import Fixtures
 
@@ -52,6 +52,15 @@ QUERIES: dict[str, Query] = {
     "hotspots": _on_fixtures(field.hotspots),
     "point_report": _on_fixtures(field.point_report),
     "mosaic": _on_fixtures(field.mosaic),
+    "fold_assignment": _on_fixtures(evaluation.fold_assignment),
+    "spatial_folds": _on_fixtures(evaluation.spatial_folds),
+    "idw_baseline": _on_fixtures(evaluation.idw_report),
+    "training_targets": _on_fixtures(evaluation.training_targets),
+    "satellite_baseline": _on_fixtures(evaluation.satellite_baseline),
+    "low_confidence": _on_fixtures(evaluation.low_confidence),
+    "feature_drift": _on_fixtures(evaluation.feature_drift),
+    "gbt_oof": _on_fixtures(evaluation.gbt_report),
+    "feature_importance": _on_fixtures(evaluation.importance_and_registry),
     "hourly_json": _on_fixtures(lambda fx: readers.explode_hourly(
         fx.hourly_payloads, "payload", {"pm2_5": "cams_pm25", "nitrogen_dioxide": "cams_no2"},
         keep=["station_no", "lat", "lon"])),

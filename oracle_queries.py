@@ -320,3 +320,117 @@ SQL["hourly_json"] = duckdb_with("hourly_payloads") + """
 SELECT station_no, lat, lon, altitude, strptime(t[i], '%Y-%m-%dT%H:%M') AS valid_time,
        pm[i] AS cams_pm25, no2[i] AS cams_no2
 FROM p, LATERAL (SELECT unnest(range(1, len(t) + 1)) AS i) r"""
+
+# ---- evaluation ---------------------------------------------------------------------------
+_EV = (_BASE, META, LABELS, FEATS, FV, TS)
+
+
+def _snake(rank: str, k: str) -> str:
+    return f"CAST(CASE WHEN ({rank} // {k}) % 2 = 0 THEN {rank} % {k} ELSE {k} - 1 - {rank} % {k} END AS INTEGER)"
+
+
+SQL["fold_assignment"] = _with(*_EV) + f"""
+, c AS (SELECT pollutant, station_eoi, count(*) AS n FROM ts GROUP BY pollutant, station_eoi),
+r AS (SELECT *, row_number() OVER (PARTITION BY pollutant ORDER BY n DESC, station_eoi) - 1 AS rk,
+             least(5, count(*) OVER (PARTITION BY pollutant)) AS k FROM c)
+SELECT pollutant, station_eoi, n, {_snake('rk', 'k')} AS fold FROM r"""
+
+SQL["spatial_folds"] = _with(*_EV) + f"""
+, g AS (SELECT pollutant, station_eoi, count(*) AS n,
+               CAST(CAST(floor(any_value(lat)) AS BIGINT) AS VARCHAR) || '_' || CAST(CAST(floor(any_value(lon)) AS BIGINT) AS VARCHAR) AS block
+        FROM ts GROUP BY pollutant, station_eoi),
+b AS (SELECT pollutant, block, sum(n) AS n FROM g GROUP BY pollutant, block),
+r AS (SELECT *, row_number() OVER (PARTITION BY pollutant ORDER BY n DESC, block) - 1 AS rk,
+             least(5, count(*) OVER (PARTITION BY pollutant)) AS k FROM b)
+SELECT g.pollutant, g.station_eoi, g.block, {_snake('r.rk', 'r.k')} AS fold
+FROM g JOIN r ON r.pollutant = g.pollutant AND r.block = g.block"""
+
+HAV = """2 * 6371.0 * asin(sqrt(pow(sin(radians(b.lat - a.lat) / 2), 2)
+         + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lon - a.lon) / 2), 2)))"""
+
+SQL["idw_baseline"] = _with(*_EV) + f"""
+, st AS (SELECT station_eoi, pollutant, first(lat ORDER BY start_time) AS lat, first(lon ORDER BY start_time) AS lon
+         FROM ts GROUP BY station_eoi, pollutant),
+nb AS (SELECT a.station_eoi, a.pollutant, b.station_eoi AS site, {HAV} AS d
+       FROM st a JOIN st b ON a.pollutant = b.pollutant AND a.station_eoi <> b.station_eoi
+       QUALIFY row_number() OVER (PARTITION BY a.station_eoi, a.pollutant ORDER BY d, site) <= 5),
+p AS (SELECT t.station_eoi, t.pollutant, t.start_time, t.value,
+             coalesce(avg(o.value) FILTER (WHERE nb.d = 0),
+                      sum(o.value / (nb.d * nb.d)) FILTER (WHERE nb.d > 0)
+                      / sum(1 / (nb.d * nb.d)) FILTER (WHERE nb.d > 0)) AS idw
+      FROM ts t JOIN nb ON nb.station_eoi = t.station_eoi AND nb.pollutant = t.pollutant
+      JOIN ts o ON o.station_eoi = nb.site AND o.pollutant = t.pollutant AND o.start_time = t.start_time
+      GROUP BY t.station_eoi, t.pollutant, t.start_time, t.value)
+SELECT pollutant, count(*) AS n, count(DISTINCT station_eoi) AS stations,
+       round(sqrt(avg(pow(idw - value, 2))), 6) AS idw_rmse, round(avg(abs(idw - value)), 6) AS idw_mae,
+       round(1 - sum(pow(idw - value, 2)) / NULLIF(var_pop(value) * count(value), 0), 6) AS idw_r2
+FROM p GROUP BY pollutant"""
+
+SQL["training_targets"] = _with(*_EV) + """
+SELECT t.station_eoi, t.pollutant, t.start_time, t.value, round(ln(1 + t.value), 6) AS log_value,
+       round(t.value - t.prior, 6) AS residual, n.value AS value_next24
+FROM ts t LEFT JOIN ts n ON n.station_eoi = t.station_eoi AND n.pollutant = t.pollutant
+                        AND n.start_time = t.start_time + INTERVAL 24 HOUR"""
+
+SQL["satellite_baseline"] = _with(("stations", "station_points", "raw_readings", "cell_weather", "pixels", "granules"),
+                                  META, LABELS, FEATS, FV, TS, BOXES, GSEARCH, HITS) + """
+, means AS (SELECT station_eoi, obs_date, product, avg(value) AS v FROM hits GROUP BY ALL),
+sat AS (SELECT d.station_eoi, d.obs_date,
+               round(max(CASE WHEN d.product = 'L2__NO2___' THEN d.v END), 12) AS no2_column,
+               round(max(CASE WHEN d.product = 'L2__AER_AI' THEN d.v END), 12) AS aerosol_index
+        FROM means d JOIN meta m ON m.station_eoi = d.station_eoi GROUP BY d.station_eoi, d.obs_date),
+j AS (SELECT t.pollutant, t.value, CASE t.pollutant WHEN 'no2' THEN s.no2_column ELSE s.aerosol_index END AS x
+      FROM ts t JOIN sat s ON s.station_eoi = t.station_eoi AND s.obs_date = date_trunc('day', t.start_time)),
+f AS (SELECT j.*, c.intercept + c.slope * j.x AS fit
+      FROM j JOIN (SELECT pollutant, regr_slope(value, x) AS slope, regr_intercept(value, x) AS intercept
+                   FROM j WHERE x IS NOT NULL GROUP BY pollutant) c ON c.pollutant = j.pollutant
+      WHERE j.x IS NOT NULL)
+SELECT pollutant, count(*) AS n, round(sqrt(avg(pow(fit - value, 2))), 4) AS sat_rmse,
+       round(avg(abs(fit - value)), 4) AS sat_mae,
+       round(1 - sum(pow(fit - value, 2)) / NULLIF(var_pop(value) * count(value), 0), 4) AS sat_r2
+FROM f GROUP BY pollutant"""
+
+SQL["low_confidence"] = _with(("stations", "station_points", "raw_readings", "cell_weather"),
+                              META, LABELS, FEATS, FV, TS, GRID, GDIST, FIELD) + """
+, rng AS (SELECT pollutant, min(prior) AS p_lo, max(prior) AS p_hi, min(temp) AS t_lo, max(temp) AS t_hi
+          FROM ts GROUP BY pollutant),
+cnd AS (SELECT g.row, g.col, c.valid_time, c.temp, c.cams_pm25, c.cams_no2
+        FROM grid g JOIN gcell x ON x.row = g.row AND x.col = g.col
+        JOIN cw c ON c.clat = x.clat AND c.clon = x.clon),
+z AS (SELECT f.row, f.col, f.valid_time, f.pollutant, f.value, f.dist_km,
+             coalesce(f.dist_km > 25, true) AS far,
+             coalesce(NOT (CASE WHEN f.pollutant = 'pm25' THEN c.cams_pm25 ELSE c.cams_no2 END BETWEEN r.p_lo AND r.p_hi)
+                      OR NOT (c.temp BETWEEN r.t_lo AND r.t_hi), true) AS out_rng
+      FROM field f JOIN cnd c ON c.row = f.row AND c.col = f.col AND c.valid_time = f.valid_time
+      LEFT JOIN rng r ON r.pollutant = f.pollutant)
+SELECT row, col, valid_time, pollutant, value, dist_km, far OR out_rng AS low_confidence,
+       concat_ws(',', CASE WHEN far THEN 'far' END, CASE WHEN out_rng THEN 'out-of-range' END) AS why
+FROM z"""
+
+
+def _psi_sql(col: str, edges, name: str) -> str:
+    case = "CASE " + " ".join(f"WHEN {col} < {e!r}e0 THEN {i}" for i, e in enumerate(edges)) + f" ELSE {len(edges)} END"
+    return f"""{name}_b AS (
+  SELECT pollutant, recent, {case} AS bucket FROM cut WHERE {col} IS NOT NULL),
+{name}_p AS (
+  SELECT pollutant, recent, bucket,
+         CAST(count(*) AS DOUBLE) / CAST(sum(count(*)) OVER (PARTITION BY pollutant, recent) AS DOUBLE) AS p
+  FROM {name}_b GROUP BY pollutant, recent, bucket),
+{name} AS (
+  SELECT coalesce(r.pollutant, c.pollutant) AS pollutant,
+         round(sum((greatest(coalesce(c.p, 0), 1e-6) - greatest(coalesce(r.p, 0), 1e-6))
+                   * ln(greatest(coalesce(c.p, 0), 1e-6) / greatest(coalesce(r.p, 0), 1e-6))), 6) AS psi
+  FROM (SELECT * FROM {name}_p WHERE NOT recent) r
+  FULL OUTER JOIN (SELECT * FROM {name}_p WHERE recent) c ON r.pollutant = c.pollutant AND r.bucket = c.bucket
+  GROUP BY 1)"""
+
+
+def _drift_sql() -> str:
+    from airfill.plans.evaluation import PRIOR_EDGES, TEMP_EDGES
+    return _with(*_EV, """cut AS (SELECT *, start_time >= (SELECT max(start_time) FROM ts) - INTERVAL 7 DAY AS recent FROM ts)""",
+                 _psi_sql("prior", PRIOR_EDGES, "pp"), _psi_sql("temp", TEMP_EDGES, "tp")) + """
+SELECT coalesce(pp.pollutant, tp.pollutant) AS pollutant, pp.psi AS psi_prior, tp.psi AS psi_temp
+FROM pp FULL OUTER JOIN tp ON pp.pollutant = tp.pollutant"""
+
+
+SQL["feature_drift"] = _drift_sql()
