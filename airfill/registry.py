@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from airfill.operators import readings as R
 from airfill.plans import evaluation, field, ingest, satellite, training
 from airfill.sources import readers
+from airfill.streaming import readings as ST
 from airfill.sources.fixtures import Fixtures
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -61,6 +62,12 @@ QUERIES: dict[str, Query] = {
     "feature_drift": _on_fixtures(evaluation.feature_drift),
     "gbt_oof": _on_fixtures(evaluation.gbt_report),
     "feature_importance": _on_fixtures(evaluation.importance_and_registry),
+    "stream_dedupe": _on_fixtures(lambda fx: ST.dedupe_stream(fx.spark, fx.stream_readings)),
+    "stream_latest": _on_fixtures(lambda fx: ST.latest_stream(fx.spark, fx.stream_readings)),
+    "stream_hourly": _on_fixtures(lambda fx: ST.hourly_stream(fx.spark, fx.stream_readings)),
+    "self_score": _on_fixtures(lambda fx: ST.self_score_stream(fx.spark, fx.predictions, fx.stream_readings)),
+    "stream_enriched": _on_fixtures(lambda fx: ST.enriched_stream(
+        fx.spark, fx.stream_readings, ingest.station_features(fx), training.FEATURE_COLS)),
     "hourly_json": _on_fixtures(lambda fx: readers.explode_hourly(
         fx.hourly_payloads, "payload", {"pm2_5": "cams_pm25", "nitrogen_dioxide": "cams_no2"},
         keep=["station_no", "lat", "lon"])),

@@ -434,3 +434,28 @@ FROM pp FULL OUTER JOIN tp ON pp.pollutant = tp.pollutant"""
 
 
 SQL["feature_drift"] = _drift_sql()
+
+# ---- streaming (drained sinks) ----------------------------------------------------------------
+SQL["stream_dedupe"] = duckdb_with("stream_readings") + """
+SELECT event_id, station_eoi, pollutant, start_time, value FROM stream_readings
+WHERE value IS NOT NULL AND NOT isnan(value)
+QUALIFY row_number() OVER (PARTITION BY station_eoi, pollutant, start_time ORDER BY event_id) = 1"""
+
+SQL["stream_latest"] = duckdb_with("stream_readings") + """
+SELECT station_eoi, pollutant, start_time, value, event_id FROM stream_readings
+QUALIFY row_number() OVER (PARTITION BY station_eoi, pollutant ORDER BY start_time DESC, event_id DESC) = 1"""
+
+SQL["stream_hourly"] = duckdb_with("stream_readings") + """
+SELECT station_eoi, pollutant, date_trunc('hour', start_time) AS window_start, count(*) AS n,
+       round(sum(value) / count(*), 6) AS mean_value
+FROM stream_readings GROUP BY ALL"""
+
+SQL["self_score"] = duckdb_with("predictions") + """
+SELECT r.event_id, r.station_eoi, r.pollutant, p.valid_time, r.start_time, r.value, p.predicted, p.prior
+FROM stream_readings r JOIN predictions p
+  ON r.station_eoi = p.station_eoi AND r.pollutant = p.pollutant
+ AND r.start_time >= p.valid_time AND r.start_time < p.valid_time + INTERVAL 1 HOUR"""
+
+SQL["stream_enriched"] = _with(("stream_readings", "station_points", "cell_weather"), META, FEATS) + """
+SELECT r.station_eoi, r.event_id, r.pollutant, r.start_time, r.value, f.temp, f.wind_dir, f.cams_no2, f.cams_pm25
+FROM stream_readings r ASOF JOIN feats f ON r.station_eoi = f.station_eoi AND r.start_time >= f.valid_time"""
