@@ -84,12 +84,10 @@ def dedupe_latest(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -
     return packed.select(*keys, *[F.col(f"_row.{c}").alias(c) for c in others])
 
 
-def label_table(raw: DataFrame, meta: DataFrame, min_year: int | None = 2024) -> DataFrame:
-    """Q1: hourly labels placed on stations, globally deduplicated (T2: verified
-    dataset 2 wins over up-to-date dataset 1, then the lowest row id; row ids can
-    repeat, so the higher validity and then the lower value break the last ties)."""
+def label_rows(raw: DataFrame, meta: DataFrame, min_year: int | None = 2024) -> DataFrame:
+    """Q1 before deduplication: placed, shaped rows plus ``dataset`` and ``row_id``."""
     placed = place_on_stations(clean_readings(raw, min_year), meta)
-    shaped = placed.select(
+    return placed.select(
         F.col("samplingpoint").alias("sampling_point"), "station_eoi", "pollutant", "value",
         "lat", "lon", "altitude", "station_area", "station_type",
         country_code(F.col("station_eoi")).alias("country"),
@@ -97,8 +95,22 @@ def label_table(raw: DataFrame, meta: DataFrame, min_year: int | None = 2024) ->
         (F.col("start_time") + F.expr("INTERVAL 1 HOUR")).alias("end_time"),
         F.col("validity").cast("long").alias("validity"),
         "dataset", "row_id")
-    deduped = dedupe_latest(shaped, ["sampling_point", "start_time"],
-                            [F.col("dataset"), -F.col("row_id"), F.col("validity"), -F.col("value")])
+
+
+# which of two rows for the same key wins: verified dataset, lowest row id, then the
+# higher validity and the lower value (row ids can repeat)
+def label_order() -> list[Column]:
+    return [F.col("dataset"), -F.col("row_id"), F.col("validity"), -F.col("value")]
+
+
+LABEL_KEYS = ["sampling_point", "start_time"]
+
+
+def label_table(raw: DataFrame, meta: DataFrame, min_year: int | None = 2024) -> DataFrame:
+    """Q1: hourly labels placed on stations, globally deduplicated (T2: verified
+    dataset 2 wins over up-to-date dataset 1, then the lowest row id; row ids can
+    repeat, so the higher validity and then the lower value break the last ties)."""
+    deduped = dedupe_latest(label_rows(raw, meta, min_year), LABEL_KEYS, label_order())
     return deduped.select(*LABEL_COLUMNS)
 
 

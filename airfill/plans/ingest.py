@@ -69,3 +69,33 @@ def station_state(fx: Fixtures, now=None, days: int = 21,
         F.coalesce(F.col("station_type"), F.lit("")).alias("type"),
         F.col("pm25_v").alias("pm25"), F.col("no2_v").alias("no2"),
         F.date_format(F.coalesce(F.col("pm25_t"), F.col("no2_t")), "yyyy-MM-dd HH:mm").alias("obs_ts"))
+
+
+def upsert_labels(fx: Fixtures) -> DataFrame:
+    """SK1 end to end: the up-to-date dataset is stored first, the verified dataset is
+    then upserted over it (only the touched day partitions are rewritten); the stored
+    table equals the deduplicated label table."""
+    from airfill.session import scratch_path
+    from airfill.sources.sinks import upsert
+    root = scratch_path(fx.spark, "labels")
+    table = f"{root}/table"
+    rows = R.label_rows(fx.raw_readings, stations(fx)).withColumn("day", F.to_date("start_time"))
+    for ds in (1, 2):
+        upsert(rows.filter(F.col("dataset") == ds), table, R.LABEL_KEYS, R.label_order(), "day",
+               f"{root}/staging")
+    return fx.spark.read.parquet(table).select(*R.LABEL_COLUMNS)
+
+
+def labels_not_stored(fx: Fixtures, stored_days: int = 10) -> DataFrame:
+    """SK2 / J5: resume - label rows of (station, day) pairs not yet stored, when the
+    first ``stored_days`` days are already in the store."""
+    from airfill.sources.sinks import only_new
+    lab = labels(fx).withColumn("day", F.to_date("start_time"))
+    stored = fx.spark.sql(f"SELECT * FROM {{l}} WHERE day < (SELECT min(day) FROM {{l}}) + {int(stored_days)}", l=lab)
+    return only_new(lab, stored, ["station_eoi", "day"]).drop("day")
+
+
+def label_counts(fx: Fixtures) -> DataFrame:
+    """AG11 / SK5: rows and stations per pollutant (the peek summary)."""
+    return (labels(fx).groupBy("pollutant")
+                      .agg(F.count(F.lit(1)).alias("n"), F.count_distinct("station_eoi").alias("stations")))

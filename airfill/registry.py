@@ -68,6 +68,10 @@ QUERIES: dict[str, Query] = {
     "self_score": _on_fixtures(lambda fx: ST.self_score_stream(fx.spark, fx.predictions, fx.stream_readings)),
     "stream_enriched": _on_fixtures(lambda fx: ST.enriched_stream(
         fx.spark, fx.stream_readings, ingest.station_features(fx), training.FEATURE_COLS)),
+    "density_hex": _on_fixtures(training.density_hex),
+    "upsert_labels": _on_fixtures(ingest.upsert_labels),
+    "labels_not_stored": _on_fixtures(ingest.labels_not_stored),
+    "label_counts": _on_fixtures(ingest.label_counts),
     "hourly_json": _on_fixtures(lambda fx: readers.explode_hourly(
         fx.hourly_payloads, "payload", {"pm2_5": "cams_pm25", "nitrogen_dioxide": "cams_no2"},
         keep=["station_no", "lat", "lon"])),

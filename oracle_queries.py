@@ -459,3 +459,35 @@ FROM stream_readings r JOIN predictions p
 SQL["stream_enriched"] = _with(("stream_readings", "station_points", "cell_weather"), META, FEATS) + """
 SELECT r.station_eoi, r.event_id, r.pollutant, r.start_time, r.value, f.temp, f.wind_dir, f.cams_no2, f.cams_pm25
 FROM stream_readings r ASOF JOIN feats f ON r.station_eoi = f.station_eoi AND r.start_time >= f.valid_time"""
+
+# ---- hex density, sinks, counts -----------------------------------------------------------------
+SQL["density_hex"] = _with(*_EV) + """
+, hi AS (SELECT pollutant, quantile_cont(value, 0.99) AS hi FROM ts GROUP BY pollutant),
+pts AS (SELECT t.pollutant, h.hi, (t.value - 0e0) / ((h.hi - 0e0) / 45e0) AS ix,
+               (t.prior - 0e0) / ((h.hi - 0e0) / 25e0) AS iy
+        FROM ts t JOIN hi h ON h.pollutant = t.pollutant),
+b AS (SELECT *, round_even(ix, 0) AS ix1, round_even(iy, 0) AS iy1, floor(ix) AS ix2, floor(iy) AS iy2 FROM pts),
+c AS (SELECT *, pow(ix - ix1, 2) + 3e0 * pow(iy - iy1, 2) < pow(ix - ix2 - 0.5e0, 2) + 3e0 * pow(iy - iy2 - 0.5e0, 2) AS first FROM b),
+d AS (SELECT pollutant, hi, CASE WHEN first THEN 1 ELSE 2 END AS lattice,
+             CAST(CASE WHEN first THEN ix1 ELSE ix2 END AS BIGINT) AS i,
+             CAST(CASE WHEN first THEN iy1 ELSE iy2 END AS BIGINT) AS j
+      FROM c
+      WHERE CASE WHEN first THEN ix1 >= 0 AND ix1 < 46 AND iy1 >= 0 AND iy1 < 26
+                 ELSE ix2 >= 0 AND ix2 < 45 AND iy2 >= 0 AND iy2 < 25 END)
+SELECT lattice, i, j,
+       round(0e0 + (i + CASE WHEN lattice = 1 THEN 0e0 ELSE 0.5e0 END) * ((hi - 0e0) / 45e0), 4) AS cx,
+       round(0e0 + (j + CASE WHEN lattice = 1 THEN 0e0 ELSE 0.5e0 END) * ((hi - 0e0) / 25e0), 4) AS cy,
+       count(*) AS count, pollutant
+FROM d GROUP BY pollutant, hi, lattice, i, j"""
+
+SQL["upsert_labels"] = SQL["q1_labels"]
+
+SQL["labels_not_stored"] = _with(("raw_readings", "station_points"), META, LABELS) + """
+, first_day AS (SELECT min(CAST(start_time AS DATE)) AS d0 FROM labels),
+stored AS (SELECT DISTINCT station_eoi, CAST(start_time AS DATE) AS day FROM labels, first_day
+           WHERE CAST(start_time AS DATE) < d0 + 10)
+SELECT l.* FROM labels l
+WHERE NOT EXISTS (SELECT 1 FROM stored s WHERE s.station_eoi = l.station_eoi AND s.day = CAST(l.start_time AS DATE))"""
+
+SQL["label_counts"] = _with(("raw_readings", "station_points"), META, LABELS) + """
+SELECT pollutant, count(*) AS n, count(DISTINCT station_eoi) AS stations FROM labels GROUP BY pollutant"""
