@@ -108,12 +108,14 @@ def hex_bins(df: DataFrame, x: str, y: str, extent: Column | tuple, gridsize: in
 def calibration(df: DataFrame, group: Sequence[str], abs_err: str, q: float = 0.9,
                 digits: int = 6) -> DataFrame:
     """AG14: per group (e.g. distance bin) the ``q`` quantile of the absolute residual,
-    and the coverage that quantile achieves on the same rows."""
+    and the coverage that quantile achieves on the same rows. A residual equal to the
+    quantile counts as covered (compared with a 1e-9 tolerance, since the quantile's
+    interpolation arithmetic can land one ulp off a data value)."""
     qs = df.groupBy(*group).agg(F.percentile(F.col(abs_err), F.lit(q)).alias("q_err"),
                                 F.count(F.lit(1)).alias("n"))
     joined = df.join(qs, list(group), "inner")
     return (joined.groupBy(*group, "q_err", "n")
-                  .agg(F.avg(F.when(F.col(abs_err) <= F.col("q_err"), 1.0).otherwise(0.0)).alias("coverage"))
+                  .agg(F.avg(F.when(F.col(abs_err) <= F.col("q_err") + F.lit(1e-9), 1.0).otherwise(0.0)).alias("coverage"))
                   .select(*group, "n", F.round("q_err", digits).alias("q_err"),
                           F.round("coverage", digits).alias("coverage")))
 

@@ -127,7 +127,7 @@ SQL["calibration"] = _with(_BASE, META, LABELS, FEATS, FV, TS, NEAREST_OTHER) +
 , q AS (SELECT pollutant, dist_bin, quantile_cont(abs(prior - value), 0.9) AS q_err, count(*) AS n
        FROM x WHERE dist_bin IS NOT NULL GROUP BY pollutant, dist_bin)
 SELECT x.pollutant, x.dist_bin, q.n, round(q.q_err, 6) AS q_err,
-       round(avg(CASE WHEN abs(x.prior - x.value) <= q.q_err THEN 1e0 ELSE 0e0 END), 6) AS coverage
+       round(avg(CASE WHEN abs(x.prior - x.value) <= q.q_err + 1e-9 THEN 1e0 ELSE 0e0 END), 6) AS coverage
 FROM x JOIN q ON q.pollutant = x.pollutant AND q.dist_bin = x.dist_bin
 GROUP BY x.pollutant, x.dist_bin, q.n, q.q_err"""
 
