@@ -182,7 +182,5 @@ def feature_drift(fx: Fixtures) -> DataFrame:
     ts = training.training_set(fx)
     cut = fx.spark.sql(f"SELECT *, start_time >= (SELECT max(start_time) FROM {{t}}) - INTERVAL {DRIFT_DAYS} DAYS AS recent "
                        "FROM {t}", t=ts)
-    ref, cur = cut.filter(~F.col("recent")), cut.filter(F.col("recent"))
-    p = M.psi(ref, cur, "prior", PRIOR_EDGES, ["pollutant"]).withColumnRenamed("psi", "psi_prior")
-    t = M.psi(ref, cur, "temp", TEMP_EDGES, ["pollutant"]).withColumnRenamed("psi", "psi_temp")
-    return p.join(t, "pollutant", "full_outer")
+    return M.psi_many(cut, "recent", {"prior": ("prior", PRIOR_EDGES), "temp": ("temp", TEMP_EDGES)},
+                      ["pollutant"])

@@ -88,3 +88,17 @@ def satellite_daily(fx: Fixtures, digits: int = 12) -> DataFrame:
     out = wide.join(st, "station_eoi", "inner").na.drop("all", subset=[c for c, _ in PRODUCTS.values()])
     return out.select("station_eoi", "obs_date", "lat", "lon",
                       *[F.round(c, digits).alias(c) for c, _ in PRODUCTS.values()])
+
+
+def granule_footprints(fx: Fixtures, zoom: int = 6) -> DataFrame:
+    """F22 + F19: searched granules with their box as WKT text and the map tile (at
+    ``zoom``) of the box centre."""
+    from airfill.functions import geo
+    g = fx.granules
+    found = search_granules(g, station_boxes(fx)).select("granule")
+    g = g.join(found, "granule", "left_semi")
+    cx = (F.col("lon0") + F.col("lon1")) / 2
+    cy = (F.col("lat0") + F.col("lat1")) / 2
+    tx, ty = geo.tile_xy(cy, cx, zoom)
+    return g.select("granule", "name", geo.box_wkt("lon0", "lat0", "lon1", "lat1").alias("wkt"),
+                    tx.alias("tile_x"), ty.alias("tile_y"))

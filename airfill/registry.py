@@ -72,6 +72,9 @@ QUERIES: dict[str, Query] = {
     "upsert_labels": _on_fixtures(ingest.upsert_labels),
     "labels_not_stored": _on_fixtures(ingest.labels_not_stored),
     "label_counts": _on_fixtures(ingest.label_counts),
+    "live_error": _on_fixtures(lambda fx: ST.live_error(
+        ST.self_score_stream(fx.spark, fx.predictions, fx.stream_readings))),
+    "granule_footprints": _on_fixtures(satellite.granule_footprints),
     "hourly_json": _on_fixtures(lambda fx: readers.explode_hourly(
         fx.hourly_payloads, "payload", {"pm2_5": "cams_pm25", "nitrogen_dioxide": "cams_no2"},
         keep=["station_no", "lat", "lon"])),

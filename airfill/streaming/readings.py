@@ -1,4 +1,4 @@
-"""Structured Streaming forms (ST1-ST6, ST8).
+"""Structured Streaming forms (ST1-ST6).
 
 The source is a folder of Parquet files (new files = new readings). Event time must be
 ``TIMESTAMP`` for a watermark, so the stream casts ``TIMESTAMP_NTZ`` with the session
@@ -179,3 +179,18 @@ def enriched_stream(spark: SparkSession, readings: DataFrame, features: DataFram
 
     _drain(s.writeStream.foreachBatch(enrich), os.path.join(root, "ckpt"))
     return spark.read.parquet(out)
+
+
+def live_error(scored: DataFrame, window: str = "1 day") -> DataFrame:
+    """ST6: rolling live error per pollutant over the scored table (tumbling event-time
+    windows of ``window``): rows, RMSE and MAE of prediction and of prior."""
+    e = F.col("predicted") - F.col("value")
+    b = F.col("prior") - F.col("value")
+    w = F.window(F.col("valid_time").cast("timestamp"), window)
+    return (scored.groupBy("pollutant", w.alias("w"))
+                  .agg(F.count(F.lit(1)).alias("n"),
+                       F.round(F.sqrt(F.avg(e * e)), 6).alias("pred_rmse"),
+                       F.round(F.avg(F.abs(e)), 6).alias("pred_mae"),
+                       F.round(F.sqrt(F.avg(b * b)), 6).alias("prior_rmse"))
+                  .select("pollutant", F.col("w.start").cast("timestamp_ntz").alias("window_start"),
+                          "n", "pred_rmse", "pred_mae", "prior_rmse"))

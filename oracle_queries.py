@@ -491,3 +491,22 @@ WHERE NOT EXISTS (SELECT 1 FROM stored s WHERE s.station_eoi = l.station_eoi AND
 
 SQL["label_counts"] = _with(("raw_readings", "station_points"), META, LABELS) + """
 SELECT pollutant, count(*) AS n, count(DISTINCT station_eoi) AS stations FROM labels GROUP BY pollutant"""
+
+SQL["live_error"] = duckdb_with("predictions") + """
+, s AS (SELECT r.pollutant, p.valid_time, r.value, p.predicted, p.prior
+        FROM stream_readings r JOIN predictions p
+          ON r.station_eoi = p.station_eoi AND r.pollutant = p.pollutant
+         AND r.start_time >= p.valid_time AND r.start_time < p.valid_time + INTERVAL 1 HOUR)
+SELECT pollutant, date_trunc('day', valid_time) AS window_start, count(*) AS n,
+       round(sqrt(avg(pow(predicted - value, 2))), 6) AS pred_rmse,
+       round(avg(abs(predicted - value)), 6) AS pred_mae,
+       round(sqrt(avg(pow(prior - value, 2))), 6) AS prior_rmse
+FROM s GROUP BY ALL"""
+
+SQL["granule_footprints"] = _with(_SAT, META, BOXES, GSEARCH) + """
+SELECT g.granule, g.name,
+       'POLYGON((' || g.lon0 || ' ' || g.lat0 || ',' || g.lon1 || ' ' || g.lat0 || ',' || g.lon1 || ' ' || g.lat1 || ','
+       || g.lon0 || ' ' || g.lat1 || ',' || g.lon0 || ' ' || g.lat0 || '))' AS wkt,
+       CAST(floor(((g.lon0 + g.lon1) / 2 + 180.0) / 360.0 * 64) AS BIGINT) AS tile_x,
+       CAST(floor((1.0 - (180.0 / pi()) * ln(tan(pi() / 4 + ((g.lat0 + g.lat1) / 2) * (pi() / 360))) / 180.0) / 2.0 * 64) AS BIGINT) AS tile_y
+FROM granules g WHERE g.granule IN (SELECT granule FROM gsearch)"""
