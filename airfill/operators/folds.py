@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from airfill.functions import geo
+from airfill.session import checkpoint
 
 
 def global_rank(df: DataFrame, order: Sequence[Column], partitions: int | None = None) -> DataFrame:
@@ -27,7 +28,7 @@ def global_rank(df: DataFrame, order: Sequence[Column], partitions: int | None =
     n = partitions or df.sparkSession.sparkContext.defaultParallelism
     tagged = (df.repartitionByRange(n, *order).sortWithinPartitions(*order)
                 .withColumn("_pid", F.spark_partition_id()))
-    tagged = tagged.checkpoint(eager=True)
+    tagged = checkpoint(tagged)
     local = tagged.withColumn("_local", F.row_number().over(Window.partitionBy("_pid").orderBy(*order)) - 1)
     sizes = tagged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_size"))
     offsets = sizes.withColumn(

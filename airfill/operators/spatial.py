@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from airfill.functions import geo
+from airfill.session import checkpoint
 
 # Fixed values
 KM_PER_DEG_SAFE = 110.0   # fewer km per degree than any metric uses: boxes stay wide enough
@@ -106,7 +107,7 @@ def nearest_within(points: DataFrame, sites: DataFrame, radius_km: float, point_
 
 def _checkpoint(df: DataFrame) -> DataFrame:
     """Reliable checkpoint to ``spark.checkpoint.dir`` (shared storage on a cluster)."""
-    return df.checkpoint(eager=True)
+    return checkpoint(df)
 
 
 def knn(points: DataFrame, sites: DataFrame, k: int, point_key: Sequence[str], site_key: str,

@@ -17,7 +17,7 @@ from airfill.operators import readings as R
 from airfill.operators import spatial as S
 from airfill.plans import field as FLD
 from airfill.plans import satellite, training
-from airfill.session import scratch_path
+from airfill.session import checkpoint, scratch_path
 from airfill.sources.fixtures import Fixtures
 
 # Fixed values
@@ -52,7 +52,7 @@ def gbt_report(fx: Fixtures, params: dict | None = None) -> DataFrame:
     """Q5 / M9: leave-stations-out GBT vs the raw prior per pollutant, with the error
     reduction (AG7). The training set is checkpointed once; folds come from M3."""
     ts, feats = _model_inputs(fx)
-    ts = ts.checkpoint(eager=True)
+    ts = checkpoint(ts)
     folds = FO.balanced_folds(ts, "station_eoi", K_FOLDS, by=["pollutant"])
     parts = []
     for pol in FE.PRIOR_OF:
@@ -73,7 +73,7 @@ def importance_and_registry(fx: Fixtures, params: dict | None = None) -> DataFra
     registered version of each pollutant."""
     spark = fx.spark
     ts, feats = _model_inputs(fx)
-    ts = ts.checkpoint(eager=True)
+    ts = checkpoint(ts)
     root = scratch_path(spark, "models")
     out = None
     for pol in FE.PRIOR_OF:
@@ -97,7 +97,7 @@ def idw_predictions(fx: Fixtures, k: int = IDW_NEIGHBOURS) -> DataFrame:
     neighbour (d = 0) gives its value directly."""
     ts = training.training_set(fx).select("station_eoi", "pollutant", "start_time", "value", "lat", "lon")
     st = ts.groupBy("station_eoi", "pollutant").agg(*R.first_non_null(["lat", "lon"], F.col("start_time")))
-    st = st.checkpoint(eager=True)
+    st = checkpoint(st)
     sites = st.select(F.col("station_eoi").alias("site"), "pollutant",
                       F.col("lat").alias("s_lat"), F.col("lon").alias("s_lon"))
     nbr = S.knn(st, sites, k, ["station_eoi", "pollutant"], "site", metric="haversine",

@@ -49,3 +49,10 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh folder under the shared checkpoint dir (never a machine-local temp dir)."""
     root = ensure_checkpoint_dir(spark)
     return os.path.join(root, f"{name}-{uuid.uuid4().hex[:12]}")
+
+
+def checkpoint(df):
+    """Reliable, eager checkpoint into the shared checkpoint folder (cuts lineage; a
+    lost executor recomputes from the written files, not from the start)."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
