@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from airfill.functions.text import country_code, station_code, to_number
@@ -75,13 +75,12 @@ def place_on_stations(readings: DataFrame, meta: DataFrame) -> DataFrame:
 def dedupe_latest(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """AG2/W3: one row per key, the one with the greatest ``order`` tuple.
 
-    ``max_by`` over a struct of all columns is an ordinary aggregate, so it is partially
-    aggregated before the shuffle (duplicates collapse on the map side) and each key
-    is a tiny group: no hot key can gather a partition's worth of rows."""
-    others = [c for c in df.columns if c not in keys]
-    packed = (df.groupBy(*keys)
-                .agg(F.max_by(F.struct(*others), F.struct(*order)).alias("_row")))
-    return packed.select(*keys, *[F.col(f"_row.{c}").alias(c) for c in others])
+    Meant for near-unique keys (a reading per sampling point and hour, a table key):
+    every group is a handful of rows, so one shuffle on the key and one sort
+    (``row_number`` = 1) beat a sort-based struct aggregate. Latest-per-key over big
+    groups (a whole station) uses ``latest_per_key`` instead, which combines map-side."""
+    w = Window.partitionBy(*keys).orderBy(*[o.desc() for o in order])
+    return df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") == 1).drop("_rn")
 
 
 def label_rows(raw: DataFrame, meta: DataFrame, min_year: int | None = 2024) -> DataFrame:
