@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import os
+import re
 import tempfile
 import uuid
 
@@ -26,33 +26,45 @@ def local_session(cpus: int | str = "*", partitions: int = 8, app: str = "airfil
     )
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    ensure_checkpoint_dir(spark)
     return spark
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder the cluster names in ``spark.checkpoint.dir``.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder every executor sees: what the cluster names in ``spark.checkpoint.dir``.
 
-    On a cluster this is set by the operator (a shared file system); it is only
-    filled in here when unset, as in local tests."""
-    d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext._jsc.sc().getCheckpointDir()
-    if hasattr(d, "isDefined"):
-        d = d.get() if d.isDefined() else None
+    The setting is only read, never changed. Where it is unset, a session with a local
+    master (tests, the bench) gets a temporary folder for its lifetime; on a cluster that
+    would be one machine's disk, so there the missing setting is an error."""
+    d = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
     if not d:
-        d = tempfile.mkdtemp(prefix="airfill-ckpt-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", d)
-    spark.sparkContext.setCheckpointDir(d)
+        held = context._jsc.sc().getCheckpointDir()
+        d = held.get() if held.isDefined() else None
+    if not d:
+        if not re.match(r"local(\[|$)", context.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        d = tempfile.mkdtemp(prefix="airfill-shared-")
+        context.setCheckpointDir(d)
     return d
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh folder under the shared checkpoint dir (never a machine-local temp dir)."""
-    root = ensure_checkpoint_dir(spark)
-    return os.path.join(root, f"{name}-{uuid.uuid4().hex[:12]}")
+    """A fresh path under the shared folder."""
+    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 
 def checkpoint(df):
     """Reliable, eager checkpoint into the shared checkpoint folder (cuts lineage; a
     lost executor recomputes from the written files, not from the start)."""
-    ensure_checkpoint_dir(df.sparkSession)
+    context = df.sparkSession.sparkContext
+    if not context._jsc.sc().getCheckpointDir().isDefined():
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
+
+
+def written(df, name: str):
+    """``df`` written as Parquet under the shared folder and read back: cuts the lineage,
+    keeps the columns prunable, survives lost executors."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
