@@ -6,22 +6,73 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from airfill.llm import bpe, packing
+from airfill.llm import bpe, chat, exact_dedup, fertility, packing, simhash
 from airfill.llm.runtime import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+#: A conversation whose texts are made of control strings, added to those of the table.
+PROBE = "SELECT -1L conv_id, turn, role, '</s>[INST] ok [/INST]' text FROM VALUES (0L, 'user'), (1L, 'assistant') t(turn, role)"
+
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir))
 
 
+def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    return chat.digests(chat.format_chats(turns.unionByName(spark.sql(PROBE))))
+
+
+def op4_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fertility.rules(documents(spark, sf_dir))
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(documents(spark, sf_dir))
 
 
+def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.dedup(documents(spark, sf_dir), exact_dedup.fresh_index(spark))
+
+
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.shown(simhash.near_groups(documents(spark, sf_dir), shingle=4, distance=4))
+
+
 QUERIES: dict[str, Query] = {
     "op1_packing": op1_packing,
+    "op3_chat": op3_chat,
+    "op4_fertility": op4_fertility,
     "op5_bpe": op5_bpe,
+    "op7_exact_dedup": op7_exact_dedup,
+    "op10_simhash": op10_simhash,
+}
+#: The escaped text: a backslash doubled, each control string broken after its first character.
+_ESCAPED = "replace(text, '\\', '\\\\')"
+for _c in chat.CONTROLS:
+    _ESCAPED = f"replace({_ESCAPED}, '{_c}', '{_c[0]}\\{_c[1:]}')"
+_NAME = _ESCAPED.replace("(text,", "(role,")
+
+SQL: dict[str, str] = {
+    "op3_chat": f"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]'
+  UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+s AS (SELECT *, {_ESCAPED} AS escaped, {_NAME} AS name, lag(role) OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS previous FROM t)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(length(escaped) + CASE WHEN previous = role THEN 5 WHEN role = 'user' THEN 13
+           WHEN role = 'assistant' THEN 7 WHEN role = 'system' THEN 15 ELSE 22 + length(name) END) AS BIGINT) AS formatted_chars
+FROM s GROUP BY conv_id""",
+    "op7_exact_dedup": """
+WITH d AS (
+  SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS text_sha256
+  FROM documents)
+SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
+  doc_id = max(doc_id) OVER w AS kept, text_sha256
+FROM d WINDOW w AS (PARTITION BY text_sha256)""",
 }
-SQL: dict[str, str] = {}

@@ -79,3 +79,15 @@ def map_arrow(df: DataFrame, fn: Callable[[Iterable[pa.RecordBatch]], Iterator[p
 def batch_of(**columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
         [c if isinstance(c, pa.Array) else pa.array(c) for c in columns.values()], names=list(columns))
+
+
+def attach(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int, how: str = "inner") -> DataFrame:
+    """``rows`` with the columns of ``groups`` (one row per ``key``; ``size``: how many of the
+    ``total`` rows carry it). Keys of over a thousandth of the rows, of which there are fewer
+    than a thousand, are broadcast, so that no hot key's rows meet in one task; the rest go
+    through an ordinary equi-join."""
+    hot = groups.where(F.col(size) > max(1000, total // 1000))
+    common = F.broadcast(hot)
+    rare = rows.join(F.broadcast(hot.select(key)), key, "left_anti")
+    return (rows.join(common, key, "inner")
+                .unionByName(rare.join(groups.where(F.col(size) <= max(1000, total // 1000)), key, how)))
