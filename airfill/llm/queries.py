@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from airfill.llm import bpe, chat, exact_dedup, fertility, packing, simhash
+from airfill.llm import bpe, brown_lm, chat, exact_dedup, fertility, packing, simhash
 from airfill.llm.runtime import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -36,6 +36,10 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.dedup(documents(spark, sf_dir), exact_dedup.fresh_index(spark))
 
 
+def op8_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return brown_lm.score_corpus(documents(spark, sf_dir))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.shown(simhash.near_groups(documents(spark, sf_dir), shingle=4, distance=4))
 
@@ -46,6 +50,7 @@ QUERIES: dict[str, Query] = {
     "op4_fertility": op4_fertility,
     "op5_bpe": op5_bpe,
     "op7_exact_dedup": op7_exact_dedup,
+    "op8_brown_lm": op8_brown_lm,
     "op10_simhash": op10_simhash,
 }
 #: The escaped text: a backslash doubled, each control string broken after its first character.
