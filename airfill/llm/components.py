@@ -19,7 +19,7 @@ def components(links: DataFrame) -> DataFrame:
                          .where("u > v").distinct(), "links")
     before = None
     for _ in range(ROUNDS):
-        state = edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.sum("v")).first()
+        state = edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.bit_xor(F.xxhash64("v"))).first()
         if state == before:
             break
         before = state
