@@ -15,10 +15,10 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +29,7 @@ from airfill.llm import pretokens
 from airfill.llm.runtime import batch_of, keyed, map_arrow, slices
 
 #: Distinct merged pre-tokens a worker remembers (two generations of this size).
-REMEMBERED = 300_000
+REMEMBERED = 200_000
 _MASK = np.array([(1 << (8 * k)) - 1 for k in range(8)] + [(1 << 64) - 1], np.uint64)
 _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 
@@ -111,8 +111,8 @@ class Encoder:
         self.key_size[slot] = size
         for mine, w in zip(self.key_words, words, strict=True):
             mine[slot] = w
-        self.recent: dict[bytes, tuple[int, ...]] = {}
-        self.older: dict[bytes, tuple[int, ...]] = {}
+        self.recent: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
 
     def merge(self, token: bytes) -> tuple[int, ...]:
         """Ranked merges of one pre-token: the lowest-ranked adjacent pair first, the leftmost
@@ -158,39 +158,69 @@ class Encoder:
             i = after[i]
         return tuple(out)
 
-    def merged(self, token: bytes) -> tuple[int, ...]:
-        got = self.recent.get(token)
-        if got is None:
-            got = self.older.get(token)
-            if got is None:
-                got = self.merge(token)
-            if len(token) <= 64:
-                if len(self.recent) >= REMEMBERED:
-                    self.older, self.recent = self.recent, {}
-                self.recent[token] = got
-        return got
+    def merge_all(self, tokens: list[bytes]) -> list[tuple[int, ...]]:
+        return list(map(self.merge, tokens))
+
+    def merged(self, tokens: list[bytes]) -> list[bytes]:
+        """The ids of each pre-token as little-endian 32-bit numbers, remembered or merged now."""
+        if len(self.recent) >= REMEMBERED:
+            self.older, self.recent = self.recent, {}
+        recent, older = self.recent, self.older
+        new = []
+        for t in tokens:
+            if t not in recent:
+                got = older.get(t)
+                if got is None:
+                    new.append(t)
+                else:
+                    recent[t] = got
+        fresh = {}
+        for t, ids in zip(new, self.merge_all(new), strict=True):
+            packed = array("I", ids).tobytes()
+            (recent if len(t) <= 64 else fresh)[t] = packed
+        return [recent.get(t) or fresh[t] for t in tokens]
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of ``texts`` in order, and how many each text has."""
         buffer, start, end, per_text = pretokens.split(texts)
         size = end - start
         words = _words(buffer, start, size)
-        slot = self.perfect.slots(_hash(words, size))
+        hashes = _hash(words, size)
+        slot = self.perfect.slots(hashes)
         hit = (slot >= 0) & (self.key_size[slot] == size)
         for mine, w in zip(self.key_words, words, strict=True):
             hit &= mine[slot] == w
         ranks = self.ranks
         for i in np.flatnonzero(hit & (size > 24)):  # the words show 24 bytes; compare the rest
             hit[i] = ranks.get(buffer[start[i]:end[i]], -1) == self.key_ids[slot[i]]
-        recent, merged = self.recent.get, self.merged
-        missed = [recent(t) or merged(t) for t in
-                  (buffer[a:b] for a, b in zip(start[~hit].tolist(), end[~hit].tolist(), strict=True))]
+        # the misses, each distinct one once; equal hashes are told apart by what they hash
+        miss = np.flatnonzero(~hit)
+        own = hashes[miss]
+        spans = {k: buffer[start[miss[k]]:end[miss[k]]] for k in np.flatnonzero(size[miss] > 24).tolist()}
+        for k, t in spans.items():
+            own[k] = np.uint64(hash(t) & (1 << 64) - 1)
+        _, first, number = np.unique(own, return_index=True, return_inverse=True)
+        at = miss[first]
+        if (any((w[miss] != w[at][number]).any() for w in (*words, size))
+                or any(t != buffer[start[at[number[k]]]:end[at[number[k]]]] for k, t in spans.items())):
+            index: dict[bytes, int] = {}
+            number = np.array([index.setdefault(buffer[x:y], len(index)) for x, y in
+                               zip(start[miss].tolist(), end[miss].tolist(), strict=True)], np.int64)
+            tokens = list(index)
+        else:
+            tokens = [buffer[x:y] for x, y in zip(start[at].tolist(), end[at].tolist(), strict=True)]
+        packed = self.merged(tokens)
+        flat = np.frombuffer(b"".join(packed), "<u4").astype(np.int64)
+        many = np.fromiter(map(len, packed), np.int64, len(packed)) // 4
+        begin = np.cumsum(many) - many
+        n = many[number]
         count = np.ones(len(start), np.int64)
-        count[~hit] = [len(m) for m in missed]
-        first = np.cumsum(count) - count
+        count[miss] = n
+        place = np.cumsum(count) - count
         ids = np.empty(int(count.sum()), np.int64)
-        ids[np.repeat(~hit, count)] = np.fromiter(chain.from_iterable(missed), np.int64)
-        ids[first[hit]] = self.key_ids[slot[hit]]
+        ids[place[hit]] = self.key_ids[slot[hit]]
+        step = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        ids[np.repeat(place[miss], n) + step] = flat[np.repeat(begin[number], n) + step]
         text = np.repeat(np.arange(len(texts)), per_text)
         return ids, np.bincount(text, weights=count, minlength=len(texts)).astype(np.int64)
 

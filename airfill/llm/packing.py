@@ -22,6 +22,7 @@ packed as the separate rows they are; an empty table gives no rows.
 
 from __future__ import annotations
 
+import os
 import zlib
 from bisect import bisect_right
 from collections import defaultdict
@@ -34,57 +35,59 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from airfill.llm import pretokens
-from airfill.llm.bpe import vocabulary_path
+from airfill.llm.bpe import Encoder, vocabulary_path
 from airfill.llm.runtime import batch_of, keyed, map_arrow, slices
 from airfill.session import written
 
 WINDOW = 1024
-#: Distinct pre-tokens whose ids a worker remembers (two generations of this size).
-REMEMBERED = 300_000
 #: Counts per task and length are broadcast up to this many rows of 16 bytes; beyond, joined by shuffle.
 BROADCAST_ROWS = 2_000_000
 
 
-class Tokenizer:
-    """A ``tokenizers`` vocabulary applied to each distinct pre-token once."""
+@lru_cache(1)
+def byte_letters() -> dict[str, int]:
+    """The byte each character of a byte-level vocabulary file stands for: printable Latin-1
+    characters for themselves, the other bytes, in order, for the characters from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
+
+
+class Tokenizer(Encoder):
+    """A ``tokenizers`` vocabulary file: pre-tokens that the library gives one id are looked up
+    in the perfect hash, every other distinct one goes to the library once."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer as Library
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.library = Library.from_file(path)
         self.special = [t.content.encode() for t in self.library.get_added_tokens_decoder().values()]
-        self.recent: dict[bytes, tuple[int, ...]] = {}
-        self.older: dict[bytes, tuple[int, ...]] = {}
-
-    def whole(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.library.encode_batch(texts, add_special_tokens=False)]
-
-    def encode(self, texts: list[bytes]) -> list[np.ndarray]:
-        buffer, start, end, per_text = pretokens.split(texts)
-        tokens = [buffer[a:b] for a, b in zip(start.tolist(), end.tolist(), strict=True)]
-        new = list(dict.fromkeys(t for t in tokens if t not in self.recent))
-        known = self.recent
-        if len(known) + len(new) > REMEMBERED:
-            self.older, known = known, {}
-            new = list(dict.fromkeys(tokens))
-        asked = [t for t in new if t not in self.older]
-        known.update((t, self.older[t]) for t in new if t in self.older)
-        for i in range(0, len(asked), 4096):
-            some = asked[i:i + 4096]
-            known.update(zip(some, map(tuple, self.whole([t.decode() for t in some])), strict=True))
-        self.recent = known
-        out, at = [], 0
-        for text, n in zip(texts, per_text.tolist(), strict=True):
-            if any(s in text for s in self.special):  # special tokens cut across pre-tokens
-                out.append(np.array(self.whole([text.decode()])[0], np.int64))
-            else:
-                ids: list[int] = []
-                for t in tokens[at:at + n]:
-                    ids += known[t]
-                out.append(np.array(ids, np.int64))
-            at += n
+        letters, known = byte_letters(), {}
+        for token, i in self.library.get_vocab(with_added_tokens=False).items():
+            try:
+                raw = bytes(letters[c] for c in token)
+                raw.decode("utf-8")
+                known[raw] = i
+            except (KeyError, UnicodeDecodeError):  # not a whole text by itself
+                continue
+        tokens = list(known)
+        super().__init__({t: known[t] for t, ids in zip(tokens, self.merge_all(tokens), strict=True) if ids == [known[t]]})
+
+    def merge_all(self, tokens: list[bytes]) -> list[list[int]]:
+        out = []
+        for i in range(0, len(tokens), 4096):
+            some = [t.decode() for t in tokens[i:i + 4096]]
+            out += [e.ids for e in self.library.encode_batch_fast(some, add_special_tokens=False)]
         return out
 
+    def each(self, texts: list[bytes]) -> list[np.ndarray]:
+        ids, n = self.encode(texts)
+        own = np.split(ids, np.cumsum(n)[:-1])
+        for i, t in enumerate(texts):  # special tokens cut across pre-tokens
+            if any(s in t for s in self.special):
+                own[i] = np.array(self.merge_all([t])[0], np.int64)
+        return own
+
 
 @lru_cache(2)
 def tokenizer(path: str) -> Tokenizer:
@@ -101,7 +104,7 @@ def tokenised(docs: DataFrame, vocabulary: str, end_id: int, window: int) -> Dat
         full, rest = 0, defaultdict(int)
         for batch, texts in slices(batches):
             cols: dict[str, list] = {k: [] for k in ("n_tokens", "ids", "full_before", "rest", "rest_before")}
-            for ids in t.encode(texts):
+            for ids in t.each(texts):
                 n = len(ids) + 1
                 cols["n_tokens"].append(n)
                 cols["ids"].append(np.append(ids, end_id).astype("<u4").tobytes())
