@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from airfill.llm import bpe, brown_lm, chat, exact_dedup, fertility, packing, simhash
+from airfill.llm import bpe, brown_lm, chat, exact_dedup, fertility, packing, rule_ensemble, simhash, weak_toxicity
 from airfill.llm.runtime import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -19,6 +19,10 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir))
 
 
+def op2_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rule_ensemble.score(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
     return chat.digests(chat.format_chats(turns.unionByName(spark.sql(PROBE))))
@@ -32,6 +36,10 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(documents(spark, sf_dir))
 
 
+def op6_weak_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return weak_toxicity.score(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.dedup(documents(spark, sf_dir), exact_dedup.fresh_index(spark))
 
@@ -46,9 +54,11 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_packing": op1_packing,
+    "op2_rule_ensemble": op2_rule_ensemble,
     "op3_chat": op3_chat,
     "op4_fertility": op4_fertility,
     "op5_bpe": op5_bpe,
+    "op6_weak_toxicity": op6_weak_toxicity,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_brown_lm": op8_brown_lm,
     "op10_simhash": op10_simhash,
