@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from airfill.llm import bpe, brown_lm, chat, exact_dedup, fertility, packing, rule_ensemble, simhash, weak_toxicity
+from airfill.llm import bpe, brown_lm, chat, exact_dedup, fertility, packing, pii, rule_ensemble, simhash, weak_toxicity
 from airfill.llm.runtime import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -48,6 +48,10 @@ def op8_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return brown_lm.score_corpus(documents(spark, sf_dir))
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.spans(documents(spark, sf_dir))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.shown(simhash.near_groups(documents(spark, sf_dir), shingle=4, distance=4))
 
@@ -61,6 +65,7 @@ QUERIES: dict[str, Query] = {
     "op6_weak_toxicity": op6_weak_toxicity,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_brown_lm": op8_brown_lm,
+    "op9_pii": op9_pii,
     "op10_simhash": op10_simhash,
 }
 #: The escaped text: a backslash doubled, each control string broken after its first character.

@@ -7,18 +7,42 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from airfill.llm import packing
+from airfill.llm import exact_dedup, fertility, packing, pii, simhash
 from airfill.session import written
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 4: documents that the base rules or the fertility bands reject go."""
+    return fertility.filtered(docs)
+
+
+def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 7: of equal texts the document with the largest doc_id stays."""
+    return exact_dedup.keep_one(docs, exact_dedup.fresh_index(spark))
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 10: of each near-duplicate group the document with the smallest doc_id stays."""
+    return simhash.keep_one(docs, shingle=4, distance=4)
+
+
+def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 9: personal data in texts is replaced by its kind; n_chars follows."""
+    return pii.redacted(docs)
+
+
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 1: every document's tokens in sequences; the pipeline's result."""
     return packing.pack(docs)
 
 
 STAGES: list[tuple[str, Stage]] = [
+    ("quality rules", quality_rules),
+    ("exact dedup", exact),
+    ("simhash near-dedup", near),
+    ("pii", private),
     ("packing", pack),
 ]
 ORACLE_SQL: str | None = None
