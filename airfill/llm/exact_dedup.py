@@ -17,7 +17,7 @@ import hashlib
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from airfill.llm.runtime import attach, keyed
+from airfill.llm.runtime import attach, keyed, unused
 from airfill.session import scratch_path, written
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -53,7 +53,7 @@ class DigestIndex:
 
 
 def dedup(docs: DataFrame, index: DigestIndex, batch: str = "0", id_col: str = "doc_id",
-          text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
+          text_col: str = "text") -> DataFrame:
     """Add ``docs`` to the index as one batch. One row per document: doc_id, keep_id,
     group_size (rows of this text in the batch), kept, text_sha256."""
     rows = written(keyed(docs, id_col, text_col).select(
@@ -77,13 +77,11 @@ def fresh_index(spark: SparkSession) -> DigestIndex:
 
 def keep_one(docs: DataFrame, index: DigestIndex, batch: str = "0") -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns: those new to the index, of equal
-    texts the one with the largest doc_id. The last copy is found without a join: one
-    aggregate per digest carries the whole row of the largest (doc_id, position)."""
-    d = docs.withColumn("_digest", digest(F.col("text"))).withColumn("_row", F.monotonically_increasing_id())
-    staged = written(d, "dedup-rows")
-    groups = written(staged.groupBy("_digest").agg(F.max(F.struct("doc_id", "_row")).alias("keep")).select(
-        F.col("_digest").alias("text_sha256"), F.col("keep.doc_id").alias("keep_id"),
-        F.col("keep._row").alias("keep_row"), F.lit(batch).alias("batch")), "dedup-groups")
-    index.append(groups)
-    stay = index.table().where(F.col("batch") == batch).select(F.col("keep_row").alias("_row"))
-    return staged.join(stay, "_row", "left_semi").select(*docs.columns)
+    texts the one with the largest doc_id."""
+    row, key = unused(docs, "_dedup_row"), unused(docs, "_dedup_digest")
+    staged = written(docs.withColumns({row: F.monotonically_increasing_id(), key: digest(F.col("text"))}), "dedup-rows")
+    index.append(staged.groupBy(F.col(key).alias("text_sha256")).agg(F.max(F.struct("doc_id", row)).alias("keep")).select(
+        "text_sha256", F.col("keep.doc_id").cast("long").alias("keep_id"), F.col(f"keep.{row}").alias("keep_row"),
+        F.lit(batch).alias("batch")))
+    stay = index.table().where(F.col("batch") == batch).select(F.col("keep_row").alias(row))
+    return staged.join(stay, row, "left_semi").select(*docs.columns)

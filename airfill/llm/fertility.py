@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 
 from airfill.llm import wordstats
 from airfill.llm.bpe import vocabulary_path
-from airfill.llm.runtime import map_arrow, slices
+from airfill.llm.runtime import map_arrow, slices, unused
 from airfill.session import written
 
 #: Distinct words whose pieces a worker remembers (two generations of this size).
@@ -139,30 +139,31 @@ def measure(docs: DataFrame, vocabulary: str = "piece_bpe_32k.model", text_col:
 def judged(measured: DataFrame, group: str, prefix: str = "", least: int = 30) -> DataFrame:
     """``measured`` with base_failed and kept. ``group``: the column with the language or script."""
     m = lambda k: F.col(prefix + k)
+    t = {k: (prefix or "band") + k for k in ("_group", "_length", "_c", "_f", "_n", "_cs", "_e", "_en")}
     base = (m("n_words") < 20) | (100 * m("n_repeat_words") > 30 * m("n_words"))
     length = F.round(F.log2(F.greatest(m("n_tokens"), F.lit(1)))).cast("int")
-    df = measured.withColumns({prefix + "base_failed": base, "_group": F.col(group), "_length": length})
+    df = measured.withColumns({prefix + "base_failed": base, t["_group"]: F.col(group), t["_length"]: length})
     # the spread of characters per token falls with the root of the length
     root = F.sqrt(m("n_tokens").cast("double"))
     good = (df.where(~m("base_failed"))
-              .select("_group", "_length", m("n_tokens").alias("n"), m("chars_per_token").alias("c"),
+              .select(t["_group"], t["_length"], m("n_tokens").alias("n"), m("chars_per_token").alias("c"),
                       m("fallback_share").alias("f"), m("entropy").alias("e")).distinct())
     q = lambda c: F.percentile_approx(c, [0.5, 0.75], 2000)
-    middle = good.groupBy("_group").agg(F.percentile_approx("c", 0.5, 2000).alias("_c"), q("f").alias("_f"),
-                                        F.count(F.lit(1)).alias("_n"))
-    off = good.join(middle.select("_group", "_c"), "_group").groupBy("_group").agg(
-        F.percentile_approx(F.abs(F.col("c") - F.col("_c")) * F.sqrt(F.col("n").cast("double")), 0.5, 2000).alias("_cs"))
-    by_length = good.groupBy("_group", "_length").agg(q("e").alias("_e"), F.count(F.lit(1)).alias("_en"))
-    df = (df.join(middle.join(off, "_group"), "_group", "left").join(by_length, ["_group", "_length"], "left"))
-    enough, enough_e = F.coalesce(F.col("_n") >= least, F.lit(False)), F.coalesce(F.col("_en") >= least, F.lit(False))
-    low_chars = enough & ((m("chars_per_token") - F.col("_c")) * root
-                          < -CHARS_WIDTH * F.greatest(F.col("_cs") / QUARTILE, F.lit(LEAST_CHARS)))
-    fallback = enough & (m("fallback_share") > F.greatest(F.lit(FREE_FALLBACK), F.col("_f")[0]
-                         + FALLBACK_WIDTH * (F.col("_f")[1] - F.col("_f")[0]) / QUARTILE))
-    spread = F.greatest((F.col("_e")[1] - F.col("_e")[0]) / QUARTILE, F.lit(LEAST_ENTROPY))
-    low_entropy = enough_e & (m("entropy") < F.col("_e")[0] - ENTROPY_WIDTH * spread)
+    middle = good.groupBy(t["_group"]).agg(F.percentile_approx("c", 0.5, 2000).alias(t["_c"]), q("f").alias(t["_f"]),
+                                        F.count(F.lit(1)).alias(t["_n"]))
+    off = good.join(middle.select(t["_group"], t["_c"]), t["_group"]).groupBy(t["_group"]).agg(
+        F.percentile_approx(F.abs(F.col("c") - F.col(t["_c"])) * F.sqrt(F.col("n").cast("double")), 0.5, 2000).alias(t["_cs"]))
+    by_length = good.groupBy(t["_group"], t["_length"]).agg(q("e").alias(t["_e"]), F.count(F.lit(1)).alias(t["_en"]))
+    df = (df.join(middle.join(off, t["_group"]), t["_group"], "left").join(by_length, [t["_group"], t["_length"]], "left"))
+    enough, enough_e = F.coalesce(F.col(t["_n"]) >= least, F.lit(False)), F.coalesce(F.col(t["_en"]) >= least, F.lit(False))
+    low_chars = enough & ((m("chars_per_token") - F.col(t["_c"])) * root
+                          < -CHARS_WIDTH * F.greatest(F.col(t["_cs"]) / QUARTILE, F.lit(LEAST_CHARS)))
+    fallback = enough & (m("fallback_share") > F.greatest(F.lit(FREE_FALLBACK), F.col(t["_f"])[0]
+                         + FALLBACK_WIDTH * (F.col(t["_f"])[1] - F.col(t["_f"])[0]) / QUARTILE))
+    spread = F.greatest((F.col(t["_e"])[1] - F.col(t["_e"])[0]) / QUARTILE, F.lit(LEAST_ENTROPY))
+    low_entropy = enough_e & (m("entropy") < F.col(t["_e"])[0] - ENTROPY_WIDTH * spread)
     kept = ~(m("base_failed") | low_chars | fallback | low_entropy)
-    return df.withColumn(prefix + "kept", kept).drop("_group", "_length", "_c", "_f", "_n", "_cs", "_e", "_en")
+    return df.withColumn(prefix + "kept", kept).drop(t["_group"], t["_length"], t["_c"], t["_f"], t["_n"], t["_cs"], t["_e"], t["_en"])
 
 
 def _language(prefix: str, docs: DataFrame):
@@ -185,7 +186,7 @@ def rules(docs: DataFrame, vocabulary: str = "piece_bpe_32k.model", id_col: str
 def filtered(docs: DataFrame, vocabulary: str = "piece_bpe_32k.model") -> DataFrame:
     """The rows of ``docs`` that the rules keep, with their own columns; the text travels
     with its measures, so that it isn't shuffled."""
-    own = "_fertility_"
+    own = unused(docs, "_fertility_")
     measured = written(measure(docs, vocabulary, prefix=own), "fertility-docs")
     marked = measured.withColumn(own + "group", _language(own, docs))
     return judged(marked, own + "group", own).where(F.col(own + "kept")).select(*docs.columns)

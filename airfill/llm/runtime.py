@@ -46,6 +46,13 @@ def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
                        F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
 
+def unused(docs: DataFrame, name: str) -> str:
+    """``name``, lengthened until no column of ``docs`` starts with it: for helper columns."""
+    while any(c.lower().startswith(name.lower()) for c in docs.columns):
+        name = "_" + name
+    return name
+
+
 def remainder(id_col: str, modulus: int):
     """crc32 of the id as text, modulo ``modulus``: the contract's fold of a row."""
     return F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), F.lit(modulus))

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from airfill.llm.components import components
-from airfill.llm.runtime import attach, batch_of, keyed, map_arrow, slices
+from airfill.llm.runtime import attach, batch_of, keyed, map_arrow, slices, unused
 from airfill.session import written
 
 BITS, SEED = 64, 42
@@ -115,13 +115,12 @@ def near_groups(docs: DataFrame, shingle: int = 4, distance: int = 4, segments:
 def keep_one(docs: DataFrame, shingle: int = 4, distance: int = 4, segments: int = 3) -> DataFrame:
     """The rows of ``docs`` of which one of each near-duplicate group stays: the one with the
     smallest doc_id (of repeated ids the first row)."""
-    staged = written(docs.withColumn("_row", F.monotonically_increasing_id()), "simhash-docs")
-    groups = near_groups(staged, shingle, distance, segments, id_col="_row")
-    ids = staged.select("_row", "doc_id")
-    stay = (groups.select(F.col("doc_id").alias("_row"), "component_id").join(ids, "_row")
-                  .groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row")).alias("k"))
-                  .select(F.col("k._row").alias("_row")))
-    return staged.join(stay, "_row", "left_semi").select(*docs.columns)
+    row = unused(docs, "_simhash_row")
+    staged = written(docs.withColumn(row, F.monotonically_increasing_id()), "simhash-docs")
+    groups = near_groups(staged, shingle, distance, segments, id_col=row).select(F.col("doc_id").alias(row), "component_id")
+    stay = (groups.join(staged.select(row, "doc_id"), row).groupBy("component_id")
+                  .agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", row)).alias("k")).select(f"k.{row}"))
+    return staged.join(stay, row, "left_semi").select(*docs.columns)
 
 
 def shown(groups: DataFrame) -> DataFrame:
