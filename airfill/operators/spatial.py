@@ -1,16 +1,17 @@
 """Spatial operators (J3 helpers, J6, J8-J11, J13, J18, AG5, F13, W2).
 
 Spark has no spatial index, and plain distance predicates plan as a nested-loop
-join. Every search here is instead an *equi* join on integer cell keys: the site side
+join. A search within a radius is an *equi* join on integer cell keys: the site side
 is assigned to one cell, the query side is exploded to the few cells its search
-radius can reach (longitude span widened by 1/cos(latitude)), and the exact distance
-is filtered afterwards. The cell size follows the radius, so each query point
-explodes to a handful of cells whatever the radius.
-
-Unbounded k-nearest searches (J8, J10, J11) run as rings: a radius is tried, points
-that found k sites inside it are exact and done, and only the others go on with twice
-the radius. Resolved points are written to the checkpoint folder each round, so
-lineage stays short and a lost executor only repeats one round.
+radius can reach (longitude span widened by 1/cos(latitude), wrapped at 180 degrees),
+and the exact distance is filtered afterwards.
+
+Unbounded k-nearest searches (J8, J10, J11) descend a pyramid of cells with counts of
+sites. At each level a point keeps only cells that can still hold one of its k nearest:
+those whose least possible distance doesn't exceed the least upper bound that covers k
+sites. A far point so follows a dense cluster down to the few cells at its edge and never
+meets the whole cluster; the depth is fixed, so the search is one plan without driver
+rounds.
 """
 
 from __future__ import annotations
@@ -26,7 +27,11 @@ from airfill.session import checkpoint
 
 # Fixed values
 KM_PER_DEG_SAFE = 110.0   # fewer km per degree than any metric uses: boxes stay wide enough
-WORLD_KM = 19_800.0       # at this radius the search box spans the whole globe
+#: The pyramid: cells of 180 degrees, cut four by four; the last level's are about 5 km.
+PYRAMID_LEVELS = 6
+FAN = 4
+#: Cells of the first level that hold every coordinate, poles and 180 E included.
+ROOTS = [(0, 0), (0, 1), (0, 2), (1, 0), (1, 1), (1, 2)]
 
 METRICS = {
     "haversine": geo.haversine_km,       # F6
@@ -51,9 +56,28 @@ def _km(metric: str, d: Column) -> Column:
     return geo.chord_to_km(d) if metric == "chord" else d
 
 
-def _cells_around(lat: Column, lon: Column, radius_km: float, cell_deg: float) -> Column:
+def _wraps(metric: str) -> bool:
+    """Whether the metric knows that 180 W is 180 E (the flat ones don't)."""
+    return metric in ("haversine", "chord")
+
+
+def _lon_cells(cell_deg: float) -> tuple[float, int]:
+    """Longitude cells that divide the circle evenly: (width, number)."""
+    n = max(1, math.floor(360.0 / cell_deg))
+    return 360.0 / n, n
+
+
+def _lon_cell(lon: Column, cell_deg: float, wrap: bool) -> Column:
+    width, n = _lon_cells(cell_deg)
+    c = F.floor((lon + F.lit(180.0)) / width).cast("long")
+    return F.pmod(c, F.lit(n)) if wrap else c
+
+
+def _cells_around(lat: Column, lon: Column, radius_km: float, cell_deg: float, wrap: bool) -> Column:
     """Array of struct(ci, cj): every cell a site within ``radius_km`` of (lat, lon)
-    can lie in, for a conservative box valid for all METRICS."""
+    can lie in, for a conservative box valid for all METRICS. Wrapped columns are
+    visited once each."""
+    width, n = _lon_cells(cell_deg)
     dlat = radius_km / KM_PER_DEG_SAFE
     reach = F.least(F.abs(lat) + F.lit(dlat), F.lit(89.999))
     cosr = F.cos(F.radians(reach))
@@ -63,11 +87,14 @@ def _cells_around(lat: Column, lon: Column, radius_km: float, cell_deg: float) -
     dlon = F.when(all_lon, F.lit(180.0)).otherwise(ratio * F.lit(1.02))
     lat_lo = F.floor((lat - F.lit(dlat)) / cell_deg).cast("long")
     lat_hi = F.floor((lat + F.lit(dlat)) / cell_deg).cast("long")
-    lon_lo = F.when(all_lon, F.floor(F.lit(-180.0) / cell_deg)).otherwise(F.floor((lon - dlon) / cell_deg)).cast("long")
-    lon_hi = F.when(all_lon, F.floor(F.lit(180.0) / cell_deg)).otherwise(F.floor((lon + dlon) / cell_deg)).cast("long")
+    lon_lo = F.when(all_lon, F.lit(0)).otherwise(F.floor((lon - dlon + F.lit(180.0)) / width)).cast("long")
+    lon_hi = F.when(all_lon, F.lit(n - 1)).otherwise(F.floor((lon + dlon + F.lit(180.0)) / width)).cast("long")
+    columns = F.sequence(lon_lo, F.greatest(lon_lo, F.least(lon_hi, lon_lo + F.lit(n - 1))))
+    if wrap:
+        columns = F.transform(columns, lambda c: F.pmod(c, F.lit(n)))
     return F.flatten(F.transform(
         F.sequence(lat_lo, lat_hi),
-        lambda ci: F.transform(F.sequence(lon_lo, lon_hi), lambda cj: F.struct(ci.alias("ci"), cj.alias("cj")))))
+        lambda ci: F.transform(columns, lambda cj: F.struct(ci.alias("ci"), cj.alias("cj")))))
 
 
 def pairs_within(points: DataFrame, sites: DataFrame, radius_km: float, metric: str = "haversine",
@@ -77,10 +104,11 @@ def pairs_within(points: DataFrame, sites: DataFrame, radius_km: float, metric:
     ``radius_km``; adds ``_d`` (metric value). ``sites`` columns must not clash with
     ``points`` columns except ``group``. One equi join on (group, cell)."""
     cell = max(radius_km / KM_PER_DEG_SAFE, 1e-4)
-    p = points.withColumn("_cell", F.explode(_cells_around(F.col(plat), F.col(plon), radius_km, cell)))
+    p = points.withColumn("_cell", F.explode(_cells_around(
+        F.col(plat), F.col(plon), radius_km, cell, _wraps(metric))))
     p = p.select("*", F.col("_cell.ci").alias("_ci"), F.col("_cell.cj").alias("_cj")).drop("_cell")
     s = sites.withColumns({"_ci": F.floor(F.col(slat) / cell).cast("long"),
-                           "_cj": F.floor(F.col(slon) / cell).cast("long")})
+                           "_cj": _lon_cell(F.col(slon), cell, _wraps(metric))})
     j = p.join(s, [*group, "_ci", "_cj"], "inner").drop("_ci", "_cj")
     j = j.withColumn("_d", _distance(metric, F.col(plat), F.col(plon), F.col(slat), F.col(slon)))
     if filter_radius:
@@ -105,83 +133,103 @@ def nearest_within(points: DataFrame, sites: DataFrame, radius_km: float, point_
                        _km(metric, F.col("_b._d")).alias("dist_km"))
 
 
-def _checkpoint(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint to ``spark.checkpoint.dir`` (shared storage on a cluster)."""
-    return checkpoint(df)
+def _bounds(metric: str, plat: Column, plon: Column, ci: Column, cj: Column, size: float) -> tuple[Column, Column]:
+    """Least and greatest distance (km, by ``metric``) from a point to any site in a cell."""
+    lat0 = ci * F.lit(size) - F.lit(90.0)
+    lat1, lon0 = lat0 + F.lit(size), cj * F.lit(size) - F.lit(180.0)
+    lon1 = lon0 + F.lit(size)
+    zero = F.lit(0.0)
+    near_lat = F.greatest(zero, lat0 - plat, plat - lat1)
+    far_lat = F.greatest(F.abs(plat - lat0), F.abs(plat - lat1))
+    if _wraps(metric):
+        inside = F.pmod(plon - lon0, F.lit(360.0)) <= F.lit(size)
+        near_lon = F.when(inside, zero).otherwise(F.least(F.pmod(lon0 - plon, F.lit(360.0)), F.pmod(plon - lon1, F.lit(360.0))))
+        far_lon = F.least(F.lit(180.0), near_lon + F.lit(size))
+    else:
+        near_lon = F.greatest(zero, lon0 - plon, plon - lon1)
+        far_lon = F.greatest(F.abs(plon - lon0), F.abs(plon - lon1))
+    top, low = F.greatest(F.abs(lat0), F.abs(lat1)), F.when((lat0 <= 0) & (lat1 >= 0), zero).otherwise(
+        F.least(F.abs(lat0), F.abs(lat1)))
+    cos = lambda d: F.cos(F.radians(F.least(d, F.lit(90.0))))
+    if _wraps(metric):
+        def arc(dlat: Column, dlon: Column, c: Column) -> Column:
+            h = F.pow(F.sin(F.radians(dlat) / 2), 2) + cos(F.abs(plat)) * c * F.pow(F.sin(F.radians(dlon) / 2), 2)
+            return F.lit(2 * geo.EARTH_RADIUS_KM) * F.asin(F.sqrt(F.least(F.lit(1.0), h)))
+        return arc(near_lat, near_lon, cos(top)), arc(far_lat, far_lon, cos(low))
+    if metric == "planar":
+        least, most = F.lit(1.0), F.lit(1.0)
+    elif metric == "equirect_point":
+        least = most = cos(F.abs(plat))
+    else:  # the cosine of a latitude between the point's and the site's
+        mid0, mid1 = (plat + lat0) / 2, (plat + lat1) / 2
+        least = F.least(cos(F.abs(mid0)), cos(F.abs(mid1)))
+        most = F.when((mid0 <= 0) & (mid1 >= 0), F.lit(1.0)).otherwise(F.greatest(cos(F.abs(mid0)), cos(F.abs(mid1))))
+    flat = lambda dlat, dlon, c: F.hypot(dlat, dlon * c) * F.lit(geo.KM_PER_DEGREE)
+    return flat(near_lat, near_lon, least), flat(far_lat, far_lon, most)
 
 
 def knn(points: DataFrame, sites: DataFrame, k: int, point_key: Sequence[str], site_key: str,
         metric: str = "haversine", group: Sequence[str] = (), exclude_self: str | None = None,
-        start_km: float | None = None, plat: str = "lat", plon: str = "lon",
-        slat: str = "s_lat", slon: str = "s_lon", site_cols: Sequence[str] = (),
-        checkpoint_inputs: bool = True) -> DataFrame:
+        plat: str = "lat", plon: str = "lon", slat: str = "s_lat", slon: str = "s_lon",
+        site_cols: Sequence[str] = (), levels: int = PYRAMID_LEVELS) -> DataFrame:
     """The ``k`` nearest sites of every point (exact), ranked by
     (distance, site_key); W2 numbering in ``rank``.
 
     exclude_self: name of a point column that must differ from ``site_key`` (J11).
-    start_km:     first radius; by default twice the spacing that k sites per cell of
-                  the sites' bounding box would have (one small aggregate job).
     Output: point_key, rank, site_key, site_cols, dist_km. Points whose group has
-    fewer than k sites get fewer rows.
+    fewer than k sites get fewer rows; points or sites without coordinates get none.
     """
-    key = list(point_key)
-    # both inputs are read once per round: cut their lineage first
-    pts = points.select(*key, *[c for c in group if c not in key], plat, plon).dropDuplicates(key)
-    st = sites.select(site_key, *group, slat, slon, *site_cols)
-    if checkpoint_inputs:
-        pts, st = _checkpoint(pts), _checkpoint(st)
-    if start_km is None:
-        start_km = _spacing_km(st, slat, slon, k)
-    out = []
-    radius = float(start_km)
-    pending = pts
-    while True:
-        final = radius >= WORLD_KM
-        pr = pairs_within(pending, st, radius, metric, group, plat, plon, slat, slon,
-                          filter_radius=not final)
-        if exclude_self:
-            pr = pr.filter(F.col(exclude_self) != F.col(site_key))
-        w = Window.partitionBy(*key).orderBy(F.col("_d"), F.col(site_key))
-        ranked = (pr.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-                    .select(*key, "rank", site_key, *site_cols,
-                            _km(metric, F.col("_d")).alias("dist_km")))
-        if final:
-            out.append(ranked)
-            break
-        ranked = _checkpoint(ranked)
-        done_keys = ranked.filter(F.col("rank") == k).select(*key)
-        out.append(ranked.join(done_keys, key, "left_semi"))
-        pending = _checkpoint(pending.join(done_keys, key, "left_anti"))
-        if pending.isEmpty():
-            break
-        radius *= 2.0
-    res = out[0]
-    for o in out[1:]:
-        res = res.unionByName(o)
-    return res
-
-
-def _spacing_km(sites: DataFrame, slat: str, slon: str, k: int) -> float:
-    """Twice the typical distance to the k-th neighbour if sites were spread evenly
-    over their bounding box (one aggregate row to the driver)."""
-    r = sites.agg(F.count(F.lit(1)).alias("n"), F.min(slat).alias("a"), F.max(slat).alias("b"),
-                  F.min(slon).alias("c"), F.max(slon).alias("d")).first()
-    if not r or not r["n"]:
-        return WORLD_KM
-    h = max((r["b"] - r["a"]) * 111.0, 1.0)
-    w = max((r["d"] - r["c"]) * 111.0 * math.cos(math.radians((r["a"] + r["b"]) / 2)), 1.0)
-    return max(1.0, 2.0 * math.sqrt(h * w * k / r["n"]))
+    key, grp = list(point_key), list(group)
+    size = [180.0 / FAN ** level for level in range(levels + 1)]
+    wide = F.pmod(F.col(slon) + F.lit(180.0), F.lit(360.0)) if _wraps(metric) else F.col(slon) + F.lit(180.0)
+
+    def cell(value: Column, level: int) -> Column:
+        return F.floor(value / F.lit(size[level])).cast("long")
+
+    pts = (points.select(*key, *[c for c in grp if c not in key], F.col(plat).alias("_plat"), F.col(plon).alias("_plon"))
+                 .where(F.col("_plat").isNotNull() & F.col("_plon").isNotNull()).dropDuplicates(key))
+    st = (sites.select(site_key, *grp, slat, slon, *site_cols)
+               .where(F.col(slat).isNotNull() & F.col(slon).isNotNull())
+               .withColumns({"_ci": cell(F.col(slat) + F.lit(90.0), levels), "_cj": cell(wide, levels)}))
+    # counts of sites per cell of each level, rolled up from the finest
+    leaves = checkpoint(st.groupBy(*grp, "_ci", "_cj").agg(F.count(F.lit(1)).alias("_n")))
+    need = k + (1 if exclude_self else 0)
+    front = pts.withColumn("_root", F.explode(F.array(*[F.struct(F.lit(i).cast("long").alias("i"), F.lit(j).cast("long").alias("j"))
+                                                       for i, j in ROOTS]))) \
+               .select(*pts.columns, F.col("_root.i").alias("_ci"), F.col("_root.j").alias("_cj"))
+    for level in range(1, levels + 1):
+        up = FAN ** (levels - level)
+        here = lambda c: F.floor(F.col(c) / F.lit(up)).cast("long")  # noqa: B023, E731
+        nodes = (leaves.groupBy(*grp, here("_ci").alias("_ni"), here("_cj").alias("_nj")).agg(F.sum("_n").alias("_n"))
+                       .withColumns({"_ci": F.floor(F.col("_ni") / FAN).cast("long"), "_cj": F.floor(F.col("_nj") / FAN).cast("long")}))
+        if level <= 2:  # at most 45 and 585 cells a group
+            nodes = F.broadcast(nodes)
+        joined = front.join(nodes, [*grp, "_ci", "_cj"])
+        low, high = _bounds(metric, F.col("_plat"), F.col("_plon"), F.col("_ni"), F.col("_nj"), size[level])
+        joined = joined.withColumns({"_low": low, "_high": high})
+        reached = F.sum("_n").over(Window.partitionBy(*key).orderBy("_high").rowsBetween(Window.unboundedPreceding, 0))
+        bound = F.min(F.when(F.col("_reached") >= need, F.col("_high"))).over(Window.partitionBy(*key))
+        front = (joined.withColumn("_reached", reached).withColumn("_bound", bound)
+                       .where(F.col("_bound").isNull() | (F.col("_low") <= F.col("_bound") * F.lit(1 + 1e-9) + F.lit(1e-9)))
+                       .select(*pts.columns, F.col("_ni").alias("_ci"), F.col("_nj").alias("_cj")))
+    pairs = front.join(st, [*grp, "_ci", "_cj"])
+    if exclude_self:
+        pairs = pairs.where(F.col(exclude_self) != F.col(site_key))
+    d = _distance(metric, F.col("_plat"), F.col("_plon"), F.col(slat), F.col(slon))
+    w = Window.partitionBy(*key).orderBy("_d", site_key)
+    return (pairs.withColumn("_d", d).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+                 .select(*key, "rank", site_key, *site_cols, _km(metric, F.col("_d")).alias("dist_km")))
 
 
 def nearest_other(stations: DataFrame, metric: str = "planar", group: Sequence[str] = (),
                   key: str = "station_eoi") -> DataFrame:
     """Distance to the nearest *other* station (same ``group``), one row per
     station; stations alone in their group get NULL (left join back)."""
-    stations = _checkpoint(stations.select(key, *group, "lat", "lon"))
+    stations = checkpoint(stations.select(key, *group, "lat", "lon"))
     sites = stations.select(F.col(key).alias("_site"), *group,
                             F.col("lat").alias("s_lat"), F.col("lon").alias("s_lon"))
     nn = knn(stations, sites, 1, [key, *group], "_site",
-             metric=metric, group=group, exclude_self=key, checkpoint_inputs=False)
+             metric=metric, group=group, exclude_self=key)
     d = nn.select(key, *group, "dist_km")
     return stations.select(key, *group).dropDuplicates([key, *group]).join(d, [key, *group], "left")
 

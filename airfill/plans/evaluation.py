@@ -101,7 +101,7 @@ def idw_predictions(fx: Fixtures, k: int = IDW_NEIGHBOURS) -> DataFrame:
     sites = st.select(F.col("station_eoi").alias("site"), "pollutant",
                       F.col("lat").alias("s_lat"), F.col("lon").alias("s_lon"))
     nbr = S.knn(st, sites, k, ["station_eoi", "pollutant"], "site", metric="haversine",
-                group=["pollutant"], exclude_self="station_eoi", checkpoint_inputs=False)
+                group=["pollutant"], exclude_self="station_eoi")
     obs = ts.select(F.col("station_eoi").alias("site"), "pollutant", "start_time", F.col("value").alias("v"))
     j = (ts.select("station_eoi", "pollutant", "start_time", "value")
            .join(nbr.select("station_eoi", "pollutant", "site", "dist_km"), ["station_eoi", "pollutant"])

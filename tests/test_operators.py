@@ -4,6 +4,8 @@ import datetime as dt
 import math
 import random
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from airfill.functions import display as D
@@ -87,7 +89,7 @@ def _points(n, seed):
 def test_knn_equals_brute_force(spark):
     pts = spark.createDataFrame(_points(60, 1), "pid string, lat double, lon double")
     sites = spark.createDataFrame(_points(40, 2), "site string, s_lat double, s_lon double")
-    got = S.knn(pts, sites, 3, ["pid"], "site", metric="haversine", start_km=5.0)
+    got = S.knn(pts, sites, 3, ["pid"], "site", metric="haversine")
     brute = (pts.crossJoin(sites)
                 .withColumn("d", S.METRICS["haversine"](F.col("lat"), F.col("lon"), F.col("s_lat"), F.col("s_lon"))))
     from pyspark.sql import Window
@@ -98,6 +100,74 @@ def test_knn_equals_brute_force(spark):
     assert a == b
 
 
+def _brute(points, sites, k, metric):
+    r = math.radians
+
+    def dist(a, b):
+        (la, lo), (lb, lp) = a, b
+        if metric == "haversine":
+            h = math.sin(r(lb - la) / 2) ** 2 + math.cos(r(la)) * math.cos(r(lb)) * math.sin(r(lp - lo) / 2) ** 2
+            return 2 * 6371.0 * math.asin(min(1, math.sqrt(h)))
+        c = {"planar": 1.0, "equirect_mean": math.cos(r((la + lb) / 2)), "equirect_point": math.cos(r(la))}[metric]
+        return math.hypot((lb - la) * 111.0, (lp - lo) * 111.0 * c)
+    return {(p, n + 1): (s, round(d, 6)) for p, at in points.items() for n, (d, s) in
+            enumerate(sorted((dist(at, b), s) for s, b in sites.items())[:k])}
+
+
+@pytest.mark.parametrize("metric", ["haversine", "planar", "equirect_mean", "equirect_point"])
+def test_knn_at_the_seam_poles_and_far_from_a_cluster(spark, metric):
+    rng = random.Random(6)
+    points = {0: (10.0, 179.99), 1: (10.0, -179.99), 2: (89.9, 20.0), 3: (-89.9, -100.0), 4: (-40.0, -150.0), 5: (50.0, 10.0),
+              6: (0.0, 180.0), 7: (0.0, -180.0), **{i: (rng.uniform(-85, 85), rng.uniform(-180, 180)) for i in range(10, 40)}}
+    sites = {i: (48 + rng.gauss(0, 0.2), 11 + rng.gauss(0, 0.2)) for i in range(300)}
+    sites |= {1000 + i: (rng.uniform(-88, 88), rng.uniform(-180, 180)) for i in range(60)}
+    sites |= {2000: (10.01, -179.98), 2001: (10.01, 179.98), 2002: (0.0, 179.9), 2003: (0.0, -179.9), 2004: (48.0, 11.0), 2005: (48.0, 11.0)}
+    p = spark.createDataFrame([(i, *at) for i, at in points.items()], "pid long, lat double, lon double")
+    s = spark.createDataFrame([(i, *at) for i, at in sites.items()], "site long, s_lat double, s_lon double")
+    got = {(r["pid"], r["rank"]): (r["site"], round(r["dist_km"], 6)) for r in S.knn(p, s, 3, ["pid"], "site", metric=metric).collect()}
+    assert got == _brute(points, sites, 3, metric)
+
+
+def test_far_points_do_not_meet_a_whole_cluster(spark):
+    n = 20000
+    s = spark.range(n).selectExpr("id site", "48 + (id % 141) / 141.0D s_lat", "11 + (id / 141) / 142.0D s_lon")
+    p = spark.range(40).selectExpr("id pid", "-30 - id / 4.0D lat", "-60 + id / 3.0D lon")
+    found = S.knn(p, s, 1, ["pid"], "site")
+    assert found.count() == 40
+    rows = _join_rows(found)
+    assert rows and max(rows) < 40 * n / 20  # candidates met, against 800,000 pairs
+
+
+def _join_rows(df):
+    """Output rows of each join of the plan that ran."""
+    plan = df._jdf.queryExecution().executedPlan()
+    df._jdf.queryExecution().toRdd().count()
+    out, stack = [], [plan.finalPhysicalPlan() if hasattr(plan, "finalPhysicalPlan") else plan]
+    while stack:
+        node = stack.pop()
+        name = node.nodeName()
+        if name.startswith("AdaptiveSparkPlan"):
+            stack.append(node.executedPlan())
+            continue
+        if "QueryStage" in name:
+            stack.append(node.plan())
+            continue
+        if "Join" in name and node.metrics().contains("numOutputRows"):
+            out.append(node.metrics().apply("numOutputRows").value())
+        kids = node.children()
+        stack += [kids.apply(i) for i in range(kids.size())]
+    return out
+
+
+@pytest.mark.parametrize("lon,other", [(179.98, -179.98), (-179.98, 179.98)])
+def test_radius_search_crosses_the_seam(spark, lon, other):
+    st = spark.createDataFrame([("A", 10.0, lon)], "station_eoi string, lat double, lon double")
+    px = spark.createDataFrame([(1, 10.0, other), (2, 10.0, lon + 1 if lon < 0 else lon - 1)],
+                               "pixel_id long, s_lat double, s_lon double")
+    got = S.nearest_within(st, px, 8.0, ["station_eoi"], "pixel_id").collect()
+    assert [r["pixel_id"] for r in got] == [1] and abs(got[0]["dist_km"] - 4.38) < 0.02
+
+
 def test_nearest_other_excludes_self(spark):
     st = spark.createDataFrame([("a", 50.0, 5.0), ("b", 50.0, 5.0), ("c", 51.0, 5.0)], "station_eoi string, lat double, lon double")
     got = {r["station_eoi"]: r["dist_km"] for r in S.nearest_other(st, "planar").collect()}
