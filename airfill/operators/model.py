@@ -7,7 +7,6 @@ a missing-flag column because Spark's trees reject NaN (trap T7).
 
 from __future__ import annotations
 
-import os
 from collections.abc import Sequence
 
 from pyspark.ml import Pipeline, PipelineModel
@@ -54,7 +53,7 @@ def validation_flag(group: str) -> F.Column:
 def out_of_fold(df: DataFrame, folds: DataFrame, features: Sequence[str], group: str = "station_eoi",
                 label: str = "value", keys: Sequence[str] = (), params: dict | None = None,
                 impute: Sequence[str] = ()) -> DataFrame:
-    """M5: leave-groups-out predictions. ``folds`` has (group, fold); for each fold i the
+    """M5: leave-groups-out predictions (None without folds). ``folds`` has (group, fold); for each fold i the
     model is fit on the other folds and scores fold i. Output: keys, label, prediction."""
     data = df.join(folds.select(group, "fold"), group, "inner")
     k = folds.agg(F.max("fold")).first()[0]
@@ -64,9 +63,9 @@ def out_of_fold(df: DataFrame, folds: DataFrame, features: Sequence[str], group:
         test = data.filter(F.col("fold") == i)
         model = fit(train, features, group, label, params, impute)
         parts.append(model.transform(test).select(*keys, group, label, "prediction"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+    out = None
+    for p in parts:
+        out = p if out is None else out.unionByName(p)
     return out
 
 
@@ -100,21 +99,25 @@ def save_model(model: PipelineModel, metrics: DataFrame, root: str, pollutant: s
     """SK3: save as ``<root>/air_quality_<pol>/v<N>`` (N = next version) and append a
     metrics row (pollutant, version, path, metrics...) to ``<root>/metrics``."""
     spark = metrics.sparkSession
-    mroot = os.path.join(root, "metrics")
-    try:
+    mroot = f"{root}/metrics"
+    prev = None
+    if _exists(spark, mroot):
         prev = spark.read.parquet(mroot).filter(F.col("pollutant") == pollutant).agg(F.max("version")).first()[0]
-    except Exception:  # noqa: BLE001 - no table yet
-        prev = None
     version = int(prev or 0) + 1
-    path = os.path.join(root, f"air_quality_{pollutant}", f"v{version}")
-    model.write().overwrite().save(path)
+    path = f"{root}/air_quality_{pollutant}/v{version}"
+    model.write().save(path)  # an existing version is an error, never overwritten
     (metrics.withColumns({"pollutant": F.lit(pollutant), "version": F.lit(version), "path": F.lit(path)})
             .write.mode("append").parquet(mroot))
     return path
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
 def latest_models(spark: SparkSession, root: str) -> DataFrame:
     """SK4: newest version per pollutant from the metrics table (``max_by``)."""
-    m = spark.read.parquet(os.path.join(root, "metrics"))
+    m = spark.read.parquet(f"{root}/metrics")
     return m.groupBy("pollutant").agg(F.max("version").alias("version"),
                                       F.max_by("path", "version").alias("path"))

@@ -16,8 +16,8 @@ from airfill.functions.text import country_code, station_code, to_number
 # Fixed values
 # exclusive physical label bounds per pollutant
 LABEL_BOUNDS = {"no2": (0.0, 500.0), "pm25": (0.0, 800.0)}
-# metadata notation -> our pollutant code
-NOTATION_TO_POLLUTANT = {"NO2": "no2", "PM2.5": "pm25"}
+# first year of labels
+MIN_YEAR = 2019
 LABEL_COLUMNS = ["sampling_point", "station_eoi", "pollutant", "value", "lat", "lon",
                  "altitude", "station_area", "station_type", "country", "start_time",
                  "end_time", "validity"]
@@ -83,15 +83,18 @@ def dedupe_latest(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -
     return df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") == 1).drop("_rn")
 
 
-def label_rows(raw: DataFrame, meta: DataFrame, min_year: int | None = 2024) -> DataFrame:
-    """Q1 before deduplication: placed, shaped rows plus ``dataset`` and ``row_id``."""
+def label_rows(raw: DataFrame, meta: DataFrame, min_year: int | None = MIN_YEAR) -> DataFrame:
+    """Q1 before deduplication: placed, shaped rows plus ``dataset`` and ``row_id``. The end is
+    the file's own where it has one, else an hour after the start."""
     placed = place_on_stations(clean_readings(raw, min_year), meta)
+    hour = F.col("start_time") + F.expr("INTERVAL 1 HOUR")
+    end = F.coalesce(F.col("end_time"), hour) if "end_time" in raw.columns else hour
     return placed.select(
         F.col("samplingpoint").alias("sampling_point"), "station_eoi", "pollutant", "value",
         "lat", "lon", "altitude", "station_area", "station_type",
         country_code(F.col("station_eoi")).alias("country"),
         "start_time",
-        (F.col("start_time") + F.expr("INTERVAL 1 HOUR")).alias("end_time"),
+        end.alias("end_time"),
         F.col("validity").cast("long").alias("validity"),
         "dataset", "row_id")
 
@@ -105,7 +108,7 @@ def label_order() -> list[Column]:
 LABEL_KEYS = ["sampling_point", "start_time"]
 
 
-def label_table(raw: DataFrame, meta: DataFrame, min_year: int | None = 2024) -> DataFrame:
+def label_table(raw: DataFrame, meta: DataFrame, min_year: int | None = MIN_YEAR) -> DataFrame:
     """Q1: hourly labels placed on stations, globally deduplicated (T2: verified
     dataset 2 wins over up-to-date dataset 1, then the lowest row id; row ids can
     repeat, so the higher validity and then the lower value break the last ties)."""

@@ -6,6 +6,7 @@ M14 importance, M15 low-confidence flags, AG15 drift, SK3/SK4 model registry.
 
 from __future__ import annotations
 
+from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,7 +18,7 @@ from airfill.operators import readings as R
 from airfill.operators import spatial as S
 from airfill.plans import field as FLD
 from airfill.plans import satellite, training
-from airfill.session import checkpoint, scratch_path
+from airfill.session import checkpoint, scratch_path, written
 from airfill.sources.fixtures import Fixtures
 
 # Fixed values
@@ -45,57 +46,80 @@ def spatial_folds(fx: Fixtures) -> DataFrame:
 def _model_inputs(fx: Fixtures) -> tuple[DataFrame, list[str]]:
     ts = training.training_set(fx)
     ts, flags = MD.with_missing_flags(ts, NULLABLE)
-    return ts, FE.feature_columns(ts) + flags
+    return ts, FE.feature_columns(ts, weather=("temp", "wind_dir"), priors=("cams_no2", "cams_pm25")) + flags
 
 
-def gbt_report(fx: Fixtures, params: dict | None = None) -> DataFrame:
-    """Q5 / M9: leave-stations-out GBT vs the raw prior per pollutant, with the error
-    reduction (AG7). The training set is checkpointed once; folds come from M3."""
+def out_of_fold(fx: Fixtures, params: dict | None = None) -> DataFrame:
+    """M5: leave-stations-out predictions of every pollutant (folds of M3), written once."""
     ts, feats = _model_inputs(fx)
-    ts = checkpoint(ts)
+    ts = written(ts, "oof-inputs")
     folds = FO.balanced_folds(ts, "station_eoi", K_FOLDS, by=["pollutant"])
-    parts = []
+    out = None
     for pol in FE.PRIOR_OF:
-        sub = ts.filter(F.col("pollutant") == pol)
         fpol = folds.filter(F.col("pollutant") == pol).select("station_eoi", "fold")
-        oof = MD.out_of_fold(sub, fpol, feats, keys=["pollutant", "start_time", "prior"],
-                             params=params, impute=NULLABLE)
-        parts.append(oof)
-    oof = parts[0].unionByName(parts[1]) if len(parts) > 1 else parts[0]
+        oof = MD.out_of_fold(ts.filter(F.col("pollutant") == pol), fpol, feats,
+                             keys=["pollutant", "start_time", "prior", "lat", "lon", "fold"], params=params, impute=NULLABLE)
+        if oof is not None:
+            out = oof if out is None else out.unionByName(oof)
+    return written(out, "oof")
+
+
+def oof_metrics(oof: DataFrame) -> DataFrame:
+    """M9 + AG7 on out-of-fold rows: model beside prior, with the error reduction."""
     rep = M.report(oof, ["pollutant"], "value", {"model": "prediction", "prior": "prior"})
     return rep.withColumns({"rmse_reduction": M.reduction("model_rmse", "prior_rmse"),
                             "mae_reduction": M.reduction("model_mae", "prior_mae")})
 
 
-def importance_and_registry(fx: Fixtures, params: dict | None = None) -> DataFrame:
-    """M7 + M14 + SK3 + SK4: final fit per pollutant on all rows, saved under the
-    checkpoint folder with its metrics; returns the importances of the newest
-    registered version of each pollutant."""
+def gbt_report(fx: Fixtures, params: dict | None = None) -> DataFrame:
+    """Q5: leave-stations-out GBT vs the raw prior per pollutant."""
+    return oof_metrics(out_of_fold(fx, params))
+
+
+def model_mae_by_distance(fx: Fixtures, params: dict | None = None) -> DataFrame:
+    """AG8 as the source reports it: out-of-fold model MAE beside the prior's, per pollutant and
+    distance bin to the nearest other station."""
+    withd = training.with_nearest_other(fx, out_of_fold(fx, params))
+    return M.mae_by_distance(withd, ["pollutant"], "value", "dist_km", {"model": "prediction", "prior": "prior"})
+
+
+def trained_models(fx: Fixtures, root: str, params: dict | None = None) -> tuple[dict, list[str]]:
+    """M7 + SK3 + SK4: the final fit of each pollutant on all rows, registered under ``root`` with
+    its out-of-fold metrics, and the newest registered models read back."""
     spark = fx.spark
     ts, feats = _model_inputs(fx)
-    ts = checkpoint(ts)
-    root = scratch_path(spark, "models")
-    out = None
+    ts = written(ts, "train-inputs")
+    held_out = written(gbt_report(fx, params), "oof-metrics")
     for pol in FE.PRIOR_OF:
         sub = ts.filter(F.col("pollutant") == pol)
-        model = MD.fit(sub, feats, params=params, impute=NULLABLE)
-        metrics = M.report(MD.score(sub, model, "prior"), [], "value", {"train": "prediction"}, station=None)
-        MD.save_model(model, metrics, root, pol)
-    latest = MD.latest_models(spark, root)
-    for row in latest.collect():  # one row per pollutant
-        from pyspark.ml import PipelineModel
-        m = PipelineModel.load(row["path"])
-        imp = (MD.feature_importance(spark, m, feats)
-                 .withColumns({"pollutant": F.lit(row["pollutant"]), "version": F.lit(row["version"])}))
+        if not sub.isEmpty():
+            MD.save_model(MD.fit(sub, feats, params=params, impute=NULLABLE),
+                          held_out.filter(F.col("pollutant") == pol).drop("pollutant"), root, pol)
+    return {r["pollutant"]: (r["version"], PipelineModel.load(r["path"])) for r in MD.latest_models(spark, root).collect()}, feats
+
+
+def importance_and_registry(fx: Fixtures, params: dict | None = None) -> DataFrame:
+    """Importances of the newest registered version of each pollutant."""
+    models, feats = trained_models(fx, scratch_path(fx.spark, "models"), params)
+    out = None
+    for pol, (version, m) in sorted(models.items()):
+        imp = (MD.feature_importance(fx.spark, m, feats)
+                 .withColumns({"pollutant": F.lit(pol), "version": F.lit(version)}))
         out = imp if out is None else out.unionByName(imp)
     return out
 
 
+def model_field(fx: Fixtures, params: dict | None = None) -> DataFrame:
+    """Q6 in model mode: the newest registered models score the whole field."""
+    models, _ = trained_models(fx, scratch_path(fx.spark, "models"), params)
+    return FLD.field(fx, {pol: m for pol, (_, m) in models.items()})
+
+
 def idw_predictions(fx: Fixtures, k: int = IDW_NEIGHBOURS) -> DataFrame:
     """Inverse-distance (1/d^2, great circle) estimate of each label from the k
     nearest *other* stations measuring the pollutant at the same hour; a co-located
     neighbour (d = 0) gives its value directly."""
-    ts = training.training_set(fx).select("station_eoi", "pollutant", "start_time", "value", "lat", "lon")
+    ts = written(training.training_set(fx).select("station_eoi", "pollutant", "start_time", "value", "lat", "lon"), "idw-labels")
     st = ts.groupBy("station_eoi", "pollutant").agg(*R.first_non_null(["lat", "lon"], F.col("start_time")))
     st = checkpoint(st)
     sites = st.select(F.col("station_eoi").alias("site"), "pollutant",
@@ -104,19 +128,22 @@ def idw_predictions(fx: Fixtures, k: int = IDW_NEIGHBOURS) -> DataFrame:
                 group=["pollutant"], exclude_self="station_eoi")
     obs = ts.select(F.col("station_eoi").alias("site"), "pollutant", "start_time", F.col("value").alias("v"))
     j = (ts.select("station_eoi", "pollutant", "start_time", "value")
-           .join(nbr.select("station_eoi", "pollutant", "site", "dist_km"), ["station_eoi", "pollutant"])
-           .join(obs, ["site", "pollutant", "start_time"]))
+           .join(nbr.select("station_eoi", "pollutant", "site", "dist_km"), ["station_eoi", "pollutant"], "left")
+           .join(obs, ["site", "pollutant", "start_time"], "left"))
     d2 = F.col("dist_km") * F.col("dist_km")
     zero = F.avg(F.when(F.col("dist_km") == 0, F.col("v")))
     idw = F.try_divide(F.sum(F.when(F.col("dist_km") > 0, F.col("v") / d2)),
-                       F.sum(F.when(F.col("dist_km") > 0, F.lit(1.0) / d2)))
+                       F.sum(F.when((F.col("dist_km") > 0) & F.col("v").isNotNull(), F.lit(1.0) / d2)))
     return (j.groupBy("station_eoi", "pollutant", "start_time", "value")
-             .agg(F.coalesce(zero, idw).alias("idw"), F.count(F.lit(1)).alias("neighbours")))
+             .agg(F.coalesce(zero, idw).alias("idw"), F.count("v").alias("neighbours")))
 
 
 def idw_report(fx: Fixtures) -> DataFrame:
-    """M10 + AG6: IDW baseline metrics per pollutant."""
-    return M.report(idw_predictions(fx), ["pollutant"], "value", {"idw": "idw"})
+    """M10 + AG6: IDW baseline metrics per pollutant over the labels with a neighbour value that
+    hour, and how many labels have none."""
+    p = written(idw_predictions(fx), "idw")
+    none = p.groupBy("pollutant").agg(F.sum(F.when(F.col("idw").isNull(), 1).otherwise(0)).alias("without_neighbour"))
+    return M.report(p.where(F.col("idw").isNotNull()), ["pollutant"], "value", {"idw": "idw"}).join(none, "pollutant")
 
 
 def training_targets(fx: Fixtures) -> DataFrame:
@@ -164,9 +191,8 @@ def low_confidence(fx: Fixtures) -> DataFrame:
     ts = training.training_set(fx)
     rng = ts.groupBy("pollutant").agg(F.min("prior").alias("p_lo"), F.max("prior").alias("p_hi"),
                                       F.min("temp").alias("t_lo"), F.max("temp").alias("t_hi"))
-    cond = FLD.conditions(fx).select("row", "col", "valid_time", "temp", "cams_pm25", "cams_no2")
-    f = FLD.field(fx).join(cond, ["row", "col", "valid_time"], "inner")
-    prior = F.when(F.col("pollutant") == "pm25", F.col("cams_pm25")).otherwise(F.col("cams_no2"))
+    f = FLD.full_field(fx)
+    prior = F.col("prior")
     # one row per pollutant: broadcast of a proven small table
     j = f.join(F.broadcast(rng), "pollutant", "left")
     far = F.coalesce(F.col("dist_km") > FLD.HOTSPOT_KM, F.lit(True))

@@ -1,24 +1,28 @@
 """The continental field and its readers (Q6, Q7, Q8, Q10; J8, J10, J13, J14, W4, F12-F18).
 
-The field is a long table (grid point x hour x pollutant) rather than per-hour frames.
-Conditions come from the 0.25-degree weather cells (the nearest cell centre within
-50 km, a bucketed radius search, then an equi join on the cell); in prior mode the
-value is the pollutant's prior. The distance
-to the nearest station is computed once per grid point (exact ring kNN, F9 metric),
-never per hour.
+The field is a long table (grid point x hour x pollutant) rather than per-hour frames, and
+holds every point and hour of the window, without a value where the priors are missing.
+Conditions come from the nearest 0.25-degree weather cell (exact nearest search, then an
+equi join on cell and hour). The value is the newest registered model's, or the
+pollutant's prior without one. The distance to the nearest station is computed once per
+grid point (F9 metric), never per hour.
 """
 
 from __future__ import annotations
 
+from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from airfill.functions import display as D
 from airfill.functions import geo
 from airfill.functions import text as TX
+from airfill.operators import features as FE
+from airfill.operators import model as MD
 from airfill.operators import readings as R
 from airfill.operators import spatial as S
 from airfill.plans import ingest
+from airfill.session import checkpoint
 from airfill.sources.fixtures import Fixtures
 
 # Fixed values
@@ -27,9 +31,7 @@ HOTSPOT_KM = 25.0
 HOTSPOT_N = 6
 NEAREST_N = 3
 POLLUTANTS = ("pm25", "no2")
-PRIOR_OF = {"pm25": "cams_pm25", "no2": "cams_no2"}
 CELL_DEG = 0.25
-CELL_REACH_KM = 50.0
 
 
 def field_stations(fx: Fixtures) -> DataFrame:
@@ -48,54 +50,91 @@ def grid_distance(fx: Fixtures) -> DataFrame:
                 .select("row", "col", "lat", "lon", F.round("dist_km", 1).alias("dist_km")))
 
 
-def conditions(fx: Fixtures, reach_km: float = CELL_REACH_KM) -> DataFrame:
-    """J14 + W4: grid point x hour conditions inside +-12 h of "now" (the newest hour of
-    the weather table, a scalar subquery). Each grid point takes the nearest weather
-    cell centre within ``reach_km`` (great circle; ties to the lower cell id), found
-    by the bucketed radius search, then that cell's hours (an equi join)."""
-    spark = fx.spark
-    cw = spark.sql(
-        f"SELECT * FROM {{cw}} WHERE valid_time BETWEEN "
-        f"(SELECT max(valid_time) FROM {{cw}}) - INTERVAL {WINDOW_H} HOURS AND "
-        f"(SELECT max(valid_time) FROM {{cw}}) + INTERVAL {WINDOW_H} HOURS", cw=fx.cell_weather)
+def hours_around(fx: Fixtures, now: str | None = None) -> DataFrame:
+    """One row (first_hour, last_hour, now) of the window of +-12 h on the hourly axis of the
+    weather table. A ``now`` off the axis, or none, is the axis' middle hour."""
+    given = F.lit(now).cast("timestamp_ntz")
+    axis = fx.cell_weather.agg(F.min("valid_time").alias("lo"), F.max("valid_time").alias("hi"))
+    n = F.timestamp_diff("HOUR", F.col("lo"), F.col("hi")) + 1
+    hour = F.timestamp_diff("HOUR", F.col("lo"), F.date_trunc("HOUR", given).cast("timestamp_ntz"))
+    axis = axis.withColumns({"n": n}).withColumn("c", F.coalesce(
+        F.when((hour >= 0) & (hour < F.col("n")), hour), F.floor(F.col("n") / 2)).cast("long"))
+
+    def at(i):
+        return F.timestamp_add("HOUR", i.cast("int"), F.col("lo"))
+
+    return axis.where(F.col("lo").isNotNull()).select(
+        at(F.greatest(F.lit(0), F.col("c") - WINDOW_H)).alias("first_hour"),
+        at(F.least(F.col("n") - 1, F.col("c") + WINDOW_H)).alias("last_hour"), at(F.col("c")).alias("now"))
+
+
+def conditions(fx: Fixtures, now: str | None = None) -> DataFrame:
+    """J14 + W4: conditions of every grid point at every hour of the window; NULL where its
+    weather cell has no row for the hour. A point's cell is the one with the nearest centre
+    (great circle; ties to the lower cell id)."""
     cell_id = (geo.cell_index(F.col("clat"), CELL_DEG) * F.lit(100000)
                + geo.cell_index(F.col("clon"), CELL_DEG))
-    cw = cw.withColumn("cell_id", cell_id)
+    cw = fx.cell_weather.withColumn("cell_id", cell_id)
     cells = cw.select("cell_id", F.col("clat").alias("s_lat"), F.col("clon").alias("s_lon")).distinct()
-    grid = S.grid_points(spark)
-    near = S.nearest_within(grid, cells, reach_km, ["row", "col"], "cell_id", metric="haversine")
-    g = grid.join(near.select("row", "col", "cell_id"), ["row", "col"], "inner")
-    return g.join(cw, "cell_id", "inner").drop("cell_id", "clat", "clon")
-
-
-def field(fx: Fixtures) -> DataFrame:
-    """Q6 in prior mode: value per grid point, hour and pollutant (NULL where either
-    prior is missing, P16/T9; clamped at 0, F12; 0.1 resolution) with distance and
-    trust class."""
-    cond = conditions(fx)
+    grid = S.grid_points(fx.spark)
+    near = S.knn(grid, cells, 1, ["row", "col"], "cell_id", metric="haversine").select("row", "col", "cell_id")
+    # the window's bounds are scalar subqueries: no join, and they reach the scan as filters
+    w = hours_around(fx, now)
+    hourly = fx.spark.sql("SELECT *, explode(sequence((SELECT first_hour FROM {w}), (SELECT last_hour FROM {w}), "
+                          "INTERVAL 1 HOUR)) AS valid_time FROM {g}", w=w, g=grid.join(near, ["row", "col"], "left"))
+    recent = fx.spark.sql("SELECT * FROM {c} WHERE valid_time BETWEEN (SELECT first_hour FROM {w}) "
+                          "AND (SELECT last_hour FROM {w})", w=w, c=cw)
+    return hourly.join(recent.drop("clat", "clon"), ["cell_id", "valid_time"], "left").drop("cell_id")
+
+
+def predicted(cond: DataFrame, pollutant: str, model: PipelineModel | None) -> DataFrame:
+    """M8: ``cond`` with ``value``: the model's estimate for a neutral station (no local
+    source) at each point, or the prior without a model; clamped at 0, one decimal, NULL
+    where either prior is missing (P16 / T9)."""
     ok = F.col("cams_pm25").isNotNull() & F.col("cams_no2").isNotNull()
-    long = cond.select(
-        "row", "col", "lat", "lon", "valid_time",
-        F.explode(F.array(*[F.struct(F.lit(p).alias("pollutant"),
-                                     F.when(ok, F.round(D.clamp0(F.col(c)), 1)).alias("value"))
-                            for p, c in PRIOR_OF.items()])).alias("_v"))
-    long = long.select("row", "col", "lat", "lon", "valid_time", "_v.pollutant", "_v.value")
+    prior = FE.PRIOR_OF[pollutant]
+    df = cond
+    if model is not None:
+        df = FE.with_temporal(df, "valid_time", digits=6).withColumns({
+            "altitude": F.lit(0.0), "altitude_missing": F.lit(0.0),
+            **{f"{c}_{v}": F.lit(float(FE.NEUTRAL[c] == v)) for c, vs in FE.CATEGORIES.items() for v in vs}})
+    scored = MD.score(df, model, prior)
+    return scored.select(*cond.columns, F.lit(pollutant).alias("pollutant"), F.col(prior).alias("prior"),
+                         F.when(ok, F.round(D.clamp0(F.col("prediction")), 1)).alias("value"))
+
+
+def full_field(fx: Fixtures, models: dict[str, PipelineModel] | None = None, now: str | None = None) -> DataFrame:
+    """Every grid point x hour x pollutant with its conditions, value, prior, distance, trust
+    class and status. ``status`` is "model" as soon as any pollutant has a model."""
+    cond = conditions(fx, now)
+    if models:  # read once per pollutant by the model stages
+        cond = checkpoint(cond)
+    parts = [predicted(cond, p, (models or {}).get(p)) for p in POLLUTANTS]
     dist = grid_distance(fx).select("row", "col", "dist_km")
-    return (long.join(dist, ["row", "col"], "left")
-                .withColumns({"trust": D.trust_class(F.col("dist_km")), "status": F.lit("cams-prior")}))
+    return (parts[0].unionByName(parts[1]).join(dist, ["row", "col"], "left")
+            .withColumns({"trust": D.trust_class(F.col("dist_km")),
+                          "status": F.lit("model" if models else "cams-prior")}))
+
+
+FIELD_COLUMNS = ["row", "col", "lat", "lon", "valid_time", "pollutant", "value", "dist_km", "trust", "status"]
+
+
+def field(fx: Fixtures, models: dict[str, PipelineModel] | None = None, now: str | None = None) -> DataFrame:
+    """Q6: the whole grid x window x pollutants."""
+    return full_field(fx, models, now).select(*FIELD_COLUMNS)
 
 
-def now_frame(fx: Fixtures) -> DataFrame:
-    """The field at "now" (newest hour), via a scalar subquery."""
-    f = field(fx)
-    return fx.spark.sql("SELECT * FROM {f} WHERE valid_time = (SELECT max(valid_time) FROM {f})", f=f)
+def now_frame(fx: Fixtures, models: dict[str, PipelineModel] | None = None, now: str | None = None) -> DataFrame:
+    """The field at "now", via a scalar subquery."""
+    return fx.spark.sql("SELECT * FROM {f} WHERE valid_time = (SELECT now FROM {w})",
+                        f=full_field(fx, models, now), w=hours_around(fx, now))
 
 
-def hotspots(fx: Fixtures, n: int = HOTSPOT_N) -> DataFrame:
+def hotspots(fx: Fixtures, n: int = HOTSPOT_N, models: dict[str, PipelineModel] | None = None) -> DataFrame:
     """Q7 / T-1: per pollutant the ``n`` highest values farther than 25 km from any
     station (ties: lat, lon), with the sentence of F24. ``row_number <= n`` is planned
     with a partial per-partition limit before the shuffle."""
-    f = now_frame(fx).filter(F.col("value").isNotNull() & (F.col("dist_km") > HOTSPOT_KM))
+    f = now_frame(fx, models).filter(F.col("value").isNotNull() & (F.col("dist_km") > HOTSPOT_KM))
     w = Window.partitionBy("pollutant").orderBy(F.col("value").desc(), "lat", "lon")
     top = f.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n)
     return top.select("pollutant", "rank", "lat", "lon", "value", "dist_km",
@@ -103,13 +142,14 @@ def hotspots(fx: Fixtures, n: int = HOTSPOT_N) -> DataFrame:
                                           F.col("dist_km")).alias("text"))
 
 
-def point_report(fx: Fixtures) -> DataFrame:
+def point_report(fx: Fixtures, models: dict[str, PipelineModel] | None = None) -> DataFrame:
     """Q8: the point report for every grid point in the theatre (P11) that has both
-    priors now: values, priors, three nearest stations (J8, F8 metric) and reasons."""
-    f = now_frame(fx).filter(geo.in_theatre(F.col("lat"), F.col("lon")))
-    wide = (f.groupBy("row", "col", "lat", "lon")
-             .pivot("pollutant", list(POLLUTANTS)).agg(F.first("value"))
-             .filter(F.col("pm25").isNotNull()))
+    priors now: values, priors, three nearest stations (J8, F8 metric), weather and reasons."""
+    f = now_frame(fx, models).filter(geo.in_theatre(F.col("lat"), F.col("lon")) & F.col("value").isNotNull())
+    wide = (f.groupBy("row", "col", "lat", "lon", "temp", "wind_dir")
+             .pivot("pollutant", list(POLLUTANTS))
+             .agg(F.first("value").alias("value"), F.first(F.round(F.col("prior"), 1)).alias("prior")))
+    wide = checkpoint(wide)
     st = field_stations(fx).select(F.col("station_eoi").alias("site"),
                                    F.col("lat").alias("s_lat"), F.col("lon").alias("s_lon"))
     nn = S.knn(wide.select("row", "col", "lat", "lon"), st, NEAREST_N, ["row", "col"], "site",
@@ -118,27 +158,29 @@ def point_report(fx: Fixtures) -> DataFrame:
               .agg(F.sort_array(F.collect_list(F.struct("rank", "site", F.round("dist_km", 1).alias("d"))))
                    .alias("_n")))
     j = wide.join(near, ["row", "col"], "left")
-    first = F.col("_n")[0]
-    reasons = TX.reasons(F.lit(False), F.col("pm25"), F.col("pm25"), F.col("no2"), F.col("no2"),
-                         first["site"], first["d"])
+    first = F.get(F.col("_n"), F.lit(0))
+    reasons = TX.reasons(F.lit(bool(models)), F.col("pm25_value"), F.col("pm25_prior"), F.col("no2_value"),
+                         F.col("no2_prior"), first["site"], first["d"])
     return j.select(
-        "lat", "lon", F.col("pm25").alias("pm25_value"), F.col("pm25").alias("pm25_prior"),
-        F.col("no2").alias("no2_value"), F.col("no2").alias("no2_prior"),
+        "lat", "lon", "pm25_value", "pm25_prior", "no2_value", "no2_prior",
+        F.round("temp", 1).alias("temp"), F.round("wind_dir", 1).alias("wind_dir"),
         F.concat_ws(",", F.transform("_n", lambda x: F.format_string("%s:%.1f", x["site"], x["d"])))
          .alias("nearest"),
         F.concat_ws("; ", reasons).alias("reasons"))
 
 
-def mosaic(fx: Fixtures, pollutant: str = "pm25") -> DataFrame:
+def mosaic(fx: Fixtures, models: dict[str, PipelineModel] | None = None) -> DataFrame:
     """Q10: display points (satellite pixel centres) -> nearest grid cell by rounding
-    (J13) -> colour by trust ramp (F18) and opacity by value and distance (F17)."""
-    f = now_frame(fx).filter((F.col("pollutant") == pollutant) & F.col("value").isNotNull())
+    (J13) -> colour by trust ramp (F18) and opacity by value and distance (F17), for each
+    pollutant."""
+    f = now_frame(fx, models).filter(F.col("value").isNotNull())
     ir, ic = S.grid_cell_of(F.col("lat"), F.col("lon"))
     pts = fx.pixels.select("pixel_id", ir.alias("row"), ic.alias("col")).filter(F.col("row").isNotNull())
-    j = pts.join(f.select("row", "col", "value", "dist_km"), ["row", "col"], "inner")
-    t = F.least(F.lit(1.0), F.col("value") / F.lit(D.VMAX[pollutant]))
+    j = pts.join(f.select("row", "col", "pollutant", "value", "dist_km"), ["row", "col"], "inner")
+    most = F.when(F.col("pollutant") == "pm25", F.lit(D.VMAX["pm25"])).otherwise(F.lit(D.VMAX["no2"]))
+    t = F.least(F.lit(1.0), F.col("value") / most)
     colour = F.when(F.col("dist_km") <= D.VERIFIED_KM, D.ramp(t, D.MEAS_STOPS)).otherwise(D.ramp(t, D.PRED_STOPS))
-    return j.select("pixel_id", "row", "col", "value", "dist_km",
+    return j.select("pixel_id", "row", "col", "pollutant", "value", "dist_km",
                     colour.alias("_c"), F.round(D.opacity(t, F.col("dist_km")), 4).alias("alpha")) \
-            .select("pixel_id", "row", "col", "value", "dist_km",
+            .select("pixel_id", "row", "col", "pollutant", "value", "dist_km",
                     F.col("_c.r").alias("r"), F.col("_c.g").alias("g"), F.col("_c.b").alias("b"), "alpha")

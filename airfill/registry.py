@@ -33,6 +33,7 @@ def _on_fixtures(fn) -> Query:
 QUERIES: dict[str, Query] = {
     "station_metadata": _on_fixtures(lambda fx: R.station_metadata(fx.station_points)),
     "q1_labels": _on_fixtures(ingest.labels),
+    "labels_from_files": _on_fixtures(ingest.labels_from_files),
     "q2_station_features": _on_fixtures(ingest.station_features),
     "asof_join": _on_fixtures(training.feature_view),
     "q4_training_set": _on_fixtures(training.training_set),
@@ -50,6 +51,7 @@ QUERIES: dict[str, Query] = {
     "q3_satellite_daily": _on_fixtures(satellite.satellite_daily),
     "grid_distance": _on_fixtures(field.grid_distance),
     "q6_field": _on_fixtures(field.field),
+    "q6_field_model": _on_fixtures(evaluation.model_field),
     "hotspots": _on_fixtures(field.hotspots),
     "point_report": _on_fixtures(field.point_report),
     "mosaic": _on_fixtures(field.mosaic),
@@ -61,6 +63,7 @@ QUERIES: dict[str, Query] = {
     "low_confidence": _on_fixtures(evaluation.low_confidence),
     "feature_drift": _on_fixtures(evaluation.feature_drift),
     "gbt_oof": _on_fixtures(evaluation.gbt_report),
+    "model_mae_by_distance": _on_fixtures(evaluation.model_mae_by_distance),
     "feature_importance": _on_fixtures(evaluation.importance_and_registry),
     "stream_dedupe": _on_fixtures(lambda fx: ST.dedupe_stream(fx.spark, fx.stream_readings)),
     "stream_latest": _on_fixtures(lambda fx: ST.latest_stream(fx.spark, fx.stream_readings)),

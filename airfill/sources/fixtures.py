@@ -8,8 +8,12 @@ catalog and no session setting is touched.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 
+from airfill.session import written
+
 BASE_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem",
                "events", "documents", "embeddings", "pages", "benchmark", "labels",
                "conversations")
@@ -156,6 +160,13 @@ class Fixtures:
                 raise KeyError(name)
         return self._cache[name]
 
+    def shared(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+        """A table several parts of one query read: written to the shared folder the first time."""
+        key = f"shared:{name}"
+        if key not in self._cache:
+            self._cache[key] = written(build(), name)
+        return self._cache[key]
+
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_"):
             raise AttributeError(name)

@@ -35,12 +35,18 @@ PREDICTION_SCHEMA = T.StructType([
     T.StructField("prior", T.DoubleType()),
 ])
 WATERMARK = "2 hours"
+#: Files of a delivery, and of a micro-batch.
+FILES = 8
 
 
-def stage_files(df: DataFrame, path: str, time_col: str, chunks: int = 4, replay: bool = False) -> str:
-    """Write ``df`` as ``chunks`` time-ordered file batches (one write each, so file
-    times follow event time), optionally followed by a replay of all rows (an
-    at-least-once redelivery). Event time is cast to TIMESTAMP."""
+def stage_files(df: DataFrame, path: str, time_col: str, chunks: int = 4, files: int = FILES,
+                key: str | None = None, late: int = 0) -> str:
+    """Write ``df`` as ``chunks`` deliveries that follow event time, ``files`` files each, rows
+    in no order within a delivery. Event time is cast to TIMESTAMP.
+
+    ``late`` > 0 makes it an at-least-once feed with late rows: every delivery brings the
+    last hour of the one before again, and rows whose ``key`` is divisible by ``late`` come
+    a last time, and for the first time, in a delivery of their own at the end."""
     data = df.withColumn(time_col, F.col(time_col).cast("timestamp"))
     bounds = data.select(F.min(time_col).cast("double").alias("a"), F.max(time_col).cast("double").alias("b")).first()
     lo, hi = bounds["a"], bounds["b"]
@@ -49,17 +55,20 @@ def stage_files(df: DataFrame, path: str, time_col: str, chunks: int = 4, replay
         return path
     step = (hi - lo) / chunks or 1.0
     t = F.col(time_col).cast("double")
+    held = F.pmod(F.col(key), F.lit(late)) == 0 if late else F.lit(False)
+    again = 3600.0 if late else 0.0
     for i in range(chunks):
-        cond = (t >= lo + i * step) & ((t < lo + (i + 1) * step) if i < chunks - 1 else F.lit(True))
-        data.filter(cond).coalesce(1).write.mode("append").parquet(path)
-    if replay:
-        data.coalesce(1).write.mode("append").parquet(path)
+        cond = (t >= lo + i * step - again) & ((t < lo + (i + 1) * step) if i < chunks - 1 else F.lit(True)) & ~held
+        data.filter(cond).repartition(files).write.mode("append").parquet(path)
+    if late:
+        data.filter(held).repartition(files).write.mode("append").parquet(path)
     return path
 
 
-def read_stream(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """File source, one file per micro-batch (so watermarks advance between batches)."""
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+def read_stream(spark: SparkSession, path: str, schema: T.StructType, files: int = FILES) -> DataFrame:
+    """File source, one delivery of ``files`` files per micro-batch at most (so watermarks
+    advance between batches)."""
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path)
 
 
 def _drain(writer, ckpt: str) -> None:
@@ -73,21 +82,33 @@ def _ntz(df: DataFrame, *cols: str) -> DataFrame:
     return df.withColumns({c: F.col(c).cast("timestamp_ntz") for c in cols})
 
 
-def dedupe_stream(spark: SparkSession, readings: DataFrame, watermark: str = WATERMARK) -> DataFrame:
-    """ST1: clean (finite value) and deduplicate a redelivered reading stream on
-    (station, pollutant, event time) within the watermark; the result is appended
-    to a Parquet sink and returned as a batch DataFrame."""
+STREAM_KEY = ["station_eoi", "pollutant", "start_time"]
+
+
+def dedupe_stream(spark: SparkSession, readings: DataFrame, watermark: str = WATERMARK, late: int = 50) -> DataFrame:
+    """ST1 + ST8: clean (finite value) and deduplicate a redelivered, unordered reading stream on
+    (station, pollutant, event time) within the watermark into a Parquet sink. Rows later
+    than the watermark, which the stream has to drop, are then found in the source by their
+    missing key and upserted (SK1), so that the table holds what a batch run would."""
     root = scratch_path(spark, "st1")
-    src = stage_files(readings, os.path.join(root, "in"), "start_time", replay=True)
-    s = read_stream(spark, src, READING_SCHEMA)
+    src = stage_files(readings, os.path.join(root, "in"), "start_time", key="event_id", late=late)
     v = F.col("value")
-    clean = (s.filter(v.isNotNull() & ~F.isnan(v))
-              .withWatermark("start_time", watermark)
-              .dropDuplicatesWithinWatermark(["station_eoi", "pollutant", "start_time"]))
+
+    def clean(df: DataFrame) -> DataFrame:
+        return df.filter(v.isNotNull() & ~F.isnan(v))
+
+    s = (clean(read_stream(spark, src, READING_SCHEMA)).withWatermark("start_time", watermark)
+         .dropDuplicatesWithinWatermark(STREAM_KEY))
     out = os.path.join(root, "out")
-    _drain(clean.writeStream.format("parquet").option("path", out).outputMode("append"),
+    _drain(s.writeStream.format("parquet").option("path", out).outputMode("append"),
            os.path.join(root, "ckpt"))
-    return _ntz(spark.read.schema(READING_SCHEMA).parquet(out), "start_time")
+    table = os.path.join(root, "table")
+    live = spark.read.schema(READING_SCHEMA).parquet(out)
+    day = F.to_date("start_time")
+    upsert(live.withColumn("day", day), table, STREAM_KEY, [-F.col("event_id")], "day", os.path.join(root, "staging"))
+    missed = clean(spark.read.schema(READING_SCHEMA).parquet(src)).join(live.select(*STREAM_KEY), STREAM_KEY, "left_anti")
+    upsert(missed.withColumn("day", day), table, STREAM_KEY, [-F.col("event_id")], "day", os.path.join(root, "staging"))
+    return _ntz(spark.read.parquet(table).select(*READING_SCHEMA.fieldNames()), "start_time")
 
 
 def latest_stream(spark: SparkSession, readings: DataFrame) -> DataFrame:
@@ -169,16 +190,18 @@ def enriched_stream(spark: SparkSession, readings: DataFrame, features: DataFram
     s = read_stream(spark, src, READING_SCHEMA)
     out = os.path.join(root, "out")
 
-    def enrich(batch: DataFrame, _epoch: int) -> None:
+    def enrich(batch: DataFrame, epoch: int) -> None:
         b = _ntz(batch, "start_time")
         hi = b.agg(F.max("start_time")).first()[0]
         if hi is None:
             return
         f = features.filter(F.col("valid_time") <= F.lit(hi))
-        asof_join(b, f, "station_eoi", "start_time", "valid_time", feature_cols).write.mode("append").parquet(out)
+        # a folder per epoch, replaced if the epoch is run again
+        (asof_join(b, f, "station_eoi", "start_time", "valid_time", feature_cols)
+         .write.mode("overwrite").parquet(f"{out}/epoch={epoch}"))
 
     _drain(s.writeStream.foreachBatch(enrich), os.path.join(root, "ckpt"))
-    return spark.read.parquet(out)
+    return spark.read.parquet(out).drop("epoch")
 
 
 def live_error(scored: DataFrame, window: str = "1 day") -> DataFrame:

@@ -105,6 +105,8 @@ SQL["q1_labels"] = _with(("raw_readings", "station_points"), META, LABELS) + "SE
 
 SQL["q2_station_features"] = _with(("station_points", "cell_weather"), META, FEATS) + "SELECT * FROM feats"
 
+SQL["labels_from_files"] = SQL["q1_labels"]
+
 SQL["asof_join"] = _with(_BASE, META, LABELS, FEATS, FV) + "SELECT * FROM fv"
 
 SQL["q4_training_set"] = _with(_BASE, META, LABELS, FEATS, FV, TS) + "SELECT * FROM ts"
@@ -211,23 +213,25 @@ GDIST = """gdist AS (
          round(min(sqrt(pow((g.lon - s.lon) * 111.0 * cos(radians(g.lat)), 2) + pow((g.lat - s.lat) * 111.0, 2))), 1) AS dist_km
   FROM grid g CROSS JOIN fst s GROUP BY g.row, g.col, g.lat, g.lon)"""
 
-FIELD = """cw AS (
-  SELECT * FROM cell_weather
-  WHERE valid_time BETWEEN (SELECT max(valid_time) FROM cell_weather) - INTERVAL 12 HOUR
-                       AND (SELECT max(valid_time) FROM cell_weather) + INTERVAL 12 HOUR),
-cells AS (SELECT DISTINCT clat, clon, CAST(floor(clat / 0.25) AS BIGINT) * 100000 + CAST(floor(clon / 0.25) AS BIGINT) AS cell_id FROM cw),
+WINDOW = """axis AS (SELECT min(valid_time) AS lo, date_diff('hour', min(valid_time), max(valid_time)) + 1 AS n FROM cell_weather),
+win AS (
+  SELECT lo + (greatest(0, n // 2 - 12)) * INTERVAL 1 HOUR AS first_hour,
+         lo + (least(n - 1, n // 2 + 12)) * INTERVAL 1 HOUR AS last_hour, lo + (n // 2) * INTERVAL 1 HOUR AS now FROM axis)"""
+
+FIELD = WINDOW + """,
+cells AS (SELECT DISTINCT clat, clon, CAST(floor(clat / 0.25) AS BIGINT) * 100000 + CAST(floor(clon / 0.25) AS BIGINT) AS cell_id FROM cell_weather),
 gcell AS (
   SELECT g.row, g.col, c.clat, c.clon
   FROM grid g CROSS JOIN cells c
-  WHERE 2 * 6371.0 * asin(sqrt(pow(sin(radians(c.clat - g.lat) / 2), 2)
-        + cos(radians(g.lat)) * cos(radians(c.clat)) * pow(sin(radians(c.clon - g.lon) / 2), 2))) <= 50
   QUALIFY row_number() OVER (PARTITION BY g.row, g.col ORDER BY
         2 * 6371.0 * asin(sqrt(pow(sin(radians(c.clat - g.lat) / 2), 2)
         + cos(radians(g.lat)) * cos(radians(c.clat)) * pow(sin(radians(c.clon - g.lon) / 2), 2))), c.cell_id) = 1),
+hours AS (SELECT unnest(generate_series(first_hour, last_hour, INTERVAL 1 HOUR)) AS valid_time FROM win),
 cond AS (
-  SELECT g.row, g.col, g.lat, g.lon, c.valid_time, c.cams_pm25, c.cams_no2
-  FROM grid g JOIN gcell x ON x.row = g.row AND x.col = g.col
-  JOIN cw c ON c.clat = x.clat AND c.clon = x.clon),
+  SELECT g.row, g.col, g.lat, g.lon, h.valid_time, c.temp, c.wind_dir, c.cams_pm25, c.cams_no2
+  FROM grid g CROSS JOIN hours h
+  LEFT JOIN gcell x ON x.row = g.row AND x.col = g.col
+  LEFT JOIN cell_weather c ON c.clat = x.clat AND c.clon = x.clon AND c.valid_time = h.valid_time),
 field AS (
   SELECT c.row, c.col, c.lat, c.lon, c.valid_time, v.pollutant,
          CASE WHEN c.cams_pm25 IS NOT NULL AND c.cams_no2 IS NOT NULL
@@ -237,7 +241,7 @@ field AS (
          'cams-prior' AS status
   FROM cond c CROSS JOIN (VALUES ('pm25'), ('no2')) v(pollutant)
   LEFT JOIN gdist d ON d.row = c.row AND d.col = c.col),
-nowf AS (SELECT * FROM field WHERE valid_time = (SELECT max(valid_time) FROM field))"""
+nowf AS (SELECT * FROM field WHERE valid_time = (SELECT now FROM win))"""
 
 _FLD = ("station_points", "cell_weather")
 
@@ -271,11 +275,13 @@ agg AS (
          max(CASE WHEN rank = 1 THEN site END) AS s1, max(CASE WHEN rank = 1 THEN d END) AS d1
   FROM nn GROUP BY row, col)
 SELECT p.lat, p.lon, p.pm25 AS pm25_value, p.pm25 AS pm25_prior, p.no2 AS no2_value, p.no2 AS no2_prior,
+       round(w.temp, 1) AS temp, round(w.wind_dir, 1) AS wind_dir,
        coalesce(a.nearest, '') AS nearest,
        concat_ws('; ', 'raw CAMS prior (model not registered yet)',
                  CASE WHEN a.s1 IS NOT NULL THEN printf('nearest sensor %s is %d km away', a.s1, CAST(round_even(a.d1, 0) AS BIGINT)) END,
                  CASE WHEN a.d1 > 25 THEN 'this point is effectively unmonitored' END) AS reasons
-FROM pts p LEFT JOIN agg a ON a.row = p.row AND a.col = p.col"""
+FROM pts p LEFT JOIN agg a ON a.row = p.row AND a.col = p.col
+LEFT JOIN (SELECT row, col, temp, wind_dir FROM cond WHERE valid_time = (SELECT now FROM win)) w ON w.row = p.row AND w.col = p.col"""
 
 
 def _ramp_sql(t: str, stops, j: int) -> str:
@@ -288,12 +294,13 @@ def _ramp_sql(t: str, stops, j: int) -> str:
 
 def _mosaic_sql() -> str:
     from airfill.functions.display import MEAS_STOPS, PRED_STOPS
-    t = "least(greatest(least(1e0, f.value / 30e0), 0e0), 1e0)"
+    most = "(CASE f.pollutant WHEN 'pm25' THEN 30e0 ELSE 60e0 END)"
+    t = f"least(greatest(least(1e0, f.value / {most}), 0e0), 1e0)"
     chans = []
     for j, n in enumerate("rgb"):
         chans.append(f"CASE WHEN f.dist_km <= 25 THEN {_ramp_sql(t, MEAS_STOPS, j)} "
                      f"ELSE {_ramp_sql(t, PRED_STOPS, j)} END AS {n}")
-    tt = "least(1e0, f.value / 30e0)"
+    tt = f"least(1e0, f.value / {most})"
     fade = ("CASE WHEN coalesce(f.dist_km, 9e9) <= 50 THEN 1e0 "
             "ELSE greatest(0.3e0, 1e0 - (coalesce(f.dist_km, 9e9) - 50) / 260e0) END")
     return _with(("station_points", "cell_weather", "pixels"), META, GRID, GDIST, FIELD) + f"""
@@ -301,10 +308,10 @@ def _mosaic_sql() -> str:
   SELECT pixel_id, CAST(floor((lat - 35e0) / 0.35e0 + 0.5e0) AS BIGINT) AS row,
          CAST(floor((lon - (-10e0)) / 0.35e0 + 0.5e0) AS BIGINT) AS col
   FROM pixels)
-SELECT d.pixel_id, d.row, d.col, f.value, f.dist_km, {", ".join(chans)},
+SELECT d.pixel_id, d.row, d.col, f.pollutant, f.value, f.dist_km, {", ".join(chans)},
        round((0.62e0 + 0.36e0 * sqrt({tt})) * {fade}, 4) AS alpha
 FROM disp d JOIN nowf f ON f.row = d.row AND f.col = d.col
-WHERE d.row BETWEEN 0 AND 71 AND d.col BETWEEN 0 AND 114 AND f.pollutant = 'pm25' AND f.value IS NOT NULL"""
+WHERE d.row BETWEEN 0 AND 71 AND d.col BETWEEN 0 AND 114 AND f.value IS NOT NULL"""
 
 
 SQL["mosaic"] = _mosaic_sql()
@@ -357,13 +364,14 @@ nb AS (SELECT a.station_eoi, a.pollutant, b.station_eoi AS site, {HAV} AS d
 p AS (SELECT t.station_eoi, t.pollutant, t.start_time, t.value,
              coalesce(avg(o.value) FILTER (WHERE nb.d = 0),
                       sum(o.value / (nb.d * nb.d)) FILTER (WHERE nb.d > 0)
-                      / sum(1 / (nb.d * nb.d)) FILTER (WHERE nb.d > 0)) AS idw
-      FROM ts t JOIN nb ON nb.station_eoi = t.station_eoi AND nb.pollutant = t.pollutant
-      JOIN ts o ON o.station_eoi = nb.site AND o.pollutant = t.pollutant AND o.start_time = t.start_time
+                      / sum(1 / (nb.d * nb.d)) FILTER (WHERE nb.d > 0 AND o.value IS NOT NULL)) AS idw
+      FROM ts t LEFT JOIN nb ON nb.station_eoi = t.station_eoi AND nb.pollutant = t.pollutant
+      LEFT JOIN ts o ON o.station_eoi = nb.site AND o.pollutant = t.pollutant AND o.start_time = t.start_time
       GROUP BY t.station_eoi, t.pollutant, t.start_time, t.value)
-SELECT pollutant, count(*) AS n, count(DISTINCT station_eoi) AS stations,
+SELECT pollutant, count(idw) AS n, count(DISTINCT station_eoi) FILTER (WHERE idw IS NOT NULL) AS stations,
        round(sqrt(avg(pow(idw - value, 2))), 6) AS idw_rmse, round(avg(abs(idw - value)), 6) AS idw_mae,
-       round(1 - sum(pow(idw - value, 2)) / NULLIF(var_pop(value) * count(value), 0), 6) AS idw_r2
+       round(1 - sum(pow(idw - value, 2)) / NULLIF(var_pop(CASE WHEN idw IS NOT NULL THEN value END) * count(idw), 0), 6) AS idw_r2,
+       count(*) - count(idw) AS without_neighbour
 FROM p GROUP BY pollutant"""
 
 SQL["training_targets"] = _with(*_EV) + """
@@ -394,14 +402,11 @@ SQL["low_confidence"] = _with(("stations", "station_points", "raw_readings", "ce
                               META, LABELS, FEATS, FV, TS, GRID, GDIST, FIELD) + """
 , rng AS (SELECT pollutant, min(prior) AS p_lo, max(prior) AS p_hi, min(temp) AS t_lo, max(temp) AS t_hi
           FROM ts GROUP BY pollutant),
-cnd AS (SELECT g.row, g.col, c.valid_time, c.temp, c.cams_pm25, c.cams_no2
-        FROM grid g JOIN gcell x ON x.row = g.row AND x.col = g.col
-        JOIN cw c ON c.clat = x.clat AND c.clon = x.clon),
 z AS (SELECT f.row, f.col, f.valid_time, f.pollutant, f.value, f.dist_km,
              coalesce(f.dist_km > 25, true) AS far,
              coalesce(NOT (CASE WHEN f.pollutant = 'pm25' THEN c.cams_pm25 ELSE c.cams_no2 END BETWEEN r.p_lo AND r.p_hi)
                       OR NOT (c.temp BETWEEN r.t_lo AND r.t_hi), true) AS out_rng
-      FROM field f JOIN cnd c ON c.row = f.row AND c.col = f.col AND c.valid_time = f.valid_time
+      FROM field f JOIN cond c ON c.row = f.row AND c.col = f.col AND c.valid_time = f.valid_time
       LEFT JOIN rng r ON r.pollutant = f.pollutant)
 SELECT row, col, valid_time, pollutant, value, dist_km, far OR out_rng AS low_confidence,
        concat_ws(',', CASE WHEN far THEN 'far' END, CASE WHEN out_rng THEN 'out-of-range' END) AS why

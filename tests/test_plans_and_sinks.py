@@ -3,11 +3,15 @@ sink properties (upsert twice = upsert once)."""
 
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
 from airfill.operators import spatial as S
 from airfill.operators.asof import asof_join
-from airfill.session import scratch_path
+from airfill.operators.model import latest_models, save_model
+from airfill.operators.readings import label_table
+from airfill.session import scratch_path, shared_folder
+from airfill.sources.readers import read_readings
 from airfill.sources.sinks import only_new, upsert
 
 
@@ -49,6 +53,87 @@ def test_upsert_twice_equals_once(spark):
     assert got == [("a", 2, 9.0), ("b", 1, 6.0), ("c", 1, 7.0)]
 
 
+def test_upsert_refuses_a_key_that_moves(spark):
+    path = scratch_path(spark, "t-moves") + "/t"
+    schema = "k string, day string, v int"
+    upsert(spark.createDataFrame([("a", "2024-01-01", 1), ("b", "2024-01-02", 1)], schema), path, ["k"], [F.col("v")], "day")
+    with pytest.raises(ValueError):
+        upsert(spark.createDataFrame([("a", "2024-01-03", 2)], schema), path, ["k"], [F.col("v")], "day")
+    got = spark.read.schema(schema).parquet(path).collect()
+    assert sorted((r["k"], r["day"], r["v"]) for r in got) == [("a", "2024-01-01", 1), ("b", "2024-01-02", 1)]
+
+
+def test_upsert_splits_a_large_partition(spark):
+    path = scratch_path(spark, "t-large") + "/t"
+    df = spark.range(1000).selectExpr("id k", "cast(id % 10 == 0 as int) p", "id v")
+    upsert(df, path, ["k", "p"], [F.col("v")], "p", file_rows=100)
+    upsert(df, path, ["k", "p"], [F.col("v")], "p", file_rows=100)
+    files = spark.read.parquet(path).where("p = 0").select(F.input_file_name().alias("f")).distinct().count()
+    assert spark.read.parquet(path).count() == 1000 and files > 4
+
+
+def test_readings_of_every_stored_type(spark):
+    root = scratch_path(spark, "t-readings")
+    rows = [("LU/SPO-LU0104A_00008_100", dt.datetime(2024, 1, 1, h), dt.datetime(2024, 1, 1, h, 30), str(h) + ".5", 1)
+            for h in range(3)]
+    df = spark.createDataFrame(rows, "Samplingpoint string, Start timestamp_ntz, End timestamp_ntz, Value string, Validity int")
+    for k, t in enumerate(("string", "double", "decimal(10,1)")):
+        df.where(F.hour("Start") == k).withColumn("Value", F.col("Value").cast(t)).write.parquet(f"{root}/2/no2/f{k}")
+    spark.range(3).selectExpr("'x' || id value").write.text(f"{root}/2/no2/broken")
+    spark.range(3).write.parquet(f"{root}/2/no2/other")
+    paths = [f"{root}/2/no2/{n}" for n in ("f0", "f1", "f2", "broken", "other")]
+    got, skipped = read_readings(spark, paths, "no2", 2)
+    assert sorted(float(r["value_text"]) for r in got.collect()) == [0.5, 1.5, 2.5]
+    assert sorted(p.split("/")[-1] for p, _ in skipped) == ["broken", "other"]
+    meta = spark.createDataFrame([("LU0104A", 6.0, 49.0, 1.0, "a", "b")], "station_eoi string, lon double, lat double, "
+                                 "altitude double, station_area string, station_type string")
+    assert {r["end_time"].minute for r in label_table(got, meta).collect()} == {30}  # the file's own end
+
+
+def test_registry_counts_versions(spark):
+    class Fitted:
+        def write(self):
+            return self
+
+        def save(self, path):
+            saved.append(path)
+
+    saved, root = [], scratch_path(spark, "t-models")
+    metrics = spark.createDataFrame([(1.0,)], "rmse double")
+    for pol in ("no2", "no2", "pm25"):
+        save_model(Fitted(), metrics, root, pol)
+    assert [p.removeprefix(root + "/") for p in saved] == [
+        "air_quality_no2/v1", "air_quality_no2/v2", "air_quality_pm25/v1"]
+    assert {r["pollutant"]: r["version"] for r in latest_models(spark, root).collect()} == {"no2": 2, "pm25": 1}
+
+
+def test_a_cluster_needs_a_shared_folder():
+    class Unset:
+        def get(self, key, default=None):
+            return default
+
+    class Nothing:
+        def isDefined(self):
+            return False
+
+    class Session:
+        conf = Unset()
+
+        class sparkContext:
+            master = "spark://host:7077"
+
+            class _jsc:
+                @staticmethod
+                def sc():
+                    class C:
+                        @staticmethod
+                        def getCheckpointDir():
+                            return Nothing()
+                    return C
+    with pytest.raises(RuntimeError):
+        shared_folder(Session())
+
+
 def test_only_new(spark):
     df = spark.createDataFrame([("a", 1), ("b", 2)], "k string, v int")
     stored = spark.createDataFrame([("a",)], "k string")
