@@ -38,6 +38,8 @@ def _tails(first: str) -> str:
 
 _ESCAPE = rf"<(?={_tails('<')})|\[(?={_tails('[')})"
 _ANY = "|".join(re.escape(c) for c in CONTROLS)
+#: After or before a control string; the single characters first, which most places fail.
+_BOUNDARY = rf"(?<=[>\]])(?<={_ANY})|(?=[<\[])(?={_ANY})"
 _BLOCK = r"(?s)(\[INST\]|<s>|<<SYS>>|<<ROLE>>)(.*?)(\[/INST\]|</s>|<</SYS>>|<</ROLE>>)"
 
 
@@ -115,7 +117,7 @@ def read_turns(formatted: Column) -> Column:
 def read_loss(formatted: Column, loss_mask: Column) -> Column:
     """The texts under the loss mask, unescaped, in order (array of strings). Runs and pieces
     between control strings line up once the empty ones are left out."""
-    pieces = F.filter(F.split(formatted, rf"(?<={_ANY})|(?={_ANY})", -1), lambda p: p != "")
+    pieces = F.filter(F.split(formatted, _BOUNDARY, -1), lambda p: p != "")
     runs = F.filter(loss_mask, lambda r: r["chars"] > 0)
     under = F.filter(F.zip_with(pieces, runs, lambda p, r: F.struct(p.alias("piece"), r["loss"].alias("loss"))),
                      lambda z: z["loss"])
