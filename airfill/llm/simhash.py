@@ -9,7 +9,10 @@ where no earlier segment already found them, so that a link is made once and can
 fail are never rows.
 
 Copies collapse to one fingerprint first, so a group of copies costs what one text costs.
-Groups are the connected components of the links.
+Groups are the connected components of the links. A group of near copies can hold very many
+close pairs, of which connecting it needs few: links to the smallest fingerprint under the
+same segment value are taken first, and the search then reports no pair that they have
+already connected.
 
 Defined results: null and empty texts have fingerprint zero, linked like any other; repeated
 rows are separate rows of one group; a component is named by its smallest doc_id (null ids are
@@ -69,25 +72,40 @@ def layout(segments: int) -> list[tuple[int, int]]:
     return [(a, b - a) for a, b in zip(ends, ends[1:], strict=False)]
 
 
+def _value(low: int, width: int):
+    return F.shiftrightunsigned(F.col("fp"), low).bitwiseAND(F.lit((1 << width) - 1))
+
+
+def _stored(parts: list[tuple[int, int]]) -> list:
+    """A fingerprint's key in each segment's table: the segment's number and value."""
+    return [_value(low, width).bitwiseOR(F.lit(s << 40)) for s, (low, width) in enumerate(parts)]
+
+
+def stars(distinct: DataFrame, distance: int = 4, segments: int = 3) -> DataFrame:
+    """Links (a, b) of each fingerprint to the smallest one under the same value of a segment,
+    where close enough: as many rows as fingerprints and segments at most. In a dense group
+    these already connect most members, whatever its number of close pairs."""
+    table = distinct.select("fp", F.explode(F.array(*_stored(layout(segments)))).alias("key"))
+    centre = table.groupBy("key").agg(F.min("fp").alias("a"))
+    return (table.join(centre, "key").where((F.col("fp") > F.col("a"))
+                                            & (F.bit_count(F.col("fp").bitwiseXOR(F.col("a"))) <= distance))
+                 .select("a", F.col("fp").alias("b")))
+
+
 def links(distinct: DataFrame, distance: int = 4, segments: int = 3) -> DataFrame:
     """All pairs (a, b), a < b, of distinct fingerprints (column fp) that differ in at most
-    ``distance`` bits, each once."""
+    ``distance`` bits, each once. With a column ``root``, only pairs of different roots."""
     radius = distance // segments
-    parts = layout(segments)
-
-    def value(column: str, low: int, width: int):
-        return F.shiftrightunsigned(F.col(column), low).bitwiseAND(F.lit((1 << width) - 1))
-
-    stored, probes = [], []
-    for s, (low, width) in enumerate(parts):
-        own = value("fp", low, width).bitwiseOR(F.lit(s << 40))
-        stored.append(own)
-        flips = [sum(1 << b for b in some) for r in range(radius + 1) for some in combinations(range(width), r)]
-        probes += [own.bitwiseXOR(F.lit(f)) for f in flips]
-    table = distinct.select(F.col("fp").alias("b"), F.explode(F.array(*stored)).alias("key"))
-    asked = distinct.select(F.col("fp").alias("a"), F.explode(F.array(*probes)).alias("key"))
+    parts, own = layout(segments), _stored(layout(segments))
+    probes = [key.bitwiseXOR(F.lit(sum(1 << b for b in some))) for key, (_, width) in zip(own, parts, strict=True)
+              for r in range(radius + 1) for some in combinations(range(width), r)]
+    rooted = "root" in distinct.columns
+    table = distinct.select(F.col("fp").alias("b"), *(["root"] * rooted), F.explode(F.array(*own)).alias("key"))
+    asked = distinct.select(F.col("fp").alias("a"), *(["root"] * rooted), F.explode(F.array(*probes)).alias("key"))
     differ = F.col("a").bitwiseXOR(F.col("b"))
     met = (F.col("a") < F.col("b")) & (F.bit_count(differ) <= distance)
+    if rooted:
+        met = met & (F.col("asked.root") != F.col("stored.root"))
     for s, (low, width) in enumerate(parts[:-1]):
         mask = ((1 << width) - 1) << low
         mask -= (1 << 64) if mask >= 1 << 63 else 0
@@ -97,13 +115,23 @@ def links(distinct: DataFrame, distance: int = 4, segments: int = 3) -> DataFram
                 .select("a", "b")
 
 
+def connected(distinct: DataFrame, distance: int = 4, segments: int = 3) -> DataFrame:
+    """(node, root) of fingerprints with links. The stars' components come first; the full search
+    then only has to report pairs that join two of them."""
+    first = written(stars(distinct, distance, segments), "simhash-stars")
+    near = components(first)
+    marked = written(distinct.join(near, distinct["fp"] == near["node"], "left").select(
+        "fp", F.coalesce("root", "fp").alias("root")), "simhash-marked")
+    return components(first.unionByName(written(links(marked, distance, segments), "simhash-links")))
+
+
 def near_groups(docs: DataFrame, shingle: int = 4, distance: int = 4, segments: int = 3,
                 id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, fp, component_id."""
     rows = written(fingerprints(docs, shingle, id_col, text_col), "simhash-rows")
     distinct = written(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("size")),
                        "simhash-distinct")
-    linked = components(links(distinct.select("fp"), distance, segments))
+    linked = connected(distinct.select("fp"), distance, segments)
     named = distinct.join(linked, distinct["fp"] == linked["node"], "left").select(
         "fp", "least", "size", F.coalesce("root", "fp").alias("root"))
     named = written(named, "simhash-roots")
