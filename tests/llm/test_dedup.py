@@ -133,3 +133,15 @@ def test_simhash_keep_one(spark):
     kept = simhash.keep_one(docs.repartition(2))
     assert kept.columns == docs.columns
     assert sorted(repr(r["doc_id"]) for r in kept.collect()) == ["4", "9", "None"]
+
+
+def test_dense_groups_report_few_pairs(spark):
+    centre = 0x5A5A_1234_0F0F_7777
+    fps = {centre} | {centre ^ (1 << i) for i in range(62)} | {centre ^ (1 << i) ^ (1 << j) for i in range(12) for j in range(i)}
+    frame = spark.createDataFrame([(x,) for x in sorted(fps)], "fp long")
+    every = simhash.links(frame).count()
+    near = components.components(simhash.stars(frame))
+    marked = frame.join(near, frame["fp"] == near["node"], "left").selectExpr("fp", "coalesce(root, fp) root")
+    assert simhash.links(marked).count() < every / 3
+    got = simhash.connected(frame).collect()
+    assert len(got) == len(fps) and len({r["root"] for r in got}) == 1
