@@ -40,6 +40,8 @@ CHARS_WIDTH, ENTROPY_WIDTH, FALLBACK_WIDTH = 7.0, 4.0, 8.0
 #: Smallest spreads and the fallback share that is always allowed.
 LEAST_CHARS, LEAST_ENTROPY, FREE_FALLBACK = 0.5, 0.1, 0.2
 QUARTILE = 0.6745
+#: Bands are broadcast up to this many rows of about 50 bytes.
+BROADCAST_ROWS = 200_000
 # First and last code points of scripts
 SCRIPTS = {"latin": (0x41, 0x24F), "greek": (0x370, 0x3FF), "cyrillic": (0x400, 0x52F), "hebrew": (0x590, 0x5FF),
            "arabic": (0x600, 0x6FF), "indic": (0x900, 0xDFF), "thai": (0xE00, 0xE7F), "kana": (0x3040, 0x30FF),
@@ -136,6 +138,12 @@ def measure(docs: DataFrame, vocabulary: str = "piece_bpe_32k.model", text_col:
     return map_arrow(docs, run, schema)
 
 
+def _small(bands: DataFrame) -> DataFrame:
+    """``bands`` written, and marked for broadcast if they have at most ``BROADCAST_ROWS`` rows."""
+    kept = written(bands, "fertility-bands")
+    return F.broadcast(kept) if kept.count() <= BROADCAST_ROWS else kept
+
+
 def judged(measured: DataFrame, group: str, prefix: str = "", least: int = 30) -> DataFrame:
     """``measured`` with base_failed and kept. ``group``: the column with the language or script."""
     m = lambda k: F.col(prefix + k)
@@ -151,10 +159,14 @@ def judged(measured: DataFrame, group: str, prefix: str = "", least: int = 30) -
     q = lambda c: F.percentile_approx(c, [0.5, 0.75], 2000)
     middle = good.groupBy(t["_group"]).agg(F.percentile_approx("c", 0.5, 2000).alias(t["_c"]), q("f").alias(t["_f"]),
                                         F.count(F.lit(1)).alias(t["_n"]))
+    # a few rows per language: measured, and broadcast unless there are absurdly many, so that
+    # neither a common language nor the texts are shuffled
+    middle = _small(middle)
     off = good.join(middle.select(t["_group"], t["_c"]), t["_group"]).groupBy(t["_group"]).agg(
         F.percentile_approx(F.abs(F.col("c") - F.col(t["_c"])) * F.sqrt(F.col("n").cast("double")), 0.5, 2000).alias(t["_cs"]))
     by_length = good.groupBy(t["_group"], t["_length"]).agg(q("e").alias(t["_e"]), F.count(F.lit(1)).alias(t["_en"]))
-    df = (df.join(middle.join(off, t["_group"]), t["_group"], "left").join(by_length, [t["_group"], t["_length"]], "left"))
+    df = (df.join(_small(middle.join(off, t["_group"])), t["_group"], "left")
+            .join(_small(by_length), [t["_group"], t["_length"]], "left"))
     enough, enough_e = F.coalesce(F.col(t["_n"]) >= least, F.lit(False)), F.coalesce(F.col(t["_en"]) >= least, F.lit(False))
     low_chars = enough & ((m("chars_per_token") - F.col(t["_c"])) * root
                           < -CHARS_WIDTH * F.greatest(F.col(t["_cs"]) / QUARTILE, F.lit(LEAST_CHARS)))
