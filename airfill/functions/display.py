@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -80,12 +78,3 @@ def opacity(t, dist_km) -> Column:
 def kmh_to_ms(v) -> Column:
     """explicit wind-unit conversion."""
     return _c(v) / F.lit(KMH_PER_MS)
-
-
-def round_half_up(x, digits: int) -> Column:
-    """Spark ``round`` is half-up on the decimal value (Python rounds half-even
-    on the binary value, trap T10); documented, not emulated."""
-    return F.round(_c(x), digits)
-
-
-_ = math

@@ -60,14 +60,54 @@ def mae_by_distance(df: DataFrame, group: Sequence[str], label: str, dist_col: s
     return binned.groupBy(*group, "dist_bin").agg(*aggs)
 
 
-def quantile(col: str, q: float, exact: bool = True) -> Column:
-    """AG9: linear-interpolation percentile (exact), or its sketch for very large groups."""
-    if exact:
-        return F.percentile(F.col(col), F.lit(q))
-    return F.percentile_approx(F.col(col), F.lit(q), 10000)
-
-
-def hex_bins(df: DataFrame, x: str, y: str, extent: Column | tuple, gridsize: int = HEX_GRIDSIZE) -> DataFrame:
+def exact_quantiles(df: DataFrame, group: Sequence[str], col: str, q: float, name: str,
+                    buckets: int = 1024) -> DataFrame:
+    """AG9: the linear-interpolation percentile of ``col`` per group, exact, without a group's
+    values meeting anywhere.
+
+    The two order statistics it lies between are narrowed down together: each pass counts
+    the rows of the interval that still holds one, in ``buckets`` equal parts with the least
+    and greatest value of each, and goes on with the part of the wanted rank until that
+    holds a single value. The driver keeps a few numbers per group, so groups have to be
+    few (pollutants, distance bins). Output: group, n, ``name``."""
+    group = list(group)
+    rows = df.where(F.col(col).isNotNull()).select(*group, F.col(col).cast("double").alias("_v"))
+    spark = df.sparkSession
+    totals = rows.groupBy(*group).agg(F.count(F.lit(1)).alias("n"), F.min("_v").alias("lo"), F.max("_v").alias("hi")).collect()
+    state = {}  # (group, which of the two) -> [lo, hi, rank within]
+    for t in totals:
+        k = int(math.floor(q * (t["n"] - 1)))
+        for j, rank in enumerate((k, min(k + 1, t["n"] - 1))):
+            state[(*(t[g] for g in group), j)] = [t["lo"], t["hi"], rank]
+    kinds = [df.schema[g].dataType.simpleString() for g in group]
+    shape = ", ".join(f"{g} {k}" for g, k in zip(group, kinds, strict=True)) + ", _j int, _lo double, _hi double"
+    while todo := {k: v for k, v in state.items() if v[0] < v[1]}:
+        small = spark.createDataFrame([(*k, v[0], v[1]) for k, v in todo.items()], shape.lstrip(", "))
+        held = rows.join(F.broadcast(small), group) if group else rows.join(F.broadcast(small), F.lit(True))
+        inside = held.where(F.col("_v").between(F.col("_lo"), F.col("_hi")))
+        part = F.least(F.lit(buckets - 1), F.floor((F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * buckets))
+        found = {}
+        for r in inside.groupBy(*group, "_j", part.cast("int").alias("b")).agg(
+                F.count(F.lit(1)).alias("n"), F.min("_v").alias("lo"), F.max("_v").alias("hi")).collect():
+            found.setdefault((*(r[g] for g in group), r["_j"]), []).append((r["b"], r["n"], r["lo"], r["hi"]))
+        for key, parts in found.items():
+            rank = state[key][2]
+            for _, n, lo, hi in sorted(parts):
+                if rank < n:
+                    state[key] = [lo, hi, rank]
+                    break
+                rank -= n
+    out = []
+    for t in totals:
+        g, pos = tuple(t[x] for x in group), q * (t["n"] - 1)
+        low, high = state[(*g, 0)][0], state[(*g, 1)][0]
+        out.append((*g, t["n"], low + (high - low) * (pos - math.floor(pos))))
+    shape = "".join(f"{g} {k}, " for g, k in zip(group, kinds, strict=True)) + f"n long, {name} double"
+    return spark.createDataFrame(out, shape)
+
+
+def hex_bins(df: DataFrame, x: str, y: str, extent: Column | tuple, group: Sequence[str] = (),
+             gridsize: int = HEX_GRIDSIZE) -> DataFrame:
     """AG10: counts on a hexagonal lattice over ``extent`` = (xmin, xmax, ymin, ymax)
     (columns or numbers), bins with no point left out.
 
@@ -90,63 +130,36 @@ def hex_bins(df: DataFrame, x: str, y: str, extent: Column | tuple, gridsize: in
     in1 = (ix1 >= 0) & (ix1 < nx + 1) & (iy1 >= 0) & (iy1 < ny + 1)
     in2 = (ix2 >= 0) & (ix2 < nx) & (iy2 >= 0) & (iy2 < ny)
     binned = (df.select(
-        F.when(first, F.lit(1)).otherwise(F.lit(2)).alias("lattice"),
+        *group, F.when(first, F.lit(1)).otherwise(F.lit(2)).alias("lattice"),
         F.when(first, ix1).otherwise(ix2).cast("long").alias("i"),
         F.when(first, iy1).otherwise(iy2).cast("long").alias("j"),
         F.when(first, in1).otherwise(in2).alias("_in"),
         sx.alias("_sx"), sy.alias("_sy"), xmin.alias("_x0"), ymin.alias("_y0"))
         .filter(F.col("_in")))
     off = F.when(F.col("lattice") == 1, F.lit(0.0)).otherwise(F.lit(0.5))
-    return (binned.groupBy("lattice", "i", "j", "_sx", "_sy", "_x0", "_y0")
+    return (binned.groupBy(*group, "lattice", "i", "j", "_sx", "_sy", "_x0", "_y0")
                   .agg(F.count(F.lit(1)).alias("count"))
-                  .select("lattice", "i", "j",
+                  .select(*group, "lattice", "i", "j",
                           F.round(F.col("_x0") + (F.col("i") + off) * F.col("_sx"), 4).alias("cx"),
                           F.round(F.col("_y0") + (F.col("j") + off) * F.col("_sy"), 4).alias("cy"),
                           "count"))
 
 
-def calibration(df: DataFrame, group: Sequence[str], abs_err: str, q: float = 0.9,
+def calibration(fit_on: DataFrame, measure_on: DataFrame, group: Sequence[str], abs_err: str, q: float = 0.9,
                 digits: int = 6) -> DataFrame:
-    """AG14: per group (e.g. distance bin) the ``q`` quantile of the absolute residual,
-    and the coverage that quantile achieves on the same rows. A residual equal to the
+    """AG14: per group (e.g. distance bin) the ``q`` quantile of the absolute residual on one
+    set of rows, and the coverage that quantile achieves on another. A residual equal to the
     quantile counts as covered (compared with a 1e-9 tolerance, since the quantile's
     interpolation arithmetic can land one ulp off a data value)."""
-    qs = df.groupBy(*group).agg(F.percentile(F.col(abs_err), F.lit(q)).alias("q_err"),
-                                F.count(F.lit(1)).alias("n"))
-    joined = df.join(qs, list(group), "inner")
+    qs = F.broadcast(exact_quantiles(fit_on, group, abs_err, q, "q_err"))  # a few groups
+    joined = measure_on.join(qs, list(group), "inner")
     return (joined.groupBy(*group, "q_err", "n")
-                  .agg(F.avg(F.when(F.col(abs_err) <= F.col("q_err") + F.lit(1e-9), 1.0).otherwise(0.0)).alias("coverage"))
-                  .select(*group, "n", F.round("q_err", digits).alias("q_err"),
+                  .agg(F.count(F.lit(1)).alias("n_measured"),
+                       F.avg(F.when(F.col(abs_err) <= F.col("q_err") + F.lit(1e-9), 1.0).otherwise(0.0)).alias("coverage"))
+                  .select(*group, "n", "n_measured", F.round("q_err", digits).alias("q_err"),
                           F.round("coverage", digits).alias("coverage")))
 
 
-def psi(ref: DataFrame, cur: DataFrame, col: str, edges: Sequence[float], group: Sequence[str] = (),
-        eps: float = 1e-6, digits: int = 6) -> DataFrame:
-    """AG15: population stability index of ``col`` between a reference and a current
-    window over fixed bucket edges (bucket counts are aggregates; no rows move)."""
-    group = list(group)
-    if not group:
-        ref, cur, group = ref.withColumn("_all", F.lit(0)), cur.withColumn("_all", F.lit(0)), ["_all"]
-
-    def bucketed(d):
-        b = None
-        for i, e in enumerate(edges):
-            cond = F.col(col) < e
-            b = F.when(cond, F.lit(i)) if b is None else b.when(cond, F.lit(i))
-        b = b.otherwise(F.lit(len(edges)))
-        counts = d.filter(F.col(col).isNotNull()).groupBy(*group, b.alias("bucket")).count()
-        tot = d.filter(F.col(col).isNotNull()).groupBy(*group).agg(F.count(F.lit(1)).alias("tot"))
-        return counts.join(tot, group, "inner")
-
-    r = bucketed(ref).select(*group, "bucket", (F.col("count") / F.col("tot")).alias("p_ref"))
-    c = bucketed(cur).select(*group, "bucket", (F.col("count") / F.col("tot")).alias("p_cur"))
-    j = r.join(c, [*group, "bucket"], "full_outer").fillna(0.0, subset=["p_ref", "p_cur"])
-    pr = F.greatest(F.col("p_ref"), F.lit(eps))
-    pc = F.greatest(F.col("p_cur"), F.lit(eps))
-    return (j.groupBy(*group)
-             .agg(F.round(F.sum((pc - pr) * F.ln(pc / pr)), digits).alias("psi"))).drop("_all")
-
-
 def psi_many(df: DataFrame, recent: str, specs: dict[str, tuple[str, Sequence[float]]],
              group: Sequence[str] = (), eps: float = 1e-6, digits: int = 6) -> DataFrame:
     """AG15 for several columns in one pass: ``recent`` is a boolean column splitting

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from airfill.functions import display as D
 from airfill.functions import geo
+from airfill.functions import temporal as TM
 from airfill.functions import text as TX
 from airfill.operators import features as FE
 from airfill.operators import model as MD
@@ -68,6 +69,13 @@ def hours_around(fx: Fixtures, now: str | None = None) -> DataFrame:
         at(F.least(F.col("n") - 1, F.col("c") + WINDOW_H)).alias("last_hour"), at(F.col("c")).alias("now"))
 
 
+def field_axis(fx: Fixtures) -> DataFrame:
+    """W4 + W5 + F21: the hours of the window, as text, with their offset from "now"."""
+    w = hours_around(fx).withColumn("valid_time", F.explode(F.sequence("first_hour", "last_hour", F.expr("INTERVAL 1 HOUR"))))
+    return w.select("valid_time", TM.iso_hour("valid_time").alias("iso"),
+                    TM.hour_offset("now", "valid_time").alias("offset_h"))
+
+
 def conditions(fx: Fixtures, now: str | None = None) -> DataFrame:
     """J14 + W4: conditions of every grid point at every hour of the window; NULL where its
     weather cell has no row for the hour. A point's cell is the one with the nearest centre

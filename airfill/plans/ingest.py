@@ -30,31 +30,24 @@ def labels(fx: Fixtures, min_year: int = R.MIN_YEAR) -> DataFrame:
 def labels_from_files(fx: Fixtures) -> DataFrame:
     """SC1 to Q1: the readings as delivered - files of either dataset and pollutant with values
     stored as text, double and decimal, and one broken file - read back and made labels."""
-    from airfill.session import scratch_path
+    from airfill.session import scratch_path, written
     from airfill.sources.readers import read_readings
     spark, root = fx.spark, scratch_path(fx.spark, "readings")
     raw = fx.raw_readings.withColumn("_number", F.col("value_text").try_cast("double"))
     kind = F.when(F.col("_number").isNull(), 0).otherwise(F.pmod("row_id", F.lit(3)))
+    raw = written(raw.withColumn("_kind", kind), "readings-raw")
     files = []
-    for dataset in (1, 2):
-        for pollutant in POLLUTANTS:
-            for k, stored in enumerate(("string", "double", "decimal(12,1)")):
-                path = f"{root}/{dataset}/{pollutant}/{k}"
-                value = F.col("value_text") if stored == "string" else F.col("_number").cast(stored)
-                own = (F.col("dataset") == dataset) & (F.col("pollutant") == pollutant) & (kind == k)
-                (raw.where(own).select(
-                    F.col("samplingpoint").alias("Samplingpoint"), F.col("start_time").alias("Start"),
-                    (F.col("start_time") + F.expr("INTERVAL 1 HOUR")).alias("End"), value.alias("Value"),
-                    F.col("validity").cast("int").alias("Validity"), "row_id").write.parquet(path))
-                files.append(path)
-    broken = f"{root}/1/no2/broken"
+    for k, stored in enumerate(("string", "double", "decimal(12,1)")):
+        value = F.col("value_text") if stored == "string" else F.col("_number").cast(stored)
+        (raw.where(F.col("_kind") == k).select(
+            F.col("samplingpoint").alias("Samplingpoint"), F.col("start_time").alias("Start"),
+            (F.col("start_time") + F.expr("INTERVAL 1 HOUR")).alias("End"), value.alias("Value"),
+            F.col("validity").cast("int").alias("Validity"), "row_id", "dataset", "pollutant")
+            .write.partitionBy("dataset", "pollutant").parquet(f"{root}/{k}"))
+        files.append(f"{root}/{k}")
+    broken = f"{root}/broken"
     spark.range(1).selectExpr("'not a parquet file' value").write.text(broken)
-    got, skipped = None, []
-    for path in [*files, broken]:  # a folder's place says dataset and pollutant
-        dataset, pollutant = path.split("/")[-3:-1]
-        one, out = read_readings(spark, [path], pollutant, int(dataset), row_id="row_id")
-        skipped += out
-        got = one if got is None else got.unionByName(one)
+    got, skipped = read_readings(spark, [*files, broken], row_id="row_id")
     if [p for p, _ in skipped] != [broken]:
         raise ValueError(f"files left out: {skipped}")
     return R.label_table(got, stations(fx))

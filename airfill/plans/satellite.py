@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,6 +19,7 @@ PRODUCTS = {
 }
 MAX_PIXEL_KM = 8.0
 DAYTIME_HOURS = (8, 14)
+STREAM = "OFFL"
 GRANULE_STAMP = r"(\d{8}T\d{2})"
 
 
@@ -48,9 +51,18 @@ def daytime(granules: DataFrame) -> DataFrame:
     return granules.filter(hour.between(lo, hi))
 
 
-def search_granules(granules: DataFrame, boxes: DataFrame) -> DataFrame:
-    """SC6 + J9: daytime granules intersecting any search box, once per name."""
-    hits = S.boxes_overlap(daytime(granules), boxes)
+def search_granules(granules: DataFrame, boxes: DataFrame, products: Sequence[str] = tuple(PRODUCTS),
+                    day: str | None = None) -> DataFrame:
+    """SC6 + J9: daytime offline granules of ``products`` (of one ``day``, if given) intersecting
+    any search box, once per name. The catalogue is filtered before the tile join."""
+    wanted = F.lit(False)
+    for p in products:
+        wanted = wanted | F.col("name").contains(p)
+    g = daytime(granules).where(F.col("name").contains(STREAM) & wanted)
+    if day:
+        start = F.lit(day).cast("timestamp_ntz")
+        g = g.where((F.col("sensed_at") >= start) & (F.col("sensed_at") < start + F.expr("INTERVAL 1 DAY")))
+    hits = S.boxes_overlap(g, boxes)
     return hits.select("granule", "product", "sensed_at", "name").dropDuplicates(["name"])
 
 
@@ -90,6 +102,11 @@ def satellite_daily(fx: Fixtures, digits: int = 12) -> DataFrame:
                       *[F.round(c, digits).alias(c) for c, _ in PRODUCTS.values()])
 
 
+def granules_of_a_day(fx: Fixtures) -> DataFrame:
+    """SC6 for one product and day of the catalogue."""
+    return search_granules(fx.granules, station_boxes(fx), ("L2__NO2___",), "2024-01-03")
+
+
 def granule_footprints(fx: Fixtures, zoom: int = 6) -> DataFrame:
     """F22 + F19: searched granules with their box as WKT text and the map tile (at
     ``zoom``) of the box centre."""

@@ -64,7 +64,7 @@ def mae_by_distance(fx: Fixtures) -> DataFrame:
 def label_p99(fx: Fixtures) -> DataFrame:
     """AG9: 99th percentile of the bounded label per pollutant (linear interpolation)."""
     ts = training_set(fx)
-    return ts.groupBy("pollutant").agg(F.round(M.quantile("value", 0.99), 6).alias("p99"))
+    return M.exact_quantiles(ts, ["pollutant"], "value", 0.99, "p99").select("pollutant", F.round("p99", 6).alias("p99"))
 
 
 def density_hex(fx: Fixtures) -> DataFrame:
@@ -73,26 +73,21 @@ def density_hex(fx: Fixtures) -> DataFrame:
     The per-pollutant extent comes from the p99 aggregate, joined back on pollutant
     (one row per pollutant)."""
     ts = training_set(fx)
-    hi = ts.groupBy("pollutant").agg(M.quantile("value", 0.99).alias("_hi"))
+    hi = M.exact_quantiles(ts, ["pollutant"], "value", 0.99, "_hi").drop("n")
     j = ts.select("pollutant", "value", "prior").join(F.broadcast(hi), "pollutant")
-    parts = []
-    for pol in FE.PRIOR_OF:
-        sub = j.filter(F.col("pollutant") == pol)
-        hb = M.hex_bins(sub, "value", "prior", (F.lit(0.0), F.col("_hi"), F.lit(0.0), F.col("_hi")))
-        parts.append(hb.withColumn("pollutant", F.lit(pol)))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    return M.hex_bins(j, "value", "prior", (F.lit(0.0), F.col("_hi"), F.lit(0.0), F.col("_hi")), ["pollutant"])
 
 
 def calibration(fx: Fixtures, q: float = 0.9) -> DataFrame:
-    """AG14: prior residual quantile and achieved coverage per distance bin."""
-    withd = (with_nearest_other(fx, written(training_set(fx).select(
-        "station_eoi", "pollutant", "value", "prior"), "calibration-rows")).withColumn("dist_bin", distance_bin(F.col("dist_km")))
-                  .filter(F.col("dist_bin").isNotNull())
-                  .withColumn("abs_err", F.abs(F.col("prior") - F.col("value"))))
-    return M.calibration(withd, ["pollutant", "dist_bin"], "abs_err", q)
+    """AG14: prior residual quantile per distance bin from the stations of one half, and its
+    coverage on the other half's (halves by the number in the station code)."""
+    rows = written(training_set(fx).select("station_eoi", "pollutant", "value", "prior"), "calibration-rows")
+    withd = written(with_nearest_other(fx, rows).withColumn("dist_bin", distance_bin(F.col("dist_km")))
+                    .filter(F.col("dist_bin").isNotNull())
+                    .withColumns({"abs_err": F.abs(F.col("prior") - F.col("value")),
+                                  "half": F.pmod(F.substring("station_eoi", 3, 4).try_cast("int"), F.lit(2))}),
+                    "calibration-errors")
+    return M.calibration(withd.where("half = 0"), withd.where("half = 1"), ["pollutant", "dist_bin"], "abs_err", q)
 
 
 def error_map(fx: Fixtures, cell_deg: float = 0.25) -> DataFrame:

@@ -45,11 +45,13 @@ QUERIES: dict[str, Query] = {
     "station_state": _on_fixtures(ingest.station_state),
     "station_boxes": _on_fixtures(satellite.station_boxes),
     "granule_search": _on_fixtures(lambda fx: satellite.search_granules(fx.granules, satellite.station_boxes(fx))),
+    "granules_of_a_day": _on_fixtures(satellite.granules_of_a_day),
     "nearest_pixel": _on_fixtures(lambda fx: satellite.nearest_pixels(fx).select(
         "station_eoi", "granule", "product", "obs_date", "pixel_id", F.round("value", 12).alias("value"),
         F.round("dist_km", 6).alias("dist_km"))),
     "q3_satellite_daily": _on_fixtures(satellite.satellite_daily),
     "grid_distance": _on_fixtures(field.grid_distance),
+    "field_axis": _on_fixtures(field.field_axis),
     "q6_field": _on_fixtures(field.field),
     "q6_field_model": _on_fixtures(evaluation.model_field),
     "hotspots": _on_fixtures(field.hotspots),

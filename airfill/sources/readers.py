@@ -52,9 +52,12 @@ def read_readings(spark: SparkSession, paths: Sequence[str], pollutant: str | No
     take, and the files left out with the reason (never silently).
 
     Each file is read with the types it has - a ``Value`` may be text, double or decimal -
-    and the number becomes text afterwards. Pollutant and dataset come from the arguments or
-    from ``<dataset>/<pollutant>/`` in the path; ``row_id`` is the stored column of that
+    and the number becomes text afterwards. Pollutant and dataset come from the arguments,
+    from columns (or partition folders) of that name, or from ``<dataset>/<pollutant>/`` in the path; ``row_id`` is the stored column of that
     name argument, or the row's place in its file."""
+    def told(raw: DataFrame, name: str, given, place):
+        return (F.lit(given) if given is not None else F.col(name) if name in raw.columns else place).alias(name)
+
     kinds, skipped = reading_files(spark, paths)
     out = None
     for files in kinds.values():
@@ -63,8 +66,8 @@ def read_readings(spark: SparkSession, paths: Sequence[str], pollutant: str | No
         part = raw.select(
             *[F.col(c).cast(t).alias(c) for c, t in READING_COLUMNS.items()],
             F.col("Value").cast("string").alias("value_text"),
-            (F.lit(pollutant) if pollutant else F.element_at(place, -2)).alias("pollutant"),
-            (F.lit(dataset) if dataset else F.element_at(place, -3).try_cast("int")).cast("int").alias("dataset"),
+            told(raw, "pollutant", pollutant, F.element_at(place, -2)),
+            told(raw, "dataset", dataset, F.element_at(place, -3).try_cast("int")).cast("int").alias("dataset"),
             (F.col(row_id) if row_id else F.col("_metadata.row_index")).cast("long").alias("row_id"))
         part = part.select(F.col("Samplingpoint").alias("samplingpoint"), "pollutant", "dataset", "row_id",
                            F.col("Start").alias("start_time"), F.col("End").alias("end_time"), "value_text",

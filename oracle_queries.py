@@ -126,12 +126,14 @@ SELECT pollutant, dist_bin, count(*) AS n, round(avg(abs(prior - value)), 6) AS
 FROM x WHERE dist_bin IS NOT NULL GROUP BY pollutant, dist_bin"""
 
 SQL["calibration"] = _with(_BASE, META, LABELS, FEATS, FV, TS, NEAREST_OTHER) + """
-, q AS (SELECT pollutant, dist_bin, quantile_cont(abs(prior - value), 0.9) AS q_err, count(*) AS n
-       FROM x WHERE dist_bin IS NOT NULL GROUP BY pollutant, dist_bin)
-SELECT x.pollutant, x.dist_bin, q.n, round(q.q_err, 6) AS q_err,
-       round(avg(CASE WHEN abs(x.prior - x.value) <= q.q_err + 1e-9 THEN 1e0 ELSE 0e0 END), 6) AS coverage
-FROM x JOIN q ON q.pollutant = x.pollutant AND q.dist_bin = x.dist_bin
-GROUP BY x.pollutant, x.dist_bin, q.n, q.q_err"""
+, h AS (SELECT *, TRY_CAST(substr(station_eoi, 3, 4) AS INTEGER) % 2 AS half FROM x WHERE dist_bin IS NOT NULL),
+q AS (SELECT pollutant, dist_bin, quantile_cont(abs(prior - value), 0.9) AS q_err, count(*) AS n
+      FROM h WHERE half = 0 GROUP BY pollutant, dist_bin)
+SELECT h.pollutant, h.dist_bin, q.n, count(*) AS n_measured, round(q.q_err, 6) AS q_err,
+       round(avg(CASE WHEN abs(h.prior - h.value) <= q.q_err + 1e-9 THEN 1e0 ELSE 0e0 END), 6) AS coverage
+FROM h JOIN q ON q.pollutant = h.pollutant AND q.dist_bin = h.dist_bin
+WHERE h.half = 1
+GROUP BY h.pollutant, h.dist_bin, q.n, q.q_err"""
 
 SQL["error_map"] = _with(_BASE, META, LABELS, FEATS, FV, TS) + """
 SELECT pollutant, round((floor(lat / 0.25) + 0.5) * 0.25, 4) AS clat, round((floor(lon / 0.25) + 0.5) * 0.25, 4) AS clon,
@@ -188,6 +190,10 @@ SQL["station_boxes"] = _with(("station_points",), META, BOXES) + "SELECT * FROM
 
 SQL["granule_search"] = _with(_SAT, META, BOXES, GSEARCH) + "SELECT * FROM gsearch"
 
+SQL["granules_of_a_day"] = _with(_SAT, META, BOXES, GSEARCH) + """
+SELECT * FROM gsearch WHERE contains(name, 'L2__NO2___') AND contains(name, 'OFFL')
+  AND sensed_at >= TIMESTAMP '2024-01-03' AND sensed_at < TIMESTAMP '2024-01-04'"""
+
 SQL["nearest_pixel"] = _with(_SAT, META, BOXES, GSEARCH, HITS) + """
 SELECT station_eoi, granule, product, obs_date, pixel_id, round(value, 12) AS value,
        round(2 * 6371.0 * asin(c / 2), 6) AS dist_km
@@ -247,6 +253,10 @@ _FLD = ("station_points", "cell_weather")
 
 SQL["grid_distance"] = _with(_FLD, META, GRID, GDIST) + "SELECT * FROM gdist"
 
+SQL["field_axis"] = _with(("cell_weather",), WINDOW) + """
+SELECT t.valid_time, strftime(t.valid_time, '%Y-%m-%dT%H:00') AS iso, date_diff('hour', w.now, t.valid_time) AS offset_h
+FROM win w, unnest(generate_series(w.first_hour, w.last_hour, INTERVAL 1 HOUR)) AS t(valid_time)"""
+
 SQL["q6_field"] = _with(_FLD, META, GRID, GDIST, FIELD) + "SELECT * FROM field"
 
 SQL["hotspots"] = _with(_FLD, META, GRID, GDIST, FIELD) + """
