@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from airfill.functions.geo import cell_index
+from airfill.functions.geo import cell_index, snap
 from airfill.operators import readings as R
 from airfill.sources.fixtures import Fixtures
 
@@ -66,6 +66,23 @@ def cells_to_stations(cells: DataFrame, stations_df: DataFrame, cell_deg: float
     return cs.join(st, ["_ci", "_cj"], "inner").drop("_ci", "_cj")
 
 
+def cells_needed(fx: Fixtures, cell_deg: float = CELL_DEG) -> DataFrame:
+    """AG12: the weather cells that hold a station, with how many they serve."""
+    st = stations(fx)
+    return (st.groupBy(snap(F.col("lat"), cell_deg).alias("clat"), snap(F.col("lon"), cell_deg).alias("clon"))
+              .agg(F.count(F.lit(1)).alias("stations")))
+
+
+def days_to_do(fx: Fixtures, stored_days: int = 10) -> DataFrame:
+    """P15 / T-2: days of the label period that aren't stored yet, oldest first, with their place
+    in the queue, when the first ``stored_days`` days are."""
+    span = labels(fx).agg(F.min(F.to_date("start_time")).alias("lo"), F.max(F.to_date("start_time")).alias("hi"))
+    days = span.where(F.col("lo").isNotNull()).select("lo", F.explode(F.sequence("lo", "hi")).alias("day"))
+    stored = days.where(F.col("day") < F.date_add("lo", stored_days)).select("day")
+    left = days.join(stored, "day", "left_anti")
+    return left.select("day", (F.date_diff("day", "lo") - stored_days + 1).cast("long").alias("place")).orderBy("day")
+
+
 def station_features(fx: Fixtures) -> DataFrame:
     """Q2: hourly weather + prior per station (P7: hours lacking a prior dropped)."""
     cw = R.drop_missing_prior(fx.cell_weather)

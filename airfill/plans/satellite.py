@@ -28,7 +28,8 @@ def clean_pixels(pixels: DataFrame, fill_value: float | None = None, qa_scale: f
     v = F.col("value")
     if fill_value is not None:
         v = F.when(v == F.lit(fill_value), F.lit(None)).otherwise(v)
-    qa = F.col("qa") if qa_scale is None else F.col("qa") * F.lit(qa_scale)
+    # rounded so that 75 hundredths meet a bound of 0.75
+    qa = F.col("qa") if qa_scale is None else F.round(F.col("qa") * F.lit(qa_scale), 6)
     return pixels.withColumns({"value": v, "qa": qa})
 
 
@@ -66,6 +67,18 @@ def search_granules(granules: DataFrame, boxes: DataFrame, products: Sequence[st
     return hits.select("granule", "product", "sensed_at", "name").dropDuplicates(["name"])
 
 
+#: Stored fill value and scale of a product file (P9 follows on the unpacked values).
+FILL, QA_SCALE = 9.96921e36, 0.01
+
+
+def packed_pixels(fx: Fixtures) -> DataFrame:
+    """SC5 + P9: pixels as product files store them - quality as whole hundredths, missing values
+    as a fill value - unpacked and filtered."""
+    stored = fx.pixels.withColumns({"qa": F.round(F.col("qa") * 100).cast("int"), "value": F.coalesce("value", F.lit(FILL))})
+    return good_pixels(clean_pixels(stored, FILL, QA_SCALE)).select(
+        "granule", "product", "pixel_id", F.round("qa", 2).alias("qa"), F.round("value", 12).alias("value"))
+
+
 def station_boxes(fx: Fixtures) -> DataFrame:
     """AG5 over the placed stations."""
     return S.station_boxes(ingest.stations(fx))

@@ -43,6 +43,9 @@ QUERIES: dict[str, Query] = {
     "calibration": _on_fixtures(training.calibration),
     "error_map": _on_fixtures(training.error_map),
     "station_state": _on_fixtures(ingest.station_state),
+    "cells_needed": _on_fixtures(ingest.cells_needed),
+    "days_to_do": _on_fixtures(ingest.days_to_do),
+    "packed_pixels": _on_fixtures(satellite.packed_pixels),
     "station_boxes": _on_fixtures(satellite.station_boxes),
     "granule_search": _on_fixtures(lambda fx: satellite.search_granules(fx.granules, satellite.station_boxes(fx))),
     "granules_of_a_day": _on_fixtures(satellite.granules_of_a_day),

@@ -190,6 +190,20 @@ SQL["station_boxes"] = _with(("station_points",), META, BOXES) + "SELECT * FROM
 
 SQL["granule_search"] = _with(_SAT, META, BOXES, GSEARCH) + "SELECT * FROM gsearch"
 
+SQL["cells_needed"] = _with(("station_points",), META) + """
+SELECT round((floor(lat / 0.25e0) + 0.5e0) * 0.25e0, 4) AS clat, round((floor(lon / 0.25e0) + 0.5e0) * 0.25e0, 4) AS clon,
+       count(*) AS stations
+FROM meta GROUP BY 1, 2"""
+
+SQL["days_to_do"] = _with(("raw_readings", "station_points"), META, LABELS) + """
+, span AS (SELECT min(CAST(start_time AS DATE)) AS lo, max(CAST(start_time AS DATE)) AS hi FROM labels),
+days AS (SELECT lo, CAST(unnest(generate_series(lo, hi, INTERVAL 1 DAY)) AS DATE) AS day FROM span)
+SELECT day, row_number() OVER (ORDER BY day) AS place FROM days WHERE day >= lo + 10"""
+
+SQL["packed_pixels"] = duckdb_with("pixels") + """
+SELECT granule, product, pixel_id, round(qa, 2) AS qa, round(value, 12) AS value FROM pixels
+WHERE value IS NOT NULL AND qa >= CASE product WHEN 'L2__NO2___' THEN 0.75 ELSE 0.5 END"""
+
 SQL["granules_of_a_day"] = _with(_SAT, META, BOXES, GSEARCH) + """
 SELECT * FROM gsearch WHERE contains(name, 'L2__NO2___') AND contains(name, 'OFFL')
   AND sensed_at >= TIMESTAMP '2024-01-03' AND sensed_at < TIMESTAMP '2024-01-04'"""
