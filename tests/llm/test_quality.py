@@ -28,8 +28,7 @@ def brute_base(text):
     lines, seen, dup = t.split("\n"), set(), 0
     for x in lines:
         if any(c not in white for c in x):
-            # equal lines are equal as they stand, but for white space around them
-            key = x.strip(white)
+            key = x
             dup += key in seen
             seen.add(key)
     return (len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in t), dup, len(covered),
