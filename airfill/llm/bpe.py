@@ -93,8 +93,8 @@ class PerfectHash:
 class Encoder:
     """A vocabulary of byte strings by rank, with both tiers of the lookup."""
 
-    def __init__(self, ranks: dict[bytes, int]):
-        self.ranks = ranks
+    def __init__(self, ranks: dict[bytes, int], remembered: int = REMEMBERED):
+        self.ranks, self.remembered = ranks, remembered
         tokens = sorted(ranks, key=ranks.__getitem__)
         self.vocabulary: dict[int, bytes] = {ranks[t]: t for t in tokens}
         self.decimal: dict[int, str] = {i: str(i) for i in self.vocabulary}
@@ -158,12 +158,15 @@ class Encoder:
             i = after[i]
         return tuple(out)
 
+    def forget(self) -> None:
+        self.recent, self.older = {}, {}
+
     def merge_all(self, tokens: list[bytes]) -> list[tuple[int, ...]]:
         return list(map(self.merge, tokens))
 
     def merged(self, tokens: list[bytes]) -> list[bytes]:
         """The ids of each pre-token as little-endian 32-bit numbers, remembered or merged now."""
-        if len(self.recent) >= REMEMBERED:
+        if len(self.recent) >= self.remembered:
             self.older, self.recent = self.recent, {}
         recent, older = self.recent, self.older
         new = []

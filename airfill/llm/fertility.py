@@ -19,6 +19,7 @@ one row out; other columns are left behind (``filtered`` keeps them).
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -33,8 +34,8 @@ from airfill.llm.bpe import vocabulary_path
 from airfill.llm.runtime import map_arrow, slices, unused
 from airfill.session import written
 
-#: Distinct words whose pieces a worker remembers (two generations of this size).
-REMEMBERED = 150_000
+#: Distinct words whose pieces a task remembers (two generations of this size).
+REMEMBERED = 60_000
 #: Width of the bands in spreads (a spread is the standard deviation of a normal distribution).
 CHARS_WIDTH, ENTROPY_WIDTH, FALLBACK_WIDTH = 7.0, 4.0, 8.0
 #: Smallest spreads and the fallback share that is always allowed.
@@ -59,10 +60,11 @@ class Pieces:
         import sentencepiece
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
         self.fallback = np.array([self.model.is_byte(i) for i in range(self.model.get_piece_size())])
-        self.recent: dict[bytes, list[int]] = {}
-        self.older: dict[bytes, list[int]] = {}
+        self.recent: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
 
-    def of(self, words: list[bytes]) -> list[list[int]]:
+    def of(self, words: list[bytes]) -> list[bytes]:
+        """Each word's piece ids as little-endian 32-bit numbers."""
         if len(self.recent) > REMEMBERED:
             self.older, self.recent = self.recent, {}
         new = []
@@ -73,9 +75,18 @@ class Pieces:
                     new.append(w)
                 else:
                     self.recent[w] = got
-        fresh = dict(zip(new, self.model.encode([w.decode() for w in new], out_type=int, num_threads=1), strict=True))
-        self.recent.update((w, ids) for w, ids in fresh.items() if len(w) <= 64)
-        return [fresh.get(w) or self.recent.get(w, []) for w in words]
+        fresh = {}
+        for i in range(0, len(new), 8192):
+            some = new[i:i + 8192]
+            for w, ids in zip(some, self.model.encode([w.decode() for w in some], out_type=int, num_threads=1), strict=True):
+                fresh[w] = array("I", ids).tobytes()
+        got = [fresh.get(w) or self.recent.get(w, b"") for w in words]
+        room = REMEMBERED - len(self.recent)
+        self.recent.update((w, fresh[w]) for w in new[:max(room, REMEMBERED // 4)] if len(w) <= 64)
+        return got
+
+    def forget(self) -> None:
+        self.recent, self.older = {}, {}
 
 
 @lru_cache(2)
@@ -111,9 +122,9 @@ def measure(docs: DataFrame, vocabulary: str = "piece_bpe_32k.model", text_col:
         for batch, texts in slices(batches, text_col):
             words, numbers, per_text = wordstats.numbered(texts)
             own = p.of(words)
-            size = np.array([len(x) for x in own], np.int64)
+            size = np.fromiter(map(len, own), np.int64, len(own)) // 4
             start = np.cumsum(size) - size
-            flat = np.fromiter((i for x in own for i in x), np.int64, int(size.sum()))
+            flat = np.frombuffer(b"".join(own), "<u4").astype(np.int64)
             n = size[numbers]
             ends = np.cumsum(n)
             ids = flat[np.arange(int(n.sum())) - np.repeat(ends - n - start[numbers], n)]
@@ -130,6 +141,7 @@ def measure(docs: DataFrame, vocabulary: str = "piece_bpe_32k.model", text_col:
             arrays = [pa.array(c, {"long": pa.int64(), "double": pa.float64(), "string": pa.string()}[k])
                       for c, k in zip(columns, MEASURES.values(), strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns, *arrays], names=names)
+        p.forget()
 
     names = [*docs.columns, *(prefix + k for k in MEASURES)]
     schema = T.StructType([*docs.schema.fields, *(

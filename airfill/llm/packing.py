@@ -40,6 +40,8 @@ from airfill.llm.runtime import batch_of, keyed, map_arrow, slices
 from airfill.session import written
 
 WINDOW = 1024
+#: Distinct pre-tokens whose ids a task remembers (two generations of this size).
+REMEMBERED = 80_000
 #: Counts per task and length are broadcast up to this many rows of 16 bytes; beyond, joined by shuffle.
 BROADCAST_ROWS = 2_000_000
 
@@ -71,7 +73,8 @@ class Tokenizer(Encoder):
             except (KeyError, UnicodeDecodeError):  # not a whole text by itself
                 continue
         tokens = list(known)
-        super().__init__({t: known[t] for t, ids in zip(tokens, self.merge_all(tokens), strict=True) if ids == [known[t]]})
+        super().__init__({t: known[t] for t, ids in zip(tokens, self.merge_all(tokens), strict=True) if ids == [known[t]]},
+                         REMEMBERED)
 
     def merge_all(self, tokens: list[bytes]) -> list[list[int]]:
         out = []
@@ -115,6 +118,7 @@ def tokenised(docs: DataFrame, vocabulary: str, end_id: int, window: int) -> Dat
                 rest[n % window] += 1
             yield batch_of(doc_id=batch.column("doc_id"), part=pa.array([part] * batch.num_rows, pa.int32()),
                            **{k: pa.array(v, pa.binary() if k == "ids" else pa.int64()) for k, v in cols.items()})
+        t.forget()
 
     return written(map_arrow(docs, run, "doc_id long, part int, n_tokens long, ids binary, full_before long, "
                                         "rest long, rest_before long"), "packing-tokens")

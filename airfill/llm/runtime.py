@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that a Python task works on at a time (one longer text is its own slice).
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 _shipped: set[str] = set()
 
 
@@ -74,6 +74,8 @@ def slices(batches: Iterable[pa.RecordBatch], text_col: str = "text",
                 start, total = i, 0
             total += n
         yield batch.slice(start), text.slice(start).to_pylist()
+    # workers live on for later stages: hand back what this one no longer needs
+    pa.default_memory_pool().release_unused()
 
 
 def map_arrow(df: DataFrame, fn: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]],
