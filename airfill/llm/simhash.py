@@ -11,8 +11,8 @@ fail are never rows.
 Copies collapse to one fingerprint first, so a group of copies costs what one text costs.
 Groups are the connected components of the links. A group of near copies can hold very many
 close pairs, of which connecting it needs few: links to the smallest fingerprint under the
-same segment value are taken first, and the search then reports no pair that they have
-already connected.
+same segment value are taken first, and the search then reports no pair with the same such
+neighbour.
 
 Defined results: null and empty texts have fingerprint zero, linked like any other; repeated
 rows are separate rows of one group; a component is named by its smallest doc_id (null ids are
@@ -116,11 +116,11 @@ def links(distinct: DataFrame, distance: int = 4, segments: int = 3) -> DataFram
 
 
 def connected(distinct: DataFrame, distance: int = 4, segments: int = 3) -> DataFrame:
-    """(node, root) of fingerprints with links. The stars' components come first; the full search
-    then only has to report pairs that join two of them."""
+    """(node, root) of fingerprints with links. Fingerprints linked to the same star centre need
+    no link between them, so the full search only reports pairs of different centres."""
     first = written(stars(distinct, distance, segments), "simhash-stars")
-    near = components(first)
-    marked = written(distinct.join(near, distinct["fp"] == near["node"], "left").select(
+    centre = first.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("root"))
+    marked = written(distinct.join(centre, distinct["fp"] == centre["node"], "left").select(
         "fp", F.coalesce("root", "fp").alias("root")), "simhash-marked")
     return components(first.unionByName(written(links(marked, distance, segments), "simhash-links")))
 
