@@ -2,23 +2,26 @@
 
     P(word | previous) = P(class | previous class) * P(item | class) * P(word | item)
 
-Items are the words that get a class: the ``frequent`` most frequent words, each an item of its
-own, and for every other word one of ``tails`` shared items chosen by its last characters.
-Exchange clustering assigns items to classes; words and their counts stay exact:
+Every training word has a class; words and their counts stay exact:
 
 1. Word counts of the training texts, one aggregate over all of them (words counted in each task
-   first). The most frequent ones, a bounded table, go to the tasks.
-2. Pair counts of neighbouring items over all training texts: at most items x items numbers, the
-   only thing the driver clusters on.
-3. Exchange clustering: items move, one at a time, to the class that most raises the likelihood
-   of the class bigrams, until a pass moves few.
-4. Scores: the most frequent words' counts are looked up in the task. Every other word of a text
-   becomes a (text, word, times) row and finds its count by an equi-join; by construction no such
-   word is frequent, so no key is hot.
-
-Smoothing: class transitions are interpolated with the class's share; a shared item spreads one
-count more over an unseen word, as the base model does over the whole vocabulary. So the
-probabilities of all words and one unseen word sum to one after every history.
+   first).
+2. Exchange clustering makes the classes. Its items are the ``frequent`` most frequent words, each
+   an item of its own, and ``tails`` items that stand for the other words by their last
+   characters. Pair counts of neighbouring items over all training texts go to the driver; items
+   move, one at a time, to the class that most raises the likelihood of the class bigrams, until
+   a pass moves few.
+3. Every other training word goes to the class that makes its own neighbours likeliest, from counts
+   of (word, class before or after) over all training texts: a table of (word, n, label) that
+   grows with the vocabulary.
+4. Texts become class sequences. The most frequent words of that table, a bounded part, are looked
+   up in the task; every other word of a text becomes a (text, word) row and finds its count and
+   class by an equi-join; by construction no such word is frequent, so no key is hot.
+5. Class bigrams are counted over the sequences of all training texts, and every sequence is scored.
+
+Smoothing: class transitions are interpolated with the class's share. An unseen word takes the
+class of the item of its last characters, and one count there. So the probabilities of all words
+and one unseen word of each such item sum to one after every history.
 
 Defined results: null and empty texts are the end token alone; without training rows every token
 is unseen; repeated rows and ids are scored as the separate rows they are; an empty table gives
@@ -29,9 +32,9 @@ from __future__ import annotations
 
 import math
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
-from math import log1p
+from math import log, log1p
 
 import numpy as np
 import pyarrow as pa
@@ -41,14 +44,16 @@ from pyspark.sql import functions as F
 from airfill.llm.runtime import batch_of, keyed, map_arrow, remainder, slices
 from airfill.session import written
 
-#: Words with an item of their own; shared items; classes; passes of the exchange.
+#: Words with an item of their own; items of other and unseen words; classes (under ASKED); passes of the exchange.
 FREQUENT, TAILS, CLASSES, PASSES = 1000, 256, 48, 6
-#: Words whose counts tasks hold: at most so many, at most so many bytes each.
+#: Words whose counts and classes tasks hold: at most so many, at most so many bytes each.
 LOOKUP, LONGEST = 300_000, 64
 #: Distinct words a task counts before it passes the counts on.
 COUNTED = 400_000
 #: Weight of a class's overall share in its transitions.
 PRIOR = 5.0
+#: Stands in a class sequence for a word whose class comes by the join.
+ASKED = 255
 
 
 def _counts(train: DataFrame) -> DataFrame:
@@ -74,11 +79,11 @@ def _counts(train: DataFrame) -> DataFrame:
 
 class Items:
     """The items of words: 0 is the text's edge (begin and end), then the frequent words by
-    rank, then the shared ones."""
+    rank, then ``groups`` items that no word is looked up in, then the shared ones."""
 
-    def __init__(self, frequent: list[bytes], tails: int = TAILS):
+    def __init__(self, frequent: list[bytes], tails: int = TAILS, groups: int = 0):
         self.index = {w: i + 1 for i, w in enumerate(frequent)}
-        self.first_tail, self.tails = len(frequent) + 1, tails
+        self.first_tail, self.tails = len(frequent) + 1 + groups, tails
         self.n = self.first_tail + tails
 
     def tail(self, word: bytes) -> int:
@@ -163,33 +168,92 @@ def exchange(pairs: np.ndarray, classes: int = CLASSES, passes: int = PASSES) ->
     return label
 
 
+def _neighbours(train: DataFrame, held, classes: int) -> DataFrame:
+    """(word, code, n): how often a word that isn't frequent stands after class code, or before
+    class code - classes, in the training texts. ``held`` is a broadcast of (items, their classes)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        it, label = held.value
+        for _, texts in slices(batches):
+            number: defaultdict = defaultdict()
+            number.default_factory = number.__len__
+            number[None]  # the edge
+            flat: list[int] = [0]
+            for t in texts:
+                flat += map(number.__getitem__, t.lower().split())
+                flat.append(0)
+            words = list(number)
+            own = np.array([0, *it.of(words[1:])], np.int64)
+            x = np.array(flat, np.int64)
+            c = label[own][x]
+            at = np.flatnonzero(own[x] >= it.first_tail)
+            code, n = np.unique(np.concatenate([x[at] * 2 * classes + c[at - 1], (x[at] * 2 + 1) * classes + c[at + 1]]),
+                                return_counts=True)
+            yield batch_of(word=pa.array(words, pa.binary()).take(pa.array(code // (2 * classes))),
+                           code=pa.array(code % (2 * classes), pa.int32()), n=pa.array(n, pa.int64()))
+
+    return map_arrow(train, run, "word binary, code int, n long").groupBy("word", "code").agg(F.sum("n").alias("n"))
+
+
+def _assigned(train: DataFrame, items: Items, label: np.ndarray, pairs: np.ndarray, classes: int) -> DataFrame:
+    """(word, n, label) of every training word that isn't frequent: the class b with the highest
+    likelihood of the word's tokens and their neighbours, sum left log P(b | c) +
+    sum right log P(c | b) - n log (N(b) + n)."""
+    spark = train.sparkSession
+    one = np.zeros((items.n, classes))
+    one[np.arange(items.n), label] = 1
+    grid = one.T @ pairs @ one
+    mass = grid.sum(0)
+    share = mass / max(mass.sum(), 1.0)
+    move = np.log(np.maximum((grid + PRIOR * share[None, :]) / (grid.sum(1, keepdims=True) + PRIOR), 1e-300))
+    closed = mass == 0  # classes that nothing is in
+    closed[0] = True
+    model = spark.sparkContext.broadcast((move, mass, closed))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        move, mass, closed = model.value
+        for b in batches:
+            met = b.column("met")
+            sides = np.zeros((b.num_rows, 2 * classes))
+            inner = met.flatten()
+            at = np.repeat(np.arange(b.num_rows), np.diff(met.offsets.to_numpy()))
+            sides[at, inner.field("code").to_numpy()] = inner.field("n").to_numpy()
+            left, right = sides[:, :classes], sides[:, classes:]
+            n = left.sum(1)
+            gain = left @ move + right @ move.T - n[:, None] * np.log(mass[None, :] + n[:, None])
+            gain[:, closed] = -np.inf
+            yield batch_of(word=b.column("word"), n=pa.array(n.astype(np.int64)), label=pa.array(gain.argmax(1), pa.int32()))
+
+    near = _neighbours(train, spark.sparkContext.broadcast((items, label)), classes)
+    return written(map_arrow(near.groupBy("word").agg(F.collect_list(F.struct("code", "n")).alias("met")), run,
+                             "word binary, n long, label int"), "lm-classes")
+
+
 class Model:
-    """Natural-log tables of the trained model, all of a size fixed by the parameters."""
-
-    def __init__(self, items: Items, frequent_counts: list[int], pairs: np.ndarray, tail_counts: np.ndarray,
-                 tail_types: np.ndarray, texts: int, classes: int = CLASSES, passes: int = PASSES):
-        self.items = items
-        self.counts = np.zeros(items.n, np.int64)
-        self.counts[0] = texts
-        self.counts[1:items.first_tail] = frequent_counts
-        self.counts[items.first_tail:] = tail_counts
-        self.known = self.counts.copy()
-        #: counts of the most frequent words of shared items
+    """Tables of the trained model, all of a size fixed by the parameters. ``items`` are the edge, the
+    frequent words and one item for each class's other words, ``label`` and ``emit`` their classes
+    and log shares; ``ends`` are the items of last characters, ``unseen`` their classes."""
+
+    def __init__(self, ends: Items, frequent_counts: list[int], label: np.ndarray, rest_n: np.ndarray, rest_v: np.ndarray,
+                 texts: int, classes: int = CLASSES):
+        self.ends, self.unseen = ends, label[ends.first_tail:]
+        self.items = Items(list(ends.index), 0, classes)
+        self.label = np.concatenate([label[:ends.first_tail], np.arange(classes)])
+        self.known = np.array([texts, *frequent_counts], np.int64)
+        #: counts, and classes, of the most frequent words without an item
         self.lookup: dict[bytes, int] = {}
-        self.tail_n, self.tail_v = tail_counts, tail_types
-        self.tokens = int(self.counts.sum())
-        self.types = (texts > 0) + len(frequent_counts) + int(tail_types.sum())
-        self.label = exchange(pairs.astype(float), classes, passes) if texts else np.zeros(items.n, np.int64)
-        # every shared item can be met, so it has one count more
-        weight = self.counts.astype(float)
-        weight[items.first_tail:] += 1
+        self.classes: dict[bytes, int] = {}
+        self.tokens = int(self.known.sum() + rest_n.sum())
+        self.types = (texts > 0) + len(frequent_counts) + int(rest_v.sum())
+        weight = np.concatenate([self.known, rest_n + np.bincount(self.unseen, minlength=classes)]).astype(float)
         weight[0] = max(weight[0], 1)
-        mass = np.bincount(self.label, weights=weight, minlength=classes)
-        self.emit = np.log(np.maximum(weight, 1e-300)) - np.log(mass[self.label])
-        one = np.zeros((items.n, classes))
-        one[np.arange(items.n), self.label] = 1
-        grid = one.T @ pairs @ one
-        share = mass / mass.sum()
+        self.mass = np.bincount(self.label, weights=weight, minlength=classes)
+        self.emit = np.log(np.maximum(weight, 1e-300)) - np.log(np.maximum(self.mass, 1e-300))[self.label]
+        self.move = np.zeros((classes, classes))
+
+    def transitions(self, grid: np.ndarray) -> None:
+        """Set the log chances of class after class from their counts."""
+        share = self.mass / self.mass.sum()
         self.move = np.log(np.maximum((grid + PRIOR * share[None, :]) / (grid.sum(1, keepdims=True) + PRIOR), 1e-300))
 
 
@@ -203,104 +267,160 @@ def _least(counts: DataFrame, most: int) -> int:
     return 1
 
 
-def train(docs: DataFrame, frequent: int = FREQUENT, tails: int = TAILS, classes: int = CLASSES,
-          passes: int = PASSES, lookup: int = LOOKUP) -> tuple[Model, DataFrame]:
-    """(model, table of word, n for the words whose counts aren't in the model) from all of
-    ``docs`` (doc_id, text)."""
-    spark = docs.sparkSession
+def _classes(docs: DataFrame, frequent: int, tails: int, classes: int, passes: int, lookup: int) -> tuple[Model, DataFrame]:
+    """(model without transitions, table of word, n, label for the words that aren't in the model)."""
     counts = written(_counts(docs), "lm-counts")
-    short = F.length("word") <= LONGEST
-    own, near = _least(counts.where(short), frequent), _least(counts.where(short), lookup)
-    top = counts.where(short & (F.col("n") >= min(own, near))).toArrow()
-    words, n = top.column("word").to_pylist(), top.column("n").to_pylist()
-    ranked = sorted((w for w, k in zip(words, n, strict=True) if k >= own))
-    known = dict(zip(words, n, strict=True))
-    items = Items(ranked, tails)
-    shared = spark.sparkContext.broadcast(items)
-    least = min(own, near)
-
-    def by_tail(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        it = shared.value
-        for b in batches:
-            x = np.array(it.of(b.column("word").to_pylist()), np.int32)
-            n = b.column("n").to_numpy(zero_copy_only=False)
-            tail = x >= it.first_tail
-            total = np.bincount(x[tail] - it.first_tail, weights=n[tail], minlength=it.tails)
-            types = np.bincount(x[tail] - it.first_tail, minlength=it.tails)
-            yield batch_of(tail=pa.array(np.arange(it.tails), pa.int32()), n=pa.array(total.astype(np.int64)),
-                           v=pa.array(types.astype(np.int64)))
-
-    tail_n, tail_v = np.zeros(tails, np.int64), np.zeros(tails, np.int64)
-    for r in map_arrow(counts, by_tail, "tail int, n long, v long").groupBy("tail").agg(
-            F.sum("n").alias("n"), F.sum("v").alias("v")).collect():
-        tail_n[r["tail"]], tail_v[r["tail"]] = r["n"], r["v"]
+    # equal counts by the word itself, so that a flat vocabulary has items too
+    top = counts.where(F.length("word") <= LONGEST).orderBy(F.desc("n"), "word").limit(frequent).collect()
+    known = {bytes(r["word"]): r["n"] for r in top}
+    items = Items(sorted(known), tails)
     pairs = np.zeros(items.n * items.n)
-    got = _pairs(docs, shared).toArrow()
+    got = _pairs(docs, docs.sparkSession.sparkContext.broadcast(items)).toArrow()
     pairs[got.column("code").to_numpy()] = got.column("n").to_numpy()
-    model = Model(items, [known[w] for w in ranked], pairs.reshape(items.n, items.n), tail_n, tail_v, docs.count(),
-                  classes, passes)
-    model.lookup = {w: k for w, k in known.items() if k < own}
-    return model, counts.where(~short | (F.col("n") < least))
-
-
-def score(docs: DataFrame, model: Model, rare: DataFrame) -> DataFrame:
-    """``docs`` (doc_id, text, held_out) scored: doc_id, held_out, n_tokens, n_known, train_tokens,
-    base_score, score."""
+    pairs = pairs.reshape(items.n, items.n)
+    texts = docs.count()
+    label = exchange(pairs, classes, passes) if texts else np.zeros(items.n, np.int64)
+    rest = _assigned(docs, items, label, pairs, classes)
+    rest_n, rest_v = np.zeros(classes, np.int64), np.zeros(classes, np.int64)
+    for r in rest.groupBy("label").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).collect():
+        rest_n[r["label"]], rest_v[r["label"]] = r["n"], r["v"]
+    model = Model(items, [known[w] for w in sorted(known)], label, rest_n, rest_v, texts, classes)
+    short = F.length("word") <= LONGEST
+    near = _least(rest.where(short), lookup)
+    held = rest.where(short & (F.col("n") >= near)).toArrow()
+    words = held.column("word").to_pylist()
+    model.lookup = dict(zip(words, held.column("n").to_pylist(), strict=True))
+    model.classes = dict(zip(words, held.column("label").to_pylist(), strict=True))
+    return model, rest.where(~short | (F.col("n") < near))
+
+
+def _sequences(docs: DataFrame, model: Model, rare: DataFrame) -> DataFrame:
+    """``docs`` (doc_id, text, held_out) as class sequences: doc_id, held_out, n_tokens, n_known, base (natural
+    log), logs (sum of the words' log counts in their classes), codes (a byte for each word: its class, or
+    ASKED), asked (which of its rarer words each ASKED is), unseen (their classes if unseen), found
+    (those that aren't: which, count, class)."""
     spark = docs.sparkSession
     held = spark.sparkContext.broadcast(model)
     denominator = math.log(model.tokens + model.types + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = held.value
-        it, first, near = m.items, m.items.first_tail, m.lookup.get
-        base = np.log((m.known + 1) / (m.tokens + m.types + 1))
-        spread = -np.log(m.tail_n + m.tail_v + 1.0)  # of a word of a shared item, besides its own count
+        own = {w: (int(m.label[i]), int(m.known[i])) for w, i in m.items.index.items()}
+        near, label = m.lookup.get, m.classes
         for batch, texts in slices(batches):
-            cols: dict[str, list] = {k: [] for k in ("n_tokens", "n_known", "base", "model", "words", "times")}
+            cols: dict[str, list] = {k: [] for k in ("n_tokens", "n_known", "base", "logs", "codes", "asked", "unseen", "words")}
             for t in texts:
                 words = t.lower().split()
-                x = np.array([0, *it.of(words), 0], np.int64)
-                tail = x >= first
-                rest = Counter(w for w, is_tail in zip(words, tail[1:-1].tolist(), strict=True) if is_tail)
-                own = x[1:][~tail[1:]]
-                here = [(k, times) for w, times in rest.items() if (k := near(w))]
-                logs = sum(times * log1p(k) for k, times in here)
-                n_here = sum(times for _, times in here)
-                rest = {w: times for w, times in rest.items() if not near(w)}
+                times = Counter(words)
+                n_known, base, logs = int(m.known[0] > 0), log1p(int(m.known[0])) - denominator * (len(words) + 1), 0.0
+                code: dict[bytes, int] = {}
+                rest: dict[bytes, int] = {}
+                for w, k in times.items():
+                    c, n = own.get(w) or (label.get(w), near(w))
+                    if n:
+                        code[w] = c
+                        n_known += k
+                        base += k * log1p(n)
+                        logs += k * log(n)
+                    else:
+                        code[w] = ASKED
+                        rest[w] = len(rest)
                 cols["n_tokens"].append(len(words) + 1)
-                cols["n_known"].append(int((m.known[own] > 0).sum()) + n_here)
-                cols["base"].append(float(base[own].sum()) + logs - n_here * denominator)
-                c = m.label[x]
-                cols["model"].append(float(m.move[c[:-1], c[1:]].sum() + m.emit[x[1:]].sum()
-                                           + spread[x[tail] - first].sum()) + logs)
+                cols["n_known"].append(n_known)
+                cols["base"].append(base)
+                cols["logs"].append(logs)
+                cols["codes"].append(bytes(map(code.__getitem__, words)))
+                cols["asked"].append([rest[w] for w in words if w in rest] if rest else [])
+                cols["unseen"].append([int(m.unseen[m.ends.tail(w) - m.ends.first_tail]) for w in rest])
                 cols["words"].append(list(rest))
-                cols["times"].append(list(rest.values()))
-            kinds = {"n_tokens": pa.int64(), "n_known": pa.int64(), "base": pa.float64(), "model": pa.float64(),
-                     "words": pa.list_(pa.binary()), "times": pa.list_(pa.int64())}
+            kinds = {"n_tokens": pa.int64(), "n_known": pa.int64(), "base": pa.float64(), "logs": pa.float64(), "codes": pa.binary(),
+                     "asked": pa.list_(pa.int32()), "unseen": pa.list_(pa.int32()), "words": pa.list_(pa.binary())}
             yield batch_of(doc_id=batch.column("doc_id"), held_out=batch.column("held_out"), row=batch.column("row"),
                            **{k: pa.array(v, kinds[k]) for k, v in cols.items()})
 
     first = written(map_arrow(docs.select("doc_id", "text", "held_out", F.monotonically_increasing_id().alias("row")), run,
-                              "doc_id long, held_out boolean, row long, n_tokens long, n_known long, base double, "
-                              "model double, words array<binary>, times array<long>"), "lm-first")
-    asked = first.select("row", F.explode(F.arrays_zip("words", "times")).alias("w")).select(
-        "row", F.col("w.words").alias("word"), F.col("w.times").alias("times"))
-    found = asked.join(rare, "word", "left").select("row", "times", F.coalesce("n", F.lit(0)).alias("n"))
-    extra = found.groupBy("row").agg(
-        F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("known"),
-        F.sum(F.col("times") * F.log(F.col("n") + 1.0)).alias("logs"), F.sum("times").alias("rest"))
-    ten = math.log(10)
-    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
-    return (first.drop("words", "times").join(extra, "row", "left").select(
-        "doc_id", "held_out", "n_tokens", (F.col("n_known") + zero("known")).cast("long").alias("n_known"),
-        F.lit(model.tokens).cast("long").alias("train_tokens"),
-        ((F.col("base") + zero("logs") - zero("rest") * denominator) / ten).alias("base_score"),
-        ((F.col("model") + zero("logs")) / ten).alias("score")))
+                              "doc_id long, held_out boolean, row long, n_tokens long, n_known long, base double, logs double, "
+                              "codes binary, asked array<int>, unseen array<int>, words array<binary>"), "lm-first")
+    asked = first.select("row", F.posexplode("words").alias("which", "word"))
+    found = (asked.join(rare, "word").groupBy("row")
+                  .agg(F.collect_list(F.struct("which", F.col("n"), F.col("label"))).alias("found")))
+    return written(first.drop("words").join(found, "row", "left").drop("row"), "lm-sequences")
+
+
+def _classed(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For each row of ``_sequences``: the classes of its words with edges, the count of each rarer
+    word (0 if unseen), and how often it stands there."""
+    for codes, asked, unseen, found in zip(*(batch.column(k).to_pylist() for k in ("codes", "asked", "unseen", "found")),
+                                           strict=True):
+        c = np.zeros(len(codes) + 2, np.int64)
+        c[1:-1] = np.frombuffer(codes, np.uint8)
+        n, label, asked = np.zeros(len(unseen), np.int64), np.array(unseen, np.int64), np.array(asked, np.int64)
+        for f in found or ():
+            n[f["which"]], label[f["which"]] = f["n"], f["label"]
+        if len(asked):
+            c[1:-1][c[1:-1] == ASKED] = label[asked]
+        yield c, n, np.bincount(asked, minlength=len(n))
+
+
+def _grid(sequences: DataFrame, classes: int) -> np.ndarray:
+    """How often class follows class in the training rows of ``sequences``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(classes * classes, np.int64)
+        for b in batches:
+            for c, _, _ in _classed(b):
+                total += np.bincount(c[:-1] * classes + c[1:], minlength=len(total))
+        met = np.flatnonzero(total)
+        yield batch_of(code=pa.array(met, pa.int64()), n=pa.array(total[met], pa.int64()))
+
+    grid = np.zeros(classes * classes)
+    for r in map_arrow(sequences.where(~F.col("held_out")).select("codes", "asked", "unseen", "found"), run,
+                       "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).collect():
+        grid[r["code"]] = r["n"]
+    return grid.reshape(classes, classes)
+
+
+def train(docs: DataFrame, frequent: int = FREQUENT, tails: int = TAILS, classes: int = CLASSES,
+          passes: int = PASSES, lookup: int = LOOKUP) -> tuple[Model, DataFrame]:
+    """(model, table of word, n, label for the words that aren't in the model) from all of
+    ``docs`` (doc_id, text)."""
+    model, rare = _classes(docs, frequent, tails, classes, passes, lookup)
+    model.transitions(_grid(_sequences(docs.withColumn("held_out", F.lit(False)), model, rare), classes))
+    return model, rare
+
+
+def score(sequences: DataFrame, model: Model) -> DataFrame:
+    """``sequences`` scored: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
+    held = sequences.sparkSession.sparkContext.broadcast(
+        (model.move, np.log(np.maximum(model.mass, 1e-300)), float(model.emit[0])))
+    tokens = model.tokens
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        move, mass, edge = held.value
+        for b in batches:
+            known, base, classed = [], [], []
+            for c, n, times in _classed(b):
+                met = n > 0
+                known.append(int(times[met].sum()))
+                base.append(float((times * np.log1p(n)).sum()))
+                classed.append(float(move[c[:-1], c[1:]].sum() - mass[c[1:-1]].sum() + edge + (times[met] * np.log(n[met])).sum()))
+            own = lambda k: b.column(k).to_numpy(zero_copy_only=False)  # noqa: E731, B023
+            yield batch_of(doc_id=b.column("doc_id"), held_out=b.column("held_out"), n_tokens=b.column("n_tokens"),
+                           n_known=pa.array(own("n_known") + np.array(known, np.int64)),
+                           train_tokens=pa.array([tokens] * b.num_rows, pa.int64()),
+                           base_score=pa.array((own("base") + np.array(base)) / math.log(10)),
+                           score=pa.array((own("logs") + np.array(classed)) / math.log(10)))
+
+    return map_arrow(sequences, run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, "
+                                     "base_score double, score double")
 
 
 def score_corpus(docs: DataFrame, modulus: int = 7, held: int = 2, id_col: str = "doc_id", text_col: str = "text",
-                 **parameters) -> DataFrame:
+                 frequent: int = FREQUENT, tails: int = TAILS, classes: int = CLASSES, passes: int = PASSES,
+                 lookup: int = LOOKUP) -> DataFrame:
     """Train on the rows whose crc32(id) modulo ``modulus`` isn't ``held``, score all rows."""
     rows = keyed(docs, id_col, text_col).withColumn("held_out", remainder("doc_id", modulus) == held)
-    model, rare = train(rows.where(~F.col("held_out")).select("doc_id", "text"), **parameters)
-    return score(rows, model, rare)
+    model, rare = _classes(rows.where(~F.col("held_out")).select("doc_id", "text"), frequent, tails, classes, passes, lookup)
+    sequences = _sequences(rows, model, rare)
+    model.transitions(_grid(sequences, classes))
+    return score(sequences, model)
