@@ -47,11 +47,15 @@ def statistics(docs: DataFrame) -> DataFrame:
                    "quality-statistics")
 
 
-def sampled_labels(labels: DataFrame, target: str, most: int = SAMPLE, modulus: int = 5, id_col: str = "doc_id") -> DataFrame:
-    """(doc_id, label) of the training rows - crc32(id) modulo ``modulus`` isn't 0 - thinned by a
-    hash of the id to about ``most`` at the most."""
-    rows = (labels.where(F.col(target).isNotNull() & F.col(id_col).isNotNull() & (remainder(id_col, modulus) != 0))
+def training_labels(labels: DataFrame, target: str, modulus: int = 5, id_col: str = "doc_id") -> DataFrame:
+    """(doc_id, label) of the training rows: crc32(id) modulo ``modulus`` isn't 0."""
+    return (labels.where(F.col(target).isNotNull() & F.col(id_col).isNotNull() & (remainder(id_col, modulus) != 0))
                   .groupBy(F.col(id_col).cast("long").alias("doc_id")).agg(F.max(target).cast("double").alias("label")))
+
+
+def sampled_labels(labels: DataFrame, target: str, most: int = SAMPLE, modulus: int = 5, id_col: str = "doc_id") -> DataFrame:
+    """``training_labels`` thinned by a hash of the id to about ``most`` at the most."""
+    rows = training_labels(labels, target, modulus, id_col)
     n = rows.count()
     if n > most:
         rows = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * most / n))

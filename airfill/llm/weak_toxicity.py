@@ -11,8 +11,8 @@
 3. A linear classifier over the voters' signals is fitted to the posterior labels and scores
    every whole text in one map.
 
-The texts scored and the terms counted are whole; only the fitted rows are a sample, of at most
-``SAMPLE`` labelled rows. Labels, language, source and id are never inputs of a score.
+The texts scored are whole, and terms and contexts are counted over all labelled training rows;
+only the rows that steps 2 and 3 are fitted on are a sample, of about ``SAMPLE`` labelled rows. Labels, language, source and id are never inputs of a score.
 
 Defined results: null and empty texts have no terms; without a toxic training row there is no
 lexicon and every score is 0; repeated rows and ids are scored each; other columns stay behind.
@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from airfill.llm.rule_ensemble import sampled_labels
+from airfill.llm.rule_ensemble import sampled_labels, training_labels
 from airfill.llm.runtime import batch_of, keyed, map_arrow, remainder, slices
 from airfill.session import written
 
@@ -213,8 +213,9 @@ def score(docs: DataFrame, labels: DataFrame, target: str = "toxic", threshold:
     rows = keyed(docs, id_col, text_col)
     chosen = written(sampled_labels(labels, target, most), "toxic-labels")
     train = written(rows.join(F.broadcast(chosen), "doc_id"), "toxic-train")  # at most the sample
-    n, n_toxic = train.agg(F.count(F.lit(1)), F.coalesce(F.sum("label"), F.lit(0.0))).first()
-    words = lexicon(train, int(n_toxic), int(n - n_toxic)) if n_toxic else {}
+    every = written(rows.join(training_labels(labels, target), "doc_id"), "toxic-labelled")
+    n, n_toxic = every.agg(F.count(F.lit(1)), F.coalesce(F.sum("label"), F.lit(0.0))).first()
+    words = lexicon(every, int(n_toxic), int(n - n_toxic)) if n_toxic else {}
     voters = Voters(words)
     weights = None
     if words:
