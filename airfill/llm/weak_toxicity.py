@@ -1,9 +1,10 @@
 """Toxicity (operator 6) by weak supervision.
 
 1. Voters. Terms - whole words, and beginnings of words, which catch forms not seen before -
-   that separate the toxic from the other training labels make up the lexicon; each term votes
-   toxic on a text that has it. Pattern voters look at how strong all its terms are together
-   and how thinly they are spread, and vote either way; all others abstain.
+   that separate the toxic from the other training labels make up the lexicon, counted once for
+   equal texts. Each of the ``TERMS`` that tell most votes toxic on a text that has it. Pattern
+   voters look at how strong all of a text's terms are together, these and all others, and how
+   thinly they are spread, and vote either way; all others abstain.
 2. Label model. A generative model of the votes - a hidden class, and for each voter its
    chances to vote either way in either class - is fitted by expectation-maximisation on a
    bounded sample of training rows, anchored by their labels. Voters that agree beyond what
@@ -33,8 +34,10 @@ from airfill.llm.runtime import batch_of, keyed, map_arrow, remainder, slices
 from airfill.session import written
 
 SAMPLE = 20_000
-#: Terms in the lexicon and candidates at most; the lengths of word beginnings; the least toxic texts and contexts of a term.
-TERMS, CANDIDATES, BEGINNINGS, SUPPORT = 96, 2000, (4, 5, 6, 7), 5
+#: Terms with a voter of their own; the lengths of word beginnings; the least toxic texts and contexts of a term.
+TERMS, BEGINNINGS, SUPPORT = 96, (4, 5, 6, 7), 5
+#: Candidates that tasks hold at most; more meet their contexts by a join.
+HELD = 20_000
 #: Log odds a term needs, and the penalty of the linear classifier.
 ODDS, RIDGE = 4.5, 1e-3
 PATTERNS = ("none", "faint", "some", "strong", "thin")
@@ -88,10 +91,21 @@ def odds(n_toxic: int, n_clean: int):
     return (F.log((F.col("toxic") + 0.5) / (n_toxic + 1.0)) - F.log((F.col("clean") + 0.5) / (n_clean + 1.0)))
 
 
-def contexts(train: DataFrame, candidates: list[bytes]) -> DataFrame:
-    """(term, n): how many different words stand before a candidate in toxic texts. A term that
-    is only common because one toxic text has many copies stands in few contexts."""
-    known = train.sparkSession.sparkContext.broadcast(frozenset(candidates))
+def distinct_texts(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """(doc_id, text, label) of the labelled ``rows``, each text once for a label. Only digests are
+    grouped; the texts move once."""
+    rows = rows.withColumn("digest", F.sha2("text", 256))
+    chosen = (rows.select("doc_id", "digest").join(labels, "doc_id").groupBy("digest", "label")
+                  .agg(F.min("doc_id").alias("doc_id")))
+    return rows.join(chosen, ["doc_id", "digest"]).dropDuplicates(["doc_id", "digest"]).drop("digest")
+
+
+def contexts(train: DataFrame, candidates: DataFrame, held: int = HELD) -> DataFrame:
+    """(term, odds, n): how many different words stand before each of the ``candidates`` (term, odds)
+    in toxic texts. A term of one text's many versions stands in few contexts. Up to ``held``
+    candidates are looked for in the task, more by a join."""
+    some = candidates.limit(held + 1).select("term").collect()
+    known = (train.sparkSession.sparkContext.broadcast(frozenset(bytes(r["term"]) for r in some)) if len(some) <= held else None)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in slices(batches):
@@ -99,32 +113,34 @@ def contexts(train: DataFrame, candidates: list[bytes]) -> DataFrame:
             for t, label in zip(texts, batch.column("label").to_pylist(), strict=True):
                 if label > 0:
                     words = terms(t)
-                    found = {w: ({w} | beginnings({w})) & known.value for w in set(words)}
+                    found = {w: {w} | beginnings({w}) for w in set(words)}
+                    if known is not None:
+                        found = {w: f & known.value for w, f in found.items()}
                     met.update((c, before) for before, w in zip([b"", *words], words, strict=False) for c in found[w])
             yield batch_of(term=pa.array([x for x, _ in met], pa.binary()), before=pa.array([x for _, x in met], pa.binary()))
 
-    return map_arrow(train, run, "term binary, before binary").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+    n = map_arrow(train, run, "term binary, before binary").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+    return candidates.join(n, "term")
 
 
-def lexicon(train: DataFrame, n_toxic: int, n_clean: int, most: int = TERMS) -> dict[bytes, float]:
-    """Terms with high log odds in many contexts, by how much they tell of the label, with their
-    log odds."""
+def lexicon(train: DataFrame, n_toxic: int, n_clean: int, held: int = HELD) -> dict[bytes, float]:
+    """Every term with high log odds in many contexts with its log odds, those that tell most of
+    the label first."""
     score = odds(n_toxic, n_clean)
-    first = (term_counts(train).where((F.col("toxic") >= SUPPORT) & (score >= ODDS)).select("term", score.alias("odds"),
-             (F.col("toxic") * score).alias("gain")).orderBy(F.desc("gain"), "term").limit(CANDIDATES).collect())
-    told = {bytes(r["term"]): r["odds"] for r in first}
-    seen = {bytes(r["term"]): r["n"] for r in contexts(train, list(told)).collect()} if told else {}
-    ranked = sorted(((seen[t] * told[t], t) for t in told if seen.get(t, 0) >= SUPPORT), key=lambda x: (-x[0], x[1]))
-    return {t: told[t] for _, t in ranked[:most]}
+    told = written(term_counts(train).where((F.col("toxic") >= SUPPORT) & (score >= ODDS)).select("term", score.alias("odds")),
+                   "toxic-terms")
+    found = contexts(train, told, held).where(F.col("n") >= SUPPORT).collect()
+    return {bytes(r["term"]): r["odds"] for r in sorted(found, key=lambda r: (-r["n"] * r["odds"], bytes(r["term"])))}
 
 
 class Voters:
-    """Signals and votes of texts: one column per term, then the patterns."""
+    """Signals and votes of texts: one column for each of the first ``most`` terms, then the patterns,
+    which look at all terms."""
 
-    def __init__(self, lexicon: dict[bytes, float]):
+    def __init__(self, lexicon: dict[bytes, float], most: int = TERMS):
         self.odds = lexicon
-        self.column = {t: i for i, t in enumerate(sorted(lexicon))}
-        self.n_terms, self.n = len(lexicon), len(lexicon) + len(PATTERNS)
+        self.column = {t: i for i, t in enumerate(sorted(list(lexicon)[:most]))}
+        self.n_terms, self.n = len(self.column), len(self.column) + len(PATTERNS)
 
     def signals(self, text: bytes) -> list[int]:
         """The signals that are on: terms, then how strong their words are together, and
@@ -134,7 +150,7 @@ class Voters:
         for w in set(words):
             own = [t for t in (w, *beginnings((w,))) if t in self.odds]
             if own:
-                on.update(self.column[t] for t in own)
+                on.update(self.column[t] for t in own if t in self.column)
                 strength += max(self.odds[t] for t in own)
                 n += 1
         level = 0 if not n else 1 if strength < FAINT else 2 if strength < STRONG else 3
@@ -213,7 +229,7 @@ def score(docs: DataFrame, labels: DataFrame, target: str = "toxic", threshold:
     rows = keyed(docs, id_col, text_col)
     chosen = written(sampled_labels(labels, target, most), "toxic-labels")
     train = written(rows.join(F.broadcast(chosen), "doc_id"), "toxic-train")  # at most the sample
-    every = written(rows.join(training_labels(labels, target), "doc_id"), "toxic-labelled")
+    every = written(distinct_texts(rows, training_labels(labels, target)), "toxic-labelled")
     n, n_toxic = every.agg(F.count(F.lit(1)), F.coalesce(F.sum("label"), F.lit(0.0))).first()
     words = lexicon(every, int(n_toxic), int(n - n_toxic)) if n_toxic else {}
     voters = Voters(words)

@@ -35,3 +35,25 @@ def apart(score, toxic):
 def test_terms_are_counted_beyond_the_sample(spark):
     rows, labels = corpus()
     assert apart(scored(spark, rows, labels, most=150), {i: t for i, _, t in labels}) > 0.95
+
+
+def test_copies_of_one_text_do_not_crowd_out_terms(spark):
+    rows, labels = corpus()
+    crowd = " ".join(f"spam{k:03}word" for k in range(450))  # words and beginnings that no clean text has
+    rows += [(1000 + k, crowd) for k in range(300)]
+    labels += [(1000 + k, 1, 1) for k in range(300)]
+    score = scored(spark, rows, labels)
+    assert apart({i: s for i, s in score.items() if i < 1000}, {i: t for i, _, t in labels}) > 0.95
+
+
+def test_every_term_that_passes_is_kept_by_lookup_and_by_join(spark):
+    rng = random.Random(8)
+    rows = [(i, f"{rng.choice('bcd')}{rng.randrange(20)} vile{'abcdefghij'[i % 150 // 15]}{i % 15:02}", 1.0) for i in range(1500)]
+    rows += [(2000 + i, f"{rng.choice('bcd')}{rng.randrange(20)} fine", 0.0) for i in range(8000)]
+    train = spark.createDataFrame(rows, "doc_id long, text string, label double")
+    words = weak_toxicity.lexicon(train, 1500, 8000)
+    assert {f"vile{c}{k:02}".encode() for c in "abcdefghij" for k in range(15)} <= set(words) and len(words) > weak_toxicity.TERMS
+    assert weak_toxicity.lexicon(train, 1500, 8000, held=10) == words
+    voters = weak_toxicity.Voters(words)
+    own = {w for t in list(words)[weak_toxicity.TERMS:] for w in [t] if not t.endswith(b"*")}
+    assert own and all(voters.n_terms not in voters.signals(w) for w in own)  # "none" is off: the pattern voters see it
