@@ -5,7 +5,7 @@ import numpy as np
 from airfill.llm import weak_toxicity
 from tests.llm.helpers import edge_docs
 
-TERMS = [f"vile{c}" for c in "abcdef"]
+TERMS = [f"vil{c}" for c in "abcdef"]  # too short for beginnings that they would share
 
 
 def corpus(toxic=60, clean=540):
@@ -39,7 +39,7 @@ def test_terms_are_counted_beyond_the_sample(spark):
 
 def test_copies_of_one_text_do_not_crowd_out_terms(spark):
     rows, labels = corpus()
-    crowd = " ".join(f"spam{k:03}word" for k in range(450))  # words and beginnings that no clean text has
+    crowd = " ".join(f"{k:03}{k:03}spam" for k in range(450))  # words and beginnings that no clean text has
     rows += [(1000 + k, crowd) for k in range(300)]
     labels += [(1000 + k, 1, 1) for k in range(300)]
     score = scored(spark, rows, labels)
