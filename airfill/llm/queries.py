@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from airfill.llm import bpe, brown_lm, chat, exact_dedup, fertility, packing, pii, rule_ensemble, simhash, weak_toxicity
+from airfill.llm import (bpe, brown_lm, chat, exact_dedup, fertility, merkle, packing, pii, rule_ensemble, simhash,
+                         weak_toxicity)
 from airfill.llm.runtime import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -56,6 +57,10 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.shown(simhash.near_groups(documents(spark, sf_dir), shingle=4, distance=4))
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.audit(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Query] = {
     "op1_packing": op1_packing,
     "op2_rule_ensemble": op2_rule_ensemble,
@@ -67,6 +72,7 @@ QUERIES: dict[str, Query] = {
     "op8_brown_lm": op8_brown_lm,
     "op9_pii": op9_pii,
     "op10_simhash": op10_simhash,
+    "op11_merkle": op11_merkle,
 }
 #: The escaped text: a backslash doubled, each control string broken after its first character.
 _ESCAPED = "replace(text, '\\', '\\\\')"
@@ -74,6 +80,19 @@ for _c in chat.CONTROLS:
     _ESCAPED = f"replace({_ESCAPED}, '{_c}', '{_c[0]}\\{_c[1:]}')"
 _NAME = _ESCAPED.replace("(text,", "(role,")
 
+#: A relation ``crc(t)`` with the table of the checksum's 256 bytes, made from its polynomial.
+CRC_TABLE = """crc AS (SELECT list_transform(range(256), lambda i: list_reduce([CAST(i AS BIGINT), 0, 0, 0, 0, 0, 0, 0, 0],
+  lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t)"""
+#: A field of a leaf.
+_FIELD = "coalesce(CAST(strlen(CAST({c} AS VARCHAR)) AS VARCHAR) || ':' || CAST({c} AS VARCHAR), '-')"
+
+
+def crc32(octets: str) -> str:
+    """SQL for the unsigned checksum of a list of bytes, beside ``crc``."""
+    return (f"xor(list_reduce(list_concat([4294967295], coalesce({octets}, [])), "
+            "lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295)")
+
+
 SQL: dict[str, str] = {
     "op3_chat": f"""
 WITH t AS (
@@ -95,4 +114,49 @@ WITH d AS (
 SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
   doc_id = max(doc_id) OVER w AS kept, text_sha256
 FROM d WINDOW w AS (PARTITION BY text_sha256)""",
+    "op11_merkle": f"""
+WITH RECURSIVE {CRC_TABLE},
+d AS (
+  SELECT row_number() OVER () AS rid, doc_id, coalesce('1' || lang, '0') AS g, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS folded,
+    {_FIELD.format(c="doc_id")} || {_FIELD.format(c="source")} || {_FIELD.format(c="lang")} || {_FIELD.format(c="n_chars")} AS head,
+    {_FIELD.format(c="text")} AS body,
+    {crc32("list_transform(str_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(unicode(x) AS BIGINT))")} % 3 = 0 AS tampered
+  FROM documents CROSS JOIN crc),
+r AS (
+  SELECT rid, doc_id, g, sha256(head || body) AS leaf,
+    sha256(head || CASE WHEN tampered THEN {_FIELD.format(c="folded")} ELSE body END) AS shown,
+    row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, sha256(head || body)) - 1 AS idx,
+    count(*) OVER (PARTITION BY g) AS n
+  FROM d),
+nodes(g, h, idx, digest, n) AS (
+  SELECT g, 0, idx, leaf, n FROM r
+  UNION ALL
+  SELECT g, h + 1, idx // 8, sha256(string_agg(digest, '' ORDER BY idx)), (n + 7) // 8 FROM nodes WHERE n > 1
+  GROUP BY g, h, n, idx // 8),
+subroots AS (
+  SELECT g, digest, row_number() OVER (ORDER BY g) - 1 AS idx, count(*) OVER () AS n FROM nodes WHERE n = 1),
+upper(h, idx, digest, n) AS (
+  SELECT 0, idx, digest, n FROM subroots
+  UNION ALL
+  SELECT h + 1, idx // 8, sha256(string_agg(digest, '' ORDER BY idx)), (n + 7) // 8 FROM upper WHERE n > 1
+  GROUP BY h, n, idx // 8),
+runs AS (SELECT g, h, idx // 8 AS up, list(digest ORDER BY idx) AS kids FROM nodes WHERE n > 1 GROUP BY ALL),
+upper_runs AS (SELECT h, idx // 8 AS up, list(digest ORDER BY idx) AS kids FROM upper WHERE n > 1 GROUP BY ALL),
+walk(rid, g, h, idx, n, now, proof) AS (
+  SELECT rid, g, 0, idx, n, shown, '' FROM r
+  UNION ALL
+  SELECT w.rid, w.g, w.h + 1, w.idx // 8, (w.n + 7) // 8,
+    sha256(array_to_string(kids[:w.idx % 8], '') || w.now || array_to_string(kids[w.idx % 8 + 2:], '')),
+    w.proof || array_to_string(kids[:w.idx % 8], '') || array_to_string(kids[w.idx % 8 + 2:], '')
+  FROM walk w JOIN runs ON w.g = runs.g AND w.h = runs.h AND w.idx // 8 = runs.up WHERE w.n > 1),
+climb(rid, h, idx, n, now, proof) AS (
+  SELECT rid, 0, s.idx, s.n, now, proof FROM walk w JOIN subroots s USING (g) WHERE w.n = 1
+  UNION ALL
+  SELECT w.rid, w.h + 1, w.idx // 8, (w.n + 7) // 8,
+    sha256(array_to_string(kids[:w.idx % 8], '') || w.now || array_to_string(kids[w.idx % 8 + 2:], '')),
+    w.proof || array_to_string(kids[:w.idx % 8], '') || array_to_string(kids[w.idx % 8 + 2:], '')
+  FROM climb w JOIN upper_runs u ON w.h = u.h AND w.idx // 8 = u.up WHERE w.n > 1)
+SELECT r.doc_id, r.leaf, s.digest AS subroot, t.digest AS root, sha256(c.proof) AS proof_sha256, c.now AS folded_root,
+  c.now = t.digest AS verified
+FROM r JOIN climb c ON c.rid = r.rid AND c.n = 1 JOIN subroots s ON s.g = r.g CROSS JOIN (SELECT digest FROM upper WHERE n = 1) t""",
 }
