@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from airfill.llm import (bpe, brown_lm, chat, exact_dedup, fertility, merkle, packing, pii, rule_ensemble, simhash,
+from airfill.llm import (bpe, brown_lm, chat, exact_dedup, fertility, merkle, packing, pii, rule_ensemble, simhash, spelling,
                          weak_toxicity)
 from airfill.llm.runtime import documents
 
@@ -61,6 +61,10 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.audit(documents(spark, sf_dir))
 
 
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Query] = {
     "op1_packing": op1_packing,
     "op2_rule_ensemble": op2_rule_ensemble,
@@ -73,6 +77,7 @@ QUERIES: dict[str, Query] = {
     "op9_pii": op9_pii,
     "op10_simhash": op10_simhash,
     "op11_merkle": op11_merkle,
+    "op13_spelling": op13_spelling,
 }
 #: The escaped text: a backslash doubled, each control string broken after its first character.
 _ESCAPED = "replace(text, '\\', '\\\\')"
@@ -159,4 +164,30 @@ climb(rid, h, idx, n, now, proof) AS (
 SELECT r.doc_id, r.leaf, s.digest AS subroot, t.digest AS root, sha256(c.proof) AS proof_sha256, c.now AS folded_root,
   c.now = t.digest AS verified
 FROM r JOIN climb c ON c.rid = r.rid AND c.n = 1 JOIN subroots s ON s.g = r.g CROSS JOIN (SELECT digest FROM upper WHERE n = 1) t""",
+    "op13_spelling": f"""
+WITH RECURSIVE {CRC_TABLE},
+own AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\u00C0-\u00FF]+')) AS run
+  FROM documents),
+runs AS (SELECT doc_id, run, count(*) AS n FROM own GROUP BY ALL),
+sums AS (
+  SELECT run, n, {crc32("""flatten(list_transform(str_split(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run, ''),
+    lambda x: CASE WHEN unicode(x) < 128 THEN [CAST(unicode(x) AS BIGINT)] ELSE [192 + (unicode(x) >> 6), 128 + (unicode(x) & 63)] END))""")} AS h
+  FROM runs CROSS JOIN crc),
+words AS (
+  SELECT CASE WHEN h % 97 = 0 THEN run[:h % length(run)] || run[h % length(run) + 2:] ELSE run END AS word, CAST(sum(n) AS BIGINT) AS n
+  FROM sums GROUP BY 1 HAVING length(word) >= 5 AND sum(n) >= 3),
+cut AS (SELECT word, n, i, word[:i - 1] AS a, word[i + 1:] AS b FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words)),
+near AS (
+  SELECT x.word, y.word AS other, y.n AS m FROM cut x JOIN cut y ON x.a || '*' || x.b = y.a || '*' || y.b AND x.word <> y.word
+  UNION SELECT x.word, y.word, y.n FROM cut x JOIN words y ON x.a || x.b = y.word
+  UNION SELECT y.word, x.word, x.n FROM cut x JOIN words y ON x.a || x.b = y.word),
+best AS (SELECT word, count(*) AS n_near, first(other ORDER BY m DESC, other) AS best, max(m) AS m FROM near GROUP BY word),
+told AS (
+  SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= 2 * w.n THEN best END AS form, CASE WHEN m >= 2 * w.n THEN m END AS form_n
+  FROM words w LEFT JOIN best USING (word)),
+chain(word, reached, further) AS (
+  SELECT word, word, form FROM told
+  UNION ALL SELECT c.word, t.word, t.form FROM chain c JOIN told t ON t.word = c.further)
+SELECT told.word, form, reached AS root, n, n_near, form_n FROM told JOIN chain ON chain.word = told.word AND further IS NULL""",
 }
