@@ -35,15 +35,17 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from airfill.llm.bpe import Encoder, vocabulary_path
+from airfill.llm import pretokens
+from airfill.llm.bpe import Encoder, _hash, _words, vocabulary_path
+from airfill.llm.merges import Merges
 from airfill.llm.runtime import batch_of, keyed, map_arrow, slices
 from airfill.session import written
 
 WINDOW = 1024
-#: Distinct pre-tokens whose ids a task remembers (two generations of this size).
-REMEMBERED = 80_000
-#: Counts per task and length are broadcast up to this many rows of 16 bytes; beyond, joined by shuffle.
-BROADCAST_ROWS = 2_000_000
+#: Bytes of the longest pre-token that is merged on arrays.
+MERGED = 64
+#: Bytes of the counts per task and length that are broadcast at most; beyond, joined by shuffle.
+BROADCAST_BYTES = 64 << 20
 
 
 @lru_cache(1)
@@ -57,7 +59,8 @@ def byte_letters() -> dict[str, int]:
 
 class Tokenizer(Encoder):
     """A ``tokenizers`` vocabulary file: pre-tokens that the library gives one id are looked up
-    in the perfect hash, every other distinct one goes to the library once."""
+    in the perfect hash; the other distinct ones of a slice are merged together on arrays, by the
+    library's own merges. Nothing is remembered from slice to slice."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer as Library
@@ -73,8 +76,8 @@ class Tokenizer(Encoder):
             except (KeyError, UnicodeDecodeError):  # not a whole text by itself
                 continue
         tokens = list(known)
-        super().__init__({t: known[t] for t, ids in zip(tokens, self.merge_all(tokens), strict=True) if ids == [known[t]]},
-                         REMEMBERED)
+        super().__init__({t: known[t] for t, ids in zip(tokens, self.merge_all(tokens), strict=True) if ids == [known[t]]})
+        self.merges = Merges.of_library(self.library, letters)
 
     def merge_all(self, tokens: list[bytes]) -> list[list[int]]:
         out = []
@@ -83,6 +86,58 @@ class Tokenizer(Encoder):
             out += [e.ids for e in self.library.encode_batch_fast(some, add_special_tokens=False)]
         return out
 
+    def missed(self, buffer: bytes, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of pre-tokens of the buffer, one after the other, and how many each has. Long
+        ones, whose merges would take as many rounds, go to the library."""
+        short = np.flatnonzero(size <= MERGED)
+        begin, own = start[short], size[short]
+        step = np.arange(int(own.sum())) - np.repeat(np.cumsum(own) - own, own)
+        ids, n = self.merges.merge(np.frombuffer(buffer, np.uint8)[np.repeat(begin, own) + step], own)
+        if len(short) == len(size):
+            return ids, n
+        long = np.flatnonzero(size > MERGED)
+        parts = self.merge_all([buffer[x:x + k] for x, k in zip(start[long].tolist(), size[long].tolist(), strict=True)])
+        count = np.zeros(len(size), np.int64)
+        count[short], count[long] = n, [len(p) for p in parts]
+        out, of_long = np.empty(int(count.sum()), np.int32), np.repeat(size > MERGED, count)
+        out[~of_long], out[of_long] = ids, np.concatenate([np.array(p, np.int32) for p in parts])
+        return out, count
+
+    def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of ``texts`` in order, and how many each text has."""
+        buffer, start, end, per_text = pretokens.split(texts)
+        size = end - start
+        words = _words(buffer, start, size)
+        hashes = _hash(words, size)
+        slot = self.perfect.slots(hashes)
+        hit = (slot >= 0) & (self.key_size[slot] == size)
+        for mine, w in zip(self.key_words, words, strict=True):
+            hit &= mine[slot] == w
+        for i in np.flatnonzero(hit & (size > 24)):  # the words show 24 bytes; compare the rest
+            hit[i] = self.ranks.get(buffer[start[i]:end[i]], -1) == self.key_ids[slot[i]]
+        # the misses, each distinct one once, as far as their hashes tell
+        miss = np.flatnonzero(~hit)
+        own = hashes[miss]
+        long = np.flatnonzero(size[miss] > 24)
+        own[long] = [hash(buffer[start[miss[k]]:end[miss[k]]]) & (1 << 64) - 1 for k in long]
+        _, first, number = np.unique(own, return_index=True, return_inverse=True)
+        at = miss[first]
+        if (any((w[miss] != w[at][number]).any() for w in (*words, size))
+                or any(buffer[start[miss[k]]:end[miss[k]]] != buffer[start[at[number[k]]]:end[at[number[k]]]] for k in long)):
+            at, number = miss, np.arange(len(miss))  # two have one hash
+        flat, many = self.missed(buffer, start[at], size[at])
+        begin = np.cumsum(many) - many
+        n = many[number]
+        count = np.ones(len(start), np.int64)
+        count[miss] = n
+        place = np.cumsum(count) - count
+        ids = np.empty(int(count.sum()), np.int64)
+        ids[place[hit]] = self.key_ids[slot[hit]]
+        step = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        ids[np.repeat(place[miss], n) + step] = flat[np.repeat(begin[number], n) + step]
+        text = np.repeat(np.arange(len(texts)), per_text)
+        return ids, np.bincount(text, weights=count, minlength=len(texts)).astype(np.int64)
+
     def each(self, texts: list[bytes]) -> list[np.ndarray]:
         ids, n = self.encode(texts)
         own = np.split(ids, np.cumsum(n)[:-1])
@@ -118,7 +173,6 @@ def tokenised(docs: DataFrame, vocabulary: str, end_id: int, window: int) -> Dat
                 rest[n % window] += 1
             yield batch_of(doc_id=batch.column("doc_id"), part=pa.array([part] * batch.num_rows, pa.int32()),
                            **{k: pa.array(v, pa.binary() if k == "ids" else pa.int64()) for k, v in cols.items()})
-        t.forget()
 
     return written(map_arrow(docs, run, "doc_id long, part int, n_tokens long, ids binary, full_before long, "
                                         "rest long, rest_before long"), "packing-tokens")
@@ -322,11 +376,13 @@ def pack(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", window: int = W
     plan = spark.sparkContext.broadcast(Plan(histogram, window, depth))
     earlier = Window.partitionBy("rest").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     base = made.select("part", "rest", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"))
-    if made.count() <= BROADCAST_ROWS:
-        base = F.broadcast(base)
-    ranked = (tokens.join(base, ["part", "rest"], "left")
+    # one row per task, with fewer lengths than the window
+    own = base.groupBy("part").agg(F.map_from_entries(F.collect_list(F.struct("rest", "base"))).alias("bases"))
+    if made.count() * 16 <= BROADCAST_BYTES:
+        own = F.broadcast(own)
+    ranked = (tokens.join(own, "part", "left")
                     .select("doc_id", "part", "n_tokens", "ids", "full_before", "rest",
-                            (F.coalesce("base", F.lit(0)) + F.col("rest_before")).alias("rank")))
+                            (F.coalesce(F.element_at("bases", F.col("rest")), F.lit(0)) + F.col("rest_before")).alias("rank")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = plan.value
