@@ -188,6 +188,7 @@ def write(docs: DataFrame, path: str, vocabulary: str = "byte_bpe_50k.json", end
         doc_ids: list[int | None] = []
         sizes: list[int] = []
         held: list[bytes] = []
+        total = 0
 
         def out() -> pa.RecordBatch:
             bits, checkpoints = code.encode(np.frombuffer(b"".join(held), "<u4").astype(np.int64))
@@ -202,10 +203,11 @@ def write(docs: DataFrame, path: str, vocabulary: str = "byte_bpe_50k.json", end
                 doc_ids.append(i)
                 sizes.append(n)
                 held.append(ids.as_py())
-                if sum_of(sizes) >= block:
+                total += n
+                if total >= block:
                     yield out()
-                    first += sum_of(sizes)
-                    doc_ids, sizes, held = [], [], []
+                    first += total
+                    doc_ids, sizes, held, total = [], [], [], 0
         if held:
             yield out()
 
@@ -216,10 +218,6 @@ def write(docs: DataFrame, path: str, vocabulary: str = "byte_bpe_50k.json", end
     return path
 
 
-def sum_of(sizes: list[int]) -> int:
-    return sum(sizes)
-
-
 class Files(NamedTuple):
     """What a reader needs: the blocks with ``before``, the ids of all parts before theirs, and the code."""
 
@@ -271,10 +269,8 @@ def read(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:
                 inside = (end - n) - np.repeat((end - n)[np.cumsum(per_block) - per_block], per_block)
                 raw = memoryview(ids.tobytes())
                 pieces = [raw[4 * a:4 * b] for a, b in zip((end - n).tolist(), end.tolist(), strict=True)]
-                columns = {"doc_id": some.column("doc_ids").combine_chunks().flatten() if isinstance(some.column("doc_ids"), pa.ChunkedArray)
-                           else some.column("doc_ids").flatten(),
-                           "start": pa.array(np.repeat(first, per_block) + inside, pa.int64()), "n_tokens": pa.array(n, pa.int64()),
-                           "ids_crc32": pa.array([zlib.crc32(p) for p in pieces], pa.int64())}
+                columns = {"doc_id": some.column("doc_ids").flatten(), "start": pa.array(np.repeat(first, per_block) + inside, pa.int64()),
+                           "n_tokens": pa.array(n, pa.int64()), "ids_crc32": pa.array([zlib.crc32(p) for p in pieces], pa.int64())}
                 if with_ids:
                     columns["ids"] = pa.array([bytes(p) for p in pieces], pa.binary())
                 yield batch_of(**columns)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from airfill.llm import (bpe, brown_lm, chat, exact_dedup, fertility, merkle, packing, pii, rule_ensemble, simhash, spelling,
+from airfill.llm import (bpe, brown_lm, chat, exact_dedup, fertility, huffman, merkle, packing, pii, rule_ensemble, simhash, spelling,
                          weak_toxicity)
 from airfill.llm.runtime import documents
 
@@ -61,6 +61,10 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.audit(documents(spark, sf_dir))
 
 
+def op12_huffman(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return huffman.written_and_read(documents(spark, sf_dir))
+
+
 def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(documents(spark, sf_dir))
 
@@ -77,6 +81,7 @@ QUERIES: dict[str, Query] = {
     "op9_pii": op9_pii,
     "op10_simhash": op10_simhash,
     "op11_merkle": op11_merkle,
+    "op12_huffman": op12_huffman,
     "op13_spelling": op13_spelling,
 }
 #: The escaped text: a backslash doubled, each control string broken after its first character.
