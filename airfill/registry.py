@@ -73,6 +73,7 @@ QUERIES: dict[str, Query] = {
     "stream_dedupe": _on_fixtures(lambda fx: ST.dedupe_stream(fx.spark, fx.stream_readings)),
     "stream_latest": _on_fixtures(lambda fx: ST.latest_stream(fx.spark, fx.stream_readings)),
     "stream_hourly": _on_fixtures(lambda fx: ST.hourly_stream(fx.spark, fx.stream_readings)),
+    "stream_sliding": _on_fixtures(lambda fx: ST.sliding_stream(fx.spark, fx.stream_readings)),
     "self_score": _on_fixtures(lambda fx: ST.self_score_stream(fx.spark, fx.predictions, fx.stream_readings)),
     "stream_enriched": _on_fixtures(lambda fx: ST.enriched_stream(
         fx.spark, fx.stream_readings, ingest.station_features(fx), training.FEATURE_COLS)),
@@ -82,6 +83,7 @@ QUERIES: dict[str, Query] = {
     "label_counts": _on_fixtures(ingest.label_counts),
     "live_error": _on_fixtures(lambda fx: ST.live_error(
         ST.self_score_stream(fx.spark, fx.predictions, fx.stream_readings))),
+    "rolling_error": _on_fixtures(lambda fx: ST.rolling_error(fx.spark, fx.predictions, fx.stream_readings)),
     "granule_footprints": _on_fixtures(satellite.granule_footprints),
     "hourly_json": _on_fixtures(lambda fx: readers.explode_hourly(
         fx.hourly_payloads, "payload", {"pm2_5": "cams_pm25", "nitrogen_dioxide": "cams_no2"},

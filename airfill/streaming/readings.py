@@ -1,4 +1,4 @@
-"""Structured Streaming forms (ST1-ST6).
+"""Structured Streaming forms (ST1-ST6, ST8).
 
 The source is a folder of Parquet files (new files = new readings). Event time must be
 ``TIMESTAMP`` for a watermark, so the stream casts ``TIMESTAMP_NTZ`` with the session
@@ -11,13 +11,14 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from airfill.operators.asof import asof_join
 from airfill.session import scratch_path
 from airfill.sources.sinks import upsert
+from airfill.streaming.panes import FILES, WATERMARK, Feed, drain, on_late_rows, pane_stream, sliding
 
 # Fixed values
 READING_SCHEMA = T.StructType([
@@ -34,13 +35,22 @@ PREDICTION_SCHEMA = T.StructType([
     T.StructField("predicted", T.DoubleType()),
     T.StructField("prior", T.DoubleType()),
 ])
-WATERMARK = "2 hours"
-#: Files of a delivery, and of a micro-batch.
-FILES = 8
+SCORED_SCHEMA = T.StructType([
+    T.StructField("event_id", T.LongType()),
+    T.StructField("station_eoi", T.StringType()),
+    T.StructField("pollutant", T.StringType()),
+    T.StructField("valid_time", T.TimestampType()),
+    T.StructField("start_time", T.TimestampType()),
+    T.StructField("value", T.DoubleType()),
+    T.StructField("predicted", T.DoubleType()),
+    T.StructField("prior", T.DoubleType()),
+])
+#: Of a fed table one row in so many comes late; hours of a sliding window; folders of a latest-state table.
+LATE, SLIDING_HOURS, BUCKETS = 50, 24, 16
 
 
 def stage_files(df: DataFrame, path: str, time_col: str, chunks: int = 4, files: int = FILES,
-                key: str | None = None, late: int = 0) -> str:
+                key: str | Column | None = None, late: int = 0) -> str:
     """Write ``df`` as ``chunks`` deliveries that follow event time, ``files`` files each, rows
     in no order within a delivery. Event time is cast to TIMESTAMP.
 
@@ -55,7 +65,7 @@ def stage_files(df: DataFrame, path: str, time_col: str, chunks: int = 4, files:
         return path
     step = (hi - lo) / chunks or 1.0
     t = F.col(time_col).cast("double")
-    held = F.pmod(F.col(key), F.lit(late)) == 0 if late else F.lit(False)
+    held = F.pmod(F.col(key) if isinstance(key, str) else key, F.lit(late)) == 0 if late else F.lit(False)
     again = 3600.0 if late else 0.0
     for i in range(chunks):
         cond = (t >= lo + i * step - again) & ((t < lo + (i + 1) * step) if i < chunks - 1 else F.lit(True)) & ~held
@@ -71,13 +81,6 @@ def read_stream(spark: SparkSession, path: str, schema: T.StructType, files: int
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path)
 
 
-def _drain(writer, ckpt: str) -> None:
-    q = writer.option("checkpointLocation", ckpt).trigger(availableNow=True).start()
-    q.awaitTermination()
-    if q.exception() is not None:
-        raise q.exception()
-
-
 def _ntz(df: DataFrame, *cols: str) -> DataFrame:
     return df.withColumns({c: F.col(c).cast("timestamp_ntz") for c in cols})
 
@@ -100,7 +103,7 @@ def dedupe_stream(spark: SparkSession, readings: DataFrame, watermark: str = WAT
     s = (clean(read_stream(spark, src, READING_SCHEMA)).withWatermark("start_time", watermark)
          .dropDuplicatesWithinWatermark(STREAM_KEY))
     out = os.path.join(root, "out")
-    _drain(s.writeStream.format("parquet").option("path", out).outputMode("append"),
+    drain(s.writeStream.format("parquet").option("path", out).outputMode("append"),
            os.path.join(root, "ckpt"))
     table = os.path.join(root, "table")
     live = spark.read.schema(READING_SCHEMA).parquet(out)
@@ -114,7 +117,8 @@ def dedupe_stream(spark: SparkSession, readings: DataFrame, watermark: str = WAT
 def latest_stream(spark: SparkSession, readings: DataFrame) -> DataFrame:
     """ST2: latest reading per (station, pollutant), kept as a keyed table: the
     stateful aggregate runs in update mode and each micro-batch's changed keys are
-    upserted (SK1) into a Parquet table partitioned by pollutant."""
+    upserted (SK1) into a Parquet table partitioned by a hash of the station, so that a batch
+    rewrites the folders of its stations only."""
     root = scratch_path(spark, "st2")
     src = stage_files(readings, os.path.join(root, "in"), "start_time")
     s = read_stream(spark, src, READING_SCHEMA)
@@ -125,60 +129,115 @@ def latest_stream(spark: SparkSession, readings: DataFrame) -> DataFrame:
     table = os.path.join(root, "table")
 
     def merge(batch: DataFrame, _epoch: int) -> None:
-        upsert(batch, table, ["station_eoi", "pollutant"],
-               [F.col("start_time"), F.col("event_id")], "pollutant", os.path.join(root, "staging"))
+        bucket = F.pmod(F.xxhash64("station_eoi"), F.lit(BUCKETS)).cast("int")
+        upsert(batch.withColumn("bucket", bucket), table, ["station_eoi", "pollutant"],
+               [F.col("start_time"), F.col("event_id")], "bucket", os.path.join(root, "staging"))
 
-    _drain(agg.writeStream.outputMode("update").foreachBatch(merge), os.path.join(root, "ckpt"))
+    drain(agg.writeStream.outputMode("update").foreachBatch(merge), os.path.join(root, "ckpt"))
     return _ntz(spark.read.parquet(table), "start_time").select(
         "station_eoi", "pollutant", "start_time", "value", "event_id")
 
 
-def hourly_stream(spark: SparkSession, readings: DataFrame, watermark: str = WATERMARK) -> DataFrame:
-    """ST4: tumbling one-hour mean per station and pollutant with a watermark; update
-    mode + keyed upsert keeps windows that never close at the end of the data."""
+def hourly_panes(spark: SparkSession, readings: DataFrame, watermark: str = WATERMARK, late: int = LATE) -> DataFrame:
+    """ST4 + ST8: the hourly panes (n, total) per station and pollutant of a feed with repeated and late
+    rows; the table equals the batch aggregate."""
     root = scratch_path(spark, "st4")
-    src = stage_files(readings, os.path.join(root, "in"), "start_time")
-    s = read_stream(spark, src, READING_SCHEMA)
-    agg = (s.withWatermark("start_time", watermark)
-            .groupBy("station_eoi", "pollutant", F.window("start_time", "1 hour"))
-            .agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
-            .select("station_eoi", "pollutant", F.col("window.start").alias("window_start"),
-                    "n", "total"))
-    table = os.path.join(root, "table")
+    src = stage_files(readings, os.path.join(root, "in"), "start_time", key="event_id", late=late)
+    return pane_stream(spark, Feed(src, READING_SCHEMA, "start_time", ["event_id"]), ["station_eoi", "pollutant"],
+                       {"total": F.col("value")}, root, watermark)
 
-    def merge(batch: DataFrame, _epoch: int) -> None:
-        upsert(batch.withColumn("day", F.to_date("window_start")), table,
-               ["station_eoi", "pollutant", "window_start"], [F.col("n")], "day",
-               os.path.join(root, "staging"))
 
-    _drain(agg.writeStream.outputMode("update").foreachBatch(merge), os.path.join(root, "ckpt"))
-    t = _ntz(spark.read.parquet(table), "window_start")
-    return t.select("station_eoi", "pollutant", "window_start", F.col("n").cast("long").alias("n"),
-                    F.round(F.col("total") / F.col("n"), 6).alias("mean_value"))
+def _means(table: DataFrame) -> DataFrame:
+    return _ntz(table, "window_start").select("station_eoi", "pollutant", "window_start", F.col("n").cast("long").alias("n"),
+                                              F.round(F.col("total") / F.col("n"), 6).alias("mean_value"))
 
 
-def self_score_stream(spark: SparkSession, predictions: DataFrame, readings: DataFrame,
-                      watermark: str = WATERMARK) -> DataFrame:
-    """ST5: stream-stream inner join of hourly predictions with readings of the same
-    station and pollutant inside the predicted hour; both sides watermarked, the time
-    bound lets Spark drop old state. Appends scored rows to a Parquet sink."""
-    root = scratch_path(spark, "st5")
-    rsrc = stage_files(readings, os.path.join(root, "in_r"), "start_time")
-    psrc = stage_files(predictions, os.path.join(root, "in_p"), "valid_time")
-    r = read_stream(spark, rsrc, READING_SCHEMA).withWatermark("start_time", watermark).alias("r")
-    p = read_stream(spark, psrc, PREDICTION_SCHEMA).withWatermark("valid_time", watermark).alias("p")
-    cond = ((F.col("r.station_eoi") == F.col("p.station_eoi")) & (F.col("r.pollutant") == F.col("p.pollutant"))
+def hourly_stream(spark: SparkSession, readings: DataFrame, watermark: str = WATERMARK, late: int = LATE) -> DataFrame:
+    """ST4: tumbling one-hour mean per station and pollutant."""
+    return _means(hourly_panes(spark, readings, watermark, late))
+
+
+def sliding_stream(spark: SparkSession, readings: DataFrame, hours: int = SLIDING_HOURS, watermark: str = WATERMARK,
+                   late: int = LATE) -> DataFrame:
+    """ST4: mean of the last 24 hours at every hour, per station and pollutant, from the hourly panes."""
+    return _means(sliding(hourly_panes(spark, readings, watermark, late), ["station_eoi", "pollutant"], ["total"], hours))
+
+
+def _scored(r: DataFrame, p: DataFrame) -> DataFrame:
+    """Readings beside the prediction for their station, pollutant and hour."""
+    r, p = r.alias("r"), p.alias("p")
+    same = ((F.col("r.station_eoi") == F.col("p.station_eoi")) & (F.col("r.pollutant") == F.col("p.pollutant"))
             & (F.col("r.start_time") >= F.col("p.valid_time"))
             & (F.col("r.start_time") < F.col("p.valid_time") + F.expr("INTERVAL 1 HOUR")))
-    j = r.join(p, cond, "inner").select(
-        F.col("r.event_id").alias("event_id"), F.col("r.station_eoi").alias("station_eoi"),
-        F.col("r.pollutant").alias("pollutant"), F.col("p.valid_time").alias("valid_time"),
-        F.col("r.start_time").alias("start_time"), F.col("r.value").alias("value"),
-        F.col("p.predicted").alias("predicted"), F.col("p.prior").alias("prior"))
-    out = os.path.join(root, "out")
-    _drain(j.writeStream.format("parquet").option("path", out).outputMode("append"),
-           os.path.join(root, "ckpt"))
-    return _ntz(spark.read.parquet(out), "valid_time", "start_time")
+    return r.join(p, same, "inner").select(*[F.col(f"{'p' if c in ('valid_time', 'predicted', 'prior') else 'r'}.{c}").alias(c)
+                                             for c in SCORED_SCHEMA.fieldNames()])
+
+
+def score_feeds(spark: SparkSession, predictions: DataFrame, readings: DataFrame, root: str, watermark: str = WATERMARK,
+                late: int = LATE) -> tuple[DataFrame, Feed]:
+    """ST5 + ST8: stream-stream join of hourly predictions with the readings of the same station
+    and pollutant inside the predicted hour; both sides watermarked, the time bound lets Spark drop old
+    state. Rows of either side that come too late are joined with what the other side has stored
+    for their hours. Returns the scored table, one row per reading and hour, and the log it was made
+    from: a feed in order of arrival, with rows that were scored more than once."""
+    r = Feed(stage_files(readings, os.path.join(root, "in_r"), "start_time", key="event_id", late=late),
+             READING_SCHEMA, "start_time", ["event_id"])
+    p = Feed(stage_files(predictions, os.path.join(root, "in_p"), "valid_time", late=late,
+                         key=F.crc32(F.concat("station_eoi", "pollutant", F.col("valid_time").cast("string")).cast("binary"))),
+             PREDICTION_SCHEMA, "valid_time", ["station_eoi", "pollutant", "valid_time"])
+    log, table = os.path.join(root, "log"), os.path.join(root, "table")
+
+    def keep(name: str):
+        def store(batch: DataFrame, epoch: int) -> None:
+            batch.write.mode("overwrite").parquet(f"{log}/{name}-{epoch}")
+            fresh = spark.read.schema(SCORED_SCHEMA).parquet(f"{log}/{name}-{epoch}")
+            upsert(fresh.withColumn("day", F.to_date("valid_time")), table, ["event_id", "valid_time"], [F.col("predicted")],
+                   "day", os.path.join(root, "staging"))
+        return store
+
+    both = _scored(r.stream(spark).withWatermark("start_time", watermark), p.stream(spark).withWatermark("valid_time", watermark))
+    drain(both.writeStream.foreachBatch(keep("joined")), os.path.join(root, "ckpt"))
+    hour = F.expr("INTERVAL 1 HOUR")
+    amended = {"readings": 0, "predictions": 0}
+
+    def late_readings(rows: DataFrame, first: Column, last: Column) -> None:
+        keep("readings")(_scored(rows, p.stored(spark, first - hour, last + hour)), amended["readings"])
+        amended["readings"] += 1
+
+    def late_predictions(rows: DataFrame, first: Column, last: Column) -> None:
+        keep("predictions")(_scored(r.stored(spark, first, last + hour), rows), amended["predictions"])
+        amended["predictions"] += 1
+
+    on_late_rows(spark, r, os.path.join(root, "late_r"), late_readings, watermark)
+    on_late_rows(spark, p, os.path.join(root, "late_p"), late_predictions, watermark)
+    return (spark.read.parquet(table).select(*SCORED_SCHEMA.fieldNames()),
+            Feed(log, SCORED_SCHEMA, "valid_time", ["event_id", "valid_time"]))
+
+
+def self_score_stream(spark: SparkSession, predictions: DataFrame, readings: DataFrame,
+                      watermark: str = WATERMARK, late: int = LATE) -> DataFrame:
+    """ST5: the scored readings."""
+    table, _ = score_feeds(spark, predictions, readings, scratch_path(spark, "st5"), watermark, late)
+    return _ntz(table, "valid_time", "start_time")
+
+
+def rolling_error(spark: SparkSession, predictions: DataFrame, readings: DataFrame, hours: int = SLIDING_HOURS,
+                  watermark: str = WATERMARK, late: int = LATE) -> DataFrame:
+    """ST6: error of predictions and of the prior over the last 24 hours at every hour, per
+    pollutant. The scored log of ST5 is a stream of its own, aggregated into hourly panes of mergeable
+    error sums; what ST5 scored late is late here too and amends its panes."""
+    root = scratch_path(spark, "st6")
+    _, log = score_feeds(spark, predictions, readings, os.path.join(root, "score"), watermark, late)
+    e, b = F.col("predicted") - F.col("value"), F.col("prior") - F.col("value")
+    sums = {"squares": e * e, "absolutes": F.abs(e), "prior_squares": b * b}
+    w = sliding(pane_stream(spark, log, ["pollutant"], sums, root, watermark), ["pollutant"], list(sums), hours)
+
+    def mean(c: str) -> Column:
+        return F.col(c) / F.col("n")
+
+    return _ntz(w, "window_start").select(
+        "pollutant", "window_start", F.col("n").cast("long").alias("n"), F.round(F.sqrt(mean("squares")), 6).alias("pred_rmse"),
+        F.round(mean("absolutes"), 6).alias("pred_mae"), F.round(F.sqrt(mean("prior_squares")), 6).alias("prior_rmse"))
 
 
 def enriched_stream(spark: SparkSession, readings: DataFrame, features: DataFrame,
@@ -200,13 +259,13 @@ def enriched_stream(spark: SparkSession, readings: DataFrame, features: DataFram
         (asof_join(b, f, "station_eoi", "start_time", "valid_time", feature_cols)
          .write.mode("overwrite").parquet(f"{out}/epoch={epoch}"))
 
-    _drain(s.writeStream.foreachBatch(enrich), os.path.join(root, "ckpt"))
+    drain(s.writeStream.foreachBatch(enrich), os.path.join(root, "ckpt"))
     return spark.read.parquet(out).drop("epoch")
 
 
 def live_error(scored: DataFrame, window: str = "1 day") -> DataFrame:
-    """ST6: rolling live error per pollutant over the scored table (tumbling event-time
-    windows of ``window``): rows, RMSE and MAE of prediction and of prior."""
+    """Live error per pollutant over the scored table in tumbling event-time windows of
+    ``window``: rows, RMSE and MAE of prediction and of prior. ``rolling_error`` is the sliding form."""
     e = F.col("predicted") - F.col("value")
     b = F.col("prior") - F.col("value")
     w = F.window(F.col("valid_time").cast("timestamp"), window)

@@ -479,6 +479,12 @@ SELECT station_eoi, pollutant, date_trunc('hour', start_time) AS window_start, c
        round(sum(value) / count(*), 6) AS mean_value
 FROM stream_readings GROUP BY ALL"""
 
+# every row beside each of the 24 windows it lies in
+SQL["stream_sliding"] = duckdb_with("stream_readings") + """
+SELECT station_eoi, pollutant, date_trunc('hour', start_time) - i * INTERVAL 1 HOUR AS window_start, count(*) AS n,
+       round(sum(value) / count(*), 6) AS mean_value
+FROM stream_readings CROSS JOIN range(24) h(i) GROUP BY ALL"""
+
 SQL["self_score"] = duckdb_with("predictions") + """
 SELECT r.event_id, r.station_eoi, r.pollutant, p.valid_time, r.start_time, r.value, p.predicted, p.prior
 FROM stream_readings r JOIN predictions p
@@ -532,6 +538,17 @@ SELECT pollutant, date_trunc('day', valid_time) AS window_start, count(*) AS n,
        round(sqrt(avg(pow(prior - value, 2))), 6) AS prior_rmse
 FROM s GROUP BY ALL"""
 
+SQL["rolling_error"] = duckdb_with("predictions") + """
+, s AS (SELECT r.pollutant, p.valid_time, r.value, p.predicted, p.prior
+        FROM stream_readings r JOIN predictions p
+          ON r.station_eoi = p.station_eoi AND r.pollutant = p.pollutant
+         AND r.start_time >= p.valid_time AND r.start_time < p.valid_time + INTERVAL 1 HOUR)
+SELECT pollutant, date_trunc('hour', valid_time) - i * INTERVAL 1 HOUR AS window_start, count(*) AS n,
+       round(sqrt(avg(pow(predicted - value, 2))), 6) AS pred_rmse,
+       round(avg(abs(predicted - value)), 6) AS pred_mae,
+       round(sqrt(avg(pow(prior - value, 2))), 6) AS prior_rmse
+FROM s CROSS JOIN range(24) h(i) GROUP BY ALL"""
+
 SQL["granule_footprints"] = _with(_SAT, META, BOXES, GSEARCH) + """
 SELECT g.granule, g.name,
        'POLYGON((' || g.lon0 || ' ' || g.lat0 || ',' || g.lon1 || ' ' || g.lat0 || ',' || g.lon1 || ' ' || g.lat1 || ','
