@@ -7,7 +7,7 @@ M14 importance, M15 low-confidence flags, AG15 drift, SK3/SK4 model registry.
 from __future__ import annotations
 
 from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from airfill.operators import features as FE
@@ -17,7 +17,7 @@ from airfill.operators import model as MD
 from airfill.operators import readings as R
 from airfill.operators import spatial as S
 from airfill.plans import field as FLD
-from airfill.plans import satellite, training
+from airfill.plans import ingest, satellite, training
 from airfill.session import checkpoint, scratch_path, written
 from airfill.sources.fixtures import Fixtures
 
@@ -148,6 +148,30 @@ def idw_report(fx: Fixtures) -> DataFrame:
     return M.report(p.where(F.col("idw").isNotNull()), ["pollutant"], "value", {"idw": "idw"}).join(none, "pollutant")
 
 
+def held_out_station(code: Column | None = None) -> Column:
+    """Whether a station is kept from training for scoring: about one in five, by a hash of its code."""
+    return F.substring(F.md5((F.col("station_eoi") if code is None else code).cast("binary")), 1, 1).isin(*"012")
+
+
+def grid_scores(fx: Fixtures, models: dict | None = None) -> DataFrame:
+    """The field's value at the grid cell of each held-out station beside its reading of that
+    hour. A station's cell is a computed key (J13), so the field meets the readings by one equi
+    join on cell, hour and pollutant; stations outside the grid have no cell. The readings
+    are bounded by the field's hours before the join."""
+    st = (FLD.field_stations(fx).where(held_out_station())
+          .select("station_eoi", *[c.alias(n) for c, n in zip(S.grid_cell_of(F.col("lat"), F.col("lon")), ("row", "col"), strict=True)])
+          .where(F.col("row").isNotNull()))
+    f = FLD.field(fx, models).where(F.col("value").isNotNull()).select(
+        "row", "col", "valid_time", "pollutant", F.col("value").alias("estimate"), "dist_km")
+    seen = R.within_bounds(ingest.labels(fx).select("station_eoi", "pollutant", "start_time", "value"))
+    seen = fx.spark.sql("SELECT * FROM {r} WHERE start_time BETWEEN (SELECT first_hour FROM {w}) AND (SELECT last_hour FROM {w})",
+                        r=seen, w=FLD.hours_around(fx))
+    at = seen.join(st, "station_eoi").withColumn("valid_time", F.date_trunc("HOUR", "start_time").cast("timestamp_ntz"))
+    return at.join(f, ["row", "col", "valid_time", "pollutant"]).select(
+        "station_eoi", "pollutant", "valid_time", "row", "col", "value", "estimate",
+        F.round(F.col("estimate") - F.col("value"), 6).alias("error"), "dist_km")
+
+
 def training_targets(fx: Fixtures) -> DataFrame:
     """M11 + M12 + M16: log target, prior residual and the value 24 h later (self equi
     join on station, pollutant and time + 24 h)."""
@@ -173,7 +197,7 @@ def satellite_baseline(fx: Fixtures) -> DataFrame:
     fitdf = j.withColumn("x", x).filter(F.col("x").isNotNull())
     coef = fitdf.groupBy("pollutant").agg(F.regr_slope("value", "x").alias("slope"),
                                           F.regr_intercept("value", "x").alias("intercept"))
-    pred = fitdf.join(coef, "pollutant").withColumn("fit", F.col("intercept") + F.col("slope") * F.col("x"))
+    pred = fitdf.join(F.broadcast(coef), "pollutant")  # one row per pollutant.withColumn("fit", F.col("intercept") + F.col("slope") * F.col("x"))
     rep = pred.groupBy("pollutant").agg(F.count(F.lit(1)).alias("n"),
                                         *M.error_metrics(F.col("value"), F.col("fit"), prefix="sat_", digits=4))
     return rep

@@ -11,7 +11,7 @@ grid point (F9 metric), never per hour.
 from __future__ import annotations
 
 from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from airfill.functions import display as D
@@ -76,20 +76,30 @@ def field_axis(fx: Fixtures) -> DataFrame:
                     TM.hour_offset("now", "valid_time").alias("offset_h"))
 
 
-def conditions(fx: Fixtures, now: str | None = None) -> DataFrame:
-    """J14 + W4: conditions of every grid point at every hour of the window; NULL where its
-    weather cell has no row for the hour. A point's cell is the one with the nearest centre
-    (great circle; ties to the lower cell id)."""
-    cell_id = (geo.cell_index(F.col("clat"), CELL_DEG) * F.lit(100000)
-               + geo.cell_index(F.col("clon"), CELL_DEG))
-    cw = fx.cell_weather.withColumn("cell_id", cell_id)
-    cells = cw.select("cell_id", F.col("clat").alias("s_lat"), F.col("clon").alias("s_lon")).distinct()
+def cell_id() -> Column:
+    """The weather cell of a row of the weather table, as one number."""
+    return geo.cell_index(F.col("clat"), CELL_DEG) * F.lit(100000) + geo.cell_index(F.col("clon"), CELL_DEG)
+
+
+def grid_with_cells(fx: Fixtures) -> DataFrame:
+    """Every grid point with its weather cell: the one with the nearest centre (great circle; ties
+    to the lower cell id)."""
+    cells = fx.cell_weather.select(cell_id().alias("cell_id"), F.col("clat").alias("s_lat"), F.col("clon").alias("s_lon")).distinct()
     grid = S.grid_points(fx.spark)
     near = S.knn(grid, cells, 1, ["row", "col"], "cell_id", metric="haversine").select("row", "col", "cell_id")
+    return grid.join(near, ["row", "col"], "left")
+
+
+def conditions(fx: Fixtures, now: str | None = None, now_only: bool = False) -> DataFrame:
+    """J14 + W4: conditions of every grid point at every hour of the window, or at "now" only; NULL
+    where its weather cell has no row for the hour."""
+    cw = fx.cell_weather.withColumn("cell_id", cell_id())
     # the window's bounds are scalar subqueries: no join, and they reach the scan as filters
     w = hours_around(fx, now)
+    if now_only:
+        w = w.select(F.col("now").alias("first_hour"), F.col("now").alias("last_hour"), "now")
     hourly = fx.spark.sql("SELECT *, explode(sequence((SELECT first_hour FROM {w}), (SELECT last_hour FROM {w}), "
-                          "INTERVAL 1 HOUR)) AS valid_time FROM {g}", w=w, g=grid.join(near, ["row", "col"], "left"))
+                          "INTERVAL 1 HOUR)) AS valid_time FROM {g}", w=w, g=grid_with_cells(fx))
     recent = fx.spark.sql("SELECT * FROM {c} WHERE valid_time BETWEEN (SELECT first_hour FROM {w}) "
                           "AND (SELECT last_hour FROM {w})", w=w, c=cw)
     return hourly.join(recent.drop("clat", "clon"), ["cell_id", "valid_time"], "left").drop("cell_id")
@@ -111,10 +121,11 @@ def predicted(cond: DataFrame, pollutant: str, model: PipelineModel | None) -> D
                          F.when(ok, F.round(D.clamp0(F.col("prediction")), 1)).alias("value"))
 
 
-def full_field(fx: Fixtures, models: dict[str, PipelineModel] | None = None, now: str | None = None) -> DataFrame:
+def full_field(fx: Fixtures, models: dict[str, PipelineModel] | None = None, now: str | None = None,
+               now_only: bool = False) -> DataFrame:
     """Every grid point x hour x pollutant with its conditions, value, prior, distance, trust
     class and status. ``status`` is "model" as soon as any pollutant has a model."""
-    cond = conditions(fx, now)
+    cond = conditions(fx, now, now_only)
     if models:  # read once per pollutant by the model stages
         cond = checkpoint(cond)
     parts = [predicted(cond, p, (models or {}).get(p)) for p in POLLUTANTS]
@@ -133,9 +144,8 @@ def field(fx: Fixtures, models: dict[str, PipelineModel] | None = None, now: str
 
 
 def now_frame(fx: Fixtures, models: dict[str, PipelineModel] | None = None, now: str | None = None) -> DataFrame:
-    """The field at "now", via a scalar subquery."""
-    return fx.spark.sql("SELECT * FROM {f} WHERE valid_time = (SELECT now FROM {w})",
-                        f=full_field(fx, models, now), w=hours_around(fx, now))
+    """The field at "now": the other hours are never built."""
+    return full_field(fx, models, now, now_only=True)
 
 
 def hotspots(fx: Fixtures, n: int = HOTSPOT_N, models: dict[str, PipelineModel] | None = None) -> DataFrame:

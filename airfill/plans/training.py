@@ -80,12 +80,12 @@ def density_hex(fx: Fixtures) -> DataFrame:
 
 def calibration(fx: Fixtures, q: float = 0.9) -> DataFrame:
     """AG14: prior residual quantile per distance bin from the stations of one half, and its
-    coverage on the other half's (halves by the number in the station code)."""
+    coverage on the other half's (halves by a hash of the station code)."""
     rows = written(training_set(fx).select("station_eoi", "pollutant", "value", "prior"), "calibration-rows")
     withd = written(with_nearest_other(fx, rows).withColumn("dist_bin", distance_bin(F.col("dist_km")))
                     .filter(F.col("dist_bin").isNotNull())
                     .withColumns({"abs_err": F.abs(F.col("prior") - F.col("value")),
-                                  "half": F.pmod(F.substring("station_eoi", 3, 4).try_cast("int"), F.lit(2))}),
+                                  "half": F.conv(F.substring(F.md5(F.col("station_eoi").cast("binary")), 1, 1), 16, 10).cast("int") % 2}),
                     "calibration-errors")
     return M.calibration(withd.where("half = 0"), withd.where("half = 1"), ["pollutant", "dist_bin"], "abs_err", q)
 

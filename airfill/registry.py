@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from airfill.operators import readings as R
 from airfill.plans import evaluation, field, ingest, satellite, training
 from airfill.sources import readers
+from airfill.streaming import field as SF
 from airfill.streaming import readings as ST
 from airfill.sources.fixtures import Fixtures
 
@@ -57,6 +58,8 @@ QUERIES: dict[str, Query] = {
     "field_axis": _on_fixtures(field.field_axis),
     "q6_field": _on_fixtures(field.field),
     "q6_field_model": _on_fixtures(evaluation.model_field),
+    "field_refresh": _on_fixtures(SF.refreshed_field),
+    "grid_scores": _on_fixtures(evaluation.grid_scores),
     "hotspots": _on_fixtures(field.hotspots),
     "point_report": _on_fixtures(field.point_report),
     "mosaic": _on_fixtures(field.mosaic),

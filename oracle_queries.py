@@ -126,13 +126,13 @@ SELECT pollutant, dist_bin, count(*) AS n, round(avg(abs(prior - value)), 6) AS
 FROM x WHERE dist_bin IS NOT NULL GROUP BY pollutant, dist_bin"""
 
 SQL["calibration"] = _with(_BASE, META, LABELS, FEATS, FV, TS, NEAREST_OTHER) + """
-, h AS (SELECT *, TRY_CAST(substr(station_eoi, 3, 4) AS INTEGER) % 2 AS half FROM x WHERE dist_bin IS NOT NULL),
+, h AS (SELECT *, instr('0123456789abcdef', substr(md5(station_eoi), 1, 1)) % 2 = 0 AS odd_half FROM x WHERE dist_bin IS NOT NULL),
 q AS (SELECT pollutant, dist_bin, quantile_cont(abs(prior - value), 0.9) AS q_err, count(*) AS n
-      FROM h WHERE half = 0 GROUP BY pollutant, dist_bin)
+      FROM h WHERE NOT odd_half GROUP BY pollutant, dist_bin)
 SELECT h.pollutant, h.dist_bin, q.n, count(*) AS n_measured, round(q.q_err, 6) AS q_err,
        round(avg(CASE WHEN abs(h.prior - h.value) <= q.q_err + 1e-9 THEN 1e0 ELSE 0e0 END), 6) AS coverage
 FROM h JOIN q ON q.pollutant = h.pollutant AND q.dist_bin = h.dist_bin
-WHERE h.half = 1
+WHERE h.odd_half
 GROUP BY h.pollutant, h.dist_bin, q.n, q.q_err"""
 
 SQL["error_map"] = _with(_BASE, META, LABELS, FEATS, FV, TS) + """
@@ -273,6 +273,17 @@ FROM win w, unnest(generate_series(w.first_hour, w.last_hour, INTERVAL 1 HOUR))
 
 SQL["q6_field"] = _with(_FLD, META, GRID, GDIST, FIELD) + "SELECT * FROM field"
 
+# what has arrived in any order is the whole field
+SQL["field_refresh"] = SQL["q6_field"]
+
+SQL["grid_scores"] = _with(("station_points", "raw_readings", "cell_weather"), META, LABELS, GRID, GDIST, FIELD) + """
+SELECT l.station_eoi, l.pollutant, f.valid_time, f.row, f.col, l.value, f.value AS estimate, round(f.value - l.value, 6) AS error, f.dist_km
+FROM labels l JOIN meta m ON m.station_eoi = l.station_eoi
+JOIN field f ON f.pollutant = l.pollutant AND f.valid_time = l.start_time
+ AND f.row = floor((m.lat - 35) / 0.35 + 0.5) AND f.col = floor((m.lon + 10) / 0.35 + 0.5)
+WHERE substr(md5(l.station_eoi), 1, 1) IN ('0', '1', '2') AND f.value IS NOT NULL AND l.value > 0
+  AND l.value < CASE l.pollutant WHEN 'no2' THEN 500 ELSE 800 END"""
+
 SQL["hotspots"] = _with(_FLD, META, GRID, GDIST, FIELD) + """
 SELECT pollutant, row_number() OVER (PARTITION BY pollutant ORDER BY value DESC, lat, lon) AS rank,
        lat, lon, value, dist_km,
