@@ -55,3 +55,9 @@ def iso_hour(ts) -> Column:
 def hour_offset(now, ts) -> Column:
     """Whole hours from ``now`` to ``ts`` (negative in the past)."""
     return F.timestamp_diff("HOUR", _c(now), _c(ts))
+
+
+def wind_vector(direction) -> tuple[Column, Column]:
+    """sine and cosine of a wind direction in degrees."""
+    rad = F.radians(_c(direction))
+    return F.sin(rad), F.cos(rad)

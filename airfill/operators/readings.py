@@ -164,3 +164,10 @@ def read_since(df: DataFrame, time_col: str, days: int, now=None) -> DataFrame:
             f"SELECT * FROM {{d}} WHERE {time_col} >= "
             f"(SELECT max({time_col}) FROM {{d}}) - INTERVAL {int(days)} DAYS", d=df)
     return df.filter(F.col(time_col) >= F.lit(now).cast("timestamp_ntz") - F.expr(f"INTERVAL {int(days)} DAYS"))
+
+
+def sampled(df: DataFrame, key: str, n: int, seed: str) -> DataFrame:
+    """The ``n`` rows whose key has the least digest under ``seed`` (ties: by key): the same rows however ``df``
+    is partitioned. Each task keeps its ``n`` least, and only these meet."""
+    digest = F.md5(F.concat_ws(":", F.lit(seed), F.col(key)).cast("binary"))
+    return df.orderBy(digest, key).limit(n)

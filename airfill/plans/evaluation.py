@@ -186,21 +186,18 @@ def training_targets(fx: Fixtures) -> DataFrame:
 
 
 def satellite_baseline(fx: Fixtures) -> DataFrame:
-    """M13 + J15: linear fit of the label on the daily satellite column (NO2 column for
-    NO2, aerosol index for PM2.5), and its error metrics, per pollutant."""
-    ts = training.training_set(fx).select("station_eoi", "pollutant", "start_time", "value")
+    """M13 + J15: linear fit of the label on the daily satellite column (NO2 column for NO2, aerosol index for
+    PM2.5), and its error metrics, per pollutant; and how many labels have no satellite value that day."""
+    ts = training.training_set(fx).select("station_eoi", "pollutant", "start_time", "value",
+                                          F.date_trunc("DAY", "start_time").cast("timestamp_ntz").alias("obs_date"))
     sat = satellite.satellite_daily(fx).select("station_eoi", "obs_date", *SATELLITE_OF.values())
-    j = ts.join(sat, (ts.station_eoi == sat.station_eoi)
-                & (F.date_trunc("DAY", ts.start_time).cast("timestamp_ntz") == sat.obs_date), "inner") \
-          .drop(sat.station_eoi)
-    x = FE_sat_col()
-    fitdf = j.withColumn("x", x).filter(F.col("x").isNotNull())
-    coef = fitdf.groupBy("pollutant").agg(F.regr_slope("value", "x").alias("slope"),
-                                          F.regr_intercept("value", "x").alias("intercept"))
-    pred = fitdf.join(F.broadcast(coef), "pollutant")  # one row per pollutant.withColumn("fit", F.col("intercept") + F.col("slope") * F.col("x"))
-    rep = pred.groupBy("pollutant").agg(F.count(F.lit(1)).alias("n"),
-                                        *M.error_metrics(F.col("value"), F.col("fit"), prefix="sat_", digits=4))
-    return rep
+    rows = written(ts.join(sat, ["station_eoi", "obs_date"], "left").select("pollutant", "value", FE_sat_col().alias("x")), "satellite-fit")
+    coef = rows.groupBy("pollutant").agg(F.regr_slope("value", "x").alias("slope"), F.regr_intercept("value", "x").alias("intercept"),
+                                         F.count_if(F.col("x").isNull()).alias("without_satellite"))
+    pred = rows.where(F.col("x").isNotNull()).join(F.broadcast(coef), "pollutant")  # one row per pollutant
+    pred = pred.withColumn("fit", F.col("intercept") + F.col("slope") * F.col("x"))
+    return pred.groupBy("pollutant", "without_satellite").agg(
+        F.count(F.lit(1)).alias("n"), *M.error_metrics(F.col("value"), F.col("fit"), prefix="sat_", digits=4))
 
 
 def FE_sat_col():

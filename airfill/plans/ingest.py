@@ -14,6 +14,7 @@ from airfill.sources.fixtures import Fixtures
 # Fixed values
 CELL_DEG = 0.25
 COUNTRIES = ("AL", "BA", "BE", "LU", "MT")
+COUNTRY_NAMES = {"AL": "Albania", "BA": "Bosnia and Herzegovina", "BE": "Belgium", "LU": "Luxembourg", "MT": "Malta"}
 POLLUTANTS = ("pm25", "no2")
 
 

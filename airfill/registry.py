@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from airfill.operators import readings as R
-from airfill.plans import evaluation, field, ingest, satellite, training
+from airfill.plans import context, evaluation, field, ingest, satellite, training
 from airfill.sources import readers
 from airfill.streaming import field as SF
 from airfill.streaming import readings as ST
@@ -88,6 +88,15 @@ QUERIES: dict[str, Query] = {
         ST.self_score_stream(fx.spark, fx.predictions, fx.stream_readings))),
     "rolling_error": _on_fixtures(lambda fx: ST.rolling_error(fx.spark, fx.predictions, fx.stream_readings)),
     "granule_footprints": _on_fixtures(satellite.granule_footprints),
+    "cell_context": _on_fixtures(context.cell_context),
+    "station_context": _on_fixtures(context.station_context),
+    "population_by_distance": _on_fixtures(context.population_by_distance),
+    "cell_series": _on_fixtures(context.cell_series),
+    "station_sample": _on_fixtures(context.station_sample),
+    "first_stations": _on_fixtures(context.first_stations),
+    "extended_features": _on_fixtures(context.extended_features),
+    "station_file": _on_fixtures(context.station_file),
+    "hourly_lists": _on_fixtures(context.hourly_lists),
     "hourly_json": _on_fixtures(lambda fx: readers.explode_hourly(
         fx.hourly_payloads, "payload", {"pm2_5": "cams_pm25", "nitrogen_dioxide": "cams_no2"},
         keep=["station_no", "lat", "lon"])),

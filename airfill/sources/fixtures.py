@@ -87,6 +87,17 @@ SELECT station_eoi, pollutant, CAST(date_trunc('hour', start_time) AS {TS}) AS v
        round(max(value) * 0.8e0 + 2e0, 3) AS predicted, 10e0 + count(*) AS prior
 FROM {stream_readings}
 GROUP BY station_eoi, pollutant, CAST(date_trunc('hour', start_time) AS {TS})""",
+    "places": """
+SELECT c.c_custkey AS place_id,
+       round(s.lat + ((c.c_custkey * 31) % 300 - 150) / 1e2, 4) AS lat,
+       round(s.lon + ((c.c_custkey * 17) % 300 - 150) / 1e2, 4) AS lon,
+       1 + c.c_custkey % 97 AS persons, c.c_custkey % 13 AS road_km,
+       CAST((c.c_custkey * 7) % 900 AS DOUBLE) AS elevation, c.c_mktsegment AS land_cover
+FROM {customer} c JOIN {stations} s ON s.station_no = c.c_custkey % (SELECT count(*) FROM {stations})""",
+    "weather_series": """
+SELECT clat, clon, valid_time, temp, wind_dir FROM {cell_weather} WHERE CAST(temp AS BIGINT) % 7 <> 3""",
+    "prior_series": """
+SELECT clat, clon, valid_time, cams_no2, cams_pm25 FROM {cell_weather} WHERE CAST(wind_dir AS BIGINT) % 11 <> 5""",
     "hourly_payloads": """
 SELECT station_no, lat, lon,
        concat('{{"elevation":', CAST(station_no AS VARCHAR(20)),
@@ -106,6 +117,9 @@ VIEW_DEPS: dict[str, tuple[str, ...]] = {
     "stream_readings": ("events", "stations"),
     "granules": ("pixels",),
     "predictions": ("stream_readings",),
+    "places": ("customer", "stations"),
+    "weather_series": ("cell_weather",),
+    "prior_series": ("cell_weather",),
     "hourly_payloads": ("stations",),
 }
 

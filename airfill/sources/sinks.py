@@ -84,3 +84,13 @@ def _remove(spark: SparkSession, path: str) -> None:
 def only_new(df: DataFrame, stored: DataFrame, keys: Sequence[str]) -> DataFrame:
     """SK2 / J5 / U2: rows whose key is not stored yet (resume)."""
     return df.join(stored.select(*keys).distinct(), list(keys), "left_anti")
+
+
+def bucketed(df: DataFrame, name: str, path: str, keys: Sequence[str], buckets: int) -> DataFrame:
+    """``df`` stored at ``path`` as a table bucketed and sorted by ``keys``: tables stored alike are joined on all
+    the keys without another shuffle or sort. Dealt by bucket first, so that a bucket is one file."""
+    spark = df.sparkSession
+    table = f"{name}_{uuid.uuid4().hex[:12]}"
+    (df.repartition(buckets, *keys).sortWithinPartitions(*keys).write.format("parquet").option("path", path)
+       .bucketBy(buckets, *keys).sortBy(*keys).saveAsTable(table))
+    return spark.table(table)

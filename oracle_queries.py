@@ -367,25 +367,33 @@ FROM p, LATERAL (SELECT unnest(range(1, len(t) + 1)) AS i) r"""
 _EV = (_BASE, META, LABELS, FEATS, FV, TS)
 
 
-def _snake(rank: str, k: str) -> str:
-    return f"CAST(CASE WHEN ({rank} // {k}) % 2 = 0 THEN {rank} % {k} ELSE {k} - 1 - {rank} % {k} END AS INTEGER)"
-
-
-SQL["fold_assignment"] = _with(*_EV) + f"""
+def _greedy(source: str, key: str) -> str:
+    """The largest group to the lightest fold, one group at a time."""
+    return f"""ranked AS (
+  SELECT pollutant, {key}, n, row_number() OVER (PARTITION BY pollutant ORDER BY n DESC, {key}) AS rk,
+         least(5, count(*) OVER (PARTITION BY pollutant)) AS k FROM {source}),
+placed(pollutant, {key}, n, rk, loads, fold) AS (
+  SELECT pollutant, {key}, n, rk, list_transform(range(k), lambda i: CASE WHEN i = 0 THEN n ELSE 0 END), 0 FROM ranked WHERE rk = 1
+  UNION ALL
+  SELECT r.pollutant, r.{key}, r.n, r.rk,
+         list_transform(range(len(p.loads)), lambda i: p.loads[i + 1] + CASE WHEN i = list_position(p.loads, list_min(p.loads)) - 1 THEN r.n ELSE 0 END),
+         CAST(list_position(p.loads, list_min(p.loads)) - 1 AS INTEGER)
+  FROM placed p JOIN ranked r ON r.pollutant = p.pollutant AND r.rk = p.rk + 1)"""
+
+
+SQL["fold_assignment"] = _with(*_EV).replace("WITH ", "WITH RECURSIVE ", 1) + f"""
 , c AS (SELECT pollutant, station_eoi, count(*) AS n FROM ts GROUP BY pollutant, station_eoi),
-r AS (SELECT *, row_number() OVER (PARTITION BY pollutant ORDER BY n DESC, station_eoi) - 1 AS rk,
-             least(5, count(*) OVER (PARTITION BY pollutant)) AS k FROM c)
-SELECT pollutant, station_eoi, n, {_snake('rk', 'k')} AS fold FROM r"""
+{_greedy('c', 'station_eoi')}
+SELECT pollutant, station_eoi, n, fold FROM placed"""
 
-SQL["spatial_folds"] = _with(*_EV) + f"""
+SQL["spatial_folds"] = _with(*_EV).replace("WITH ", "WITH RECURSIVE ", 1) + f"""
 , g AS (SELECT pollutant, station_eoi, count(*) AS n,
                CAST(CAST(floor(any_value(lat)) AS BIGINT) AS VARCHAR) || '_' || CAST(CAST(floor(any_value(lon)) AS BIGINT) AS VARCHAR) AS block
         FROM ts GROUP BY pollutant, station_eoi),
-b AS (SELECT pollutant, block, sum(n) AS n FROM g GROUP BY pollutant, block),
-r AS (SELECT *, row_number() OVER (PARTITION BY pollutant ORDER BY n DESC, block) - 1 AS rk,
-             least(5, count(*) OVER (PARTITION BY pollutant)) AS k FROM b)
-SELECT g.pollutant, g.station_eoi, g.block, {_snake('r.rk', 'r.k')} AS fold
-FROM g JOIN r ON r.pollutant = g.pollutant AND r.block = g.block"""
+b AS (SELECT pollutant, block, CAST(sum(n) AS BIGINT) AS n FROM g GROUP BY pollutant, block),
+{_greedy('b', 'block')}
+SELECT g.pollutant, g.station_eoi, g.block, r.fold
+FROM g JOIN placed r ON r.pollutant = g.pollutant AND r.block = g.block"""
 
 HAV = """2 * 6371.0 * asin(sqrt(pow(sin(radians(b.lat - a.lat) / 2), 2)
          + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lon - a.lon) / 2), 2)))"""
@@ -423,12 +431,13 @@ sat AS (SELECT d.station_eoi, d.obs_date,
                round(max(CASE WHEN d.product = 'L2__AER_AI' THEN d.v END), 12) AS aerosol_index
         FROM means d JOIN meta m ON m.station_eoi = d.station_eoi GROUP BY d.station_eoi, d.obs_date),
 j AS (SELECT t.pollutant, t.value, CASE t.pollutant WHEN 'no2' THEN s.no2_column ELSE s.aerosol_index END AS x
-      FROM ts t JOIN sat s ON s.station_eoi = t.station_eoi AND s.obs_date = date_trunc('day', t.start_time)),
+      FROM ts t LEFT JOIN sat s ON s.station_eoi = t.station_eoi AND s.obs_date = date_trunc('day', t.start_time)),
 f AS (SELECT j.*, c.intercept + c.slope * j.x AS fit
       FROM j JOIN (SELECT pollutant, regr_slope(value, x) AS slope, regr_intercept(value, x) AS intercept
                    FROM j WHERE x IS NOT NULL GROUP BY pollutant) c ON c.pollutant = j.pollutant
       WHERE j.x IS NOT NULL)
-SELECT pollutant, count(*) AS n, round(sqrt(avg(pow(fit - value, 2))), 4) AS sat_rmse,
+SELECT pollutant, (SELECT count(*) FROM j WHERE j.pollutant = f.pollutant AND j.x IS NULL) AS without_satellite,
+       count(*) AS n, round(sqrt(avg(pow(fit - value, 2))), 4) AS sat_rmse,
        round(avg(abs(fit - value)), 4) AS sat_mae,
        round(1 - sum(pow(fit - value, 2)) / NULLIF(var_pop(value) * count(value), 0), 4) AS sat_r2
 FROM f GROUP BY pollutant"""
@@ -567,3 +576,73 @@ SELECT g.granule, g.name,
        CAST(floor(((g.lon0 + g.lon1) / 2 + 180.0) / 360.0 * 64) AS BIGINT) AS tile_x,
        CAST(floor((1.0 - (180.0 / pi()) * ln(tan(pi() / 4 + ((g.lat0 + g.lat1) / 2) * (pi() / 360))) / 180.0) / 2.0 * 64) AS BIGINT) AS tile_y
 FROM granules g WHERE g.granule IN (SELECT granule FROM gsearch)"""
+
+# ---- context, stored series, samples --------------------------------------------------------------
+def _near_km(a: str, b: str) -> str:
+    return (f"2 * 6371.0 * asin(sqrt(pow(sin(radians({b}.lat - {a}.lat) / 2), 2) + cos(radians({a}.lat)) * cos(radians({b}.lat))"
+            f" * pow(sin(radians({b}.lon - {a}.lon) / 2), 2)))")
+
+
+_SNAP = "round((floor({c} / 0.25) + 0.5) * 0.25, 4)"
+CONTEXT = f"""pc AS (SELECT *, {_SNAP.format(c="lat")} AS clat, {_SNAP.format(c="lon")} AS clon FROM places),
+kinds AS (SELECT clat, clon, land_cover FROM pc GROUP BY clat, clon, land_cover
+          QUALIFY row_number() OVER (PARTITION BY clat, clon ORDER BY count(*) DESC, land_cover) = 1),
+context AS (
+  SELECT p.clat, p.clon, CAST(sum(persons) AS BIGINT) AS population, CAST(sum(road_km) AS BIGINT) AS road_km,
+         any_value(k.land_cover) AS land_cover, round(avg(elevation), 4) AS elevation
+  FROM pc p JOIN kinds k ON k.clat = p.clat AND k.clon = p.clon GROUP BY p.clat, p.clon),
+scontext AS (
+  SELECT m.station_eoi, {_SNAP.format(c="m.lat")} AS clat, {_SNAP.format(c="m.lon")} AS clon, c.population, c.road_km, c.land_cover,
+         c.elevation, (SELECT round(min({_near_km("m", "p")}), 6) FROM places p WHERE p.land_cover = 'MACHINERY') AS dist_point_source
+  FROM meta m LEFT JOIN context c ON c.clat = {_SNAP.format(c="m.lat")} AND c.clon = {_SNAP.format(c="m.lon")})"""
+_CTX = ("station_points", "places")
+
+SQL["cell_context"] = _with(_CTX, META, CONTEXT) + "SELECT * FROM context"
+
+SQL["station_context"] = _with(_CTX, META, CONTEXT) + "SELECT * FROM scontext"
+
+SQL["population_by_distance"] = _with(_CTX, META, GRID) + f"""
+, d AS (SELECT p.place_id, any_value(p.persons) AS persons, min({_near_km("p", "s")}) AS km FROM places p CROSS JOIN fst s GROUP BY p.place_id),
+b AS (SELECT *, CASE WHEN km <= 10 THEN '<10' WHEN km <= 25 THEN '10-25' WHEN km <= 50 THEN '25-50' WHEN km <= 100 THEN '50-100'
+                     WHEN km <= 1000000 THEN '>100' END AS dist_bin FROM d)
+SELECT dist_bin, count(*) AS places, CAST(sum(persons) AS BIGINT) AS persons,
+       round(sum(persons) / (SELECT sum(persons) FROM b), 6) AS share
+FROM b GROUP BY dist_bin"""
+
+SQL["cell_series"] = duckdb_with("weather_series", "prior_series") + """
+SELECT CAST(floor(w.clat / 0.25) AS BIGINT) * 100000 + CAST(floor(w.clon / 0.25) AS BIGINT) AS cell_id, w.valid_time, temp, wind_dir,
+       cams_no2, cams_pm25
+FROM weather_series w JOIN prior_series p ON p.clat = w.clat AND p.clon = w.clon AND p.valid_time = w.valid_time"""
+
+SQL["station_sample"] = _with(("station_points",), META) + """
+SELECT * FROM (SELECT station_eoi, lat, lon FROM meta ORDER BY md5('42:' || station_eoi), station_eoi LIMIT 20) ORDER BY station_eoi"""
+
+SQL["first_stations"] = _with(("station_points",), META) + "SELECT station_eoi, lat, lon FROM meta ORDER BY station_eoi LIMIT 20"
+
+SQL["extended_features"] = _with(("stations", "station_points", "raw_readings", "cell_weather", "pixels", "granules", "places"),
+                                 META, LABELS, FEATS, FV, TS, BOXES, GSEARCH, HITS, CONTEXT) + """
+, means AS (SELECT station_eoi, obs_date, product, avg(value) AS v FROM hits GROUP BY ALL),
+sat AS (SELECT station_eoi, obs_date, round(max(CASE WHEN product = 'L2__NO2___' THEN v END), 12) AS no2_column,
+               round(max(CASE WHEN product = 'L2__AER_AI' THEN v END), 12) AS aerosol_index
+        FROM means GROUP BY station_eoi, obs_date)
+SELECT t.station_eoi, t.pollutant, t.start_time, t.value, t.prior, t.temp, round(sin(radians(t.wind_dir)), 6) + 0e0 AS wind_dir_sin,
+       round(cos(radians(t.wind_dir)), 6) + 0e0 AS wind_dir_cos, s.no2_column, s.aerosol_index, c.population, c.land_cover, c.road_km,
+       c.elevation, c.dist_point_source
+FROM ts t LEFT JOIN sat s ON s.station_eoi = t.station_eoi AND s.obs_date = date_trunc('day', t.start_time)
+JOIN scontext c ON c.station_eoi = t.station_eoi"""
+
+SQL["station_file"] = _with(("station_points",), META) + """
+SELECT station_eoi, lat, lon, altitude, station_area, station_type, substr(station_eoi, 1, 2) AS country,
+       CASE substr(station_eoi, 1, 2) WHEN 'AL' THEN 'Albania' WHEN 'BA' THEN 'Bosnia and Herzegovina' WHEN 'BE' THEN 'Belgium'
+            WHEN 'LU' THEN 'Luxembourg' WHEN 'MT' THEN 'Malta' END AS country_name
+FROM meta"""
+
+SQL["hourly_lists"] = duckdb_with("hourly_payloads") + """
+, p AS (
+  SELECT station_no, json_extract(payload, '$.elevation')::DOUBLE AS altitude, CAST(json_extract(payload, '$.hourly.time') AS VARCHAR[]) AS t,
+         CAST(json_extract(payload, '$.hourly.pm2_5') AS DOUBLE[]) AS pm, CAST(json_extract(payload, '$.hourly.nitrogen_dioxide') AS DOUBLE[]) AS no2
+  FROM hourly_payloads),
+r AS (SELECT station_no - station_no % 3 AS request, row_number() OVER (PARTITION BY station_no // 3 ORDER BY station_no) - 1 AS place, * FROM p
+      UNION ALL SELECT -station_no - 1, 0, * FROM p)
+SELECT request, CAST(place AS INTEGER) AS place, altitude, strptime(t[i], '%Y-%m-%dT%H:%M') AS valid_time, pm[i] AS cams_pm25, no2[i] AS cams_no2
+FROM r, unnest([1, 2, 3]) u(i)"""
