@@ -63,7 +63,7 @@ def mae_by_distance(df: DataFrame, group: Sequence[str], label: str, dist_col: s
 def exact_quantiles(df: DataFrame, group: Sequence[str], col: str, q: float, name: str,
                     buckets: int = 1024) -> DataFrame:
     """AG9: the linear-interpolation percentile of ``col`` per group, exact, without a group's
-    values meeting anywhere.
+    values meeting anywhere. Only finite values count.
 
     The two order statistics it lies between are narrowed down together: each pass counts
     the rows of the interval that still holds one, in ``buckets`` equal parts with the least
@@ -71,7 +71,8 @@ def exact_quantiles(df: DataFrame, group: Sequence[str], col: str, q: float, nam
     holds a single value. The driver keeps a few numbers per group, so groups have to be
     few (pollutants, distance bins). Output: group, n, ``name``."""
     group = list(group)
-    rows = df.where(F.col(col).isNotNull()).select(*group, F.col(col).cast("double").alias("_v"))
+    # null, NaN and the infinities have no place between others
+    rows = df.select(*group, F.col(col).cast("double").alias("_v")).where(F.abs("_v") < float("inf"))
     spark = df.sparkSession
     totals = rows.groupBy(*group).agg(F.count(F.lit(1)).alias("n"), F.min("_v").alias("lo"), F.max("_v").alias("hi")).collect()
     state = {}  # (group, which of the two) -> [lo, hi, rank within]
