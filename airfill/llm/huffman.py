@@ -130,21 +130,22 @@ class Code:
 
 
 def tokenised(docs: DataFrame, vocabulary: str, end_id: int) -> DataFrame:
-    """(row, doc_id, n_tokens, ids) of every document, ids as little-endian unsigned 32-bit numbers, the
-    end id included; and one row per task with ``counts``, how often each id occurs (64-bit
+    """(row, doc_id, n_tokens, ids) of every document, ids as little-endian unsigned numbers of 16 bits, or of 32
+    where the document needs them, the end id included; and one row per task with ``counts``, how often each id occurs (64-bit
     numbers) and nothing else. ``row`` orders rows of equal doc_id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t, row = tokenizer(vocabulary_path(vocabulary)), TaskContext.get().partitionId() << 33
         counts = np.zeros(0, np.int64)
         for batch, texts in slices(batches):
-            own = [np.append(ids, end_id).astype("<u4") for ids in t.each(texts)]
+            own = [np.append(ids, end_id) for ids in t.each(texts)]
             more = np.bincount(np.concatenate(own))
             counts, less = (more, counts) if len(more) > len(counts) else (counts, more)
             counts[:len(less)] += less
             yield batch_of(row=pa.array(np.arange(row, row + len(own)), pa.int64()), doc_id=batch.column("doc_id"),
                            n_tokens=pa.array([len(x) for x in own], pa.int64()),
-                           ids=pa.array([x.tobytes() for x in own], pa.binary()), counts=pa.nulls(len(own), pa.binary()))
+                           ids=pa.array([x.astype("<u2" if x.max() < 1 << 16 else "<u4").tobytes() for x in own], pa.binary()),
+                           counts=pa.nulls(len(own), pa.binary()))
             row += len(own)
         if len(counts):
             none = pa.nulls(1, pa.int64())
@@ -187,11 +188,11 @@ def write(docs: DataFrame, path: str, vocabulary: str = "byte_bpe_50k.json", end
         code, part, first = Code(shared.value), TaskContext.get().partitionId(), 0
         doc_ids: list[int | None] = []
         sizes: list[int] = []
-        held: list[bytes] = []
+        held: list[np.ndarray] = []
         total = 0
 
         def out() -> pa.RecordBatch:
-            bits, checkpoints = code.encode(np.frombuffer(b"".join(held), "<u4").astype(np.int64))
+            bits, checkpoints = code.encode(np.concatenate(held, dtype=np.int64))
             return batch_of(part=pa.array([part], pa.int32()), first=pa.array([first], pa.int64()),
                             doc_ids=pa.array([doc_ids], pa.list_(pa.int64())), sizes=pa.array([sizes], pa.list_(pa.int64())),
                             checkpoints=pa.array([checkpoints.astype("<i8").tobytes()], pa.binary()),
@@ -202,7 +203,8 @@ def write(docs: DataFrame, path: str, vocabulary: str = "byte_bpe_50k.json", end
                                  batch.column("ids"), strict=True):
                 doc_ids.append(i)
                 sizes.append(n)
-                held.append(ids.as_py())
+                raw = ids.as_py()
+                held.append(np.frombuffer(raw, f"<u{len(raw) // n}"))
                 total += n
                 if total >= block:
                     yield out()
