@@ -14,9 +14,9 @@ Every training word has a class; words and their counts stay exact:
 3. Every other training word goes to the class that makes its own neighbours likeliest, from counts
    of (word, class before or after) over all training texts: a table of (word, n, label) that
    grows with the vocabulary.
-4. Texts become class sequences. The most frequent words of that table, a bounded part, are looked
-   up in the task; every other word of a text becomes a (text, word) row and finds its count and
-   class by an equi-join; by construction no such word is frequent, so no key is hot.
+4. Texts become class sequences. The most frequent words of that table, a bounded part chosen by count
+   whatever their length, are looked up in the task; every other word of a text becomes a (text, word)
+   row and finds its count and class by an equi-join, whose keys are all rarer than those held.
 5. Class bigrams are counted over the sequences of all training texts, and every sequence is scored.
 
 Smoothing: class transitions are interpolated with the class's share. An unseen word takes the
@@ -30,14 +30,17 @@ no rows.
 
 from __future__ import annotations
 
+import hashlib
 import math
 import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator
-from math import log, log1p
+from itertools import islice
+from math import log1p
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -46,14 +49,16 @@ from airfill.session import written
 
 #: Words with an item of their own; items of other and unseen words; classes (under ASKED); passes of the exchange.
 FREQUENT, TAILS, CLASSES, PASSES = 1000, 256, 48, 6
-#: Words whose counts and classes tasks hold: at most so many, at most so many bytes each.
+#: Words whose counts and classes tasks hold: at most so many, at most so many bytes each (longer ones by digest).
 LOOKUP, LONGEST = 300_000, 64
-#: Distinct words a task counts before it passes the counts on.
-COUNTED = 400_000
+#: Distinct words a task counts before it passes the counts on, and neighbours of words it puts together.
+COUNTED, PAIRED = 400_000, 4_000_000
 #: Weight of a class's overall share in its transitions.
 PRIOR = 5.0
 #: Stands in a class sequence for a word whose class comes by the join.
 ASKED = 255
+#: A neighbouring class and its count.
+_MET = np.dtype([("code", "<u2"), ("n", "<u4")])
 
 
 def _counts(train: DataFrame) -> DataFrame:
@@ -103,11 +108,14 @@ def _pairs(train: DataFrame, items) -> DataFrame:
         it = items.value
         total = np.zeros(it.n * it.n, np.int64)
         for _, texts in slices(batches):
+            number: defaultdict = defaultdict()
+            number.default_factory = number.__len__
+            number[None]  # the edge
             flat: list[int] = [0]
             for t in texts:
-                flat += it.of(t.lower().split())
+                flat += map(number.__getitem__, t.lower().split())
                 flat.append(0)
-            x = np.array(flat, np.int64)
+            x = np.array([0, *it.of(list(number)[1:])], np.int64)[np.array(flat, np.int64)]
             total += np.bincount(x[:-1] * it.n + x[1:], minlength=len(total))
         met = np.flatnonzero(total)
         yield batch_of(code=pa.array(met, pa.int64()), n=pa.array(total[met], pa.int64()))
@@ -169,30 +177,83 @@ def exchange(pairs: np.ndarray, classes: int = CLASSES, passes: int = PASSES) ->
 
 
 def _neighbours(train: DataFrame, held, classes: int) -> DataFrame:
-    """(word, code, n): how often a word that isn't frequent stands after class code, or before
-    class code - classes, in the training texts. ``held`` is a broadcast of (items, their classes)."""
+    """(word, met): how often a word that isn't frequent stands after class code, or before class code - classes,
+    in the training texts: ``met`` is an array of ``_MET``. A task puts the counts of many texts together, and a word's
+    into one value. ``held`` is a broadcast of (items, their classes)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         it, label = held.value
-        for _, texts in slices(batches):
-            number: defaultdict = defaultdict()
+        number: defaultdict = defaultdict()
+        own = np.zeros(0, np.int64)
+        keys: list[np.ndarray] = []
+
+        def clear() -> None:
+            nonlocal own
+            number.clear()
             number.default_factory = number.__len__
             number[None]  # the edge
+            own = np.zeros(1, np.int64)
+            keys.clear()
+
+        def out() -> pa.RecordBatch:
+            every = np.sort(np.concatenate(keys))
+            at = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]]))
+            met = np.empty(len(at), _MET)
+            met["code"], met["n"] = every[at] % (2 * classes), np.diff(at, append=len(every))
+            word = every[at] // (2 * classes)
+            first = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
+            ends = np.append(first, len(at)) * _MET.itemsize
+            packed = pa.Array.from_buffers(pa.large_binary(), len(first), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(met.tobytes())])
+            return batch_of(word=pa.array(list(number), pa.binary()).take(pa.array(word[first])), met=packed.cast(pa.binary()))
+
+        clear()
+        for _, texts in slices(batches):
             flat: list[int] = [0]
             for t in texts:
                 flat += map(number.__getitem__, t.lower().split())
                 flat.append(0)
-            words = list(number)
-            own = np.array([0, *it.of(words[1:])], np.int64)
             x = np.array(flat, np.int64)
+            own = np.concatenate([own, np.array(it.of(list(islice(number, len(own), None))), np.int64)])  # new words
             c = label[own][x]
             at = np.flatnonzero(own[x] >= it.first_tail)
-            code, n = np.unique(np.concatenate([x[at] * 2 * classes + c[at - 1], (x[at] * 2 + 1) * classes + c[at + 1]]),
-                                return_counts=True)
-            yield batch_of(word=pa.array(words, pa.binary()).take(pa.array(code // (2 * classes))),
-                           code=pa.array(code % (2 * classes), pa.int32()), n=pa.array(n, pa.int64()))
+            keys += [x[at] * 2 * classes + c[at - 1], (x[at] * 2 + 1) * classes + c[at + 1]]
+            if len(number) > COUNTED or sum(map(len, keys)) > PAIRED:
+                if sum(map(len, keys)):
+                    yield out()
+                clear()
+        if sum(map(len, keys)):
+            yield out()
 
-    return map_arrow(train, run, "word binary, code int, n long").groupBy("word", "code").agg(F.sum("n").alias("n"))
+    return map_arrow(train, run, "word binary, met binary")
+
+
+def _word_runs(batches: Iterator[pa.RecordBatch], classes: int) -> Iterator[tuple[pa.Array, np.ndarray]]:
+    """Rows of ``_neighbours`` sorted by word, as (words, counts by code of each), each word once: what its rows hold
+    is added up as they pass."""
+    word, total = None, np.zeros(2 * classes)
+    for b in batches:
+        if not b.num_rows:
+            continue
+        words = b.column("word")
+        new = np.ones(b.num_rows, bool)
+        new[1:] = pc.not_equal(words[1:], words[:-1]).to_numpy(zero_copy_only=False)
+        group = np.cumsum(new) - 1
+        blobs = b.column("met").to_pylist()
+        met = np.frombuffer(b"".join(blobs), _MET)
+        at = np.repeat(group, np.fromiter(map(len, blobs), np.int64, len(blobs)) // _MET.itemsize)
+        n = int(group[-1]) + 1
+        sides = np.bincount(at * 2 * classes + met["code"], weights=met["n"], minlength=n * 2 * classes).reshape(n, 2 * classes)
+        firsts = words.take(pa.array(np.flatnonzero(new)))
+        if word is not None:
+            if firsts[0].as_py() == word:
+                sides[0] += total
+            else:
+                yield pa.array([word], pa.binary()), total[None, :]
+        word, total = firsts[-1].as_py(), sides[-1].copy()
+        if n > 1:
+            yield firsts[:-1], sides[:-1]
+    if word is not None:
+        yield pa.array([word], pa.binary()), total[None, :]
 
 
 def _assigned(train: DataFrame, items: Items, label: np.ndarray, pairs: np.ndarray, classes: int) -> DataFrame:
@@ -212,21 +273,20 @@ def _assigned(train: DataFrame, items: Items, label: np.ndarray, pairs: np.ndarr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         move, mass, closed = model.value
-        for b in batches:
-            met = b.column("met")
-            sides = np.zeros((b.num_rows, 2 * classes))
-            inner = met.flatten()
-            at = np.repeat(np.arange(b.num_rows), np.diff(met.offsets.to_numpy()))
-            sides[at, inner.field("code").to_numpy()] = inner.field("n").to_numpy()
+        for words, sides in _word_runs(batches, classes):
             left, right = sides[:, :classes], sides[:, classes:]
             n = left.sum(1)
             gain = left @ move + right @ move.T - n[:, None] * np.log(mass[None, :] + n[:, None])
             gain[:, closed] = -np.inf
-            yield batch_of(word=b.column("word"), n=pa.array(n.astype(np.int64)), label=pa.array(gain.argmax(1), pa.int32()))
+            yield batch_of(word=words, n=pa.array(n.astype(np.int64)), label=pa.array(gain.argmax(1), pa.int32()))
 
     near = _neighbours(train, spark.sparkContext.broadcast((items, label)), classes)
-    return written(map_arrow(near.groupBy("word").agg(F.collect_list(F.struct("code", "n")).alias("met")), run,
-                             "word binary, n long, label int"), "lm-classes")
+    return written(map_arrow(near.repartition("word").sortWithinPartitions("word"), run, "word binary, n long, label int"), "lm-classes")
+
+
+def shown(word: bytes) -> bytes:
+    """How a word stands in the tables of a model: a long one by its digest, after a blank, which no word has."""
+    return word if len(word) <= LONGEST else b" " + hashlib.md5(word).digest()
 
 
 class Model:
@@ -285,13 +345,13 @@ def _classes(docs: DataFrame, frequent: int, tails: int, classes: int, passes: i
     for r in rest.groupBy("label").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).collect():
         rest_n[r["label"]], rest_v[r["label"]] = r["n"], r["v"]
     model = Model(items, [known[w] for w in sorted(known)], label, rest_n, rest_v, texts, classes)
-    short = F.length("word") <= LONGEST
-    near = _least(rest.where(short), lookup)
-    held = rest.where(short & (F.col("n") >= near)).toArrow()
+    near = _least(rest, lookup)
+    short = F.when(F.length("word") <= LONGEST, F.col("word")).otherwise(F.concat(F.lit(" ").cast("binary"), F.unhex(F.md5("word"))))
+    held = rest.where(F.col("n") >= near).select(short.alias("word"), "n", "label").toArrow()
     words = held.column("word").to_pylist()
     model.lookup = dict(zip(words, held.column("n").to_pylist(), strict=True))
     model.classes = dict(zip(words, held.column("label").to_pylist(), strict=True))
-    return model, rest.where(~short | (F.col("n") < near))
+    return model, rest.where(F.col("n") < near)
 
 
 def _sequences(docs: DataFrame, model: Model, rare: DataFrame) -> DataFrame:
@@ -305,38 +365,51 @@ def _sequences(docs: DataFrame, model: Model, rare: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = held.value
-        own = {w: (int(m.label[i]), int(m.known[i])) for w, i in m.items.index.items()}
-        near, label = m.lookup.get, m.classes
+        index = {w: i for i, w in enumerate((*m.items.index, *m.lookup))}
+        items = np.array(list(m.items.index.values()), np.int64)
+        label = np.concatenate([m.label[items], np.array([m.classes[w] for w in m.lookup], np.int64)]).astype(np.int64)
+        count = np.concatenate([m.known[items], np.array(list(m.lookup.values()), np.int64)]).astype(np.int64)
+        edge = int(m.known[0])
         for batch, texts in slices(batches):
-            cols: dict[str, list] = {k: [] for k in ("n_tokens", "n_known", "base", "logs", "codes", "asked", "unseen", "words")}
-            for t in texts:
-                words = t.lower().split()
-                times = Counter(words)
-                n_known, base, logs = int(m.known[0] > 0), log1p(int(m.known[0])) - denominator * (len(words) + 1), 0.0
-                code: dict[bytes, int] = {}
-                rest: dict[bytes, int] = {}
-                for w, k in times.items():
-                    c, n = own.get(w) or (label.get(w), near(w))
-                    if n:
-                        code[w] = c
-                        n_known += k
-                        base += k * log1p(n)
-                        logs += k * log(n)
-                    else:
-                        code[w] = ASKED
-                        rest[w] = len(rest)
-                cols["n_tokens"].append(len(words) + 1)
-                cols["n_known"].append(n_known)
-                cols["base"].append(base)
-                cols["logs"].append(logs)
-                cols["codes"].append(bytes(map(code.__getitem__, words)))
-                cols["asked"].append([rest[w] for w in words if w in rest] if rest else [])
-                cols["unseen"].append([int(m.unseen[m.ends.tail(w) - m.ends.first_tail]) for w in rest])
-                cols["words"].append(list(rest))
-            kinds = {"n_tokens": pa.int64(), "n_known": pa.int64(), "base": pa.float64(), "logs": pa.float64(), "codes": pa.binary(),
-                     "asked": pa.list_(pa.int32()), "unseen": pa.list_(pa.int32()), "words": pa.list_(pa.binary())}
-            yield batch_of(doc_id=batch.column("doc_id"), held_out=batch.column("held_out"), row=batch.column("row"),
-                           **{k: pa.array(v, kinds[k]) for k, v in cols.items()})
+            number: defaultdict = defaultdict()
+            number.default_factory = number.__len__
+            flat: list[int] = []
+            sizes = np.empty(len(texts), np.int64)
+            for i, t in enumerate(texts):
+                before = len(flat)
+                flat += map(number.__getitem__, t.lower().split())
+                sizes[i] = len(flat) - before
+            x, names, of = np.array(flat, np.int64), list(number), np.repeat(np.arange(len(texts)), sizes)
+            # each word of the slice once: its place in the model's tables, and what follows from it
+            at = np.fromiter((index.get(w if len(w) <= LONGEST else shown(w), -1) for w in names), np.int64, len(names))
+            known = at >= 0
+            n = np.where(known, count[at] if len(count) else 0, 1)
+            code = np.where(known, label[at] if len(label) else 0, ASKED).astype(np.uint8)
+            here = known[x]
+
+            def per_text(of_word: np.ndarray, x=x, of=of, here=here, size=len(texts)) -> np.ndarray:
+                return np.bincount(of[here], weights=of_word[x[here]], minlength=size)
+
+            # the other words of each text, each once, as (text, word), and where they stand
+            pair, which = np.unique(of[~here] * max(len(names), 1) + x[~here], return_inverse=True)
+            text, word = pair // max(len(names), 1), pair % max(len(names), 1)
+            rest = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=len(texts)))])
+            stands = np.concatenate([[0], np.cumsum(np.bincount(of[~here], minlength=len(texts)))])
+            unseen = np.zeros(len(names), np.int64)
+            own = np.unique(word)
+            unseen[own] = [m.unseen[m.ends.tail(names[i]) - m.ends.first_tail] for i in own.tolist()]
+            raw, ends = code[x].tobytes(), np.cumsum(sizes).tolist()
+
+            def lists(starts: np.ndarray, values: pa.Array) -> pa.Array:
+                return pa.ListArray.from_arrays(pa.array(starts, pa.int32()), values)
+
+            yield batch_of(
+                doc_id=batch.column("doc_id"), held_out=batch.column("held_out"), row=batch.column("row"),
+                n_tokens=pa.array(sizes + 1), n_known=pa.array(np.bincount(of[here], minlength=len(texts)) + int(edge > 0), pa.int64()),
+                base=pa.array(per_text(np.log1p(n)) + log1p(edge) - denominator * (sizes + 1)), logs=pa.array(per_text(np.log(n))),
+                codes=pa.array([raw[a:b] for a, b in zip([0, *ends], ends, strict=False)], pa.binary()),
+                asked=lists(stands, pa.array(which - rest[:-1][of[~here]], pa.int32())), unseen=lists(rest, pa.array(unseen[word], pa.int32())),
+                words=lists(rest, pa.array(names, pa.binary()).take(pa.array(word, pa.int64()))))
 
     first = written(map_arrow(docs.select("doc_id", "text", "held_out", F.monotonically_increasing_id().alias("row")), run,
                               "doc_id long, held_out boolean, row long, n_tokens long, n_known long, base double, logs double, "

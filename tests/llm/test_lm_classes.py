@@ -1,7 +1,9 @@
 import math
 import random
+from collections import Counter
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from airfill.llm import brown_lm
@@ -51,3 +53,39 @@ def test_scores_follow_the_classes(spark):
     got = {r["doc_id"]: r["score"] for r in brown_lm.score_corpus(
         edge_docs(spark, rows).repartition(3), frequent=20, lookup=30, tails=4, classes=3).collect()}
     assert got[1000] > got[1001] + 1 and np.isfinite(list(got.values())).all()
+
+
+@pytest.mark.parametrize("paired", [brown_lm.PAIRED, 10])
+def test_neighbour_counts_equal_brute_force(spark, paired, monkeypatch):
+    monkeypatch.setattr(brown_lm, "PAIRED", paired)
+    rows = [*alternating(50), (900, None), (901, ""), (902, "solo"), (903, "solo solo " + "x" * 200)]
+    items = brown_lm.Items(sorted({b"a1xyz", b"b2xyz"}), 4)
+    label = np.arange(items.n) % 3
+    want = Counter()
+    for _, t in rows:
+        words = (t or "").lower().encode().split()
+        own = [0, *items.of(words), 0]
+        for k, w in enumerate(words, 1):
+            if own[k] >= items.first_tail:
+                want[w, int(label[own[k - 1]])] += 1
+                want[w, 3 + int(label[own[k + 1]])] += 1
+    docs = keyed(edge_docs(spark, rows)).select("doc_id", "text").repartition(3)
+    near = brown_lm._neighbours(docs, spark.sparkContext.broadcast((items, label)), 3)
+    batches = near.sort("word").toArrow().to_batches(max_chunksize=3)
+    got = {}
+    for words, sides in brown_lm._word_runs(iter(batches), 3):
+        for w, side in zip(words.to_pylist(), sides, strict=True):
+            assert w not in {x for x, _ in got}
+            got |= {(w, c): int(n) for c, n in enumerate(side) if n}
+    assert got == want
+
+
+def test_a_frequent_long_word_is_looked_up_by_its_digest(spark):
+    line = "=" * 200
+    rows = [(i, f"{line} w{i % 7} {'y' * 100}{i}") for i in range(80)]
+    model, label, count = trained(spark, rows, frequent=3, lookup=4, tails=4, classes=3)
+    assert model.lookup[brown_lm.shown(line.encode())] == count[brown_lm.shown(line.encode())] > 60
+    _, rare = brown_lm.train(keyed(edge_docs(spark, rows)).select("doc_id", "text"), frequent=3, lookup=4, tails=4, classes=3)
+    assert rare.where(F.col("n") > 1).count() <= 7 and rare.where(F.length("word") == 200).count() == 0
+    got = {r["doc_id"]: (r["n_known"], r["n_tokens"]) for r in brown_lm.score_corpus(edge_docs(spark, rows), frequent=3, lookup=4, tails=4, classes=3).collect()}
+    assert all(n in (t, t - 1) for n, t in got.values())

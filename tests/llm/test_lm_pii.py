@@ -54,16 +54,11 @@ def test_probabilities_sum_to_one(spark):
     words = [f"w{k}" for k in range(30)]
     docs = edge_docs(spark, [(i, " ".join(rng.choices(words, weights=range(30, 0, -1), k=20))) for i in range(60)])
     rows = keyed(docs).withColumn("held_out", remainder("doc_id", 7) == 2)
-    model, rare = brown_lm.train(rows.where(~F.col("held_out")).select("doc_id", "text"), frequent=10, lookup=15, tails=3, classes=5)
-    counts = {**model.lookup, **{bytes(r["word"]): r["n"] for r in rare.collect()}}
+    model, _ = brown_lm.train(rows.where(~F.col("held_out")).select("doc_id", "text"), frequent=10, lookup=15, tails=3, classes=5)
     it = model.items
     for previous in range(it.n):
         step = model.move[model.label[previous]][model.label] + model.emit
         total = sum(math.exp(step[x]) for x in range(it.first_tail))
-        for k in range(it.tails):
-            own = [n for w, n in counts.items() if it.of([w])[0] == it.first_tail + k]
-            z = model.tail_n[k] + model.tail_v[k] + 1
-            total += math.exp(step[it.first_tail + k]) * (sum(n + 1 for n in own) + 1) / z
         assert math.isclose(total, 1, rel_tol=1e-9)
 
 
