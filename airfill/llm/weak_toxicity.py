@@ -9,11 +9,11 @@
    chances to vote either way in either class - is fitted by expectation-maximisation on a
    bounded sample of training rows, anchored by their labels. Voters that agree beyond what
    the class explains are correlated; each voter's evidence is divided by how many it repeats.
-3. A linear classifier over the voters' signals is fitted to the posterior labels and scores
-   every whole text in one map.
+3. A linear classifier over the voters' signals is fitted to the posterior labels, calibrated on the
+   sample's labels, and scores every whole text in one map.
 
 The texts scored are whole, and terms and contexts are counted over all labelled training rows;
-only the rows that steps 2 and 3 are fitted on are a sample, of about ``SAMPLE`` labelled rows. Labels, language, source and id are never inputs of a score.
+only the rows that steps 2 and 3 are fitted on are a sample, of ``SAMPLE`` distinct labelled texts at most. Labels, language, source and id are never inputs of a score.
 
 Defined results: null and empty texts have no terms; without a toxic training row there is no
 lexicon and every score is 0; repeated rows and ids are scored each; other columns stay behind.
@@ -21,6 +21,7 @@ lexicon and every score is 0; repeated rows and ids are scored each; other colum
 
 from __future__ import annotations
 
+import math
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -29,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from airfill.llm.rule_ensemble import sampled_labels, training_labels
+from airfill.llm.rule_ensemble import training_labels
 from airfill.llm.runtime import batch_of, keyed, map_arrow, remainder, slices
 from airfill.session import written
 
@@ -38,8 +39,10 @@ SAMPLE = 20_000
 TERMS, BEGINNINGS, SUPPORT = 96, (4, 5, 6, 7), 5
 #: Candidates that tasks hold at most; more meet their contexts by a join.
 HELD = 20_000
-#: Log odds a term needs, and the penalty of the linear classifier.
-ODDS, RIDGE = 4.5, 1e-3
+#: Log odds a term needs, or the share of what it could have among few clean texts; the penalty of the linear classifier.
+ODDS, REACHED, RIDGE = 4.5, 0.75, 1e-3
+#: Bytes of a row of digests, about, and of digests that are broadcast at most.
+ROW_BYTES, BROADCAST_BYTES = 128, 64 << 20
 PATTERNS = ("none", "faint", "some", "strong", "thin")
 #: Summed log odds of a text's words that are faint, or strong; words a term word is thin among.
 FAINT, STRONG, THIN = 6.0, 11.0, 250
@@ -65,25 +68,27 @@ def term_counts(train: DataFrame) -> DataFrame:
     """(term, toxic, clean): in how many texts of each label a term is."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[bytes, list[int]] = defaultdict(lambda: [0, 0])
+        held: dict[bytes, list[float]] = defaultdict(lambda: [0.0, 0.0])
 
         def out() -> pa.RecordBatch:
-            return batch_of(term=pa.array(list(held), pa.binary()), toxic=pa.array([v[1] for v in held.values()], pa.int64()),
-                            clean=pa.array([v[0] for v in held.values()], pa.int64()))
+            return batch_of(term=pa.array(list(held), pa.binary()), toxic=pa.array([v[1] for v in held.values()], pa.float64()),
+                            clean=pa.array([v[0] for v in held.values()], pa.float64()))
 
         for batch, texts in slices(batches):
-            for t, label in zip(texts, batch.column("label").to_pylist(), strict=True):
+            for t, label, weight in zip(texts, *(batch.column(c).to_pylist() for c in ("label", "weight")), strict=True):
                 words = set(terms(t))
                 for w in words | beginnings(words):
-                    held[w][int(label > 0)] += 1
+                    held[w][int(label > 0)] += weight
             if len(held) > 300_000:
                 yield out()
                 held.clear()
         if held:
             yield out()
 
-    return map_arrow(train, run, "term binary, toxic long, clean long").groupBy("term").agg(
-        F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    if "weight" not in train.columns:
+        train = train.withColumn("weight", F.lit(1.0))
+    return map_arrow(train, run, "term binary, toxic double, clean double").groupBy("term").agg(
+        F.round(F.sum("toxic")).cast("long").alias("toxic"), F.round(F.sum("clean")).cast("long").alias("clean"))
 
 
 def odds(n_toxic: int, n_clean: int):
@@ -92,12 +97,21 @@ def odds(n_toxic: int, n_clean: int):
 
 
 def distinct_texts(rows: DataFrame, labels: DataFrame) -> DataFrame:
-    """(doc_id, text, label) of the labelled ``rows``, each text once for a label. Only digests are
-    grouped; the texts move once."""
-    rows = rows.withColumn("digest", F.sha2("text", 256))
-    chosen = (rows.select("doc_id", "digest").join(labels, "doc_id").groupBy("digest", "label")
-                  .agg(F.min("doc_id").alias("doc_id")))
-    return rows.join(chosen, ["doc_id", "digest"]).dropDuplicates(["doc_id", "digest"]).drop("digest")
+    """(doc_id, digest, label, weight) of the labelled ``rows``, each text once for a label; ``weight`` is one over
+    how many rows are that text under that id. Only ids and digests are grouped and written."""
+    marks = (rows.join(labels, "doc_id").select("doc_id", F.sha2("text", 256).alias("digest"), "label")
+                 .groupBy("digest", "label", "doc_id").agg(F.count(F.lit(1)).alias("n")))
+    first = F.min(F.struct("doc_id", "n")).alias("first")
+    return written(marks.groupBy("digest", "label").agg(first).select(
+        F.col("first.doc_id").alias("doc_id"), "digest", "label", (1.0 / F.col("first.n")).alias("weight")), "toxic-digests")
+
+
+def texts_of(rows: DataFrame, chosen: DataFrame, n: int) -> DataFrame:
+    """The texts that ``chosen``, ``n`` rows of ``distinct_texts``, name, read where they lie: as long as the
+    digests are small they go to the texts, and only beyond that do texts move."""
+    if n * ROW_BYTES <= BROADCAST_BYTES:
+        chosen = F.broadcast(chosen)
+    return rows.join(chosen, "doc_id").where(F.sha2("text", 256) == F.col("digest")).drop("digest")
 
 
 def contexts(train: DataFrame, candidates: DataFrame, held: int = HELD) -> DataFrame:
@@ -125,11 +139,14 @@ def contexts(train: DataFrame, candidates: DataFrame, held: int = HELD) -> DataF
 
 def lexicon(train: DataFrame, n_toxic: int, n_clean: int, held: int = HELD) -> dict[bytes, float]:
     """Every term with high log odds in many contexts with its log odds, those that tell most of
-    the label first."""
+    the label first. What is high and many follows the numbers of texts: few clean texts bound the odds
+    that a term can have, few toxic ones its support."""
     score = odds(n_toxic, n_clean)
-    told = written(term_counts(train).where((F.col("toxic") >= SUPPORT) & (score >= ODDS)).select("term", score.alias("odds")),
+    least = min(ODDS, REACHED * math.log(2 * (n_clean + 1)))
+    support = max(2, min(SUPPORT, n_toxic // 4))
+    told = written(term_counts(train).where((F.col("toxic") >= support) & (score >= least)).select("term", score.alias("odds")),
                    "toxic-terms")
-    found = contexts(train, told, held).where(F.col("n") >= SUPPORT).collect()
+    found = contexts(train, told, held).where(F.col("n") >= support).collect()
     return {bytes(r["term"]): r["odds"] for r in sorted(found, key=lambda r: (-r["n"] * r["odds"], bytes(r["term"])))}
 
 
@@ -222,16 +239,30 @@ def linear(signals: np.ndarray, posterior: np.ndarray, rounds: int = 50) -> np.n
     return w
 
 
+def calibrated(weights: np.ndarray, signals: np.ndarray, gold: np.ndarray, rounds: int = 30) -> np.ndarray:
+    """``weights`` rescaled and shifted so that the scores of the training rows ``gold`` are their labels' chances: a
+    logistic fit of two numbers, held near one and zero by one row's worth each."""
+    z = np.column_stack([signals.astype(float) @ weights[:-1] + weights[-1], np.ones(len(gold))])
+    a = np.array([1.0, 0.0])
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-np.clip(z @ a, -30, 30)))
+        step = np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + np.eye(2), z.T @ (gold - p) - (a - [1.0, 0.0]))
+        a += np.clip(step, -1, 1)
+        if np.abs(step).max() < 1e-6:
+            break
+    return weights if a[0] <= 0 else np.append(weights[:-1] * a[0], weights[-1] * a[0] + a[1])
+
+
 def score(docs: DataFrame, labels: DataFrame, target: str = "toxic", threshold: float = 0.5,
           id_col: str = "doc_id", text_col: str = "text", most: int = SAMPLE) -> DataFrame:
     """One row per document: doc_id, held_out, score, predicted."""
     spark = docs.sparkSession
     rows = keyed(docs, id_col, text_col)
-    chosen = written(sampled_labels(labels, target, most), "toxic-labels")
-    train = written(rows.join(F.broadcast(chosen), "doc_id"), "toxic-train")  # at most the sample
-    every = written(distinct_texts(rows, training_labels(labels, target)), "toxic-labelled")
-    n, n_toxic = every.agg(F.count(F.lit(1)), F.coalesce(F.sum("label"), F.lit(0.0))).first()
-    words = lexicon(every, int(n_toxic), int(n - n_toxic)) if n_toxic else {}
+    chosen = distinct_texts(rows, training_labels(labels, target))
+    n, n_toxic = chosen.agg(F.count(F.lit(1)), F.coalesce(F.sum("label"), F.lit(0.0))).first()
+    words = lexicon(texts_of(rows, chosen, n), int(n_toxic), int(n - n_toxic)) if n_toxic else {}
+    # the distinct texts with the least digests: a sample that copies and repeated ids can't swell
+    train = texts_of(rows, chosen.orderBy("digest", "label").limit(most), min(n, most))
     voters = Voters(words)
     weights = None
     if words:
@@ -247,7 +278,7 @@ def score(docs: DataFrame, labels: DataFrame, target: str = "toxic", threshold:
         signals = np.zeros((len(on), voters.n), np.int8)
         for i, own in enumerate(on):
             signals[i, own] = 1
-        weights = linear(signals, label_model(voters.votes(signals), gold))
+        weights = calibrated(linear(signals, label_model(voters.votes(signals), gold)), signals, gold)
     model = spark.sparkContext.broadcast((voters, weights))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -3,6 +3,7 @@ import random
 import numpy as np
 
 from airfill.llm import weak_toxicity
+from airfill.llm.runtime import keyed
 from tests.llm.helpers import edge_docs
 
 TERMS = [f"vil{c}" for c in "abcdef"]  # too short for beginnings that they would share
@@ -57,3 +58,28 @@ def test_every_term_that_passes_is_kept_by_lookup_and_by_join(spark):
     voters = weak_toxicity.Voters(words)
     own = {w for t in list(words)[weak_toxicity.TERMS:] for w in [t] if not t.endswith(b"*")}
     assert own and all(voters.n_terms not in voters.signals(w) for w in own)  # "none" is off: the pattern voters see it
+
+
+def test_few_labels_and_one_separating_term(spark):
+    rng = random.Random(3)
+    for clean in (40, 400):
+        rows, labels = [], []
+        for i in range(40 + clean):
+            words = [f"{rng.choice('bcdfg')}{rng.randrange(40)}" for _ in range(12)]
+            if i < 40:
+                words.insert(rng.randrange(12), "vilf")
+            rows.append((i, " ".join(words)))
+            labels.append((i, 1, int(i < 40)))
+        score = scored(spark, rows, labels)
+        assert all((score[i] > 0.5) == (i < 40) for i, _ in rows)
+
+
+def test_counts_are_of_distinct_texts(spark):
+    rows = [(1, "vile one"), (1, "vile one"), (2, "VILE one"), (3, "vile one"), (4, "fine two"), (5, "vile two"), (6, None)]
+    docs = keyed(edge_docs(spark, rows))
+    labels = spark.createDataFrame([(1, 1.0), (2, 1.0), (3, 1.0), (4, 0.0), (5, 0.0), (6, 0.0)], "doc_id long, label double")
+    chosen = weak_toxicity.distinct_texts(docs, labels)
+    for n in (chosen.count(), 10 ** 12):  # digests to the texts, or texts to the digests
+        got = {bytes(r["term"]): (r["toxic"], r["clean"]) for r in
+               weak_toxicity.term_counts(weak_toxicity.texts_of(docs, chosen, n)).collect()}
+        assert got == {b"vile": (2, 1), b"one": (2, 0), b"fine": (0, 1), b"two": (0, 2)}
