@@ -221,6 +221,9 @@ def near_words(words: DataFrame, per_slice: int = SLICE, questions: int = QUESTI
         return pa.table({"word": pa.array(out["word"], pa.string()), "n_near": pa.array(out["n_near"], pa.int64()),
                          "best_n": pa.array(out["best_n"], pa.int64()), "best": pa.array(out["best"], pa.string())})
 
+    # the rows are small and the work on them is not: tasks of a few slices each
+    tasks = max(1, count // 4)
+    given, asked = (x.repartition(tasks, *key, "part") for x in (given, asked))
     found = given.groupBy(*key, "part").cogroup(asked.groupBy(*key, "part")).applyInArrow(
         scan, "word string, n_near long, best_n long, best string")
     top = F.min(F.struct((-F.col("best_n")).alias("minus"), F.col("best").alias("best")))
