@@ -1,16 +1,17 @@
 """Personal data (operator 9): a semi-Markov conditional random field over candidate spans.
 
-Base spans come from fixed formats per kind and always stay. Around digits and at-signs, text
-outside them is cut into regions of tokens; in a region every run of tokens that could be an
+Base spans come from fixed formats per kind and always stay. Text around digits and at-signs,
+grown to whole words, makes regions of tokens; in a region every run of tokens that could be an
 entity is a candidate segment of each kind, scored on features of the whole span (digits,
-separators, grouping, checksum, what stands before). Dynamic programming over segments of a
-bounded number of tokens picks the boundaries and kinds of a region together; what it finds
-beyond the base spans is added.
+separators, grouping, checksum, what stands before). Dynamic programming over these segments, none
+longer than the longest entity of its kind, picks the boundaries and kinds of a region together;
+what it finds beyond the base spans is added.
 
 The field is trained on a bounded sample of documents by distant supervision: regions labelled
-by the base spans, the same regions with the formats loosened (no plus sign, spelled-out at,
-other separators) and number-like text that is none of it. Only this fit is a sample; every
-whole text is searched.
+by the base spans, the same regions with the formats loosened (no plus sign, spelled-out at and
+dots, other separators) and number-like text that is none of it. The sample is the SAMPLE distinct
+texts of smallest digest, so neither copies nor missing ids change its size; a document gives at
+most four stretches of STRETCH characters. Only this fit is a sample; every whole text is searched.
 
 Texts are independent: one map, no shuffle. Scans are linear in the text: at-signs and runs of
 digits are visited once each.
@@ -35,8 +36,8 @@ from pyspark.sql import functions as F
 from airfill.llm.runtime import batch_of, keyed, map_arrow, slices
 
 KINDS = ["email", "ip", "card", "phone"]
-#: Documents the field is fitted on, regions of each sort, tokens in a segment, passes, step.
-SAMPLE, REGIONS, LONGEST, PASSES, RATE = 2_000, 250, 14, 12, 0.15
+#: Texts the field is fitted on, characters of a stretch of theirs, regions of each sort, passes, step.
+SAMPLE, STRETCH, REGIONS, PASSES, RATE = 2_000, 400, 250, 12, 0.15
 #: Log odds over leaving the tokens out that an added span needs.
 MARGIN = 1.6
 
@@ -122,43 +123,80 @@ def base_spans(text: str) -> dict[str, list[Span]]:
 # --- regions and segments -------------------------------------------------------------------
 
 TOKEN = re.compile(r"[A-Za-z]+|[0-9]+|[^\sA-Za-z0-9]|\s+")
-#: What a region grows around: digits, an at-sign, or an at that is spelled out.
-SEED = re.compile(r"[0-9]{2,}|@|[(\[]\s?at\s?[)\]]")
-#: Characters on either side of a seed that belong to its region.
+#: An at-sign, or one that is spelled out; a dot between labels, or one that is.
+AT = re.compile(r"@|\s?[(\[]\s?at\s?[)\]]\s?", re.I)
+DOT = re.compile(r"\s?[(\[]\s?dot\s?[)\]]\s?", re.I)
+#: What a region grows around.
+SEED = re.compile(rf"[0-9]{{2,}}|{AT.pattern}", re.I)
+#: Characters on either side of a seed that belong to its region, before it grows to whole words.
 REACH = 24
+# The longest local part and domain of a mail address; digits and, at 19 digits and a
+# separator or two after each, characters of the longest number
+LOCAL_MOST, DOMAIN_MOST, DIGITS_MOST, NUMBER_MOST = 64, 255, 20, 64
+LABELS = re.compile(rf"[A-Za-z0-9-]+(?:(?:\.|{DOT.pattern})[A-Za-z0-9-]+)+", re.I)
+JOINT = re.compile(rf"\.|{DOT.pattern}", re.I)
+SPACE = re.compile(r"\s")
 # Words that announce a kind
 CUES = {"email": ("mail", "contact", "write"), "ip": ("ip", "host", "server", "addr"),
         "card": ("card", "visa", "payment", "credit"), "phone": ("tel", "phone", "call", "mobile", "fax")}
 FEATURES = ["bias", "digits_0", "digits_7", "digits_9", "digits_10", "digits_13", "digits_20", "plus", "paren", "at", "spelled_at",
             "domain", "dots_3", "octets", "luhn", "spaces", "dashes", "dots", "letters", "groups_equal", "one_group",
             "edges", "cue", "long", "slashes", "short_group", "left_zero",
-            "word_gap"]
+            "word_gap", "phone_groups", "other_groups", "tail_cut"]
+
+
+def reach(text: str, at: re.Match) -> tuple[int, list[int]]:
+    """What may belong to the address around ``at``: the first character of its local part, and the
+    ends of its domain after each label from the second on (none: no address)."""
+    start, least = at.start(), max(0, at.start() - LOCAL_MOST)
+    while start > least and text[start - 1] in LOCAL:
+        start -= 1
+    m = LABELS.match(text, at.end(), at.end() + DOMAIN_MOST)
+    if m is None or start == at.start():
+        return start, []
+    return start, [*(j.start() for j in JOINT.finditer(text, m.start(), m.end()))][1:] + [m.end()]
 
 
 def regions(text: str) -> list[Span]:
-    """Stretches around seeds, merged where they touch and cut at white space."""
+    """Stretches around seeds, grown to whole words and merged where they touch."""
     out: list[list[int]] = []
+    last = 0
     for m in SEED.finditer(text):
         a, b = max(0, m.start() - REACH), min(len(text), m.end() + REACH)
-        if out and a <= out[-1][1]:
-            out[-1][1] = b
+        if not m.group()[0].isdigit():
+            start, ends = reach(text, m)
+            a, b = min(a, start), max([b, *ends])
+        if a > last:  # to the white space before; what an earlier region holds is not looked at again
+            while a > last and not text[a - 1].isspace():
+                a -= 1
+        if b > last:
+            end = SPACE.search(text, b)
+            b = end.start() if end else len(text)
+        if out and a <= last:
+            out[-1][1] = last = max(last, b)
         else:
             out.append([a, b])
+            last = b
     return [(a, b) for a, b in out]
 
 
 def span_features(text: str, a: int, b: int, kind: str) -> np.ndarray:
     s = text[a:b]
+    if kind == "email":
+        s = DOT.sub(".", s)
     d = _digits(s)
     groups = NUMBER.findall(s)
     sizes = {len(g) for g in groups}
+    order = [len(g) for g in groups]
+    joint = JOINT.match(text, b)
+    area = order[-3:] == [3, 3, 4] and (len(order) == 3 or len(order) == 4 and order[0] <= 3)
     n = len(d)
     left, right = text[a - 1:a], text[b:b + 1]
     before = text[max(0, a - 12):a].lower()
     on = {
         "bias": 1, "digits_0": n == 0, "digits_7": n in (7, 8), "digits_9": n == 9, "digits_10": 10 <= n <= 12,
         "digits_13": 13 <= n <= 19, "digits_20": n > 19, "plus": s.startswith("+"), "paren": "(" in s and any(c.isdigit() for c in s),
-        "at": "@" in s, "spelled_at": bool(re.search(r"[(\[]\s?at\s?[)\]]", s)),
+        "at": "@" in s, "spelled_at": "@" not in s and AT.search(s) is not None,
         "domain": bool(re.search(r"[A-Za-z0-9]\.[A-Za-z]{2,}$", s)), "dots_3": len(groups) == 4 and s.count(".") == 3,
         "octets": len(groups) == 4 and all(octet(g) for g in groups), "luhn": 13 <= n <= 19 and luhn(d),
         "spaces": " " in s, "dashes": "-" in s, "dots": "." in s, "letters": any(c.isalpha() for c in s),
@@ -167,44 +205,67 @@ def span_features(text: str, a: int, b: int, kind: str) -> np.ndarray:
         "cue": any(c in before for c in CUES[kind]), "long": b - a > 40, "slashes": "/" in s or ":" in s or "," in s,
         "short_group": any(len(g) == 1 for g in groups), "left_zero": d.startswith("0"),
         "word_gap": bool(re.search(r"[A-Za-z0-9]\s+[A-Za-z0-9]", s)) and any(c.isalpha() for c in s),
+        "phone_groups": area, "other_groups": not area and len(order) > 1,
+        "tail_cut": joint is not None and text[joint.end():joint.end() + 1].isalnum(),
     }
     return np.array([float(on[f]) for f in FEATURES])
 
 
 class Region:
     """Tokens of a stretch of text and its candidate segments: (first token, end token, start,
-    end, kind number, features)."""
+    end, kind number, features). Numbers hold no letter; addresses are found from their at-sign."""
 
     def __init__(self, text: str, a: int, b: int):
         self.text = text
         self.tokens = [(a + m.start(), a + m.end()) for m in TOKEN.finditer(text[a:b])]
         self.segments: list[tuple[int, int, int, int, int, np.ndarray]] = []
         for i, (start, _) in enumerate(self.tokens):
-            head = text[start]
-            if not (head.isascii() and (head.isalnum() or head in "+(")):
+            if self.starts(start, "+("):
+                self.numbers(i, start)
+        self.addresses(a, b)
+
+    def starts(self, at: int, signs: str) -> bool:
+        """Whether an entity may start here: at a sign, or at a letter or digit after neither."""
+        head = self.text[at]
+        return head in signs or head.isascii() and head.isalnum() and not (at and self.text[at - 1].isalnum())
+
+    def ends(self, at: int) -> bool:
+        return self.text[at - 1].isalnum() and not (at < len(self.text) and self.text[at].isalnum())
+
+    def add(self, i: int, j: int, kind: int) -> None:
+        start, end = self.tokens[i][0], self.tokens[j - 1][1]
+        self.segments.append((i, j, start, end, kind, span_features(self.text, start, end, KINDS[kind])))
+
+    def numbers(self, i: int, start: int) -> None:
+        n = dots = blanks = 0
+        for j in range(i, len(self.tokens)):
+            x, y = self.tokens[j]
+            piece = self.text[x:y]
+            if piece[0].isalpha() or "\n" in piece or y - start > NUMBER_MOST or n > DIGITS_MOST:
+                return
+            if piece[0].isdigit():
+                n += sum(c.isdigit() for c in piece)
+            dots += piece == "."
+            blanks += piece.isspace()
+            if not self.ends(y):
                 continue
-            if start and head.isalnum() and text[start - 1].isalnum():
-                continue
-            for j in range(i + 1, min(len(self.tokens), i + LONGEST) + 1):
-                end = self.tokens[j - 1][1]
-                s = text[start:end]
-                if "\n" in s or end - start > 64:
-                    break
-                if not s[-1].isalnum() or (end < len(text) and text[end].isalnum()):
-                    continue
-                n = sum(c.isdigit() for c in s)
-                kinds = []
-                if ("@" in s or "at)" in s or "at]" in s) and "." in s:
-                    kinds.append(0)
-                if not any(c.isalpha() for c in s):
-                    if s.count(".") == 3 and n >= 4 and " " not in s:
-                        kinds.append(1)
-                    if 12 <= n <= 20:
-                        kinds.append(2)
-                    if 7 <= n <= 16:
-                        kinds.append(3)
-                for k in kinds:
-                    self.segments.append((i, j, start, end, k, span_features(text, start, end, KINDS[k])))
+            if dots == 3 and n >= 4 and not blanks:
+                self.add(i, j + 1, 1)
+            if 12 <= n <= DIGITS_MOST:
+                self.add(i, j + 1, 2)
+            if 7 <= n <= 15:
+                self.add(i, j + 1, 3)
+
+    def addresses(self, a: int, b: int) -> None:
+        first = {x: i for i, (x, _) in enumerate(self.tokens)}
+        after = {y: i + 1 for i, (_, y) in enumerate(self.tokens)}
+        for m in AT.finditer(self.text, a, b):
+            start, ends = reach(self.text, m)
+            ends = [after[y] for y in ends if y in after and self.ends(y)]
+            for x in range(max(a, start), m.start() if ends else 0):
+                if x in first and self.starts(x, "_"):
+                    for j in ends:
+                        self.add(first[x], j, 0)
 
 
 class Field:
@@ -292,11 +353,13 @@ def examples(texts: list[str], most: int = REGIONS) -> list[tuple[str, dict[Span
         base = base_spans(t)
         spans = sorted((a, b, k) for k, kind in enumerate(KINDS) for a, b in base[kind])
         for a, b in regions(t)[:4]:
+            if b - a > STRETCH:
+                continue
             own = {(x - a, y - a): k for x, y, k in spans if a <= x and y <= b}
             if len(out) < 2 * most and not any(x < b and a < y and not (a <= x and y <= b) for x, y, _ in spans):
                 out.append((t[a:b], own))
         for a, b, k in spans[:4]:
-            if b - a <= 48:
+            if b - a <= 100:
                 seen.append((t[max(0, a - 20):a], t[a:b], t[b:b + 20], k))
     rng.shuffle(seen)
     digits = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
@@ -308,7 +371,8 @@ def examples(texts: list[str], most: int = REGIONS) -> list[tuple[str, dict[Span
 
     def made(kind: int) -> str:
         if kind == 0:
-            return f"{word()}.{digits(2)}@{word()}.example.{rng.choice(['com', 'org', 'net'])}"
+            local = rng.choice([f"{word()}.{digits(2)}", word(), f"{word()}.{word()}{word()}"])
+            return f"{local}@{'.'.join(word() for _ in range(rng.randint(1, 4)))}.{rng.choice(['com', 'org', 'net', 'edu'])}"
         if kind == 1:
             return ".".join(str(rng.randint(0, 255)) for _ in range(4))
         if kind == 2:
@@ -317,13 +381,14 @@ def examples(texts: list[str], most: int = REGIONS) -> list[tuple[str, dict[Span
 
     def loosened(entity: str, kind: int) -> str:
         if kind == 0:
-            return entity.replace("@", rng.choice([" (at) ", " [at] ", "(at)"]))
+            local, domain = entity.rsplit("@", 1)
+            return f"{local}{rng.choice([' (at) ', ' [at] ', '(at)'])}{domain.replace('.', rng.choice(['.', '.', ' (dot) ', '[dot]']))}"
         if kind == 2:
             d = _digits(entity)
             return rng.choice([".", "-", " "]).join(d[i:i + 4] for i in range(0, len(d), 4))
         if kind == 3:
             d = _digits(entity)[-10:]
-            return rng.choice([f"({d[:3]}) {d[3:6]}-{d[6:]}", f"{d[:3]}-{d[3:6]}-{d[6:]}", f"1-{d[:3]}-{d[3:6]}-{d[6:]}"])
+            return rng.choice([f"({d[:3]}) {d[3:6]}-{d[6:]}", f"{d[:3]}-{d[3:6]}-{d[6:]}", f"1-{d[:3]}-{d[3:6]}-{d[6:]}", f"{d[:3]}.{d[3:6]}.{d[6:]}"])
         return entity
 
     for k in range(len(KINDS)):
@@ -344,29 +409,36 @@ def examples(texts: list[str], most: int = REGIONS) -> list[tuple[str, dict[Span
             f"{digits(1)} {digits(2)} {digits(3)} {digits(4)}", f"{digits(10)}", f"0x{digits(10)}"])
         if 13 <= len(_digits(number)) <= 19 and luhn(_digits(number)):
             continue
-        out.append((f"{word()} {word()} {number} {word()} {word()}.", {}))
+        cue = rng.choice([word(), word(), *(c for kind in KINDS for c in CUES[kind])])
+        out.append((f"{word()} {cue} {number} {word()} {word()}.", {}))
     return out
 
 
 def trained(docs: DataFrame, sample: int = SAMPLE) -> Field:
-    """A field fitted on regions of at most about ``sample`` of ``docs`` (doc_id, text), chosen by
-    a hash of the id."""
-    n = docs.count()
-    some = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < min(1_000_000, int(1e6 * sample / max(n, 1))))
+    """A field fitted on regions of the ``sample`` distinct texts of ``docs`` (doc_id, text) that have
+    the smallest digests."""
+    digest = F.xxhash64("text")
+    least = docs.select(digest.alias("digest")).distinct().orderBy("digest").limit(sample)
+    last = least.agg(F.max("digest")).first()[0]
+    field = Field()
+    if last is None:
+        field.fit(examples([]))
+        return field
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, texts in slices(batches):
-            found = []
-            for t in texts:
+        for batch, texts in slices(batches):
+            found, of = [], []
+            for t, h in zip(texts, batch.column("digest").to_pylist(), strict=True):
                 text = t.decode("utf-8")
-                own = regions(text)[:4]
+                own = [(a, b) for a, b in regions(text) if b - a <= STRETCH][:4]
                 if own:  # what the examples are made of: a few regions with their surroundings
                     found.append("\n".join(text[max(0, a - 30):b + 30] for a, b in own))
-            yield batch_of(stretch=pa.array(found, pa.string()))
+                    of.append(h)
+            yield batch_of(digest=pa.array(of, pa.int64()), stretch=pa.array(found, pa.string()))
 
-    got = sorted(map_arrow(some, run, "stretch string").toArrow().column("stretch").to_pylist())
-    field = Field()
-    field.fit(examples(got))
+    some = docs.select(digest.alias("digest"), "text").where(F.col("digest") <= last)
+    stretches = map_arrow(some, run, "digest long, stretch string").groupBy("digest").agg(F.min("stretch").alias("stretch"))
+    field.fit(examples(sorted(stretches.toArrow().column("stretch").to_pylist())))
     return field
 
 

@@ -99,10 +99,23 @@ def test_base_spans_equal_the_patterns():
 
 
 def test_scans_stay_linear():
-    for t in ("a" * 300_000, "1" * 300_000, "a@" * 100_000, "1." * 150_000, "+1 " * 100_000, "1 " * 150_000):
+    for t in ("a" * 300_000, "1" * 300_000, "a@" * 100_000, "1." * 150_000, "+1 " * 100_000, "1 " * 150_000, "12 " * 30_000,
+              ("x" * 1000 + "12") * 300, "(" * 100_000 + "12", "ab(at)cd." * 10_000, "(at)" * 50_000, "a" * 300_000 + "@" + "b" * 300_000):
         pii.found_spans(t, pii.Field())
 
 
+def test_regions_hold_whole_words_and_lose_no_seed():
+    rng = random.Random(4)
+    bits = ["12", "a", "b.c", " ", "  ", "\n", "@", " (at) ", "[AT]", "x" * 30, "é", "-", "(dot)"]
+    for _ in range(3000):
+        t = "".join(rng.choices(bits, k=rng.randint(0, 40)))
+        own = pii.regions(t)
+        assert all(a < b for a, b in own) and all(x[1] < y[0] for x, y in zip(own, own[1:], strict=False))
+        for a, b in own:
+            assert (a == 0 or t[a - 1].isspace()) and (b == len(t) or t[b].isspace()), repr(t)
+        assert all(any(a <= m.start() and m.end() <= b for a, b in own) for m in pii.SEED.finditer(t)), repr(t)
+
+
 @pytest.fixture(scope="module")
 def field(spark):
     return pii.trained(keyed(table(spark, "documents", "/root/testdata/sf0.01")))
@@ -116,10 +129,83 @@ def test_field_adds_loosened_formats_and_no_other_numbers(field):
         return [(pii.KINDS[k], t[a:b]) for a, b, k in set(every) - own]
     assert added("please call (456) 555-2186 now") == [("phone", "(456) 555-2186")]
     assert added("send joe.smith (at) example.org ok") == [("email", "joe.smith (at) example.org")]
+    assert added("call 555-123-4567 ok") == [("phone", "555-123-4567")]
+    for address in ("john.smith (at) mail.department.university.edu", "alexander.christopherson (at) x.org", "joe [at] site [dot] org"):
+        assert added(f"write {address} today") == [("email", address)]
+        assert pii.redact(address, pii.found_spans(address, field)[1]) == "<EMAIL>"
     for t in ("on 2024-05-17 at 12:30:45", "order 12345 done", "pi is 3.14159", "v 1.2.3.4567 ok", "the years 1990, 1991, 1992"):
         assert added(t) == []
 
 
+def test_added_spans_are_found_whole(field):
+    """Recall of loosened formats made by other rules than the training examples'."""
+    rng = random.Random(77)
+    digits = lambda n: "".join(rng.choices("0123456789", k=n))
+    word = lambda: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(3, 14)))
+
+    def card():
+        d = rng.choice("45") + digits(14)
+        return next(d + c for c in "0123456789" if pii.luhn(d + c))
+
+    def split(d, sign):
+        return sign.join(d[i:i + 4] for i in range(0, 16, 4))
+
+    forms = [lambda: f"{word()}.{word()} (at) {'.'.join(word() for _ in range(rng.randint(1, 5)))}.info",
+             lambda: f"{word()}_{digits(2)}[at]{word()}.example.de", lambda: f"{word()} (AT) {word()} (dot) com",
+             lambda: split(card(), "."), lambda: split(card(), "/"), lambda: f"{digits(3)}-{digits(3)}-{digits(4)}",
+             lambda: f"({digits(3)}) {digits(3)}-{digits(4)}", lambda: f"1-{digits(3)}-{digits(3)}-{digits(4)}",
+             lambda: f"{digits(3)}.{digits(3)}.{digits(4)}"]
+    for form in forms:
+        hits = 0
+        for _ in range(60):
+            entity, before = form(), f"{word()} {word()} "
+            t = f"{before}{entity} {word()} {word()}"
+            hits += any((a, b) == (len(before), len(before) + len(entity)) for a, b, _ in pii.found_spans(t, field)[1])
+        assert hits >= 54, (form(), hits)
+    others = [lambda: digits(16), lambda: digits(9), lambda: f"{digits(5)}-{digits(5)}", lambda: f"19{digits(2)}-07-1{digits(1)}",
+              lambda: f"978-{digits(1)}-{digits(3)}-{digits(5)}-{digits(1)}", lambda: f"{digits(3)},{digits(3)},{digits(3)}"]
+    for other in others:
+        made = [f"{word()} {word()} {n} {word()}" for n in (other() for _ in range(60)) if not pii.luhn(pii._digits(n))]
+        assert sum(bool(pii.found_spans(t, field)[1]) for t in made) <= 3, other()
+
+
+def test_decoder_equals_every_segmentation():
+    """The best score over all sets of segments that don't overlap, by trying them all."""
+    rng = np.random.default_rng(3)
+    for t in ("a 555-123-4567 or 41 b", "x.y (at) z.ab.cd, 12 34 567 89", "no 1.2.3.4 (12) 345-6789"):
+        r = pii.Region(t, 0, len(t))
+        assert r.segments
+        for _ in range(30):
+            f = pii.Field()
+            f.w = rng.normal(0, 2, f.w.shape)
+            s = f.scores(r)
+            usable = [x for x in range(len(s)) if s[x] > pii.MARGIN]
+
+            def best(token, usable=usable, s=s):
+                free = [x for x in usable if r.segments[x][0] >= token]
+                return max([0.0, *(s[x] + best(r.segments[x][1]) for x in free)])
+
+            got = f.decode(r, [])
+            score = {(a, b, k): v for (_, _, a, b, k, _), v in zip(r.segments, s, strict=True)}
+            assert all(x[1] <= y[0] for x, y in zip(got, got[1:], strict=False))
+            assert math.isclose(sum(score[x] for x in got), best(0), abs_tol=1e-9)
+
+
+def test_the_fit_sample_is_bounded_by_texts(spark):
+    """Rows without an id and copies take no more places than any other text."""
+    rows = [(None, f"row {i} call +1 555 {1000000 + i}") for i in range(300)] + [(i, "copy +1 (555) 123-4567") for i in range(300)]
+    taken = []
+    kept = pii.examples
+    try:
+        pii.examples = lambda texts: taken.append(texts) or kept(texts)
+        pii.trained(keyed(edge_docs(spark, rows).repartition(5)), sample=20)
+        pii.trained(keyed(edge_docs(spark, [(1, None), (2, "x" * 5000 + "12"), (3, "")])), sample=20)
+        pii.trained(keyed(empty_docs(spark)))
+    finally:
+        pii.examples = kept
+    assert 0 < len(taken[0]) <= 20 and len(set(taken[0])) == len(taken[0]) and taken[1:] == [[], []]
+
+
 def test_marginals_are_probabilities(field):
     t = "a 555-123-4567 or 4111 1111 1111 1111 b"
     r = pii.Region(t, 0, len(t))
