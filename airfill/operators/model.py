@@ -15,6 +15,8 @@ from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from airfill.session import written
+
 # Regressor settings (a level-wise stand-in for the source's leaf-wise booster)
 GBT_PARAMS = {"maxIter": 20, "maxDepth": 5, "stepSize": 0.1, "maxBins": 64, "seed": 42,
               "subsamplingRate": 1.0}
@@ -54,9 +56,11 @@ def out_of_fold(df: DataFrame, folds: DataFrame, features: Sequence[str], group:
                 label: str = "value", keys: Sequence[str] = (), params: dict | None = None,
                 impute: Sequence[str] = ()) -> DataFrame:
     """M5: leave-groups-out predictions (None without folds). ``folds`` has (group, fold); for each fold i the
-    model is fit on the other folds and scores fold i. Output: keys, label, prediction."""
-    data = df.join(folds.select(group, "fold"), group, "inner")
-    k = folds.agg(F.max("fold")).first()[0]
+    model is fit on the other folds and scores fold i. Output: keys, label, prediction.
+
+    The rows with their fold are written once, a folder per fold: a fit reads the folders it needs."""
+    data = written(df.join(folds.select(group, "fold"), group, "inner"), "fold-rows", by=["fold"])
+    k = data.agg(F.max("fold")).first()[0]
     parts = []
     for i in range(int(k) + 1 if k is not None else 0):
         train = data.filter(F.col("fold") != i)

@@ -168,25 +168,57 @@ def point_report(fx: Fixtures, models: dict[str, PipelineModel] | None = None) -
              .pivot("pollutant", list(POLLUTANTS))
              .agg(F.first("value").alias("value"), F.first(F.round(F.col("prior"), 1)).alias("prior")))
     wide = checkpoint(wide)
+    return _reported(fx, wide, ["row", "col"], bool(models)).select("lat", "lon", *REPORT_COLUMNS)
+
+
+REPORT_COLUMNS = ["pm25_value", "pm25_prior", "no2_value", "no2_prior", "temp", "wind_dir", "nearest", "reasons"]
+
+
+def _reported(fx: Fixtures, wide: DataFrame, key: list[str], modelled: bool) -> DataFrame:
+    """``wide`` (key, lat, lon, values, priors, weather) with the three nearest stations and the reasons."""
     st = field_stations(fx).select(F.col("station_eoi").alias("site"),
                                    F.col("lat").alias("s_lat"), F.col("lon").alias("s_lon"))
-    nn = S.knn(wide.select("row", "col", "lat", "lon"), st, NEAREST_N, ["row", "col"], "site",
+    nn = S.knn(wide.select(*key, "lat", "lon"), st, NEAREST_N, key, "site",
                metric="equirect_mean")
-    near = (nn.groupBy("row", "col")
+    near = (nn.groupBy(*key)
               .agg(F.sort_array(F.collect_list(F.struct("rank", "site", F.round("dist_km", 1).alias("d"))))
                    .alias("_n")))
-    j = wide.join(near, ["row", "col"], "left")
+    j = wide.join(near, key, "left")
     first = F.get(F.col("_n"), F.lit(0))
-    reasons = TX.reasons(F.lit(bool(models)), F.col("pm25_value"), F.col("pm25_prior"), F.col("no2_value"),
+    reasons = TX.reasons(F.lit(modelled), F.col("pm25_value"), F.col("pm25_prior"), F.col("no2_value"),
                          F.col("no2_prior"), first["site"], first["d"])
     return j.select(
-        "lat", "lon", "pm25_value", "pm25_prior", "no2_value", "no2_prior",
+        *key, "lat", "lon", "pm25_value", "pm25_prior", "no2_value", "no2_prior",
         F.round("temp", 1).alias("temp"), F.round("wind_dir", 1).alias("wind_dir"),
         F.concat_ws(",", F.transform("_n", lambda x: F.format_string("%s:%.1f", x["site"], x["d"])))
          .alias("nearest"),
         F.concat_ws("; ", reasons).alias("reasons"))
 
 
+def place_report(fx: Fixtures, places: DataFrame, key: str, models: dict[str, PipelineModel] | None = None,
+                 now: str | None = None) -> DataFrame:
+    """Q8 over a table of places (a unique ``key``, lat, lon): one row per place with the point report
+    of its own nearest weather cell at "now", or with ``error`` and nothing else where it lies outside the
+    theatre (or nowhere: a null coordinate) or has no PM2.5 prior."""
+    inside = places.select(key, "lat", "lon").where(geo.in_theatre(F.col("lat"), F.col("lon")))
+    cw = fx.cell_weather.withColumn("cell_id", cell_id())
+    cells = cw.select("cell_id", F.col("clat").alias("s_lat"), F.col("clon").alias("s_lon")).distinct()
+    near = S.knn(inside, cells, 1, [key], "cell_id", metric="haversine").select(key, "cell_id")
+    # one row per cell at one hour, which reaches the scan as a filter
+    weather = fx.spark.sql("SELECT * FROM {c} WHERE valid_time = (SELECT now FROM {w})", c=cw.drop("clat", "clon"), w=hours_around(fx, now))
+    cond = checkpoint(inside.join(near, key).join(weather, "cell_id").where(F.col("cams_pm25").isNotNull()).drop("cell_id"))
+    wide = cond.select(key, "lat", "lon", "temp", "wind_dir")
+    for p in POLLUTANTS:
+        own = predicted(cond, p, (models or {}).get(p)).select(
+            key, F.col("value").alias(f"{p}_value"), F.round("prior", 1).alias(f"{p}_prior"))
+        wide = wide.join(own, key)
+    found = _reported(fx, checkpoint(wide), [key], bool(models)).drop("lat", "lon")
+    error = (F.when(~F.coalesce(geo.in_theatre(F.col("lat"), F.col("lon")), F.lit(False)), "out of theatre")
+              .when(F.col("reasons").isNull(), "no CAMS data here"))
+    return places.select(key, "lat", "lon").join(found, key, "left").select(
+        key, "lat", "lon", error.alias("error"), *REPORT_COLUMNS)
+
+
 def mosaic(fx: Fixtures, models: dict[str, PipelineModel] | None = None) -> DataFrame:
     """Q10: display points (satellite pixel centres) -> nearest grid cell by rounding
     (J13) -> colour by trust ramp (F18) and opacity by value and distance (F17), for each

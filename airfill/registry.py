@@ -62,6 +62,7 @@ QUERIES: dict[str, Query] = {
     "grid_scores": _on_fixtures(evaluation.grid_scores),
     "hotspots": _on_fixtures(field.hotspots),
     "point_report": _on_fixtures(field.point_report),
+    "place_report": _on_fixtures(lambda fx: field.place_report(fx, fx.places, "place_id")),
     "mosaic": _on_fixtures(field.mosaic),
     "fold_assignment": _on_fixtures(evaluation.fold_assignment),
     "spatial_folds": _on_fixtures(evaluation.spatial_folds),

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import SparkSession
 
@@ -62,9 +63,9 @@ def checkpoint(df):
     return df.checkpoint(eager=True)
 
 
-def written(df, name: str):
-    """``df`` written as Parquet under the shared folder and read back: cuts the lineage,
-    keeps the columns prunable, survives lost executors."""
+def written(df, name: str, by: Sequence[str] = ()):
+    """``df`` written as Parquet under the shared folder (in a folder per value of ``by``) and read
+    back: cuts the lineage, keeps the columns prunable, survives lost executors."""
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.partitionBy(*by).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -319,6 +319,42 @@ FROM pts p LEFT JOIN agg a ON a.row = p.row AND a.col = p.col
 LEFT JOIN (SELECT row, col, temp, wind_dir FROM cond WHERE valid_time = (SELECT now FROM win)) w ON w.row = p.row AND w.col = p.col"""
 
 
+SQL["place_report"] = _with(("station_points", "cell_weather", "places"), META, GRID, WINDOW) + """
+, cells AS (SELECT DISTINCT clat, clon, CAST(floor(clat / 0.25) AS BIGINT) * 100000 + CAST(floor(clon / 0.25) AS BIGINT) AS cell_id FROM cell_weather),
+inside AS (SELECT place_id, lat, lon FROM places WHERE lat BETWEEN 34 AND 55 AND lon BETWEEN -2 AND 24),
+pcell AS (
+  SELECT p.place_id, c.clat, c.clon
+  FROM inside p CROSS JOIN cells c
+  QUALIFY row_number() OVER (PARTITION BY p.place_id ORDER BY
+        2 * 6371.0 * asin(sqrt(pow(sin(radians(c.clat - p.lat) / 2), 2)
+        + cos(radians(p.lat)) * cos(radians(c.clat)) * pow(sin(radians(c.clon - p.lon) / 2), 2))), c.cell_id) = 1),
+nn AS (
+  SELECT p.place_id, s.station_eoi AS site,
+         sqrt(pow((s.lon - p.lon) * 111.0 * cos(radians((p.lat + s.lat) / 2)), 2) + pow((s.lat - p.lat) * 111.0, 2)) AS d
+  FROM inside p CROSS JOIN fst s
+  QUALIFY row_number() OVER (PARTITION BY p.place_id ORDER BY d, s.station_eoi) <= 3),
+near AS (
+  SELECT place_id, string_agg(site || ':' || printf('%.1f', round(d, 1)), ',' ORDER BY d, site) AS nearest,
+         first(site ORDER BY d, site) AS s1, first(round(d, 1) ORDER BY d, site) AS d1
+  FROM nn GROUP BY place_id),
+now_weather AS (
+  SELECT x.place_id, w.temp, w.wind_dir, w.cams_pm25, w.cams_no2
+  FROM pcell x JOIN cell_weather w ON w.clat = x.clat AND w.clon = x.clon
+  WHERE w.valid_time = (SELECT now FROM win) AND w.cams_pm25 IS NOT NULL)
+SELECT p.place_id, p.lat, p.lon,
+       CASE WHEN i.place_id IS NULL THEN 'out of theatre' WHEN w.place_id IS NULL THEN 'no CAMS data here' END AS error,
+       CASE WHEN w.cams_no2 IS NOT NULL THEN round(greatest(w.cams_pm25, 0), 1) END AS pm25_value, round(w.cams_pm25, 1) AS pm25_prior,
+       CASE WHEN w.cams_no2 IS NOT NULL THEN round(greatest(w.cams_no2, 0), 1) END AS no2_value, round(w.cams_no2, 1) AS no2_prior,
+       round(w.temp, 1) AS temp, round(w.wind_dir, 1) AS wind_dir,
+       CASE WHEN w.place_id IS NOT NULL THEN coalesce(n.nearest, '') END AS nearest,
+       CASE WHEN w.place_id IS NOT NULL THEN
+         concat_ws('; ', 'raw CAMS prior (model not registered yet)',
+                   CASE WHEN n.s1 IS NOT NULL THEN printf('nearest sensor %s is %d km away', n.s1, CAST(round_even(n.d1, 0) AS BIGINT)) END,
+                   CASE WHEN n.d1 > 25 THEN 'this point is effectively unmonitored' END) END AS reasons
+FROM places p LEFT JOIN inside i ON i.place_id = p.place_id LEFT JOIN now_weather w ON w.place_id = p.place_id
+LEFT JOIN near n ON n.place_id = p.place_id"""
+
+
 def _ramp_sql(t: str, stops, j: int) -> str:
     parts = []
     for (a0, a), (b0, b) in zip(stops[:-1], stops[1:]):

@@ -13,6 +13,11 @@ from airfill.operators.readings import label_table
 from airfill.session import scratch_path, shared_folder
 from airfill.sources.readers import read_readings
 from airfill.sources.sinks import only_new, upsert
+from airfill.sources.fixtures import Fixtures
+from airfill.plans import field
+from airfill.session import written
+
+SF = "/root/testdata/sf0.001"
 
 
 def plan_of(df):
@@ -138,3 +143,23 @@ def test_only_new(spark):
     df = spark.createDataFrame([("a", 1), ("b", 2)], "k string, v int")
     stored = spark.createDataFrame([("a",)], "k string")
     assert [r["k"] for r in only_new(df, stored, ["k"]).collect()] == ["b"]
+
+
+def test_place_report_of_awkward_places(spark):
+    fx = Fixtures(spark, SF)
+    cell = fx.cell_weather.where("cams_pm25 IS NOT NULL AND clat BETWEEN 35 AND 54 AND clon BETWEEN -1 AND 23").first()
+    rows = [("centre", cell["clat"], cell["clon"]), ("again", cell["clat"], cell["clon"]), ("pole", 90.0, 0.0),
+            ("no latitude", None, 5.0), ("nowhere", None, None)]
+    got = {r["id"]: r for r in field.place_report(fx, spark.createDataFrame(rows, "id string, lat double, lon double"), "id",
+                                                  now=str(cell["valid_time"])).collect()}
+    assert len(got) == 5 and all(got[i]["error"] == "out of theatre" and got[i]["reasons"] is None for i in ("pole", "no latitude", "nowhere"))
+    assert got["centre"]["error"] is None and got["centre"]["pm25_prior"] == round(cell["cams_pm25"], 1)
+    assert got["centre"][3:] == got["again"][3:] and got["centre"]["reasons"].startswith("raw CAMS prior")
+    assert field.place_report(fx, spark.createDataFrame([], "id string, lat double, lon double"), "id").count() == 0
+
+
+def test_written_by_a_column_reads_only_its_folders(spark):
+    got = written(spark.range(100).selectExpr("id", "id % 5 AS fold"), "by-fold", by=["fold"])
+    assert got.where("fold != 2").count() == 80 and got.where("fold = 2").select("id").distinct().count() == 20
+    assert len(got.where("fold = 2").inputFiles()) <= len(got.inputFiles())
+    assert "PartitionFilters: [isnotnull(fold" in got.where("fold = 2")._jdf.queryExecution().toString()
