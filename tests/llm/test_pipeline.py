@@ -57,6 +57,22 @@ def test_pipeline_of_awkward_rows(spark):
     check(spark, edge_docs(spark, rows).repartition(3))
 
 
+def test_pipeline_of_rows_without_an_id(spark):
+    """They are documents like any other; of equal texts a row with an id goes before one without."""
+    mail = "write joe.smith@example.org now " + prose(93)
+    rows = [(None, prose(90)), (None, prose(90)), (None, prose(91)), (5, prose(91).replace("e", "E")), (6, prose(92)), (None, mail), (None, None)]
+    _, good, once, apart, private, packed = stages(spark, edge_docs(spark, rows).repartition(3))
+    assert sorted(map(repr, pairs(good))) == sorted(map(repr, rows[:6]))
+    left = [(None, prose(90)), rows[3], rows[4], rows[5]]
+    assert sorted(map(repr, pairs(once))) == sorted(map(repr, pairs(apart))) == sorted(map(repr, left))
+    redacted = [*left[:3], (None, mail.replace("joe.smith@example.org", "<EMAIL>"))]
+    assert sorted(map(repr, pairs(private))) == sorted(map(repr, redacted))
+    got = packed.collect()
+    assert {r["doc_id"] for r in got} == {None, 5, 6} and sum(r["start"] == 0 for r in got) == 4
+    whole = {(r["doc_id"], r["doc_tokens"]) for r in got}
+    assert sum(r["length"] for r in got) == sum(n for _, n in whole)
+
+
 def test_pipeline_of_no_rows(spark):
     assert stages(spark, empty_docs(spark))[-1].count() == 0
 
