@@ -9,7 +9,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that a Python task works on at a time (one longer text is its own slice).
@@ -53,6 +53,33 @@ def unused(docs: DataFrame, name: str) -> str:
     return name
 
 
+def identity(id_col: str = "doc_id", text_col: str = "text") -> Column:
+    """A digest of a row's id and whole text, the same whenever the row is read: verdicts on rows can
+    be carried by it, without their texts. Null text counts as empty."""
+    own = F.col(id_col).cast("string")
+    return F.unhex(F.md5(F.concat(F.coalesce(F.concat(F.length(own).cast("string"), F.lit(":"), own), F.lit("-:")),
+                                  F.coalesce(F.col(text_col).cast("string"), F.lit(""))).cast("binary")))
+
+
+def verdicts(rows: DataFrame, stay: DataFrame) -> DataFrame:
+    """(key, stays) of the identities in ``rows`` that not every row of keeps: those not in ``stay``, and
+    those that stay but are carried by several rows, of which one stays."""
+    return (rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+                .join(stay.select("key", F.lit(True).alias("stays")), "key", "left")
+                .where(F.col("stays").isNull() | (F.col("n") > 1)).select("key", F.col("stays").isNotNull().alias("stays")))
+
+
+def told_apart(docs: DataFrame, marks: DataFrame) -> DataFrame:
+    """``docs`` after ``marks`` (a written table of ``verdicts``): rows without a mark stay, and one row of
+    each identity marked as staying. Texts are neither written nor, while Spark finds the marks small
+    enough to broadcast, shuffled; beyond that the joins are by sort and merge."""
+    own = unused(docs, "_identity")
+    rows, marked = docs.withColumn(own, identity()), marks.select(F.col("key").alias(own), "stays")
+    repeated = (rows.join(marked.where("stays").select(own), own, "left_semi")
+                    .groupBy(own).agg(F.first(F.struct(*docs.columns)).alias("row")).select("row.*"))
+    return rows.join(marked.select(own), own, "left_anti").select(*docs.columns).unionByName(repeated)
+
+
 def remainder(id_col: str, modulus: int):
     """crc32 of the id as text, modulo ``modulus``: the contract's fold of a row."""
     return F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), F.lit(modulus))

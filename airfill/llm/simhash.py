@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from airfill.llm.components import components
-from airfill.llm.runtime import attach, batch_of, keyed, map_arrow, slices, unused
+from airfill.llm.runtime import attach, batch_of, identity, keyed, map_arrow, slices, told_apart, verdicts
 from airfill.session import written
 
 BITS, SEED = 64, 42
@@ -56,14 +56,14 @@ def fingerprint(words: list[bytes], shingle: int = 4) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp long: the fingerprint's 64 bits)."""
+    """(doc_id, key: the row's identity, fp long: the fingerprint's 64 bits)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in slices(batches):
-            yield batch_of(doc_id=batch.column("doc_id"),
+            yield batch_of(doc_id=batch.column("doc_id"), key=batch.column("key"),
                            fp=pa.array([fingerprint(t.lower().split(), shingle) for t in texts], pa.int64()))
 
-    return map_arrow(keyed(docs, id_col, text_col), run, "doc_id long, fp long")
+    return map_arrow(keyed(docs, id_col, text_col).withColumn("key", identity()), run, "doc_id long, key binary, fp long")
 
 
 def layout(segments: int) -> list[tuple[int, int]]:
@@ -125,30 +125,35 @@ def connected(distinct: DataFrame, distance: int = 4, segments: int = 3) -> Data
     return components(first.unionByName(written(links(marked, distance, segments), "simhash-links")))
 
 
-def near_groups(docs: DataFrame, shingle: int = 4, distance: int = 4, segments: int = 3,
-                id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, fp, component_id."""
-    rows = written(fingerprints(docs, shingle, id_col, text_col), "simhash-rows")
+def grouped(rows: DataFrame, distance: int = 4, segments: int = 3) -> DataFrame:
+    """``rows`` (doc_id, fp and others; a written table) with root, the smallest fingerprint of their
+    component, and component_id, its smallest doc_id."""
     distinct = written(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("size")),
                        "simhash-distinct")
     linked = connected(distinct.select("fp"), distance, segments)
     named = distinct.join(linked, distinct["fp"] == linked["node"], "left").select(
         "fp", "least", "size", F.coalesce("root", "fp").alias("root"))
     named = written(named, "simhash-roots")
-    name = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    groups = written(named.join(name, "root").select("fp", "size", "component_id"), "simhash-groups")
-    return attach(rows, groups, "fp", "size", rows.count()).select("doc_id", "fp", "component_id")
+    name = written(named.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("members")),
+                   "simhash-names")
+    groups = attach(named.drop("least"), name, "root", "members", named.count())
+    return attach(rows, written(groups.drop("members"), "simhash-groups"), "fp", "size", rows.count()).drop("size")
+
+
+def near_groups(docs: DataFrame, shingle: int = 4, distance: int = 4, segments: int = 3,
+                id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document: doc_id, fp, component_id."""
+    rows = written(fingerprints(docs, shingle, id_col, text_col).drop("key"), "simhash-rows")
+    return grouped(rows, distance, segments).select("doc_id", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, shingle: int = 4, distance: int = 4, segments: int = 3) -> DataFrame:
-    """The rows of ``docs`` of which one of each near-duplicate group stays: the one with the
-    smallest doc_id (of repeated ids the first row)."""
-    row = unused(docs, "_simhash_row")
-    staged = written(docs.withColumn(row, F.monotonically_increasing_id()), "simhash-docs")
-    groups = near_groups(staged, shingle, distance, segments, id_col=row).select(F.col("doc_id").alias(row), "component_id")
-    stay = (groups.join(staged.select(row, "doc_id"), row).groupBy("component_id")
-                  .agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", row)).alias("k")).select(f"k.{row}"))
-    return staged.join(stay, row, "left_semi").select(*docs.columns)
+    """The rows of ``docs`` (read more than once) of which one of each near-duplicate group stays: the
+    one with the smallest doc_id (of rows with that id any one)."""
+    rows = written(fingerprints(docs, shingle), "simhash-rows")
+    stay = (grouped(rows, distance, segments).groupBy("root")
+            .agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("k")).select("k.key"))
+    return told_apart(docs, written(verdicts(rows, stay), "simhash-verdicts"))
 
 
 def shown(groups: DataFrame) -> DataFrame:
