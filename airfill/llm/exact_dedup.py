@@ -17,7 +17,7 @@ import hashlib
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from airfill.llm.runtime import attach, keyed, unused
+from airfill.llm.runtime import attach, identity, keyed, told_apart, verdicts
 from airfill.session import scratch_path, written
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -76,12 +76,13 @@ def fresh_index(spark: SparkSession) -> DigestIndex:
 
 
 def keep_one(docs: DataFrame, index: DigestIndex, batch: str = "0") -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns: those new to the index, of equal
-    texts the one with the largest doc_id."""
-    row, key = unused(docs, "_dedup_row"), unused(docs, "_dedup_digest")
-    staged = written(docs.withColumns({row: F.monotonically_increasing_id(), key: digest(F.col("text"))}), "dedup-rows")
-    index.append(staged.groupBy(F.col(key).alias("text_sha256")).agg(F.max(F.struct("doc_id", row)).alias("keep")).select(
-        "text_sha256", F.col("keep.doc_id").cast("long").alias("keep_id"), F.col(f"keep.{row}").alias("keep_row"),
-        F.lit(batch).alias("batch")))
-    stay = index.table().where(F.col("batch") == batch).select(F.col("keep_row").alias(row))
-    return staged.join(stay, row, "left_semi").select(*docs.columns)
+    """The rows of ``docs`` (read more than once) that stay, with all their columns: those new to the
+    index, of equal texts the one with the largest doc_id. ``batch`` names this batch alone."""
+    rows = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), identity().alias("key"),
+                               digest(F.col("text")).alias("text_sha256")), "dedup-digests")
+    groups = written(rows.groupBy("text_sha256").agg(F.max(F.struct("doc_id", "key")).alias("keep")), "dedup-groups")
+    index.append(groups.select("text_sha256", F.col("keep.doc_id").alias("keep_id"), F.lit(-1).cast("long").alias("keep_row"),
+                               F.lit(batch).alias("batch")))
+    new = index.table().where(F.col("batch") == batch).select("text_sha256")
+    stay = groups.join(new, "text_sha256", "left_semi").select("keep.key")
+    return told_apart(docs, written(verdicts(rows, stay), "dedup-verdicts"))
