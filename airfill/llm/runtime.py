@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that a Python task works on at a time (one longer text is its own slice).
 SLICE_BYTES = 2 << 20
+#: Digests of 16 bytes that are broadcast at most (under 100 MB as a hash table).
+BROADCAST_KEYS = 1_000_000
 _shipped: set[str] = set()
 
 
@@ -69,15 +71,20 @@ def verdicts(rows: DataFrame, stay: DataFrame) -> DataFrame:
                 .where(F.col("stays").isNull() | (F.col("n") > 1)).select("key", F.col("stays").isNotNull().alias("stays")))
 
 
+def _met(keys: DataFrame) -> DataFrame:
+    """A written table of digests marked for broadcast up to ``BROADCAST_KEYS`` rows, else for a join by sort
+    and merge."""
+    return F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys.hint("merge")
+
+
 def told_apart(docs: DataFrame, marks: DataFrame) -> DataFrame:
     """``docs`` after ``marks`` (a written table of ``verdicts``): rows without a mark stay, and one row of
-    each identity marked as staying. Texts are neither written nor, while Spark finds the marks small
-    enough to broadcast, shuffled; beyond that the joins are by sort and merge."""
+    each identity marked as staying. Texts are not written, and only shuffled beyond ``BROADCAST_KEYS`` marks."""
     own = unused(docs, "_identity")
-    rows, marked = docs.withColumn(own, identity()), marks.select(F.col("key").alias(own), "stays")
-    repeated = (rows.join(marked.where("stays").select(own), own, "left_semi")
+    rows, keys = docs.withColumn(own, identity()), F.col("key").alias(own)
+    repeated = (rows.join(_met(marks.where("stays").select(keys)), own, "left_semi")
                     .groupBy(own).agg(F.first(F.struct(*docs.columns)).alias("row")).select("row.*"))
-    return rows.join(marked.select(own), own, "left_anti").select(*docs.columns).unionByName(repeated)
+    return rows.join(_met(marks.select(keys)), own, "left_anti").select(*docs.columns).unionByName(repeated)
 
 
 def remainder(id_col: str, modulus: int):

@@ -2,9 +2,10 @@
 
 import hashlib
 
+import pytest
 from pyspark.sql import functions as F
 
-from airfill.llm import simhash
+from airfill.llm import runtime, simhash
 from airfill.llm.runtime import attach, identity, told_apart, verdicts
 from airfill.session import written
 from tests.llm.helpers import edge_docs, empty_docs, prose, texts
@@ -22,7 +23,9 @@ def test_identity_of_awkward_rows(spark):
     assert pairs.select(identity().alias("key")).distinct().count() == 4
 
 
-def test_one_row_of_each_staying_identity_is_left(spark):
+@pytest.mark.parametrize("most", [1_000_000, 0])
+def test_one_row_of_each_staying_identity_is_left(spark, monkeypatch, most):
+    monkeypatch.setattr(runtime, "BROADCAST_KEYS", most)  # beyond it: by sort and merge
     rows = [(1, "a"), (1, "a"), (1, "a"), (2, "b"), (3, "c"), (3, "c"), (None, None), (None, ""), (4, None)]
     docs = edge_docs(spark, rows).repartition(3)
     keys = written(docs.select("doc_id", identity().alias("key")), "test-keys")
