@@ -189,7 +189,8 @@ def score_feeds(spark: SparkSession, predictions: DataFrame, readings: DataFrame
 
     def keep(name: str):
         def store(batch: DataFrame, epoch: int) -> None:
-            batch.write.mode("overwrite").parquet(f"{log}/{name}-{epoch}")
+            # as many files as the log's feed reads at once: one delivery, however many tasks the join ran in
+            batch.repartition(FILES).write.mode("overwrite").parquet(f"{log}/{name}-{epoch}")
             fresh = spark.read.schema(SCORED_SCHEMA).parquet(f"{log}/{name}-{epoch}")
             upsert(fresh.withColumn("day", F.to_date("valid_time")), table, ["event_id", "valid_time"], [F.col("predicted")],
                    "day", os.path.join(root, "staging"))
