@@ -7,11 +7,13 @@ radius can reach (longitude span widened by 1/cos(latitude), wrapped at 180 degr
 and the exact distance is filtered afterwards.
 
 Unbounded k-nearest searches (J8, J10, J11) descend a pyramid of cells with counts of
-sites. At each level a point keeps only cells that can still hold one of its k nearest:
-those whose least possible distance doesn't exceed the least upper bound that covers k
-sites. A far point so follows a dense cluster down to the few cells at its edge and never
-meets the whole cluster; the depth is fixed, so the search is one plan without driver
-rounds.
+sites. Points descend together, by the cell they lie in: at each level a cell of points keeps
+only cells of sites that can still hold one of the k nearest of any of its points: those whose
+least possible distance doesn't exceed the least upper bound that covers k sites. A far
+point so follows a dense cluster down to the few cells at its edge and never meets the whole
+cluster. A point itself is shuffled to its finest cell, meets the sites of the few cells left
+there as arrays, and only its best k go on. The depth is fixed, so the search is one plan
+without driver rounds.
 """
 
 from __future__ import annotations
@@ -23,13 +25,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from airfill.functions import geo
-from airfill.session import checkpoint
+from airfill.session import checkpoint, written
 
 # Fixed values
 KM_PER_DEG_SAFE = 110.0   # fewer km per degree than any metric uses: boxes stay wide enough
 #: The pyramid: cells of 180 degrees, cut four by four; the last level's are about 5 km.
 PYRAMID_LEVELS = 6
 FAN = 4
+#: Sites of a finest cell that lie in one array.
+PACK = 1024
 #: Cells of the first level that hold every coordinate, poles and 180 E included.
 ROOTS = [(0, 0), (0, 1), (0, 2), (1, 0), (1, 1), (1, 2)]
 
@@ -133,37 +137,40 @@ def nearest_within(points: DataFrame, sites: DataFrame, radius_km: float, point_
                        _km(metric, F.col("_b._d")).alias("dist_km"))
 
 
-def _bounds(metric: str, plat: Column, plon: Column, ci: Column, cj: Column, size: float) -> tuple[Column, Column]:
-    """Least and greatest distance (km, by ``metric``) from a point to any site in a cell."""
-    lat0 = ci * F.lit(size) - F.lit(90.0)
-    lat1, lon0 = lat0 + F.lit(size), cj * F.lit(size) - F.lit(180.0)
-    lon1 = lon0 + F.lit(size)
-    zero = F.lit(0.0)
-    near_lat = F.greatest(zero, lat0 - plat, plat - lat1)
-    far_lat = F.greatest(F.abs(plat - lat0), F.abs(plat - lat1))
+def _bounds(metric: str, pi: Column, pj: Column, ni: Column, nj: Column, size: float) -> tuple[Column, Column]:
+    """Least and greatest distance (km, by ``metric``) from any point of the cell (pi, pj) to any site of
+    the cell (ni, nj) of the same level."""
+    zero, one, wide = F.lit(0), F.lit(1), F.lit(size)
+    rows, cols = F.abs(ni - pi), F.abs(nj - pj)
     if _wraps(metric):
-        inside = F.pmod(plon - lon0, F.lit(360.0)) <= F.lit(size)
-        near_lon = F.when(inside, zero).otherwise(F.least(F.pmod(lon0 - plon, F.lit(360.0)), F.pmod(plon - lon1, F.lit(360.0))))
-        far_lon = F.least(F.lit(180.0), near_lon + F.lit(size))
-    else:
-        near_lon = F.greatest(zero, lon0 - plon, plon - lon1)
-        far_lon = F.greatest(F.abs(plon - lon0), F.abs(plon - lon1))
-    top, low = F.greatest(F.abs(lat0), F.abs(lat1)), F.when((lat0 <= 0) & (lat1 >= 0), zero).otherwise(
-        F.least(F.abs(lat0), F.abs(lat1)))
+        around = F.lit(round(360.0 / size))
+        cols = F.least(F.pmod(nj - pj, around), F.pmod(pj - nj, around))
+    near_lat, far_lat = F.greatest(zero, rows - one) * wide, (rows + one) * wide
+    near_lon, far_lon = F.greatest(zero, cols - one) * wide, (cols + one) * wide
     cos = lambda d: F.cos(F.radians(F.least(d, F.lit(90.0))))
+
+    def edges(i: Column) -> tuple[Column, Column]:
+        return i * wide - F.lit(90.0), (i + one) * wide - F.lit(90.0)
+
+    def cosines(lo: Column, hi: Column) -> tuple[Column, Column]:
+        """Least and greatest cosine of the latitudes between two."""
+        return cos(F.greatest(F.abs(lo), F.abs(hi))), F.when((lo <= 0) & (hi >= 0), F.lit(1.0)).otherwise(
+            cos(F.least(F.abs(lo), F.abs(hi))))
+
+    (p0, p1), (n0, n1) = edges(pi), edges(ni)
     if _wraps(metric):
         def arc(dlat: Column, dlon: Column, c: Column) -> Column:
-            h = F.pow(F.sin(F.radians(dlat) / 2), 2) + cos(F.abs(plat)) * c * F.pow(F.sin(F.radians(dlon) / 2), 2)
+            h = F.pow(F.sin(F.radians(dlat) / 2), 2) + c * F.pow(F.sin(F.radians(dlon) / 2), 2)
             return F.lit(2 * geo.EARTH_RADIUS_KM) * F.asin(F.sqrt(F.least(F.lit(1.0), h)))
-        return arc(near_lat, near_lon, cos(top)), arc(far_lat, far_lon, cos(low))
+        (p_least, p_most), (n_least, n_most) = cosines(p0, p1), cosines(n0, n1)
+        half = F.lit(180.0)
+        return arc(near_lat, near_lon, p_least * n_least), arc(F.least(half, far_lat), F.least(half, far_lon), p_most * n_most)
     if metric == "planar":
         least, most = F.lit(1.0), F.lit(1.0)
     elif metric == "equirect_point":
-        least = most = cos(F.abs(plat))
+        least, most = cosines(p0, p1)
     else:  # the cosine of a latitude between the point's and the site's
-        mid0, mid1 = (plat + lat0) / 2, (plat + lat1) / 2
-        least = F.least(cos(F.abs(mid0)), cos(F.abs(mid1)))
-        most = F.when((mid0 <= 0) & (mid1 >= 0), F.lit(1.0)).otherwise(F.greatest(cos(F.abs(mid0)), cos(F.abs(mid1))))
+        least, most = cosines((p0 + n0) / 2, (p1 + n1) / 2)
     flat = lambda dlat, dlon, c: F.hypot(dlat, dlon * c) * F.lit(geo.KM_PER_DEGREE)
     return flat(near_lat, near_lon, least), flat(far_lat, far_lon, most)
 
@@ -181,44 +188,65 @@ def knn(points: DataFrame, sites: DataFrame, k: int, point_key: Sequence[str], s
     """
     key, grp = list(point_key), list(group)
     size = [180.0 / FAN ** level for level in range(levels + 1)]
-    wide = F.pmod(F.col(slon) + F.lit(180.0), F.lit(360.0)) if _wraps(metric) else F.col(slon) + F.lit(180.0)
 
-    def cell(value: Column, level: int) -> Column:
-        return F.floor(value / F.lit(size[level])).cast("long")
+    def leaf(lat: str, lon: str) -> tuple[Column, Column]:
+        wide = F.pmod(F.col(lon) + F.lit(180.0), F.lit(360.0)) if _wraps(metric) else F.col(lon) + F.lit(180.0)
+        return tuple(F.floor(v / F.lit(size[levels])).cast("long") for v in (F.col(lat) + F.lit(90.0), wide))
+
+    def at(level: int, c: str) -> Column:
+        return F.floor(F.col(c) / F.lit(FAN ** (levels - level))).cast("long")
 
+    pi, pj = leaf("_plat", "_plon")
     pts = (points.select(*key, *[c for c in grp if c not in key], F.col(plat).alias("_plat"), F.col(plon).alias("_plon"))
-                 .where(F.col("_plat").isNotNull() & F.col("_plon").isNotNull()).dropDuplicates(key))
-    st = (sites.select(site_key, *grp, slat, slon, *site_cols)
-               .where(F.col(slat).isNotNull() & F.col(slon).isNotNull())
-               .withColumns({"_ci": cell(F.col(slat) + F.lit(90.0), levels), "_cj": cell(wide, levels)}))
-    # counts of sites per cell of each level, rolled up from the finest
-    leaves = checkpoint(st.groupBy(*grp, "_ci", "_cj").agg(F.count(F.lit(1)).alias("_n")))
+                 .where(F.col("_plat").isNotNull() & F.col("_plon").isNotNull()).withColumns({"_pi": pi, "_pj": pj}))
+    tiles = written(pts.select(*grp, "_pi", "_pj").distinct(), "knn-tiles")
+    # the sites of a finest cell in arrays of bounded length; what is small is broadcast by its size on disk
+    ni, nj = leaf(slat, slon)
+    item = F.struct(F.col(site_key).alias("k"), F.col(slat).alias("lat"), F.col(slon).alias("lon"), *site_cols)
+    within = Window.partitionBy(*grp, "_ni", "_nj").orderBy(site_key)
+    packed = written(
+        sites.where(F.col(slat).isNotNull() & F.col(slon).isNotNull())
+             .select(*grp, ni.alias("_ni"), nj.alias("_nj"), F.col(site_key), item.alias("_s"))
+             .withColumn("_chunk", F.floor((F.row_number().over(within) - 1) / F.lit(PACK)))
+             .groupBy(*grp, "_ni", "_nj", "_chunk").agg(F.collect_list("_s").alias("_sites"), F.count(F.lit(1)).alias("_n")), "knn-sites")
     need = k + (1 if exclude_self else 0)
-    front = pts.withColumn("_root", F.explode(F.array(*[F.struct(F.lit(i).cast("long").alias("i"), F.lit(j).cast("long").alias("j"))
-                                                       for i, j in ROOTS]))) \
-               .select(*pts.columns, F.col("_root.i").alias("_ci"), F.col("_root.j").alias("_cj"))
+    roots = F.array(*[F.struct(F.lit(i).cast("long").alias("i"), F.lit(j).cast("long").alias("j")) for i, j in ROOTS])
+    front = (tiles.select(*grp, at(0, "_pi").alias("_pi"), at(0, "_pj").alias("_pj")).distinct()
+                  .withColumn("_root", F.explode(roots))
+                  .select(*grp, F.col("_pi").alias("_ui"), F.col("_pj").alias("_uj"), F.col("_root.i").alias("_vi"),
+                          F.col("_root.j").alias("_vj"), F.lit(None).cast("double").alias("_bound")))
+    up = lambda c: F.floor(F.col(c) / F.lit(FAN)).cast("long")
     for level in range(1, levels + 1):
-        up = FAN ** (levels - level)
-        here = lambda c: F.floor(F.col(c) / F.lit(up)).cast("long")  # noqa: B023, E731
-        nodes = (leaves.groupBy(*grp, here("_ci").alias("_ni"), here("_cj").alias("_nj")).agg(F.sum("_n").alias("_n"))
-                       .withColumns({"_ci": F.floor(F.col("_ni") / FAN).cast("long"), "_cj": F.floor(F.col("_nj") / FAN).cast("long")}))
+        own = (tiles.select(*grp, at(level, "_pi").alias("_pi"), at(level, "_pj").alias("_pj")).distinct()
+                    .withColumns({"_ui": up("_pi"), "_uj": up("_pj")}))
+        nodes = (packed.groupBy(*grp, at(level, "_ni").alias("_ni"), at(level, "_nj").alias("_nj")).agg(F.sum("_n").alias("_n"))
+                       .withColumns({"_vi": up("_ni"), "_vj": up("_nj")}))
         if level <= 2:  # at most 45 and 585 cells a group
-            nodes = F.broadcast(nodes)
-        joined = front.join(nodes, [*grp, "_ci", "_cj"])
-        low, high = _bounds(metric, F.col("_plat"), F.col("_plon"), F.col("_ni"), F.col("_nj"), size[level])
-        joined = joined.withColumns({"_low": low, "_high": high})
-        reached = F.sum("_n").over(Window.partitionBy(*key).orderBy("_high").rowsBetween(Window.unboundedPreceding, 0))
-        bound = F.min(F.when(F.col("_reached") >= need, F.col("_high"))).over(Window.partitionBy(*key))
-        front = (joined.withColumn("_reached", reached).withColumn("_bound", bound)
-                       .where(F.col("_bound").isNull() | (F.col("_low") <= F.col("_bound") * F.lit(1 + 1e-9) + F.lit(1e-9)))
-                       .select(*pts.columns, F.col("_ni").alias("_ci"), F.col("_nj").alias("_cj")))
-    pairs = front.join(st, [*grp, "_ci", "_cj"])
-    if exclude_self:
-        pairs = pairs.where(F.col(exclude_self) != F.col(site_key))
-    d = _distance(metric, F.col("_plat"), F.col("_plon"), F.col(slat), F.col(slon))
+            own, nodes = F.broadcast(own), F.broadcast(nodes)
+        joined = front.join(own, [*grp, "_ui", "_uj"]).join(nodes, [*grp, "_vi", "_vj"])
+        low, high = _bounds(metric, F.col("_pi"), F.col("_pj"), F.col("_ni"), F.col("_nj"), size[level])
+        near = lambda: F.col("_bound").isNull() | (F.col("_low") <= F.col("_bound") * F.lit(1 + 1e-9) + F.lit(1e-9))
+        # what covers k sites for the cell above does so for this one
+        joined = joined.withColumns({"_low": low, "_high": high}).where(near())
+        tile = [*grp, "_ui", "_uj", "_pi", "_pj"]  # with the cell above: its rows lie together already
+        reached = F.sum("_n").over(Window.partitionBy(*tile).orderBy("_high").rowsBetween(Window.unboundedPreceding, 0))
+        bound = F.min(F.when(F.col("_reached") >= need, F.col("_high"))).over(Window.partitionBy(*tile))
+        front = (joined.withColumn("_reached", reached).withColumn("_bound", bound).where(near())
+                       .select(*grp, F.col("_pi").alias("_ui"), F.col("_pj").alias("_uj"), F.col("_ni").alias("_vi"),
+                               F.col("_nj").alias("_vj"), "_bound"))
+    held = (front.select(*grp, F.col("_ui").alias("_pi"), F.col("_uj").alias("_pj"), F.col("_vi").alias("_ni"), F.col("_vj").alias("_nj"))
+                 .join(packed.drop("_n", "_chunk"), [*grp, "_ni", "_nj"]).drop("_ni", "_nj"))
+    met = pts.dropDuplicates(key).join(held, [*grp, "_pi", "_pj"])
+    others = F.filter("_sites", lambda x: F.col(exclude_self) != x["k"]) if exclude_self else F.col("_sites")
+    scored = F.transform(others, lambda x: F.struct(
+        _distance(metric, F.col("_plat"), F.col("_plon"), x["lat"], x["lon"]).alias("d"), x["k"].alias("k"),
+        *[x[c].alias(c) for c in site_cols]))
+    best = F.array(F.array_min(scored)) if k == 1 else F.slice(F.array_sort(scored), 1, k)
+    rows = met.select(*key, F.explode(best).alias("_x")).where(F.col("_x").isNotNull()).select(
+        *key, F.col("_x.d").alias("_d"), F.col("_x.k").alias(site_key), *[F.col("_x")[c].alias(c) for c in site_cols])
     w = Window.partitionBy(*key).orderBy("_d", site_key)
-    return (pairs.withColumn("_d", d).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-                 .select(*key, "rank", site_key, *site_cols, _km(metric, F.col("_d")).alias("dist_km")))
+    return (rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+                .select(*key, "rank", site_key, *site_cols, _km(metric, F.col("_d")).alias("dist_km")))
 
 
 def nearest_other(stations: DataFrame, metric: str = "planar", group: Sequence[str] = (),

@@ -204,8 +204,9 @@ def place_report(fx: Fixtures, places: DataFrame, key: str, models: dict[str, Pi
     cw = fx.cell_weather.withColumn("cell_id", cell_id())
     cells = cw.select("cell_id", F.col("clat").alias("s_lat"), F.col("clon").alias("s_lon")).distinct()
     near = S.knn(inside, cells, 1, [key], "cell_id", metric="haversine").select(key, "cell_id")
-    # one row per cell at one hour, which reaches the scan as a filter
-    weather = fx.spark.sql("SELECT * FROM {c} WHERE valid_time = (SELECT now FROM {w})", c=cw.drop("clat", "clon"), w=hours_around(fx, now))
+    # one row per cell at one hour, read beforehand: a constant reaches the scan, and a broadcast can't meet it unfinished
+    hour = hours_around(fx, now).first()
+    weather = cw.drop("clat", "clon").where(F.col("valid_time") == F.lit(hour and hour["now"]).cast("timestamp_ntz"))
     cond = checkpoint(inside.join(near, key).join(weather, "cell_id").where(F.col("cams_pm25").isNotNull()).drop("cell_id"))
     wide = cond.select(key, "lat", "lon", "temp", "wind_dir")
     for p in POLLUTANTS:
