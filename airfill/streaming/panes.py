@@ -119,18 +119,26 @@ def pane_stream(spark: SparkSession, feed: Feed, keys: Sequence[str], sums: Mapp
 
 def sliding(table: DataFrame, keys: Sequence[str], sums: Sequence[str], hours: int) -> DataFrame:
     """Windows of ``hours`` hours that start at every hour, for each series every window with a row in
-    it: keys, window_start, n and the sums. A pane is merged into its windows by a range frame over
-    the series' hours; no row is copied to the windows it lies in. A series has as many rows as
-    hours, however many readings it has."""
+    it: keys, window_start, n and the sums. Each pane gathers those of the hours before it by a range
+    frame over the series' hours, and gives the windows that end from its hour up to the next
+    pane; panes are sorted once, windows never. A series has as many rows as hours, however
+    many readings it has."""
     hour = F.expr("INTERVAL 1 HOUR")
     reach = F.expr(f"INTERVAL {hours - 1} HOURS")
-    series = Window.partitionBy(*keys)
-    # the hours that a window with some pane can end in: up to the next pane, at most the window's length
-    following = F.lead("window_start").over(series.orderBy("window_start")) - hour
-    last = F.least(F.col("window_start") + reach, F.coalesce(following, F.col("window_start") + reach))
-    spread = (table.withColumn("_last", last)
-                   .withColumn("_end", F.explode(F.sequence("window_start", "_last", hour))))
-    own = F.col("_end") == F.col("window_start")
-    frame = series.orderBy(F.col("_end").cast("long")).rangeBetween(-3600 * (hours - 1), 0)
-    return spread.select(*keys, (F.col("_end") - reach).alias("window_start"),
-                         *[F.sum(F.when(own, F.col(c))).over(frame).alias(c) for c in ["n", *sums]])
+    counted = ["n", *sums]
+    kinds = {f.name: f.dataType for f in table.agg(*[F.sum(c).alias(c) for c in counted]).schema}
+    series = Window.partitionBy(*keys).orderBy("_t")
+    panes_of = table.withColumn("_t", F.col("window_start").cast("long")).withColumns({
+        "_held": F.collect_list(F.struct("window_start", *counted)).over(series.rangeBetween(-3600 * (hours - 1), 0)),
+        # the hours that a window with some pane can end in: up to the next pane, at most the window's length
+        "_last": F.least(F.col("window_start") + reach, F.coalesce(F.lead("window_start").over(series) - hour, F.col("window_start") + reach))})
+
+    def added(c: str):
+        return lambda a, x: F.when(x[c].isNull(), a).otherwise(F.coalesce(a, F.lit(0).cast(kinds[c])) + x[c])
+
+    def merged(end: Column) -> list[Column]:
+        inside = F.filter("_held", lambda x: x["window_start"] >= end - reach)
+        return [F.aggregate(inside, F.lit(None).cast(kinds[c]), added(c)).alias(c) for c in counted]
+
+    windows = F.transform(F.sequence("window_start", "_last", hour), lambda end: F.struct((end - reach).alias("window_start"), *merged(end)))
+    return panes_of.select(*keys, F.explode(windows).alias("_x")).select(*keys, "_x.*")
