@@ -23,6 +23,7 @@ from airfill.operators import model as MD
 from airfill.operators import readings as R
 from airfill.operators import spatial as S
 from airfill.plans import ingest
+from airfill.plans.ingest import cell_id
 from airfill.session import checkpoint
 from airfill.sources.fixtures import Fixtures
 
@@ -32,7 +33,6 @@ HOTSPOT_KM = 25.0
 HOTSPOT_N = 6
 NEAREST_N = 3
 POLLUTANTS = ("pm25", "no2")
-CELL_DEG = 0.25
 
 
 def field_stations(fx: Fixtures) -> DataFrame:
@@ -76,11 +76,6 @@ def field_axis(fx: Fixtures) -> DataFrame:
                     TM.hour_offset("now", "valid_time").alias("offset_h"))
 
 
-def cell_id() -> Column:
-    """The weather cell of a row of the weather table, as one number."""
-    return geo.cell_index(F.col("clat"), CELL_DEG) * F.lit(100000) + geo.cell_index(F.col("clon"), CELL_DEG)
-
-
 def grid_with_cells(fx: Fixtures) -> DataFrame:
     """Every grid point with its weather cell: the one with the nearest centre (great circle; ties
     to the lower cell id)."""
