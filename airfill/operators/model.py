@@ -59,7 +59,8 @@ def out_of_fold(df: DataFrame, folds: DataFrame, features: Sequence[str], group:
     model is fit on the other folds and scores fold i. Output: keys, label, prediction.
 
     The rows with their fold are written once, a folder per fold: a fit reads the folders it needs."""
-    data = written(df.join(folds.select(group, "fold"), group, "inner"), "fold-rows", by=["fold"])
+    joined = df.join(folds.select(group, "fold"), group, "inner")
+    data = written(joined.select(*dict.fromkeys([*keys, group, label, *features, "fold"])), "fold-rows", by=["fold"])
     k = data.agg(F.max("fold")).first()[0]
     parts = []
     for i in range(int(k) + 1 if k is not None else 0):
