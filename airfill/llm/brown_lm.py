@@ -53,6 +53,8 @@ FREQUENT, TAILS, CLASSES, PASSES = 1000, 256, 48, 6
 LOOKUP, LONGEST = 300_000, 64
 #: Distinct words a task counts before it passes the counts on, and neighbours of words it puts together.
 COUNTED, PAIRED = 400_000, 4_000_000
+#: Words of class sequences that a task scores at a time.
+RUN = 1 << 19
 #: Weight of a class's overall share in its transitions.
 PRIOR = 5.0
 #: Stands in a class sequence for a word whose class comes by the join.
@@ -420,19 +422,55 @@ def _sequences(docs: DataFrame, model: Model, rare: DataFrame) -> DataFrame:
     return written(first.drop("words").join(found, "row", "left").drop("row"), "lm-sequences")
 
 
-def _classed(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """For each row of ``_sequences``: the classes of its words with edges, the count of each rarer
-    word (0 if unseen), and how often it stands there."""
-    for codes, asked, unseen, found in zip(*(batch.column(k).to_pylist() for k in ("codes", "asked", "unseen", "found")),
-                                           strict=True):
-        c = np.zeros(len(codes) + 2, np.int64)
-        c[1:-1] = np.frombuffer(codes, np.uint8)
-        n, label, asked = np.zeros(len(unseen), np.int64), np.array(unseen, np.int64), np.array(asked, np.int64)
-        for f in found or ():
-            n[f["which"]], label[f["which"]] = f["n"], f["label"]
-        if len(asked):
-            c[1:-1][c[1:-1] == ASKED] = label[asked]
-        yield c, n, np.bincount(asked, minlength=len(n))
+class _Classed:
+    """Rows of ``_sequences`` side by side: ``classes`` of all words, each row between two edges, from ``starts``
+    on; ``last`` the places of closing edges; of each rarer word of a row its ``row``, count ``n`` (0 if unseen)
+    and how often it stands there (``times``)."""
+
+    def __init__(self, batch: pa.RecordBatch):
+        def sizes(name: str) -> np.ndarray:
+            return pc.fill_null(pc.list_value_length(batch.column(name)), 0).to_numpy().astype(np.int64)
+
+        def flat(name: str) -> pa.Array:
+            return pc.list_flatten(batch.column(name))
+
+        rows = np.arange(batch.num_rows)
+        words = pc.binary_length(batch.column("codes")).to_numpy().astype(np.int64)
+        rarer, asked, found = sizes("unseen"), sizes("asked"), flat("found")
+        first = np.cumsum(rarer) - rarer
+        self.row, self.n = np.repeat(rows, rarer), np.zeros(rarer.sum(), np.int64)
+        label = flat("unseen").to_numpy().astype(np.int64)
+        at = np.repeat(first, sizes("found")) + pc.struct_field(found, "which").to_numpy()
+        self.n[at], label[at] = pc.struct_field(found, "n").to_numpy(), pc.struct_field(found, "label").to_numpy()
+        of = np.repeat(first, asked) + flat("asked").to_numpy()
+        self.times = np.bincount(of, minlength=len(label))
+        self.last = np.cumsum(words + 2) - 1
+        self.starts = self.last - words - 1
+        self.classes = np.zeros(words.sum() + 2 * len(rows), np.int64)
+        inside = np.ones(len(self.classes), bool)
+        inside[self.starts] = inside[self.last] = False
+        codes = np.frombuffer(b"".join(batch.column("codes").to_pylist()), np.uint8).astype(np.int64)
+        codes[codes == ASKED] = label[of]
+        self.classes[inside] = codes
+
+    def steps(self, classes: int) -> np.ndarray:
+        """Codes of class after class, from each place to the next; the last ones of rows mean nothing."""
+        return self.classes * classes + np.append(self.classes[1:], 0)
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, _Classed]]:
+    """Runs of rows with about ``RUN`` words (one longer text is its own run)."""
+    for b in batches:
+        if not b.num_rows:
+            continue
+        ends = np.cumsum(pc.binary_length(b.column("codes")).to_numpy().astype(np.int64) + 2)
+        start = 0
+        while start < b.num_rows:
+            done = ends[start - 1] if start else 0
+            end = max(start + 1, int(np.searchsorted(ends, done + RUN, "right")))
+            run = b.slice(start, end - start)
+            yield run, _Classed(run)
+            start = end
 
 
 def _grid(sequences: DataFrame, classes: int) -> np.ndarray:
@@ -440,9 +478,8 @@ def _grid(sequences: DataFrame, classes: int) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(classes * classes, np.int64)
-        for b in batches:
-            for c, _, _ in _classed(b):
-                total += np.bincount(c[:-1] * classes + c[1:], minlength=len(total))
+        for _, c in _runs(batches):
+            total += np.bincount(np.delete(c.steps(classes), c.last), minlength=len(total))
         met = np.flatnonzero(total)
         yield batch_of(code=pa.array(met, pa.int64()), n=pa.array(total[met], pa.int64()))
 
@@ -470,19 +507,23 @@ def score(sequences: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         move, mass, edge = held.value
-        for b in batches:
-            known, base, classed = [], [], []
-            for c, n, times in _classed(b):
-                met = n > 0
-                known.append(int(times[met].sum()))
-                base.append(float((times * np.log1p(n)).sum()))
-                classed.append(float(move[c[:-1], c[1:]].sum() - mass[c[1:-1]].sum() + edge + (times[met] * np.log(n[met])).sum()))
+        for b, c in _runs(batches):
+            gain = move.ravel()[c.steps(len(move))] - mass[c.classes]
+            gain[c.starts] += mass[0]  # an edge is no word: its share is in ``edge``
+            gain[c.last] = 0
+            log_n = np.log(np.maximum(c.n, 1))
+
+            def per_row(of_word: np.ndarray, c=c, rows=b.num_rows) -> np.ndarray:
+                return np.bincount(c.row, weights=of_word, minlength=rows)
+
+            known, base = per_row(c.times * (c.n > 0)).astype(np.int64), per_row(c.times * np.log1p(c.n))
+            classed = np.add.reduceat(gain, c.starts) + edge + per_row(c.times * log_n)
             own = lambda k: b.column(k).to_numpy(zero_copy_only=False)  # noqa: E731, B023
             yield batch_of(doc_id=b.column("doc_id"), held_out=b.column("held_out"), n_tokens=b.column("n_tokens"),
-                           n_known=pa.array(own("n_known") + np.array(known, np.int64)),
+                           n_known=pa.array(own("n_known") + known),
                            train_tokens=pa.array([tokens] * b.num_rows, pa.int64()),
-                           base_score=pa.array((own("base") + np.array(base)) / math.log(10)),
-                           score=pa.array((own("logs") + np.array(classed)) / math.log(10)))
+                           base_score=pa.array((own("base") + base) / math.log(10)),
+                           score=pa.array((own("logs") + classed) / math.log(10)))
 
     return map_arrow(sequences, run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, "
                                      "base_score double, score double")

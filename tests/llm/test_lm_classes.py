@@ -89,3 +89,32 @@ def test_a_frequent_long_word_is_looked_up_by_its_digest(spark):
     assert rare.where(F.col("n") > 1).count() <= 7 and rare.where(F.length("word") == 200).count() == 0
     got = {r["doc_id"]: (r["n_known"], r["n_tokens"]) for r in brown_lm.score_corpus(edge_docs(spark, rows), frequent=3, lookup=4, tails=4, classes=3).collect()}
     assert all(n in (t, t - 1) for n, t in got.values())
+
+
+def test_rows_are_scored_together_as_each_alone(spark, monkeypatch):
+    # op8_brown_lm: sequences were unpacked and scored by a Python loop over rows and lists
+    assert not hasattr(brown_lm, "_classed")
+    rows = [*alternating(60), (2000, ""), (2001, None), (2002, "newword a1xyz newword other"), (2003, " \t"), (2004, "b1xyz")]
+    docs = edge_docs(spark, rows).repartition(3)
+
+    def scores():
+        got = brown_lm.score_corpus(docs, frequent=10, lookup=15, tails=4, classes=3).collect()
+        return {r["doc_id"]: (r["n_tokens"], r["n_known"], r["base_score"], r["score"]) for r in got}
+
+    together = scores()
+    # workers import the package anew: a run of one row each is asked for by the rows themselves
+    model, rare = brown_lm.train(keyed(docs).where(remainder("doc_id", 7) != 2), frequent=10, lookup=15, tails=4, classes=3)
+    sequences = brown_lm._sequences(keyed(docs).withColumn("held_out", F.lit(False)), model, rare).toArrow().combine_chunks().to_batches()[0]
+    whole = brown_lm._Classed(sequences)
+    for i, (start, last) in enumerate(zip(whole.starts, whole.last, strict=True)):
+        one = brown_lm._Classed(sequences.slice(i, 1))
+        assert (one.classes == whole.classes[start:last + 1]).all() and one.classes[0] == one.classes[-1] == 0
+        assert (one.n == whole.n[whole.row == i]).all() and (one.times == whole.times[whole.row == i]).all()
+        log_p = model.move[one.classes[:-1], one.classes[1:]].sum() - np.log(model.mass)[one.classes[1:-1]].sum() + model.emit[0]
+        log_p += (one.times[one.n > 0] * np.log(one.n[one.n > 0])).sum() + sequences.column("logs")[i].as_py()
+        n_tokens, n_known, _, score = together[sequences.column("doc_id")[i].as_py()]
+        assert math.isclose(score, log_p / math.log(10), rel_tol=1e-9) and n_tokens == len(one.classes) - 1
+        assert n_known == sequences.column("n_known")[i].as_py() + one.times[one.n > 0].sum()
+    monkeypatch.setattr(brown_lm, "RUN", 5)
+    runs = list(brown_lm._runs([sequences]))
+    assert sum(b.num_rows for b, _ in runs) == sequences.num_rows and len(runs) > 10
