@@ -115,6 +115,11 @@ def satellite_daily(fx: Fixtures, digits: int = 12) -> DataFrame:
                       *[F.round(c, digits).alias(c) for c, _ in PRODUCTS.values()])
 
 
+def stored_daily(fx: Fixtures) -> DataFrame:
+    """Q3 written, for a join with the training rows: that it is small is then known before they are shuffled."""
+    return fx.shared("satellite-days", lambda: satellite_daily(fx))
+
+
 def granules_of_a_day(fx: Fixtures) -> DataFrame:
     """SC6 for one product and day of the catalogue."""
     return search_granules(fx.granules, station_boxes(fx), ("L2__NO2___",), "2024-01-03")
